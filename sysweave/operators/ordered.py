@@ -31,9 +31,13 @@ def scan(
     last_before: Mapping[str, Column] | None = None,
     depth: Mapping[str, Column] | None = None,
     chunk: int = CHUNK,
+    keep_piece: bool = False,
 ) -> DataFrame:
     """Add order-dependent columns to ``df``.
 
+    ``keep_piece`` leaves the piece number in place, so that a next scan with
+    the same keys finds its rows already shuffled as it needs them.
+
     previous / following: value of the expression on the row before / after.
     sums: running sum, this row included.
     last / last_before: latest non-null value up to / strictly before this row.
@@ -44,7 +48,9 @@ def scan(
     last_before, depth = dict(last_before or {}), dict(depth or {})
     keys = list(keys)
 
-    cut_up = df.withColumn(PIECE, F.floor(F.col(seq) / F.lit(chunk)).cast("long"))
+    cut_up = df
+    if PIECE not in df.columns:
+        cut_up = df.withColumn(PIECE, F.floor(F.col(seq) / F.lit(chunk)).cast("long"))
     group = [*keys, PIECE]
     inside = Window.partitionBy(*group).orderBy(seq)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -100,7 +106,8 @@ def scan(
             f"_cm{n}", F.min(F.col(f"_cd{n}") + F.col(f"_sm{n}")).over(earlier)
         )
     joined = rows.join(hand_over, group)
-    return joined.select(*df.columns, *[expr.alias(name) for name, expr in final.items()])
+    kept = [c for c in df.columns if c != PIECE] + ([PIECE] if keep_piece else [])
+    return joined.select(*kept, *[expr.alias(name) for name, expr in final.items()])
 
 
 def islands(
@@ -117,7 +124,7 @@ def islands(
     with their value on the previous row.
     """
     probe = {f"_was_{k}": F.struct(v.alias("v")) for k, v in same_as_previous.items()}
-    seen = scan(df, keys, seq, previous=probe, chunk=chunk)
+    seen = scan(df, keys, seq, previous=probe, chunk=chunk, keep_piece=True)
     same = F.lit(True)
     for k, v in same_as_previous.items():
         same = same & F.col(f"_was_{k}").isNotNull() & F.col(f"_was_{k}")["v"].eqNullSafe(v)
