@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Literal type names by the XSD type they stand for.
 TYPE_NAMES = {
@@ -56,7 +57,7 @@ def cast_literals(triples: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_octal(buffers: pd.Series) -> pd.Series:
     """C escapes of a printed buffer to text; null when an escape is broken."""
 

@@ -64,3 +64,13 @@ def as_set(df: DataFrame) -> DataFrame:
     of the rows reaches the reducer once per map task.
     """
     return df.dropDuplicates(IDENTITY)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as a computed row: later filters are not moved in front of it.
+
+    The optimizer moves a filter below the projection that computes its columns
+    and writes their expressions out once per use. For costly expressions that
+    is far slower than computing them once.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))

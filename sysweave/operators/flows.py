@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sysweave.operators.calls import FLOW, NEVER_EQUAL, drop_adjacent_matched, flow_counts
-from sysweave.operators.ordered import CHUNK, PIECE, islands, scan
+from sysweave.operators import ordered
+from sysweave.operators.ordered import PIECE, islands, scan
 from sysweave.session import cut
 
 ROW = ["fn", "sig", "t_start", "t_end"]
@@ -22,7 +23,7 @@ def signature(fn: Column, sig: Column) -> Column:
     return F.concat(fn, F.lit(":"), F.array_join(sig, "&", "None"))
 
 
-def squeeze_repeats(calls: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def squeeze_repeats(calls: DataFrame, chunk: int | None = None) -> DataFrame:
     """Runs of equal calls as one row with ``occurrences``; the first call stands for all."""
     single = F.when(F.col("fn").isin(NEVER_EQUAL), F.col("seq"))
     runs = islands(
@@ -52,7 +53,7 @@ def bigram_stats(calls: DataFrame) -> DataFrame:
     )
 
 
-def bigram_pass(flow: DataFrame, min_count: int = 5, chunk: int = CHUNK) -> DataFrame:
+def bigram_pass(flow: DataFrame, min_count: int = 5, chunk: int | None = None) -> DataFrame:
     """One replacement pass over frequent pairs.
 
     A pair seen more than ``min_count`` times in its flow is replaced by a
@@ -137,7 +138,7 @@ def as_flow(calls: DataFrame) -> DataFrame:
     )
 
 
-def cluster_bigrams(calls: DataFrame, min_count: int = 5, chunk: int = CHUNK) -> DataFrame:
+def cluster_bigrams(calls: DataFrame, min_count: int = 5, chunk: int | None = None) -> DataFrame:
     """Replace frequent pairs until none is left.
 
     Counts are per pass and per flow. A flow without replacement is finished and
@@ -155,19 +156,19 @@ def cluster_bigrams(calls: DataFrame, min_count: int = 5, chunk: int = CHUNK) ->
             return done
 
 
-def argument_runs(calls: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def argument_runs(calls: DataFrame, chunk: int | None = None) -> DataFrame:
     """Calls with ``island``: the runs of calls with the same arguments."""
     return islands(calls, FLOW, {"sig": F.col("sig")}, chunk=chunk)
 
 
-def cluster_by_args(calls: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def cluster_by_args(calls: DataFrame, chunk: int | None = None) -> DataFrame:
     """Runs of two or more calls with the same arguments as one sequence, style ``Args``.
 
     Calls without arguments stay alone. A run longer than a piece of the flow
     has one row per piece, numbered by ``part``; the names of the parts put
     together are the name of the sequence.
     """
-    piece = F.floor(F.col("seq") / F.lit(chunk)).cast("long")
+    piece = F.floor(F.col("seq") / F.lit(chunk or ordered.CHUNK)).cast("long")
     runs = argument_runs(as_flow(calls), chunk).withColumn(PIECE, piece)
     alone = F.when(F.size("sig") == 0, F.col("seq"))
     runs = runs.withColumn("_alone", alone)
@@ -237,7 +238,7 @@ AGGREGATORS: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 
 def squeeze_periods(
-    symbols: DataFrame, max_len: int, keys=("seq_id",), pos: str = "pos", chunk: int = CHUNK
+    symbols: DataFrame, max_len: int, keys=("seq_id",), pos: str = "pos", chunk: int | None = None
 ) -> DataFrame:
     """(keys, pos, symbol) to blocks: for each length 1..max_len, tandem repeats of that
     many elements become one block with ``times``; elements are blocks of the

@@ -17,7 +17,7 @@ from sysweave.functions.paths import (
     starts_with_any,
 )
 from sysweave.functions.values import decode_octal
-from sysweave.model import TYPE, as_set, triples, union_all
+from sysweave.model import TYPE, as_set, settled, triples, union_all
 from sysweave.operators.calls import FLOW, kind_of, normalise_pids
 from sysweave.operators.ordered import scan
 from sysweave.operators.relations import file_node, process_node
@@ -161,7 +161,7 @@ def accesses(calls: DataFrame, parity: bool = False) -> DataFrame:
         & ~failed_open
         & ~(read & amount.isNull())
     )
-    return kept.select(
+    rows = kept.select(
         *FLOW,
         touched_path("fd_path" in calls.columns).alias("path"),
         "seq",
@@ -172,7 +172,8 @@ def accesses(calls: DataFrame, parity: bool = False) -> DataFrame:
         F.when(written, amount).alias("bytes_out"),
         F.when(read | written, F.get("args", F.lit(1))).alias("buffer"),
         flag.alias("flags"),
-    ).where("letter is not null")
+    )
+    return settled(rows).where("letter is not null")
 
 
 def file_access_table(calls: DataFrame, parity: bool = False) -> DataFrame:
@@ -255,21 +256,19 @@ def rebuild_buffers(calls: DataFrame, decode: bool = True) -> DataFrame:
 SCANNERS: dict[str, Callable[[Column], Column]] = {"SqlQuery": find_sql_column}
 
 
+def _hits(name: str, scanner: Callable[[Column], Column]) -> Column:
+    return F.transform(
+        scanner(F.col("text")),
+        lambda h: F.struct(
+            F.lit(name).alias("scanner"), h["kind"].alias("kind"), h["text"].alias("hit")
+        ),
+    )
+
+
 def buffer_hits(buffers: DataFrame, scanners=None) -> DataFrame:
     """(session, pid, path, dir, seq, scanner, kind, hit) of the scanners' finds."""
-    found = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    scan_text(F.col("text")),
-                    lambda h, name=name: F.struct(
-                        F.lit(name).alias("scanner"), h["kind"].alias("kind"), h["text"].alias("hit")
-                    ),
-                )
-                for name, scan_text in (scanners or SCANNERS).items()
-            ]
-        )
-    )
+    chosen = scanners or SCANNERS
+    found = F.flatten(F.array(*[_hits(name, scanner) for name, scanner in chosen.items()]))
     return buffers.select(*FLOW, "path", "dir", "seq", F.explode(found).alias("h")).select(
         *FLOW, "path", "dir", "seq", "h.*"
     )
@@ -290,15 +289,18 @@ def build_rules(file_accesses: DataFrame, processes: DataFrame) -> DataFrame:
     ).select(
         *FLOW, "path", F.when(F.col("flag") == "R", "input").otherwise("target").alias("role")
     )
-    has_input = plain.where("role = 'input'").select(*FLOW).distinct()
-    has_target = plain.where("role = 'target'").select(*FLOW).distinct()
+    both = (
+        plain.groupBy(*FLOW)
+        .agg(F.count_distinct("role").alias("_roles"))
+        .where("_roles = 2")
+        .select(*FLOW)
+    )
     cwd = F.col("cwd") if "cwd" in processes.columns else F.lit(None).cast("string")
     about = processes.select(
         *FLOW, cwd.alias("cwd"), F.coalesce("command", "executable", F.lit("")).alias("command")
     )
     return (
-        plain.join(has_input, FLOW, "left_semi")
-        .join(has_target, FLOW, "left_semi")
+        plain.join(both, FLOW, "left_semi")
         .join(about, FLOW, "left")
         .select(*FLOW, "role", "path", "cwd", "command")
     )

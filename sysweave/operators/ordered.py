@@ -30,7 +30,7 @@ def scan(
     last: Mapping[str, Column] | None = None,
     last_before: Mapping[str, Column] | None = None,
     depth: Mapping[str, Column] | None = None,
-    chunk: int = CHUNK,
+    chunk: int | None = None,
     keep_piece: bool = False,
 ) -> DataFrame:
     """Add order-dependent columns to ``df``.
@@ -43,6 +43,7 @@ def scan(
     last / last_before: latest non-null value up to / strictly before this row.
     depth: running sum of +1/-1 steps that never goes below zero.
     """
+    chunk = chunk or CHUNK
     previous, following = dict(previous or {}), dict(following or {})
     sums, last = dict(sums or {}), dict(last or {})
     last_before, depth = dict(last_before or {}), dict(depth or {})
@@ -116,7 +117,7 @@ def islands(
     same_as_previous,
     seq: str = "seq",
     name: str = "island",
-    chunk: int = CHUNK,
+    chunk: int | None = None,
 ) -> DataFrame:
     """Number the runs of rows that continue the row before them.
 

@@ -367,7 +367,7 @@ def parse_library_deps(lines: DataFrame) -> DataFrame:
 def package_edges(rows: DataFrame) -> DataFrame:
     """(package, version, requires, condition): properties, and needs with their condition."""
     node = node_text("package", {"Id": "package"})
-    need = F.concat_ws("", "requires", F.coalesce("condition", F.lit("")))
+    need = F.concat(F.col("requires"), F.coalesce("condition", F.lit("")))
     return as_set(
         union_all(
             [

@@ -9,13 +9,13 @@ from sysweave.functions.identity import node_text
 from sysweave.model import triples
 
 # Stands for a bracketed part that has been dealt with; no text holds it.
-HOLE = ""
+HOLE = "\ue000"
 # Words that end a table name and are never its alias.
 NOT_ALIAS = (
     "where|on|using|join|inner|left|right|full|cross|natural|outer|group|order|having|limit|"
     "union|intersect|except|minus|set|values|fetch|offset|window|for|when|and|or|not|as|from|select"
 )
-NAME = r"[A-Za-z_\[][\w$.\]-]*"
+NAME = r"[A-Za-z_\uE000\[][\w$.\uE000\]-]*"
 ITEM = rf"{NAME}(?:\s+(?:as\s+)?(?!(?:{NOT_ALIAS})\b)[A-Za-z_][\w-]*)?"
 CLAUSE = (
     rf"(?i)\b(?:from|join|update|into|create\s+table)\s+((?:{ITEM})(?:\s*,\s*(?:{ITEM}))*)"

@@ -29,17 +29,12 @@ WINDOWS_DROP = r"""[^-_= \t/\\:@.#%$"'!?a-zA-Z0-9]"""
 
 def find_sql_column(text: Column) -> Column:
     """Array of (kind, text) of the statements in a text."""
-    return F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(0)),
-                    lambda t, kind=kind: F.struct(F.lit(kind).alias("kind"), t.alias("text")),
-                )
-                for kind, pattern in SQL_PATTERNS.items()
-            ]
-        )
-    )
+    return F.flatten(F.array(*[_statements(text, k, p) for k, p in SQL_PATTERNS.items()]))
+
+
+def _statements(text: Column, kind: str, pattern: str) -> Column:
+    found = F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(0))
+    return F.transform(found, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("text")))
 
 
 def find_sql(df: DataFrame, col: str = "text", source: str = "source", per_line: bool = False):
@@ -87,8 +82,9 @@ def find_paths(
         source, F.explode(F.regexp_extract_all(col, F.lit(pattern), F.lit(0))).alias("path")
     )
     cut = F.substring_index(F.substring("path", 2, 1 << 30), "\x00", 1)
-    parts = F.split(F.regexp_replace(cut, WINDOWS_DROP, ""), ";")
-    return raw.select(source, F.explode(parts).alias("path")).distinct()
+    # A list of paths is split before the characters no path has are dropped.
+    parts = F.transform(F.split(cut, ";"), lambda p: F.regexp_replace(p, WINDOWS_DROP, ""))
+    return raw.select(source, F.explode(parts).alias("path")).where("path <> ''").distinct()
 
 
 # Keys of connection strings with the pattern of their value.

@@ -242,14 +242,15 @@ def trace_calls(spark, sf) -> DataFrame:
 
 
 # Events as flows without going through text: the steps that only need order.
-def flow_calls(spark, sf) -> DataFrame:
+def flow_calls(spark, sf, args: bool = True) -> DataFrame:
     e = events(spark, sf)
+    sig = F.array((F.col("k") % 3).cast("string")) if args else F.array().cast("array<string>")
     return e.select(
         F.lit("events").alias("session"),
         F.col("user_id").alias("pid"),
         F.col("event_id").alias("seq"),
         F.concat("event_type", F.lit("@SYS")).alias("fn"),
-        F.array((F.col("k") % 3).cast("string")).alias("sig"),
+        sig.alias("sig"),
         stamp(F.col("ts")).alias("t_start"),
         stamp(F.col("ts")).alias("t_end"),
     )

@@ -141,7 +141,7 @@ def triples_from_json(df: DataFrame, ontology: Mapping[str, list[str]], col: str
         )
         return F.concat(moniker["cls"], F.lit("."), F.array_join(pairs, ","))
 
-    t = df.select(F.from_json(col, JSON_TRIPLE[7:-1]).alias("t")).select("t.*")
+    t = df.select(F.from_json(col, JSON_TRIPLE).alias("t")).select("t.*")
     is_node = F.col("object_node").isNotNull()
     return t.select(
         named(F.col("subject")).alias("s"),

@@ -13,18 +13,17 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sysweave.model import settled
 from sysweave.operators.ordered import scan
 from sysweave.sources.lines import read_lines
 
-# How a record of the log ends, and how a resumed call begins.
+# How a record of the log ends, and a line that only reports an exit.
 RECORD_END = (
     r"(<([0-9.eE+-]+|unfinished \.\.\.|no return \.\.\.)>$)|(^\[pid .* = \?$)|( ---$)"
 )
-RESUMED = r"^<\.\.\. ([^ ]*) resumed> (?s:(.*))$"
 EXIT_RESUMED = r"<\.\.\. exit(_group)? resumed>\) = \?"
-PID_PREFIX = r"^\[pid +(\d+)\] "
-TAIL = r"<([^<]*)>[^>]*$"
 
 
 def stitch_lines(lines: DataFrame) -> DataFrame:
@@ -65,70 +64,92 @@ def function_name(raw: Column, resumed: Column, tracer: str) -> Column:
     )
 
 
+# Separates the parts one pattern takes out of a text; logs print such characters escaped.
+MARK = "\ue000"
+HEAD = r"^(?:\[pid +(\d+)\] )?(.{15}).(?s:(.*))$"
+CALL = r"^(?:<\.\.\. ([^ ]*) resumed> |([^(]+)\()(?s:(.*))$"
+RESULT = r"^(?s:(.*))\)\s*=\s*(?s:(.*))$"
+DROPPED = r"^(?:\[pid +\d+\] )?.{16}(---|\+\+\+) "
+
+
+def parts_of(text: Column, pattern: str, order: str, n: int) -> Column:
+    """Groups of a pattern as an array, in one pass over the text."""
+    groups = MARK.join(f"${i}" for i in order)
+    return F.split(F.regexp_replace(text, pattern, groups), MARK, n)
+
+
 def parse_lines(lines: DataFrame, tracer: str = "strace", top_pid=0) -> DataFrame:
-    """Records of a strace or ltrace log to calls; signal and exit lines are dropped."""
+    """Records of a strace or ltrace log to calls; signal and exit lines are dropped.
+
+    Each step is a column of its own and is used by the next ones, so that a
+    record is searched once per pattern.
+    """
     if tracer == "pydbg":
         return parse_pydbg(lines)
-    line = F.regexp_replace("line", r"\n$", "")
     top = top_pid if isinstance(top_pid, Column) else F.lit(top_pid)
-    named = line.rlike(PID_PREFIX)
-    body = F.when(named, F.regexp_replace(line, PID_PREFIX, "")).otherwise(line)
-    broken = (
-        line.startswith("error:") if tracer == "ltrace" else line.rlike(EXIT_RESUMED)
+    broken = F.col("line").startswith("error:") if tracer == "ltrace" else F.col("line").rlike(
+        EXIT_RESUMED
     )
-    step = lines.select(
+    step = lines.where(~F.col("line").rlike(DROPPED)).select(
         "session",
         "seq",
-        F.when(named, F.regexp_extract(line, PID_PREFIX, 1).cast("long"))
-        .otherwise(top)
-        .cast("long")
-        .alias("pid"),
-        F.substring(body, 1, 15).alias("t_start"),
-        F.substring(body, 17, 1 << 30).alias("call"),
+        parts_of(F.regexp_replace("line", r"\n$", ""), HEAD, "123", 3).alias("h"),
         broken.alias("broken"),
-    ).where(~F.col("call").startswith("--- ") & ~F.col("call").startswith("+++ "))
-
-    call = F.col("call")
-    tail = F.regexp_extract(call, TAIL, 1)
-    resumed = call.rlike(RESUMED)
-    unfinished = tail == "unfinished ..."
-    no_return = tail == "no return ..."
+    )
+    step = step.select(
+        "session",
+        "seq",
+        F.coalesce(F.col("h")[0].try_cast("long"), top).cast("long").alias("pid"),
+        F.get("h", F.lit(1)).alias("t_start"),
+        parts_of(F.get("h", F.lit(2)), CALL, "123", 3).alias("c"),
+        "broken",
+    )
+    # The mark in the last angle brackets: a duration, or how the call was left.
+    inner = F.get("c", F.lit(2))
+    step = step.select(
+        "session", "seq", "pid", "t_start", "broken",
+        F.col("c")[0].alias("resumed_fn"),
+        F.get("c", F.lit(1)).alias("raw_fn"),
+        inner.alias("inner"),
+        F.when(
+            F.rtrim(inner).endswith(">"), F.regexp_replace(F.substring_index(inner, "<", -1), r">\s*$", "")
+        ).alias("tail"),
+    )
+    words = ["unfinished ...", "no return ...", "detached ..."]
+    seconds = F.col("tail").try_cast("double")
+    marked = F.coalesce(seconds.isNotNull() | F.col("tail").isin(words), F.lit(False))
+    body = F.when(marked, F.regexp_replace("inner", r"\s*<[^<]*$", "")).otherwise(F.col("inner"))
+    step = step.select(
+        "session", "seq", "pid", "t_start", "broken", "resumed_fn", "raw_fn", "tail",
+        seconds.alias("seconds"),
+        parts_of(body, RESULT, "12", 2).alias("r"),
+    )
+    resumed = F.col("resumed_fn") != ""
+    left = F.col("tail").isin("unfinished ...", "no return ...")
     status = (
         F.when(F.col("broken"), "plain")
         .when(resumed, "resumed")
-        .when(unfinished, "unfinished")
-        .when(no_return, "no_return")
+        .when(F.col("tail") == "unfinished ...", "unfinished")
+        .when(F.col("tail") == "no return ...", "no_return")
         .otherwise("plain")
     )
-    raw_fn = F.when(resumed, F.regexp_extract(call, RESUMED, 1)).otherwise(
-        F.regexp_extract(call, r"^([^(]+)\(", 1)
-    )
-    # What follows the opening parenthesis, without the duration or the mark.
-    inner = F.when(resumed, F.regexp_extract(call, RESUMED, 2)).otherwise(
-        F.regexp_replace(call, r"^[^(]*\(", "")
-    )
-    ends = r"\s*<([0-9.eE+-]+|unfinished \.\.\.|no return \.\.\.|detached \.\.\.)>\s*$"
-    inner = F.regexp_replace(inner, ends, "")
-    closing = r"^(?s:(.*))\)\s*=(?s:(.*))$"
-    whole = inner.rlike(closing)
-    args = F.when(whole, F.regexp_extract(inner, closing, 1)).otherwise(inner)
-    ret = F.when(whole & ~unfinished & ~no_return, F.trim(F.regexp_extract(inner, closing, 2)))
-    empty = F.col("broken")
-    return step.select(
+    raw = F.when(resumed, F.col("resumed_fn")).otherwise(F.col("raw_fn"))
+    no_fn = F.lit("" if tracer == "ltrace" else "@SYS")
+    returned = F.when(~F.coalesce(left, F.lit(False)), F.trim(F.get("r", F.lit(1))))
+    calls = step.select(
         "session",
         "seq",
         "pid",
-        F.when(empty, "" if tracer == "ltrace" else "@SYS")
-        .otherwise(function_name(raw_fn, resumed, tracer))
-        .alias("fn"),
-        F.when(empty, "").otherwise(args).alias("args_text"),
-        F.when(~empty, ret).alias("ret"),
+        F.when(F.col("broken"), no_fn).otherwise(function_name(raw, resumed, tracer)).alias("fn"),
+        F.when(F.col("broken"), "").otherwise(F.col("r")[0]).alias("args_text"),
+        F.when(~F.col("broken"), returned).alias("ret"),
         "t_start",
         F.col("t_start").alias("t_end"),
-        F.coalesce(F.when(~empty, tail.try_cast("double")), F.lit(0.0)).alias("dur"),
+        F.when(F.col("broken"), 0.0).otherwise(F.coalesce("seconds", F.lit(0.0))).alias("dur"),
         status.alias("status"),
         F.lit(tracer).alias("tracer"),
     )
+    return settled(calls)
 
 
 def parse_pydbg(lines: DataFrame) -> DataFrame:
@@ -212,7 +233,7 @@ def _skip(text: str, at: int, limit: int, chars: str) -> int:
     return at
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _split_column(texts: pd.Series) -> pd.Series:
     def split(text):
         if text is None:
@@ -222,10 +243,6 @@ def _split_column(texts: pd.Series) -> pd.Series:
     return texts.map(split)
 
 
-# Text without quotes, brackets or escapes splits at its commas.
-PLAIN_ARGUMENTS = r"""^[^"\\\[\]{}()<>]*$"""
-
-
 def split_args(calls: DataFrame) -> DataFrame:
     """Add ``args``; nested groups are JSON text. One pass, no shuffle."""
     return calls.withColumn("args", _split_column(F.col("args_text")))
