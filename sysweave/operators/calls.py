@@ -269,12 +269,10 @@ def match_interrupted(calls: DataFrame) -> DataFrame:
     rest = calls.where(~two_halves).withColumn("partner_seq", F.lit(None).cast("long"))
     keys = [*FLOW, "fn"]
     step = F.when(opens, 1).otherwise(-1)
-    deep = scan(halves, keys, depth={"_depth": step}, keep_piece=True)
-    deep = scan(deep, keys, previous={"_before": F.col("_depth")})
-    before = F.coalesce(F.col("_before"), F.lit(0))
+    deep = scan(halves, keys, depth={"_depth": step})
     # At one level of nesting, halves alternate: each resumption follows its call.
-    level = F.when(opens, F.col("_depth")).otherwise(before)
-    levelled = deep.withColumn("_level", level)
+    level = F.when(opens, F.col("_depth")).otherwise(F.col("_depth_before"))
+    levelled = cut(deep.withColumn("_level", level).drop("_depth", "_depth_before"))
     alone = levelled.where("_level = 0").withColumn("partner_seq", F.lit(None).cast("long"))
     args = F.col("args") if "args" in calls.columns else F.col("args_text")
     paired = scan(

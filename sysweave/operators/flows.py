@@ -69,7 +69,8 @@ def bigram_pass(flow: DataFrame, min_count: int = 5, chunk: int | None = None) -
         sums={"_pos": F.lit(1)},
         chunk=chunk,
     )
-    after = after.withColumn("_pair", F.concat_ws("+", "_sig", "_next._sig"))
+    # Written, since the counts and the replacement both read it.
+    after = cut(after.withColumn("_pair", F.concat_ws("+", "_sig", "_next._sig")))
     frequent = (
         after.where("_next is not null")
         .groupBy(*FLOW, "_pair")
@@ -89,7 +90,7 @@ def bigram_pass(flow: DataFrame, min_count: int = 5, chunk: int | None = None) -
     taken = F.col("_often") & (F.col("_off") % 2 == 1)
     # The second call of a pair is the row after an odd offset of the run.
     absorbed = (F.col("_off") > 1) & (F.col("_off") % 2 == 0)
-    kept = run.where(~absorbed).select(
+    kept = cut(run.where(~absorbed).select(
         *FLOW,
         "seq",
         F.when(taken, F.concat(F.lit("("), "fn", F.lit("+"), F.col("_next.fn"), F.lit(")")))
@@ -103,13 +104,12 @@ def bigram_pass(flow: DataFrame, min_count: int = 5, chunk: int | None = None) -
         F.when(taken, F.lit("Rept")).otherwise(F.col("style")).alias("style"),
         F.when(taken, F.lit(1).cast("long")).otherwise(F.col("occurrences")).alias("occurrences"),
         taken.cast("int").alias("_taken"),
-        F.coalesce("_break", F.lit(0)).alias("_run"),
-    )
+    ))
     merged = islands(
         kept,
         FLOW,
         {
-            "run": F.when(F.col("_taken") == 1, F.col("_run")).otherwise(-F.col("seq") - 1),
+            "alone": F.when(F.col("_taken") == 0, F.col("seq")),
             "fn": F.col("fn"),
             "sig": F.col("sig"),
         },
@@ -274,15 +274,15 @@ def _squeeze_level(level: DataFrame, k: int, keys: list[str], chunk: int) -> Dat
     before; these moves are repeated until none changes.
     """
     named = level.withColumn("_label", label(F.col("block"), F.col("times")))
-    named = scan(named, keys, "pos", sums={"n": F.lit(1)}, chunk=chunk)
-    # The element k further on: k steps forward, one row at a time.
-    ahead = cut(named)
-    probe = F.col("_label")
-    for i in range(1, k + 1):
-        ahead = scan(ahead, keys, "pos", following={f"_f{i}": probe}, chunk=chunk)
-        probe = F.col(f"_f{i}")
-    equal = F.coalesce(F.col("_label") == F.col(f"_f{k}"), F.lit(False))
-    flagged = ahead.withColumn("_same", equal).drop(*[f"_f{i}" for i in range(1, k + 1)])
+    named = cut(scan(named, keys, "pos", sums={"n": F.lit(1)}, chunk=chunk))
+    # The element k further on; numbers are unique in a flow.
+    ahead = named.select(*keys, (F.col("n") - k).alias("n"), F.col("_label").alias("_ahead"))
+    equal = F.coalesce(F.col("_label") == F.col("_ahead"), F.lit(False))
+    flagged = cut(
+        named.select(*keys, "pos", "n", "_label")
+        .join(ahead, [*keys, "n"], "left")
+        .select(*keys, "pos", "n", equal.alias("_same"))
+    )
     runs = scan(
         flagged, keys, "pos", last_before={"_gap": F.when(~F.col("_same"), F.col("n"))}, chunk=chunk
     ).withColumn("_run", F.coalesce("_gap", F.lit(0)))

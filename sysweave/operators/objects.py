@@ -231,25 +231,36 @@ def rebuild_buffers(calls: DataFrame, decode: bool = True) -> DataFrame:
     full = F.col("_block") & (F.col("_size") == F.length("text"))
     marked = shown.withColumn("_full", full)
     keys = [*FLOW, "path", "dir"]
-    runs = scan(marked, keys, sums={"_ends": F.when(F.col("_full"), 0).otherwise(1)})
-    short = runs.where(~F.col("_full")).select(
-        *keys, "seq", "text", F.lit(True).alias("closed"), "_ends"
-    )
-    ended = short.select(*keys, (F.col("_ends") - 1).alias("_ends"), F.lit(True).alias("_closed"))
-    parts = F.array_sort(F.collect_list(F.struct("seq", "text")))
-    glued = (
-        runs.where("_full")
-        .groupBy(*keys, "_ends")
-        .agg(F.min("seq").alias("seq"), parts.alias("_parts"))
-        .join(ended, [*keys, "_ends"], "left")
-        .select(
-            *keys,
-            "seq",
+    ends = F.when(F.col("_full"), 0).otherwise(1)
+    runs = scan(marked, keys, sums={"_ends": ends})
+    # A group is the full fragments since the last short one, and the one that ends them.
+    parts = F.array_sort(
+        F.collect_list(F.when(F.col("_full"), F.struct("seq", "text")))
+    )
+    last = F.max(F.when(~F.col("_full"), F.struct("seq", "text")))
+    groups = (
+        runs.withColumn("_group", F.col("_ends") - ends)
+        .groupBy(*keys, "_group")
+        .agg(parts.alias("_parts"), last.alias("_last"))
+    )
+    glued = F.when(
+        F.size("_parts") > 0,
+        F.struct(
+            F.get("_parts", F.lit(0))["seq"].alias("seq"),
             F.array_join(F.col("_parts.text"), "").alias("text"),
-            F.col("_closed").isNotNull().alias("closed"),
-        )
+            F.col("_last").isNotNull().alias("closed"),
+        ),
+    )
+    short = F.when(
+        F.col("_last").isNotNull(),
+        F.struct(
+            F.col("_last.seq").alias("seq"),
+            F.col("_last.text").alias("text"),
+            F.lit(True).alias("closed"),
+        ),
     )
-    return short.drop("_ends").unionByName(glued)
+    messages = F.explode(F.array_compact(F.array(glued, short)))
+    return groups.select(*keys, messages.alias("m")).select(*keys, "m.*")
 
 
 # Named scanners of buffers: text column -> array of (kind, text).

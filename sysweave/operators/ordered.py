@@ -10,7 +10,7 @@ joined on (keys, piece). No task ever sees more than ``chunk`` rows of a flow.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,7 +41,11 @@ def scan(
     previous / following: value of the expression on the row before / after.
     sums: running sum, this row included.
     last / last_before: latest non-null value up to / strictly before this row.
-    depth: running sum of +1/-1 steps that never goes below zero.
+    depth: running sum of +1/-1 steps that never goes below zero; ``name_before`` is
+    its value before the row.
+
+    The input is read twice, once for the summaries with only the columns they
+    need: put steps that chain several scans on a written table.
     """
     chunk = chunk or CHUNK
     previous, following = dict(previous or {}), dict(following or {})
@@ -89,16 +93,23 @@ def scan(
     rows = cut_up.select("*", *local) if local else cut_up
     if depth:
         # The lowest point inside a piece depends on the order of its rows.
-        for n, expr in enumerate(depth.values()):
-            rows = rows.withColumn(f"_ld{n}", F.sum(expr).over(upto))
+        sums_in = [F.sum(expr).over(upto).alias(f"_ld{n}") for n, expr in enumerate(depth.values())]
+        rows = rows.select("*", *sums_in)
+        lows = []
         for n in range(len(depth)):
-            rows = rows.withColumn(f"_lm{n}", F.min(f"_ld{n}").over(upto))
+            lows.append(F.min(f"_ld{n}").over(upto).alias(f"_lm{n}"))
+            lows.append(F.lag(f"_ld{n}", 1, 0).over(inside).alias(f"_lq{n}"))
+            lows.append(F.min(f"_ld{n}").over(before).alias(f"_lr{n}"))
+        rows = rows.select("*", *lows)
         for n, (name, expr) in enumerate(depth.items()):
             summary.append(F.sum(expr).alias(f"_sd{n}"))
             summary.append(F.min(f"_ld{n}").alias(f"_sm{n}"))
             carried.append(F.coalesce(F.sum(f"_sd{n}").over(earlier), F.lit(0)).alias(f"_cd{n}"))
-            final[name] = (F.col(f"_cd{n}") + F.col(f"_ld{n}")) - F.least(
-                F.lit(0), F.coalesce(F.col(f"_cm{n}"), F.lit(0)), F.col(f"_cd{n}") + F.col(f"_lm{n}")
+            base, low = F.col(f"_cd{n}"), F.coalesce(F.col(f"_cm{n}"), F.lit(0))
+            final[name] = base + F.col(f"_ld{n}") - F.least(F.lit(0), low, base + F.col(f"_lm{n}"))
+            # ``least`` skips nulls: the first row of a piece has nothing before it.
+            final[f"{name}_before"] = (
+                base + F.col(f"_lq{n}") - F.least(F.lit(0), low, base + F.col(f"_lr{n}"))
             )
     summed = (rows if depth else cut_up).groupBy(*group).agg(*summary)
     hand_over = summed.select(*group, *carried, *[f"_sm{n}" for n in range(len(depth))])
@@ -111,24 +122,81 @@ def scan(
     return joined.select(*kept, *[expr.alias(name) for name, expr in final.items()])
 
 
+def count_steps(
+    df: DataFrame,
+    keys: Sequence[str],
+    seq: str,
+    probe: Mapping[str, Column],
+    changed: Callable[[Column, Column], Column],
+    name: str,
+    first: int = 1,
+    chunk: int | None = None,
+) -> DataFrame:
+    """Add ``name``: how many rows so far changed against the row before them.
+
+    ``probe`` names the values compared; ``changed`` takes them, as structs, of
+    the row before and of this row. ``first`` is what the first row of a flow
+    counts. What a piece hands on is its first and last values and its count, so
+    this takes one scan and not two.
+    """
+    chunk = chunk or CHUNK
+    keys = list(keys)
+    group = [*keys, PIECE]
+    inside = Window.partitionBy(*group).orderBy(seq)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_piece = Window.partitionBy(*keys).orderBy(PIECE)
+    earlier = by_piece.rowsBetween(Window.unboundedPreceding, -1)
+    now = F.struct(*[v.alias(k) for k, v in probe.items()])
+    piece = F.floor(F.col(seq) / F.lit(chunk)).cast("long")
+
+    def step(before: Column, here: Column) -> Column:
+        return F.coalesce(changed(before, here), F.lit(True)).cast("int")
+
+    def flagged(source: DataFrame) -> DataFrame:
+        with_lag = source.withColumn("_was", F.lag("_now").over(inside))
+        flag = F.when(F.col("_was").isNull(), 0).otherwise(step(F.col("_was"), F.col("_now")))
+        return with_lag.withColumn("_flag", flag)
+
+    rows = df.withColumns({PIECE: piece, "_now": now})
+    local = flagged(rows).withColumn("_local", F.sum("_flag").over(upto))
+    summed = (
+        flagged(rows.select(*group, seq, "_now"))
+        .groupBy(*group)
+        .agg(
+            F.min_by("_now", seq).alias("_head"),
+            F.max_by("_now", seq).alias("_tail"),
+            F.sum("_flag").alias("_n"),
+        )
+        .withColumn("_before", F.lag("_tail").over(by_piece))
+    )
+    start = F.when(F.col("_before").isNull(), first).otherwise(
+        step(F.col("_before"), F.col("_head"))
+    )
+    carry = summed.withColumn("_start", start).select(
+        *group,
+        (F.coalesce(F.sum(F.col("_n") + F.col("_start")).over(earlier), F.lit(0)) + F.col("_start"))
+        .alias("_base"),
+    )
+    return local.join(carry, group).select(
+        *df.columns, (F.col("_base") + F.col("_local")).alias(name)
+    )
+
+
 def islands(
     df: DataFrame,
     keys: Sequence[str],
-    same_as_previous,
+    same_as_previous: Mapping[str, Column],
     seq: str = "seq",
     name: str = "island",
     chunk: int | None = None,
 ) -> DataFrame:
-    """Number the runs of rows that continue the row before them.
+    """Number the runs of rows that continue the row before them: all expressions of
+    ``same_as_previous`` have the same value, nulls included."""
 
-    ``same_as_previous`` maps column names to expressions compared null-safely
-    with their value on the previous row.
-    """
-    probe = {f"_was_{k}": F.struct(v.alias("v")) for k, v in same_as_previous.items()}
-    seen = scan(df, keys, seq, previous=probe, chunk=chunk, keep_piece=True)
-    same = F.lit(True)
-    for k, v in same_as_previous.items():
-        same = same & F.col(f"_was_{k}").isNotNull() & F.col(f"_was_{k}")["v"].eqNullSafe(v)
-    flagged = seen.withColumn("_start", F.when(same, 0).otherwise(1))
-    numbered = scan(flagged, keys, seq, sums={name: F.col("_start")}, chunk=chunk)
-    return numbered.drop("_start", *probe)
+    def changed(before: Column, here: Column) -> Column:
+        same = F.lit(True)
+        for k in same_as_previous:
+            same = same & before[k].eqNullSafe(here[k])
+        return ~same
+
+    return count_steps(df, keys, seq, same_as_previous, changed, name, chunk=chunk)

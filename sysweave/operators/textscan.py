@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sysweave.model import triples
-from sysweave.operators.ordered import scan
 
 # Characters of a query and the three statement patterns.
 QUERY_CHARS = r"[ ,a-z_0-9\.='\"\+\-\*\$\(\)%]*"
@@ -196,44 +195,35 @@ def dsn_pattern(keys=None) -> str:
     return "|".join(f"[; ]*{key} *= *{DSN_KEYS[key]} *" for key in (keys or DSN_KEYS))
 
 
-def find_dsn_tokens(df: DataFrame, col: str = "text", source: str = "source", keys=None):
-    """(source, offset, token): key=value tokens with where they start.
+def find_dsn(
+    df: DataFrame, col: str = "text", source: str = "source", keys=None, glue: bool = True
+) -> DataFrame:
+    """(source, offset, dsn): key=value tokens, tokens that touch each other as one.
 
     Built-in functions give matches without offsets, so this one scan is an
-    Arrow function over whole texts.
+    Arrow function over whole texts. A text without an equal sign holds no token
+    and is not sent to Python.
     """
     pattern = re.compile(dsn_pattern(keys), re.IGNORECASE)
 
-    @F.pandas_udf("array<struct<offset:bigint,token:string>>")
+    @F.pandas_udf("array<struct<offset:bigint,dsn:string>>")
     def tokens(texts: pd.Series) -> pd.Series:
-        return texts.map(
-            lambda t: [
-                {"offset": m.start(), "token": m.group()} for m in pattern.finditer(t or "")
-            ]
-        )
+        return texts.map(lambda text: _tokens(pattern, text, glue))
 
-    # A text without an equal sign cannot hold a token and is not sent to Python.
     maybe = df.where(F.instr(col, "=") > 0)
     return maybe.select(source, F.explode(tokens(F.col(col))).alias("t")).select(source, "t.*")
 
 
-def glue_tokens(tokens: DataFrame, source: str = "source") -> DataFrame:
-    """(source, offset, dsn): tokens that touch each other as one connection string."""
-    end = F.col("offset") + F.length("token")
-    seen = scan(tokens, [source], "offset", previous={"_end": end}, keep_piece=True)
-    start = F.when(F.col("_end").eqNullSafe(F.col("offset")), 0).otherwise(1)
-    runs = scan(seen.withColumn("_s", start), [source], "offset", sums={"_run": F.col("_s")})
-    parts = F.array_sort(F.collect_list(F.struct("offset", "token")))
-    # One connection string is a stretch of one text, so it is never larger than the text.
-    return (
-        runs.groupBy(source, "_run")
-        .agg(F.min("offset").alias("offset"), parts.alias("_p"))
-        .select(source, "offset", F.array_join(F.col("_p.token"), "").alias("dsn"))
-    )
-
-
-def find_dsn(df: DataFrame, col: str = "text", source: str = "source", keys=None) -> DataFrame:
-    return glue_tokens(find_dsn_tokens(df, col, source, keys), source)
+def _tokens(pattern: re.Pattern, text: str, glue: bool) -> list[dict]:
+    found: list[dict] = []
+    end = None
+    for hit in pattern.finditer(text):
+        if glue and hit.start() == end:
+            found[-1]["parts"].append(hit.group())
+        else:
+            found.append({"offset": hit.start(), "parts": [hit.group()]})
+        end = hit.end()
+    return [{"offset": f["offset"], "dsn": "".join(f["parts"])} for f in found]
 
 
 def find_words(
@@ -242,24 +232,22 @@ def find_words(
 ) -> DataFrame:
     """(source, line, hit, word): matches per line, lines and hits counted from 1.
 
-    ``max_hits`` is the size of the report per source; None gives all.
+    A row is the text of one source. ``max_hits`` is the size of the report per
+    source; None gives all. Numbering happens inside the row, without a shuffle.
     """
-    lines = df.select(source, F.posexplode(F.split(F.col(col), r"\r?\n")).alias("n", "line"))
-    found = lines.select(
-        source,
-        (F.col("n") + 1).alias("line"),
-        F.posexplode(F.regexp_extract_all("line", F.lit(regex), F.lit(0))).alias("k", "word"),
-    )
-    per_line = found.groupBy(source, "line").agg(F.count(F.lit(1)).alias("_n"))
-    before = scan(per_line, [source], "line", sums={"_upto": F.col("_n")})
-    numbered = found.join(
-        before.select(source, "line", (F.col("_upto") - F.col("_n")).alias("_skip")),
-        [source, "line"],
+    lines = F.transform(
+        F.split(F.col(col), r"\r?\n"),
+        lambda line, n: F.transform(
+            F.regexp_extract_all(line, F.lit(regex), F.lit(0)),
+            lambda word: F.struct((n + 1).alias("line"), word.alias("word")),
+        ),
     )
-    out = numbered.select(
-        source, "line", (F.col("_skip") + F.col("k") + 1).alias("hit"), "word"
+    hits = F.flatten(lines)
+    if max_hits is not None:
+        hits = F.slice(hits, 1, max_hits)
+    return df.select(source, F.posexplode(hits).alias("k", "h")).select(
+        source, "h.line", (F.col("k") + 1).alias("hit"), "h.word"
     )
-    return out if max_hits is None else out.where(F.col("hit") <= max_hits)
 
 
 def hits_to_triples(hits: DataFrame, source_node: Column, predicate, col: str) -> DataFrame:

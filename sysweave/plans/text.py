@@ -237,7 +237,7 @@ def find_dsn(spark, sf):
     "x11_find_words",
     """with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) n from documents),
     w as (select doc_id, n, unnest(regexp_extract_all(line, '[a-zA-Z0-9]{5,}')) word, generate_subscripts(regexp_extract_all(line, '[a-zA-Z0-9]{5,}'), 1) k from l)
-    select * from (select doc_id as source, n::int as line, row_number() over (partition by doc_id order by n, k) hit, word from w) where hit <= 1000""",
+    select * from (select doc_id as source, n::int as line, (row_number() over (partition by doc_id order by n, k))::int hit, word from w) where hit <= 1000""",
 )
 def find_words(spark, sf):
     docs = v.table(spark, sf, "documents")

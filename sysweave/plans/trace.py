@@ -328,9 +328,9 @@ def squeeze_repeats(spark, sf):
     b as (select *, nf is not null and count(*) over (partition by pid, fn, nf) > 5 often from a),
     o as (select *, pos - coalesce(max(case when not often then pos end) over (partition by pid order by pos
        rows between unbounded preceding and 1 preceding), 0) off from b),
-    k as (select *, often and off%2=1 taken, pos-off run,
+    k as (select *, often and off%2=1 taken,
        case when often and off%2=1 then '('||fn||'+'||nf||')' else fn end nfn from o where not (off>1 and off%2=0)),
-    i as (select *, case when taken and lag(taken) over w and lag(run) over w=run and lag(nfn) over w=nfn then 0 else 1 end st
+    i as (select *, case when taken and lag(taken) over w and lag(nfn) over w=nfn then 0 else 1 end st
        from k window w as (partition by pid order by pos)),
     j as (select *, sum(st) over (partition by pid order by pos rows unbounded preceding) g from i)
     select pid, min(seq) seq, min(nfn) fn, count(*) occurrences, sum(case when taken then 1 else 0 end)::bigint taken from j group by pid, g""",
@@ -387,8 +387,8 @@ def squeeze_periods(spark, sf):
 @query(
     "t17_bigram_stats",
     FLOW
-    + """, a as (select pid, full_sig first, lead(full_sig) over (partition by pid order by seq) second from flow)
-    select pid, first, second, count(*) n from a where second is not null group by all""",
+    + """, a as (select pid, full_sig "first", lead(full_sig) over (partition by pid order by seq) "second" from flow)
+    select pid, "first", "second", count(*) n from a where "second" is not null group by all""",
 )
 def bigram_stats(spark, sf):
     return f.bigram_stats(v.flow_calls(spark, sf)).select("pid", "first", "second", "n")

@@ -16,12 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sysweave.model import settled
-from sysweave.operators.ordered import scan
+from sysweave.operators.ordered import count_steps, scan
+from sysweave.session import cut
 from sysweave.sources.lines import read_lines
 
 # How a record of the log ends, and a line that only reports an exit.
 RECORD_END = (
     r"(<([0-9.eE+-]+|unfinished \.\.\.|no return \.\.\.)>$)|(^\[pid .* = \?$)|( ---$)"
+    # An exit line is complete; it does not take the next record with it.
+    r"|( \+\+\+$)"
 )
 EXIT_RESUMED = r"<\.\.\. exit(_group)? resumed>\) = \?"
 
@@ -32,7 +35,7 @@ def stitch_lines(lines: DataFrame) -> DataFrame:
     Lines that are records by themselves, nearly all of them, are passed on
     without being grouped.
     """
-    ends = lines.withColumn("_end", F.col("line").rlike(RECORD_END).cast("int"))
+    ends = cut(lines.withColumn("_end", F.col("line").rlike(RECORD_END).cast("int")))
     marked = scan(
         ends,
         ["session"],
@@ -287,10 +290,15 @@ def with_dates(calls: DataFrame, sessions: DataFrame) -> DataFrame:
         + F.get(split, F.lit(1)).cast("double") * 60
         + F.get(split, F.lit(2)).cast("double")
     )
-    timed = dated.withColumn("_sec", second)
-    seen = scan(timed, ["session"], previous={"_was": F.col("_sec")}, keep_piece=True)
-    jump = F.when(F.col("_was") - F.col("_sec") > 12 * 3600, 1).otherwise(0)
-    counted = scan(seen.withColumn("_jump", jump), ["session"], sums={"_days": F.col("_jump")})
+    counted = count_steps(
+        dated,
+        ["session"],
+        "seq",
+        {"second": second},
+        lambda before, here: F.coalesce(before["second"] - here["second"] > 12 * 3600, F.lit(False)),
+        "_days",
+        first=0,
+    )
     day = F.date_add("date", F.col("_days").cast("int")).cast("string")
     stamp = F.to_timestamp_ntz(F.concat_ws(" ", day, "t_start"))
-    return counted.withColumn("ts", stamp).drop("_sec", "_was", "_jump", "_days")
+    return counted.withColumn("ts", stamp).drop("_days")
