@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sysweave.session import cut
+
 
 WORD = r"(?U)\b\w\w+\b"
 DELIMITERS = r"[-_ .]"
 
 
-def word_grams(df: DataFrame, keys, col: str = "text", n_max: int = 3) -> DataFrame:
-    """(keys, gram, n): counts of runs of 1..n_max words per text."""
+def exploded_grams(df: DataFrame, keys, col: str, n_max: int) -> DataFrame:
+    """(keys, gram): every run of 1..n_max words."""
     words = F.regexp_extract_all(F.lower(col), F.lit(WORD), F.lit(0))
 
     def grams(n: int) -> Column:
@@ -24,10 +26,14 @@ def word_grams(df: DataFrame, keys, col: str = "text", n_max: int = 3) -> DataFr
             ),
         ).otherwise(F.array().cast("array<string>"))
 
-    every = F.concat(*[grams(n) for n in range(1, n_max + 1)])
+    every = F.concat(F.col("_w"), *[grams(n) for n in range(2, n_max + 1)])
+    return df.select(*keys, words.alias("_w")).select(*keys, F.explode(every).alias("gram"))
+
+
+def word_grams(df: DataFrame, keys, col: str = "text", n_max: int = 3) -> DataFrame:
+    """(keys, gram, n): counts of runs of 1..n_max words per text."""
     return (
-        df.select(*keys, words.alias("_w"))
-        .select(*keys, F.explode(every).alias("gram"))
+        exploded_grams(df, keys, col, n_max)
         .groupBy(*keys, "gram")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -36,24 +42,34 @@ def word_grams(df: DataFrame, keys, col: str = "text", n_max: int = 3) -> DataFr
 def train_bayes(
     train: DataFrame, label: str = "label", key: str = "id", col: str = "text", n_max: int = 3
 ) -> tuple[DataFrame, DataFrame]:
-    """Multinomial naive Bayes with add-one smoothing, as two tables.
+    """Multinomial naive Bayes with add-one smoothing, as two written tables.
 
-    (label, gram, n) counts of the training texts, and (label, prior, total,
-    vocabulary) with one row per label.
+    (gram, labels): one row per gram with its count in each label that has it.
+    (label, prior, z): one row per label; z is the logarithm of its grams plus
+    the vocabulary.
     """
-    grams = word_grams(train, [key, label], col, n_max)
-    counts = grams.groupBy(label, "gram").agg(F.sum("n").alias("n"))
-    vocabulary = counts.select("gram").distinct().agg(F.count(F.lit(1)).alias("v"))
+    counts = cut(
+        exploded_grams(train, [label], col, n_max)
+        .groupBy(label, "gram")
+        .agg(F.count(F.lit(1)).alias("n"))
+        # A gram has at most as many entries as there are labels.
+        .groupBy("gram")
+        .agg(F.collect_list(F.struct(F.col(label).alias("label"), "n")).alias("labels"))
+    )
+    vocabulary = counts.agg(F.count(F.lit(1)).alias("v"))
     texts = train.groupBy(label).agg(F.count(F.lit(1)).alias("texts"))
     all_texts = train.agg(F.count(F.lit(1)).alias("t"))
-    totals = counts.groupBy(label).agg(F.sum("n").alias("total"))
+    totals = (
+        counts.select(F.explode("labels").alias("x"))
+        .groupBy(F.col("x.label").alias(label))
+        .agg(F.sum("x.n").alias("total"))
+    )
     priors = texts.join(totals, label).select(
         label,
         F.log(F.col("texts") / all_texts.scalar()).alias("prior"),
-        "total",
-        vocabulary.scalar().alias("vocabulary"),
+        F.log(F.col("total") + vocabulary.scalar()).alias("z"),
     )
-    return counts, priors
+    return counts, cut(priors)
 
 
 def classify_buffers(
@@ -64,43 +80,46 @@ def classify_buffers(
     col: str = "text",
     n_max: int = 3,
 ) -> DataFrame:
-    """(key, predicted, score): the most probable label of each text.
+    """(key, predicted, score): the most probable label of each text; grams the
+    model never saw are left out.
 
-    Grams are counted per text before the join, so a word of every text meets
-    the model once per text. A gram the model never saw has the same weight in
-    a label everywhere and is added from the number of grams alone.
+    Grams are counted per text before the join, so a word of every text meets its
+    one row of the model once per text. What a gram adds to a label where it was
+    not seen is the same for all grams and comes from their number alone.
     """
     counts, priors = model
-    grams = word_grams(test, [key], col, n_max)
-    known = counts.select("gram").distinct()
-    # Per text: how many grams of the vocabulary it has.
-    seen = grams.join(known, "gram", "left_semi")
-    sizes = seen.groupBy(key).agg(F.sum("n").alias("_grams"))
-    weights = counts.withColumnRenamed("n", "_c").withColumn("_gain", F.log(F.col("_c") + 1))
-    gains = (
-        seen.join(weights, "gram")
-        .groupBy(key, label)
-        .agg(F.sum(F.col("n") * F.col("_gain")).alias("_gain"))
-    )
-    # Every text is scored under every label; labels come from one small table.
-    labels = priors.agg(
-        F.collect_list(
-            F.struct(F.col(label), "prior", F.log(F.col("total") + F.col("vocabulary")).alias("z"))
+    known = word_grams(test, [key], col, n_max).join(counts, "gram")
+    # One pass gives the number of known grams (label null) and the gains by label.
+    entry = F.struct(F.lit(None).alias("label"), F.lit(0).cast("long").alias("n"))
+    entries = F.concat(F.array(entry.cast(dict(counts.dtypes)["labels"][6:-1])), F.col("labels"))
+    sums = (
+        known.select(key, F.col("n").alias("_n"), F.explode(entries).alias("x"))
+        .groupBy(key, F.col("x.label").alias(label))
+        .agg(
+            F.sum("_n").alias("_grams"),
+            F.sum(F.col("_n") * F.log(F.col("x.n") + 1)).alias("_gain"),
         )
     )
+    sizes = sums.where(F.col(label).isNull()).select(key, F.col("_grams").alias("_size"))
+    gains = sums.where(F.col(label).isNotNull()).select(key, label, "_gain")
+    # Every text is scored under every label; the labels are one small row.
+    labels = priors.agg(F.collect_list(F.struct(F.col(label).alias("label"), "prior", "z")))
     base = (
         test.select(key)
         .join(sizes, key, "left")
-        .select(key, F.coalesce("_grams", F.lit(0)).alias("_grams"), F.explode(labels.scalar()).alias("l"))
+        .select(
+            key, F.coalesce("_size", F.lit(0)).alias("_size"), F.explode(labels.scalar()).alias("l")
+        )
     )
     scored = base.select(
-        key, F.col(f"l.{label}").alias(label), (F.col("l.prior") - F.col("_grams") * F.col("l.z")).alias("_b")
+        key,
+        F.col("l.label").alias(label),
+        (F.col("l.prior") - F.col("_size") * F.col("l.z")).alias("_base"),
     ).join(gains, [key, label], "left")
-    total = F.round(F.col("_b") + F.coalesce("_gain", F.lit(0.0)), 6)
+    total = F.round(F.col("_base") + F.coalesce("_gain", F.lit(0.0)), 6)
     return (
-        scored.select(key, F.struct(total.alias("score"), F.col(label).alias("label")).alias("x"))
-        .groupBy(key)
-        .agg(F.max("x").alias("x"))
+        scored.groupBy(key)
+        .agg(F.max(F.struct(total.alias("score"), F.col(label).alias("label"))).alias("x"))
         .select(key, F.col("x.label").alias("predicted"), F.col("x.score").alias("score"))
     )
 

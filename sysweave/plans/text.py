@@ -10,6 +10,7 @@ from sysweave.operators import sqltext as sq
 from sysweave.operators import textscan as x
 from sysweave.plans import views as v
 from sysweave.plans.registry import query
+from sysweave.session import spread
 
 CHARS = """[ ,a-z_0-9\\.=''"+\\-*$()%]*"""
 
@@ -53,7 +54,7 @@ def find_sql(spark, sf):
     union all select doc_id, 'UPDATE', unnest(regexp_extract_all(text, '(?i)update\\s+{CHARS}\\s+set\\s+{CHARS}', 0)) from documents""",
 )
 def find_sql_documents(spark, sf):
-    docs = v.table(spark, sf, "documents")
+    docs = spread(v.table(spark, sf, "documents"))
     return x.find_sql(docs.select(F.col("doc_id").alias("source"), "text"))
 
 
@@ -162,7 +163,7 @@ def lineage_edges(spark, sf):
     where length(split_part(url, '.', -1)) <= 4""",
 )
 def find_urls(spark, sf):
-    p = v.table(spark, sf, "pages")
+    p = spread(v.table(spark, sf, "pages"))
     return x.find_urls(
         p.select(F.col("page_id").alias("source"), F.concat_ws(" ", "url", "html").alias("text"))
     )
@@ -188,7 +189,7 @@ def find_guids(spark, sf):
     '(?:/[-a-zA-Z0-9\\._+]{3,50}){3}')) path from documents""",
 )
 def find_paths_linux(spark, sf):
-    docs = v.table(spark, sf, "documents")
+    docs = spread(v.table(spark, sf, "documents"))
     key = F.col("doc_id").cast("string")
     text = F.concat(
         F.lit("see /corpus/"), "source", F.lit("/doc"), key, F.lit(".txt and "), "text"
@@ -240,7 +241,7 @@ def find_dsn(spark, sf):
     select * from (select doc_id as source, n::int as line, (row_number() over (partition by doc_id order by n, k))::int hit, word from w) where hit <= 1000""",
 )
 def find_words(spark, sf):
-    docs = v.table(spark, sf, "documents")
+    docs = spread(v.table(spark, sf, "documents"))
     return x.find_words(docs.select(F.col("doc_id").alias("source"), "text"))
 
 
@@ -276,7 +277,7 @@ def template_values(spark, sf):
 
 
 def labelled(spark, sf):
-    docs = v.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = spread(v.table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), "text")
     marks = v.table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
     return docs.join(marks, "id")
 
@@ -326,7 +327,7 @@ def word_grams(spark, sf):
     from documents group by source, lang) where r=1""",
 )
 def majority(spark, sf):
-    docs = v.table(spark, sf, "documents").withColumnRenamed("lang", "predicted")
+    docs = spread(v.table(spark, sf, "documents")).withColumnRenamed("lang", "predicted")
     return sim.majority(docs, ["source"])
 
 

@@ -132,10 +132,10 @@ def with_dates(spark, sf):
 @query(
     "t1_split_args",
     CALLS
-    + """select seq, case fn
+    + r"""select seq, case fn
       when 'openat@SYS' then 'AT_FDCWD;data/f'||k||';O_RDONLY|O_CLOEXEC'
       when 'open@SYS' then '/out/f'||k||';O_WRONLY|O_CREAT;0666'
-      when 'read@SYS' then '3</srv/data/f'||k||'>;x, \\"y\;4096'
+      when 'read@SYS' then '3</srv/data/f'||k||'>;x, \"y\;4096'
       when 'write@SYS' then '4</out/f'||k||'>;z...;512'
       when 'close@SYS' then '3</srv/data/f'||k||'>'
       when 'wait4@SYS' then '-1;[["WIFEXITED(s)"]];0;NULL'

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sysweave.functions.identity import node_of_integer
 from sysweave.model import union_all
+from sysweave.session import spread
 from sysweave.sources.tables import tables_to_triples
 
 
@@ -166,7 +167,7 @@ def _text(*parts) -> Column:
 
 def trace_lines(spark, sf, tail: bool = True) -> DataFrame:
     """(session, seq, line): a strace log made of all events."""
-    e = events(spark, sf)
+    e = spread(events(spark, sf))
     k = F.col("k").cast("string")
     amount = F.round(F.col("value") * 100).cast("long").cast("string")
     child = (F.lit(100000) + F.col("user_id") * 1000 + F.col("k")).cast("string")

@@ -55,3 +55,12 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/sysweave/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give costly per-row work at least as many tasks as there are cores.
+
+    A source with enough splits, as any large one has, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
