@@ -35,7 +35,7 @@ class PendingCalls(StatefulProcessor):
     become one value. A call nobody resumes in time is given out as unfinished.
     """
 
-    def __init__(self, wait_ms: int):
+    def __init__(self, wait_ms: int | None):
         self._wait = wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -59,7 +59,7 @@ class PendingCalls(StatefulProcessor):
             else:
                 out.append((*key, int(row.seq), None, list(row.args), "resumed"))
         self._depth.update((depth,))
-        if depth:
+        if depth and self._wait is not None:
             now = timerValues.getCurrentProcessingTimeInMs()
             self._handle.registerTimer(now + self._wait)
         yield self._frame(out)
@@ -83,8 +83,12 @@ class PendingCalls(StatefulProcessor):
         return frame
 
 
-def match_interrupted_stream(calls: DataFrame, wait_ms: int = 600_000) -> DataFrame:
-    """Joined halves of interrupted calls of a live log; see ``PendingCalls``."""
+def match_interrupted_stream(calls: DataFrame, wait_ms: int | None = 600_000) -> DataFrame:
+    """Joined halves of interrupted calls of a live log; see ``PendingCalls``.
+
+    With ``wait_ms`` the query keeps waking up for its timers and so never runs
+    out of work; without, pending calls are kept until they are resumed.
+    """
     halves = calls.where(F.col("status").isin("unfinished", "resumed")).select(
         "session", "pid", "fn", "seq", "args", "status"
     )
@@ -92,7 +96,7 @@ def match_interrupted_stream(calls: DataFrame, wait_ms: int = 600_000) -> DataFr
         statefulProcessor=PendingCalls(wait_ms),
         outputStructType=MATCHED,
         outputMode="Append",
-        timeMode="ProcessingTime",
+        timeMode="None" if wait_ms is None else "ProcessingTime",
     )
 
 

@@ -1,5 +1,7 @@
 """Streams against their batch twins."""
 
+import glob
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -16,6 +18,9 @@ from sysweave.streaming import trace as live
 def as_stream(spark, df, tmp_path, name, files=3):
     path = str(tmp_path / name)
     df.repartitionByRange(files, *df.columns[:2]).write.parquet(path)
+    # A stream takes the oldest files first: give them the order of their rows.
+    for n, file in enumerate(sorted(glob.glob(f"{path}/part-*.parquet"))):
+        os.utime(file, (1_700_000_000 + 10 * n, 1_700_000_000 + 10 * n))
     return (
         spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
     )
@@ -61,7 +66,9 @@ def test_interrupted_stream(spark, tmp_path):
     df = spark.createDataFrame(
         data, "session string, seq bigint, pid bigint, fn string, args array<string>, status string"
     )
-    stream = live.match_interrupted_stream(as_stream(spark, df, tmp_path, "halves"))
+    stream = live.match_interrupted_stream(
+        as_stream(spark, df, tmp_path, "halves"), wait_ms=None
+    )
     got = run(spark, stream, tmp_path, "t_halves").collect()
     batch = c.match_interrupted(df).where("status in ('merged', 'resumed')").collect()
     assert sorted((r.seq, r.status, str(r.partner_seq), tuple(r.args)) for r in got) == sorted(
@@ -69,6 +76,25 @@ def test_interrupted_stream(spark, tmp_path):
     )
 
 
+def test_calls_nobody_resumes_are_given_out(spark, tmp_path):
+    df = spark.createDataFrame(
+        [("s", 1, 7, "read@SYS", ["3"], "unfinished")],
+        "session string, seq bigint, pid bigint, fn string, args array<string>, status string",
+    )
+    stream = live.match_interrupted_stream(as_stream(spark, df, tmp_path, "late", 1), wait_ms=1)
+    query = (
+        stream.writeStream.format("memory").queryName("t_late").outputMode("append")
+        .option("checkpointLocation", str(tmp_path / "late-ckpt")).start()
+    )
+    try:
+        for _ in range(60):
+            if query.awaitTermination(1) or spark.table("t_late").count():
+                break
+    finally:
+        query.stop()
+    assert [(r.seq, r.status) for r in spark.table("t_late").collect()] == [(1, "unfinished")]
+
+
 def test_changes_stream(spark, tmp_path):
     rnd = random.Random(4)
     data = [("x" if n % 3 else "y", n, "c", "a", rnd.choice("pq")) for n in range(40)]
