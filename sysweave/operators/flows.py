@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sysweave.operators.calls import FLOW, NEVER_EQUAL, drop_adjacent_matched, flow_counts
@@ -181,12 +181,15 @@ def cluster_by_args(calls: DataFrame, chunk: int | None = None) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.sum("occurrences").alias("occurrences"),
     )
-    whole = (
-        parts.groupBy(*group)
-        .agg(F.sum("n").alias("calls"), F.min(PIECE).alias("_p0"), F.max(PIECE).alias("_p1"))
-        .withColumn("_alone", F.coalesce("_alone", F.lit(-1)))
+    # A run has one row per piece of the flow here.
+    run = Window.partitionBy(*group)
+    joined = parts.withColumns(
+        {
+            "calls": F.sum("n").over(run),
+            "_p0": F.min(PIECE).over(run),
+            "_p1": F.max(PIECE).over(run),
+        }
     )
-    joined = parts.withColumn("_alone", F.coalesce("_alone", F.lit(-1))).join(whole, group)
     many = F.col("calls") > 1
     text = F.concat(
         F.when(F.col(PIECE) == F.col("_p0"), F.lit("(")).otherwise(F.lit("+")),

@@ -17,7 +17,7 @@ from sysweave.functions.paths import (
     starts_with_any,
 )
 from sysweave.functions.values import decode_octal
-from sysweave.model import TYPE, as_set, settled, triples, union_all
+from sysweave.model import TYPE, as_set, settled
 from sysweave.operators.calls import FLOW, kind_of, normalise_pids
 from sysweave.operators.ordered import scan
 from sysweave.operators.relations import file_node, process_node
@@ -442,7 +442,7 @@ def changes_only(facts: DataFrame) -> DataFrame:
 
 
 def trace_to_triples(processes: DataFrame, file_accesses: DataFrame) -> DataFrame:
-    """Processes, files and accesses as a graph."""
+    """Processes, files and accesses as a graph; each table is read once."""
     procs = tables_to_triples(
         processes,
         "process",
@@ -452,24 +452,24 @@ def trace_to_triples(processes: DataFrame, file_accesses: DataFrame) -> DataFram
             "ppid": ("process", {"Handle": "ppid"}),
             "executable": ("file", {"Name": "executable"}),
         },
+        layout="rows",
     )
-    files = file_accesses.select("path").distinct()
-    return as_set(
-        union_all(
-            [
-                procs,
-                triples(files, file_node(), TYPE, F.lit("file"), kind="uri"),
-                triples(files, file_node(), "category", path_category(F.col("path"))),
-                triples(
-                    file_accesses.where("n_read > 0"), process_node(), "reads", file_node(),
-                    kind="uri",
-                ),
-                triples(
-                    file_accesses.where("n_write > 0"), process_node(), "writes", file_node(),
-                    kind="uri",
-                ),
-            ]
-        )
-    )
 
+    def fact(s, p: str, o, kind: str) -> Column:
+        o_type = F.lit("string") if kind == "lit" else F.lit(None).cast("string")
+        return F.struct(
+            s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"),
+            o_type.alias("o_type"),
+        )
 
+    file, process = file_node(), process_node()
+    facts = F.array(
+        fact(file, TYPE, F.lit("file"), "uri"),
+        fact(file, "category", path_category(F.col("path")), "lit"),
+        F.when(F.col("n_read") > 0, fact(process, "reads", file, "uri")),
+        F.when(F.col("n_write") > 0, fact(process, "writes", file, "uri")),
+    )
+    files = file_accesses.select(F.explode(F.array_compact(facts)).alias("t")).select(
+        "t.*", F.lit(None).cast("string").alias("ctx")
+    )
+    return as_set(procs.unionByName(files))

@@ -113,18 +113,19 @@ def session_rows(spark, sf):
 
 @query(
     "s5_with_dates",
-    """with e as (select event_id, strftime(ts, '%H:%M:%S.%f') t,
+    """with e as (select event_id, user_id%4 g, strftime(ts, '%H:%M:%S.%f') t,
       epoch_us(ts) - epoch_us(date_trunc('day', ts)) us from events),
-    j as (select *, case when lag(us) over (order by event_id) - us > 43200000000 then 1 else 0 end jump from e)
-    select event_id seq, strftime(date '2020-05-17' + cast(sum(jump) over (order by event_id rows unbounded preceding) as integer),
+    j as (select *, case when lag(us) over (partition by g order by event_id) - us > 43200000000 then 1 else 0 end jump from e)
+    select event_id seq, strftime(date '2020-05-17' + cast(sum(jump) over (partition by g order by event_id rows unbounded preceding) as integer),
       '%Y-%m-%d')||' '||t stamp from j""",
 )
 def with_dates(spark, sf):
     e = v.events(spark, sf)
+    group = (F.col("user_id") % 4).cast("string")
     calls = e.select(
-        F.lit("d").alias("session"), F.col("event_id").alias("seq"), v.stamp(F.col("ts")).alias("t_start")
+        group.alias("session"), F.col("event_id").alias("seq"), v.stamp(F.col("ts")).alias("t_start")
     )
-    sessions = e.select(F.lit("d").alias("session"), F.lit("2020-05-17").cast("date").alias("date")).distinct()
+    sessions = e.select(group.alias("session"), F.lit("2020-05-17").cast("date").alias("date")).distinct()
     dated = tr.with_dates(calls, sessions)
     return dated.select("seq", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("stamp"))
 
@@ -238,22 +239,23 @@ def track_cwd(spark, sf):
     e = v.events(spark, sf)
     seq, pid, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
     fd = F.concat(F.lit("3</home/d"), F.col("k").cast("string"), F.lit(">"))
+    group = (pid % 4).cast("string")
     parent = F.struct(
-        seq.alias("seq"), pid.alias("pid"),
+        group.alias("session"), seq.alias("seq"), pid.alias("pid"),
         F.when(kind == "signup", "fchdir@SYS").when(kind == "error", "clone@SYS").otherwise("read@SYS").alias("fn"),
         F.array(fd, F.lit("")).alias("args"),
         F.when(kind == "error", (seq + 1000000).cast("string")).otherwise("0").alias("ret"),
     )
     # Each created process makes one call of its own.
     child = F.struct(
-        (seq + 10000000).alias("seq"), (seq + 1000000).alias("pid"), F.lit("read@SYS").alias("fn"),
+        group.alias("session"), (seq + 10000000).alias("seq"), (seq + 1000000).alias("pid"), F.lit("read@SYS").alias("fn"),
         F.array(F.lit("1"), F.lit("")).alias("args"), F.lit("0").alias("ret"),
     )
     both = F.when(kind == "error", F.array(parent, child)).otherwise(F.array(parent))
     calls = e.select(F.explode(both).alias("x")).select(
-        F.lit("cwd").alias("session"), "x.*", F.lit("strace").alias("tracer"), F.lit("plain").alias("status")
+        "x.*", F.lit("strace").alias("tracer"), F.lit("plain").alias("status")
     )
-    sessions = e.select(F.lit("cwd").alias("session"), F.lit("/top").alias("cwd")).distinct()
+    sessions = e.select(group.alias("session"), F.lit("/top").alias("cwd")).distinct()
     return c.track_cwd(calls, sessions).select("seq", "pid", "cwd")
 
 
@@ -630,10 +632,9 @@ def env_read(spark, sf):
 )
 def files_by_category(spark, sf):
     calls = v.trace_calls(spark, sf)
-    procs = ob.process_table(calls)
     ran = calls.where("fn = 'execve@SYS'").select(F.get("args", F.lit(0)).alias("path"))
     files = ob.file_access_table(calls).select("path").unionByName(ran)
-    executed = ran.select(F.col("path").alias("executable")).unionByName(procs.select("executable"))
+    executed = ran.select(F.col("path").alias("executable"))
     return ob.category_counts(ob.files_by_category(files, executed))
 
 
