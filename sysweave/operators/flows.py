@@ -248,26 +248,64 @@ def squeeze_periods(
     lengths before.
 
     ``block`` lists the labels of the elements, ``width`` counts the symbols the
-    block expands to, ``pos`` is the position of its first symbol.
+    block expands to, ``pos`` is the position of its first symbol. An element that
+    is not repeated keeps its own label, so this is the simplified form.
     """
+    return squeeze_levels(symbols, max_len, keys, pos, chunk)[-1]
+
+
+def squeeze_levels(
+    symbols: DataFrame, max_len: int, keys=("seq_id",), pos: str = "pos", chunk: int | None = None
+) -> list[DataFrame]:
+    """The written tables of ``squeeze_periods``, one per length, from 0 (the symbols)."""
     keys = list(keys)
     level = symbols.select(
         *keys, F.col(pos).alias("pos"), F.array("symbol").alias("block"),
         F.lit(1).cast("long").alias("times"), F.lit(1).cast("long").alias("width"),
     )
+    levels = [cut(level)]
     for k in range(1, max_len + 1):
-        level = cut(_squeeze_level(level, k, keys, chunk))
-    return level
+        levels.append(cut(_squeeze_level(levels[-1], k, keys, chunk)))
+    return levels
 
 
 def label(block: Column, times: Column) -> Column:
-    """Text that identifies a block."""
-    inner = F.array_join(block, " ")
-    return F.when((times == 1) & (F.size(block) == 1), inner).otherwise(
-        F.concat(F.lit("["), inner, F.lit("]*"), times.cast("string"))
+    """Text that identifies a block: a symbol is its own label."""
+    return F.when((times == 1) & (F.size(block) == 1), F.get(block, F.lit(0))).otherwise(
+        F.concat(F.to_json(block), F.lit("*"), times.cast("string"))
     )
 
 
+def inflate(levels: list[DataFrame], keys=("seq_id",)) -> DataFrame:
+    """(keys, pos, order, symbol): the sequence ``squeeze_levels`` started from.
+
+    ``order`` sorts the symbols a row of the last level expands to. Repeats are
+    made as rows in two steps, so that a long run is never one array.
+    """
+    keys = list(keys)
+    rows = levels[-1].withColumn("order", F.array().cast("array<bigint>"))
+    step = 1 << 16
+    for below in reversed([None, *levels[:-1]]):
+        parts = rows.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / step))))
+        least = F.least(F.col("times") - F.col("_p") * step, F.lit(step))
+        turns = parts.withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), (least - 1).cast("long"))))
+        turn = (F.col("_p") * step + F.col("_t")).cast("long")
+        items = turns.select(
+            *keys, "pos", "order", turn.alias("_turn"), F.posexplode("block").alias("_at", "label")
+        ).select(
+            *keys,
+            "pos",
+            F.concat("order", F.array(F.col("_turn"), F.col("_at").cast("long"))).alias("order"),
+            "label",
+        )
+        if below is None:
+            return items.withColumnRenamed("label", "symbol")
+        # A label stands for one block of the level below.
+        blocks = below.select(label(F.col("block"), F.col("times")).alias("label"), "block", "times")
+        rows = items.join(blocks.dropDuplicates(["label"]), "label").drop("label")
+    raise ValueError("no levels")
+
+
 def _squeeze_level(level: DataFrame, k: int, keys: list[str], chunk: int) -> DataFrame:
     """Greedy tandem repeats of ``k`` elements, left to right.
 
@@ -299,7 +337,7 @@ def _squeeze_level(level: DataFrame, k: int, keys: list[str], chunk: int) -> Dat
     )
     # from: where the run may begin, after the blocks of the run before it.
     found = cut(lengths.withColumn("from", F.col("start")))
-    while True:
+    while k > 1:  # blocks of one element cannot reach into the next run
         left = F.col("stop") - F.col("from") + 1
         end = F.when(left >= k, F.col("from") + (1 + F.floor(left / k)) * k)
         moved = scan(found, keys, "start", last_before={"_end": end}, chunk=chunk)

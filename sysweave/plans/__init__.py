@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["graph", "trace", "text", "relations"]
+MODULES = ["graph", "trace", "text", "relations", "streams"]
 
 
 def load():

@@ -970,9 +970,8 @@ def event_counts(spark, sf):
 
 def value_samples(spark, sf):
     e = v.events(spark, sf)
-    return st.sample_stream(
-        e.withColumn("cents", F.round(F.col("value") * 100)), "user", ["cents"], obj="user_id"
-    ).withColumn("ts", F.col("ts").cast("timestamp"))
+    cents = e.withColumns({"cents": F.round(F.col("value") * 100), "ts": v.instant()})
+    return st.sample_stream(cents, "user", ["cents"], obj="user_id")
 
 
 @query(

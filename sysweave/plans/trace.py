@@ -386,6 +386,18 @@ def squeeze_periods(spark, sf):
     return out.select("seq_id", "pos", F.array_join("block", " ").alias("block"), "times", "width")
 
 
+@query(
+    "t16_inflate",
+    "select user_id seq_id, event_type symbol, count(*) n from events group by 1, 2",
+)
+def inflate_periods(spark, sf):
+    symbols = v.events(spark, sf).select(
+        F.col("user_id").alias("seq_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("symbol")
+    )
+    back = f.inflate(f.squeeze_levels(symbols, 2))
+    return back.groupBy("seq_id", "symbol").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "t17_bigram_stats",
     FLOW

@@ -151,8 +151,17 @@ def tree_edges(spark, sf) -> DataFrame:
 # Events as a log: the user is the process, the event the line, ``k`` of its
 # properties the argument.
 def events(spark, sf) -> DataFrame:
-    return table(spark, sf, "events").withColumn(
-        "k", F.regexp_extract("props", r"(\d+)", 1).cast("long")
+    return with_argument(table(spark, sf, "events"))
+
+
+def with_argument(e: DataFrame) -> DataFrame:
+    return e.withColumn("k", F.regexp_extract("props", r"(\d+)", 1).cast("long"))
+
+
+def instant() -> Column:
+    """``ts`` as an instant, whatever the zone of the session."""
+    return F.timestamp_micros(
+        F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
     )
 
 
@@ -165,9 +174,12 @@ def _text(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-def trace_lines(spark, sf, tail: bool = True) -> DataFrame:
+def trace_lines(spark, sf) -> DataFrame:
     """(session, seq, line): a strace log made of all events."""
-    e = spread(events(spark, sf))
+    return lines_of(spread(events(spark, sf)))
+
+
+def lines_of(e: DataFrame) -> DataFrame:
     k = F.col("k").cast("string")
     amount = F.round(F.col("value") * 100).cast("long").cast("string")
     child = (F.lit(100000) + F.col("user_id") * 1000 + F.col("k")).cast("string")
@@ -270,7 +282,10 @@ flow as (
 
 def interrupted_calls(spark, sf) -> DataFrame:
     """Clicks begin a call, purchases resume it; the other events are whole calls."""
-    e = events(spark, sf)
+    return halves_of(events(spark, sf))
+
+
+def halves_of(e: DataFrame) -> DataFrame:
     return e.select(
         F.lit("events").alias("session"),
         F.col("event_id").alias("seq"),

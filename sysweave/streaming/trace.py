@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from sysweave.operators.calls import drop_ignored, significant_args
 from sysweave.operators.match import match, solve_one, variables
 from sysweave.sources.trace import parse_lines, split_args
+from sysweave.streaming.run import keyed_state
 
 MATCHED = (
     "session string, pid bigint, fn string, seq bigint, partner_seq bigint, "
@@ -89,6 +90,7 @@ def match_interrupted_stream(calls: DataFrame, wait_ms: int | None = 600_000) ->
     With ``wait_ms`` the query keeps waking up for its timers and so never runs
     out of work; without, pending calls are kept until they are resumed.
     """
+    keyed_state(calls.sparkSession)
     halves = calls.where(F.col("status").isin("unfinished", "resumed")).select(
         "session", "pid", "fn", "seq", "args", "status"
     )
@@ -127,6 +129,7 @@ class LatestValue(StatefulProcessor):
 
 def changes_stream(facts: DataFrame) -> DataFrame:
     """(object, attribute, value, seq) rows that tell something new."""
+    keyed_state(facts.sparkSession)
     return (
         facts.select("object", "attribute", "value", "seq")
         .groupBy("object", "attribute")

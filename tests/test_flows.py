@@ -1,5 +1,6 @@
 """Flow steps against naive Python over lists, on random flows cut into small pieces."""
 
+import json
 import random
 from collections import Counter
 
@@ -132,8 +133,9 @@ def naive_periods(symbols, longest):
 
     def label(block):
         items, times = block
-        inner = " ".join(items)
-        return inner if times == 1 and len(items) == 1 else f"[{inner}]*{times}"
+        if times == 1 and len(items) == 1:
+            return items[0]
+        return json.dumps(items, separators=(",", ":")) + f"*{times}"
 
     for k in range(1, longest + 1):
         labels, out, i = [label(b) for b in level], [], 0
@@ -158,11 +160,14 @@ def test_periods(spark, small_pieces, seed):
     flows[9] = list("abcabcabcd") * 2
     data = [(s, i * 2, sym) for s, syms in flows.items() for i, sym in enumerate(syms)]
     df = spark.createDataFrame(data, "seq_id bigint, pos bigint, symbol string")
-    got = f.squeeze_periods(df, 3).orderBy("seq_id", "pos").collect()
+    levels = f.squeeze_levels(df, 3)
+    got = levels[-1].orderBy("seq_id", "pos").collect()
+    back = f.inflate(levels).orderBy("seq_id", "pos", "order").collect()
     for s, syms in flows.items():
         mine = [(list(r.block), r.times) for r in got if r.seq_id == s]
         assert mine == naive_periods(syms, 3)
         assert sum(r.width for r in got if r.seq_id == s) == len(syms)
+        assert [r.symbol for r in back if r.seq_id == s] == syms
 
 
 def test_principal_period(spark):
