@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sysweave.operators.calls import FLOW, NEVER_EQUAL, drop_adjacent_matched, flow_counts
-from sysweave.operators import ordered
-from sysweave.operators.ordered import PIECE, islands, scan
+from sysweave.operators.ordered import PIECE, islands, piece_of, scan
 from sysweave.session import cut
 
 ROW = ["fn", "sig", "t_start", "t_end"]
@@ -168,8 +167,7 @@ def cluster_by_args(calls: DataFrame, chunk: int | None = None) -> DataFrame:
     has one row per piece, numbered by ``part``; the names of the parts put
     together are the name of the sequence.
     """
-    piece = F.floor(F.col("seq") / F.lit(chunk or ordered.CHUNK)).cast("long")
-    runs = argument_runs(as_flow(calls), chunk).withColumn(PIECE, piece)
+    runs = argument_runs(as_flow(calls), chunk).withColumn(PIECE, piece_of("seq", chunk))
     alone = F.when(F.size("sig") == 0, F.col("seq"))
     runs = runs.withColumn("_alone", alone)
     group = [*FLOW, "island", "_alone"]

@@ -19,6 +19,11 @@ CHUNK = 1 << 20
 PIECE = "_piece"
 
 
+def piece_of(seq: str, chunk: int | None = None) -> Column:
+    """Number of the piece a row belongs to, by whole numbers."""
+    return F.expr(f"cast(`{seq}` as bigint) div {chunk or CHUNK}")
+
+
 def scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -55,7 +60,7 @@ def scan(
 
     cut_up = df
     if PIECE not in df.columns:
-        cut_up = df.withColumn(PIECE, F.floor(F.col(seq) / F.lit(chunk)).cast("long"))
+        cut_up = df.withColumn(PIECE, piece_of(seq, chunk))
     group = [*keys, PIECE]
     inside = Window.partitionBy(*group).orderBy(seq)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -147,7 +152,7 @@ def count_steps(
     by_piece = Window.partitionBy(*keys).orderBy(PIECE)
     earlier = by_piece.rowsBetween(Window.unboundedPreceding, -1)
     now = F.struct(*[v.alias(k) for k, v in probe.items()])
-    piece = F.floor(F.col(seq) / F.lit(chunk)).cast("long")
+    piece = piece_of(seq, chunk)
 
     def step(before: Column, here: Column) -> Column:
         return F.coalesce(changed(before, here), F.lit(True)).cast("int")

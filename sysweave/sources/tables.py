@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,16 @@ def node(df: DataFrame, cls: str, keys: Mapping[str, str]) -> Column:
     return node_text(cls, keys)
 
 
+def link(df: DataFrame, cls: str, keys: Mapping[str, str]) -> Column:
+    """Node text of a row's reference; null when a key is null."""
+    found = [column if isinstance(column, Column) else F.col(column) for column in keys.values()]
+    text = node(df, cls, keys)
+    types = dict(df.dtypes)
+    if all(isinstance(c, str) and types.get(c) in INTEGERS for c in keys.values()) and len(keys) == 1:
+        return text  # a null number makes a null text
+    return F.when(reduce(and_, [column.isNotNull() for column in found]), text)
+
+
 def literal_type(spark_type: str) -> str:
     # Literal type names by column type.
     names = {
@@ -57,11 +69,7 @@ def tables_to_triples(
         kind = literal_type(types.get(value, "string")) if isinstance(value, str) else "string"
         facts.append((F.lit(name), column.cast("string"), "lit", kind))
     for name, (target, target_keys) in (links or {}).items():
-        # A null key gives no link.
-        known = F.lit(True)
-        for column in target_keys.values():
-            known = known & (column if isinstance(column, Column) else F.col(column)).isNotNull()
-        facts.append((F.lit(name), F.when(known, node(df, target, target_keys)), "uri", None))
+        facts.append((F.lit(name), link(df, target, target_keys), "uri", None))
     if layout == "union":
         return union_all(
             [triples(df, subject, p, o, kind, t or "string", ctx) for p, o, kind, t in facts]
