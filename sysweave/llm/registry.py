@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-MODULES = ["bpe"]
+MODULES = ["bpe", "rules", "html", "urls"]
 
 
 def query(name: str, sql: str | None = None):
