@@ -54,13 +54,13 @@ def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first byte) of each word of ``data``, between the six ASCII blanks.
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, byte after the last) of each word of ``data``, between the six ASCII blanks.
 
     A word's hash is a polynomial of its bytes, taken from running sums over the
     whole block, then mixed; words are never cut out one by one.
     """
-    hashes, places, at = [], [], 0
+    hashes, firsts, lasts, at = [], [], [], 0
     while at < len(data):
         end = min(len(data), at + BLOCK)
         while end < len(data) and not BLANKS[data[end]]:
@@ -75,18 +75,19 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
         h = (sums[last] - sums[first]) * down[first]
         hashes.append(mixed(h + (last - first).astype(np.uint64) * np.uint64(ODD)))
-        places.append(first + at)
+        firsts.append(first + at)
+        lasts.append(last + at)
         at = end
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(places)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(firsts), np.concatenate(lasts)
 
 
 def tokens_of(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token before, token, number of its text) for the words of each text and its end."""
     coded = [(t or "").encode().lower() for t in texts]
     begins = np.cumsum([0, *(len(c) + 1 for c in coded)])[:-1]
-    hashes, places = word_hashes(b"\n".join(coded))
+    hashes, places, _ = word_hashes(b"\n".join(coded))
     owner = np.searchsorted(begins, places, "right") - 1
     counts = np.bincount(owner, minlength=len(texts)) + 1
     token = np.full(len(hashes) + len(texts), END)

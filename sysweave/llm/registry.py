@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-MODULES = ["bpe", "neardup", "rules", "html", "urls", "pii", "ngramlm"]
+MODULES = ["linededup", "bpe", "neardup", "rules", "html", "urls", "pii", "ngramlm"]
 
 
 def query(name: str, sql: str | None = None):
