@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-MODULES = ["linededup", "bpe", "decontaminate", "neardup", "rules", "html", "urls", "pii", "ngramlm"]
+MODULES = ["quality", "linededup", "bpe", "decontaminate", "neardup", "rules", "html", "urls", "pii", "ngramlm"]
 
 
 def query(name: str, sql: str | None = None):

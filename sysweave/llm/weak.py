@@ -9,20 +9,26 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def reliabilities(votes: np.ndarray, counts: np.ndarray, group: np.ndarray, rounds: int = 100):
+def reliabilities(
+    votes: np.ndarray,
+    counts: np.ndarray,
+    group: np.ndarray,
+    start: tuple[float, float] = (0.8, 0.2),
+    rounds: int = 100,
+):
     """Expectation-maximisation over vote patterns.
 
     ``votes`` has a row for each pattern and a column for each voter: 1, -1 or 0
     for no vote; ``counts`` says how often a pattern occurs and ``group`` which
     prior it shares. A voter that votes is right with a probability of its own,
-    for each of the two classes; no vote says nothing. Returns (posterior of the
+    for each of the two classes; no vote says nothing. ``start`` has a first guess of how
+    often a voter that votes says 1 in the class 1 and in the other. Returns (posterior of the
     class 1 for each pattern, prior by group, probabilities of a vote for 1 by
     voter and class).
     """
     n_groups = int(group.max(initial=-1)) + 1
     prior = np.full(n_groups, 0.5)
-    # Voters are taken to be better than chance at the start; that fixes which class is which.
-    right = np.tile([[0.8, 0.2]], (votes.shape[1], 1))
+    right = np.tile([start], (votes.shape[1], 1))
     posterior = np.full(len(votes), 0.5)
     for _ in range(rounds):
         logit = np.log(prior[group]) - np.log(1 - prior[group])
@@ -37,8 +43,8 @@ def reliabilities(votes: np.ndarray, counts: np.ndarray, group: np.ndarray, roun
         before = right
         right = np.stack(
             [
-                ((votes == 1).T @ w + 4 * start) / ((votes != 0).T @ w + 4)
-                for w, start in ((good, 0.8), (bad, 0.2))
+                ((votes == 1).T @ w + 4 * guess) / ((votes != 0).T @ w + 4)
+                for w, guess in zip((good, bad), start, strict=True)
             ],
             1,
         )
