@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds and local alignment.
 
 The n-grams of the test items are counted over all documents, and each item
-keeps the rarer half of its own as seeds. Where a document has a seed, the
+keeps those as seeds that are not far more common than its usual ones. Where a document has a seed, the
 passage around it is aligned with the item (Smith and Waterman), so that copies
 with words changed, dropped or put in are found too. Test items are taken in
 blocks of bounded size; each block goes through all documents.
@@ -20,6 +20,9 @@ from sysweave.llm.registry import query
 
 #: Words in a seed.
 GRAM = 3
+#: An n-gram is a seed if it occurs in at most so many times as many documents as the
+#: item's middle n-gram, and so many more. Copies raise all counts of an item alike.
+TIMES, MORE = 4, 16
 #: Least share of an item's best possible alignment score that counts as a copy.
 LEAST = 0.3
 #: Scores of an equal word, another word, and a word on one side only.
@@ -96,7 +99,7 @@ class Items:
         return found, at[found]
 
     def keep_rare(self, counts: np.ndarray) -> None:
-        """Keep of each item the rarer half of its n-grams, ties included."""
+        """Keep of each item the n-grams that are rare for it."""
         if not len(self.item):
             return
         owner = np.repeat(np.arange(len(self.gram)), self.stop - self.first)
@@ -105,7 +108,7 @@ class Items:
         order = np.lexsort((n, self.item))
         starts = np.flatnonzero(np.append(True, self.item[order][1:] != self.item[order][:-1]))
         for group in np.split(order, starts[1:]):
-            rare[group] = n[group] <= n[group[(len(group) - 1) // 2]]
+            rare[group] = n[group] <= TIMES * n[group[(len(group) - 1) // 2]] + MORE
         self.item, self.place, owner = self.item[rare], self.place[rare], owner[rare]
         kept, self.first = np.unique(owner, return_index=True)
         self.gram, self.stop = self.gram[kept], np.append(self.first[1:], len(owner))
