@@ -117,19 +117,28 @@ def pieces(key: np.ndarray, n: int):
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    sizes = np.array([len(arrays), *(len(a) for a in arrays)], np.int64)
-    return zstandard.compress(sizes.tobytes() + b"".join(a.tobytes() for a in arrays), 1)
+    """Arrays as compressed bytes: first all lowest bytes of an array, then the next."""
+    sizes = np.array([len(a) for a in arrays], np.int64)
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
+    return zstandard.compress(sizes.tobytes() + b"".join(planes), 3)
 
 
 def unpacked(data: bytes, *kinds) -> list[np.ndarray]:
     data = zstandard.decompress(data)
-    sizes, at, out = np.frombuffer(data, np.int64, len(kinds) + 1)[1:], 8 * (len(kinds) + 1), []
-    for size, kind in zip(sizes, kinds, strict=True):
-        out.append(np.frombuffer(data, kind, size, at))
-        at += out[-1].nbytes
+    at, out = 8 * len(kinds), []
+    for size, kind in zip(np.frombuffer(data, np.int64, len(kinds)), kinds, strict=True):
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(data, np.uint8, size * width, at).reshape(width, size)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += size * width
     return out
 
 
+def steps(ordered: np.ndarray) -> np.ndarray:
+    """The first of some ordered numbers and the differences that follow; undone by cumsum."""
+    return np.diff(ordered, prepend=ordered.dtype.type(0))
+
+
 def summed(key: np.ndarray, *values: np.ndarray):
     """The distinct keys in order, an index of each one's first row, and sums of the values."""
     order = np.argsort(key, kind="stable")
@@ -155,7 +164,10 @@ def count_pairs(texts: DataFrame, ranges: int) -> DataFrame:
             words, numbers = np.unique(
                 np.concatenate((before[first:last], token[first:last])), return_inverse=True
             )
-            yield part, packed(words, numbers.astype(np.uint32), n[first:last].astype(np.uint32))
+            one, two = numbers[: last - first], numbers[last - first :]
+            order = np.argsort(one * len(words) + two)
+            columns = steps(one[order]), two[order], n[first:last][order]
+            yield part, packed(steps(words), *[c.astype(np.uint32) for c in columns])
 
     def run(batches):
         schema, found, size = arrow_schema(PAIRS), [], 0
@@ -191,9 +203,9 @@ def add_pairs(table: pa.Table, folder: str, word_ranges: int):
     """Add up a range's pairs, write them, and say what they tell of their words."""
     parts = []
     for data in table["data"].to_pylist():
-        words, numbers, n = unpacked(data, np.uint64, np.uint32, np.uint32)
-        before, token = words[numbers[: len(n)]], words[numbers[len(n) :]]
-        parts.append((before, token, n.astype(np.int64)))
+        words, one, two, n = unpacked(data, np.uint64, np.uint32, np.uint32, np.uint32)
+        words = np.cumsum(words, dtype=np.uint64)
+        parts.append((words[np.cumsum(one, dtype=np.int64)], words[two], n.astype(np.int64)))
     before, token, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     key, at, (n,) = summed(pair_key(before, token), n)
     before, token = before[at], token[at]
@@ -207,7 +219,7 @@ def add_pairs(table: pa.Table, folder: str, word_ranges: int):
     known[:4, np.searchsorted(words, context)] = as_context
     known[4:, np.searchsorted(words, follower)] = as_follower
     for word_part, first, last in pieces(words, word_ranges):
-        yield word_part, packed(words[first:last], known[:, first:last].ravel()), None
+        yield word_part, packed(steps(words[first:last]), known[:, first:last].ravel()), None
     yield 0, None, counts_of_counts(n).tolist()
 
 
@@ -219,7 +231,7 @@ def add_words(table: pa.Table, folder: str):
             pairs += counts
         else:
             words, known = unpacked(data, np.uint64, np.int64)
-            parts.append((words, known.reshape(WORD_COLUMNS, -1)))
+            parts.append((np.cumsum(words, dtype=np.uint64), known.reshape(WORD_COLUMNS, -1)))
     if not parts:
         return [*pairs, *[0] * 7]
     words = np.concatenate([w for w, _ in parts])
