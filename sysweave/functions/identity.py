@@ -33,7 +33,7 @@ def encode_value(value: Column) -> Column:
 
 
 def decode_value(value: Column) -> Column:
-    packed = F.translate(F.substring(value, len(BASE64_PREFIX) + 1, 1 << 30), "-_", "+/")
+    packed = F.translate(F.substr(value, F.lit(len(BASE64_PREFIX) + 1)), "-_", "+/")
     return F.when(
         value.startswith(BASE64_PREFIX), F.decode(F.unbase64(packed), "UTF-8")
     ).otherwise(value)
@@ -83,8 +83,8 @@ def parse_nodes(df: DataFrame, col: str = "node") -> DataFrame:
     )
     ident = (
         F.when(is_local, unquote(part(raw, LOCAL_NODE, 3)))
-        .when(is_wmi, F.substring(unquote(part(decoded, WMI_NODE, 3)), 2, 1 << 30))
-        .when(is_wbem, F.substring(unquote(part(decoded, WBEM_NODE, 3)), 2, 1 << 30))
+        .when(is_wmi, F.substr(unquote(part(decoded, WMI_NODE, 3)), F.lit(2)))
+        .when(is_wbem, F.substr(unquote(part(decoded, WBEM_NODE, 3)), F.lit(2)))
         .otherwise("")
     )
     return df.withColumns(
@@ -135,7 +135,7 @@ def property_uri(parts, args: Mapping[str, Column] | None = None) -> Column:
     """Parts joined with ``___``, spaces and hyphens to ``_``, prefix in front."""
     text = F.concat_ws("___", *[p if isinstance(p, Column) else F.lit(p) for p in parts])
     if args:
-        pairs = F.concat_ws("&amp;", *[F.concat(F.lit(k + "="), v) for k, v in args.items()])
+        pairs = F.concat_ws("&", *[F.concat(F.lit(k + "="), v) for k, v in args.items()])
         text = F.concat(text, F.lit("?"), pairs)
     return F.concat(F.lit(PROPERTY_PREFIX), F.translate(text, " -", "__"))
 

@@ -216,7 +216,7 @@ def significant_args(calls: DataFrame, rules: Mapping[str, str] | None = None) -
         F.from_json(arg(0), "array<array<string>>"), F.array().cast("array<array<string>>")
     )
     polled = F.transform(
-        F.flatten(groups), lambda e: F.when(e.startswith("fd="), F.substring(e, 4, 1 << 20))
+        F.flatten(groups), lambda e: F.when(e.startswith("fd="), F.substr(e, F.lit(4)))
     )
     selected = F.flatten(
         F.transform(

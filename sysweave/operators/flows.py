@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sysweave.operators.calls import FLOW, NEVER_EQUAL, drop_adjacent_matched, flow_counts
@@ -23,7 +23,7 @@ def signature(fn: Column, sig: Column) -> Column:
 
 
 def squeeze_repeats(calls: DataFrame, chunk: int | None = None) -> DataFrame:
-    """Runs of equal calls as one row with ``occurrences``; the first call stands for all."""
+    """Runs of equal calls as one row with ``occurrences``, from the first start to the last end."""
     single = F.when(F.col("fn").isin(NEVER_EQUAL), F.col("seq"))
     runs = islands(
         calls.select(*FLOW, "seq", *ROW),
@@ -34,10 +34,11 @@ def squeeze_repeats(calls: DataFrame, chunk: int | None = None) -> DataFrame:
     return (
         runs.groupBy(*FLOW, "island")
         .agg(
-            F.min_by(F.struct("seq", *ROW), "seq").alias("_first"),
+            F.min_by(F.struct("seq", "fn", "sig", "t_start"), "seq").alias("_first"),
+            F.max_by("t_end", "seq").alias("t_end"),
             F.count(F.lit(1)).alias("occurrences"),
         )
-        .select(*FLOW, "_first.*", "occurrences")
+        .select(*FLOW, "_first.*", "t_end", "occurrences")
     )
 
 
@@ -117,11 +118,12 @@ def bigram_pass(flow: DataFrame, min_count: int = 5, chunk: int | None = None) -
     return (
         merged.groupBy(*FLOW, "island")
         .agg(
-            F.min_by(F.struct("seq", "fn", "sig", "t_start", "t_end", "style"), "seq").alias("_f"),
+            F.min_by(F.struct("seq", "fn", "sig", "t_start", "style"), "seq").alias("_f"),
+            F.max_by("t_end", "seq").alias("t_end"),
             F.sum("occurrences").alias("occurrences"),
             F.sum("_taken").alias("taken"),
         )
-        .select(*FLOW, "_f.*", "occurrences", "taken")
+        .select(*FLOW, "_f.*", "t_end", "occurrences", "taken")
     )
 
 
@@ -163,66 +165,52 @@ def argument_runs(calls: DataFrame, chunk: int | None = None) -> DataFrame:
 def cluster_by_args(calls: DataFrame, chunk: int | None = None) -> DataFrame:
     """Runs of two or more calls with the same arguments as one sequence, style ``Args``.
 
-    Calls without arguments stay alone. A run longer than a piece of the flow
-    has one row per piece, numbered by ``part``; the names of the parts put
-    together are the name of the sequence.
+    Calls without arguments stay alone. A run is one row, whatever pieces of the
+    flow it lies in: names are put together by piece first, then by run.
     """
     runs = argument_runs(as_flow(calls), chunk).withColumn(PIECE, piece_of("seq", chunk))
-    alone = F.when(F.size("sig") == 0, F.col("seq"))
-    runs = runs.withColumn("_alone", alone)
+    runs = runs.withColumn("_alone", F.when(F.size("sig") == 0, F.col("seq")))
     group = [*FLOW, "island", "_alone"]
     names = F.array_sort(F.collect_list(F.struct("seq", "fn")))
     parts = runs.groupBy(*group, PIECE).agg(
-        F.min_by(F.struct("seq", "fn", "sig", "t_start", "style"), "seq").alias("_f"),
-        F.max_by("t_end", "seq").alias("t_end"),
-        F.transform(names, lambda x: x["fn"]).alias("_names"),
-        F.count(F.lit(1)).alias("n"),
-        F.sum("occurrences").alias("occurrences"),
+        F.min_by(F.struct("seq", "fn", "sig", "t_start", "style"), "seq").alias("_first"),
+        F.max_by("t_end", "seq").alias("_end"),
+        F.array_join(F.transform(names, lambda x: x["fn"]), "+").alias("_names"),
+        F.count(F.lit(1)).alias("_n"),
+        F.sum("occurrences").alias("_occurrences"),
     )
-    # A run has one row per piece of the flow here.
-    run = Window.partitionBy(*group)
-    joined = parts.withColumns(
-        {
-            "calls": F.sum("n").over(run),
-            "_p0": F.min(PIECE).over(run),
-            "_p1": F.max(PIECE).over(run),
-        }
+    pieces = F.array_sort(F.collect_list(F.struct(PIECE, "_names")))
+    whole = parts.groupBy(*group).agg(
+        F.min_by("_first", PIECE).alias("_f"),
+        F.max_by("_end", PIECE).alias("t_end"),
+        F.array_join(F.transform(pieces, lambda x: x["_names"]), "+").alias("_text"),
+        F.sum("_n").alias("calls"),
+        F.sum("_occurrences").alias("_occurrences"),
     )
     many = F.col("calls") > 1
-    text = F.concat(
-        F.when(F.col(PIECE) == F.col("_p0"), F.lit("(")).otherwise(F.lit("+")),
-        F.array_join("_names", "+"),
-        F.when(F.col(PIECE) == F.col("_p1"), F.lit(")")).otherwise(F.lit("")),
-    )
-    return joined.select(
+    return whole.select(
         *FLOW,
         F.col("_f.seq").alias("seq"),
-        F.when(many, text).otherwise(F.col("_f.fn")).alias("fn"),
+        F.when(many, F.concat(F.lit("("), "_text", F.lit(")")))
+        .otherwise(F.col("_f.fn"))
+        .alias("fn"),
         F.col("_f.sig").alias("sig"),
         F.col("_f.t_start").alias("t_start"),
         "t_end",
         F.when(many, F.lit("Args")).otherwise(F.col("_f.style")).alias("style"),
-        F.when(many, F.lit(1)).otherwise(F.col("occurrences")).cast("long").alias("occurrences"),
+        F.when(many, F.lit(1)).otherwise(F.col("_occurrences")).cast("long").alias("occurrences"),
         "calls",
-        (F.col(PIECE) - F.col("_p0")).cast("int").alias("part"),
-    )
-
-
-def seconds_of(text: Column) -> Column:
-    """Seconds of the day of ``HH:MM:SS.ffffff``."""
-    parts = F.split(text, ":")
-    return (
-        F.get(parts, F.lit(0)).cast("double") * 3600
-        + F.get(parts, F.lit(1)).cast("double") * 60
-        + F.get(parts, F.lit(2)).cast("double")
     )
 
 
 def sequence_duration(sequences: DataFrame) -> DataFrame:
-    """Add ``duration``: end of the last call less start of the first."""
-    return sequences.withColumn(
-        "duration", F.round(seconds_of(F.col("t_end")) - seconds_of(F.col("t_start")), 6)
-    )
+    """Add ``duration`` in seconds: end of the last call less start of the first.
+
+    Both are instants; ``with_dates`` makes them out of the times of the day a
+    log prints.
+    """
+    micros = F.unix_micros("t_end") - F.unix_micros("t_start")
+    return sequences.withColumn("duration", micros / 1_000_000)
 
 
 def factorise(calls: DataFrame, min_count: int = 5) -> DataFrame:

@@ -259,7 +259,7 @@ def ontology_triples(classes: DataFrame, properties: DataFrame) -> DataFrame:
 
     each_domain = properties.withColumn("domain", F.explode("domains"))
     is_ref = F.col("type").startswith("ref:")
-    target = F.when(is_ref, F.substring("type", 5, 1 << 20)).otherwise(F.col("type"))
+    target = F.when(is_ref, F.substr("type", F.lit(5))).otherwise(F.col("type"))
     return as_set(
         union_all(
             [

@@ -33,8 +33,9 @@ def process_table(calls: DataFrame) -> DataFrame:
     """(session, pid, t_create, t_end, ppid, executable, command, is_thread).
 
     Created at the creating call, else at the first call seen; ended at the last
-    wait for it, else with the trace; parent is the creator that named it last,
-    else the first to wait for it.
+    wait for it, else with the last call of the trace; parent is the process whose
+    call, creating or waiting, named it last. First and last go by ``seq``, so
+    times of the day will do.
     """
     named = normalise_pids(calls)
     kind = kind_of(F.col("fn"))
@@ -81,21 +82,22 @@ def process_table(calls: DataFrame) -> DataFrame:
         F.max_by("t_start", F.when(made, F.col("seq"))).alias("_made"),
         F.min_by("t_start", F.when(role == "own", F.col("seq"))).alias("_seen"),
         F.max_by("t_start", F.when(waited, F.col("seq"))).alias("_waited"),
-        F.max_by("by", F.when(made, F.col("seq"))).alias("_parent"),
-        F.min_by("by", F.when(waited & (F.col("by") != F.col("pid")), F.col("seq"))).alias("_waiter"),
+        F.max_by("by", F.when((made | waited) & (F.col("by") != F.col("pid")), F.col("seq"))).alias(
+            "ppid"
+        ),
         F.max_by("executable", F.when(F.col("executable").isNotNull(), F.col("seq"))).alias(
             "executable"
         ),
         F.max_by("command", F.when(F.col("executable").isNotNull(), F.col("seq"))).alias("command"),
         F.max_by("is_thread", F.when(made, F.col("seq"))).alias("is_thread"),
     )
-    last = calls.groupBy("session").agg(F.max("t_end").alias("_last"))
+    last = calls.groupBy("session").agg(F.max_by("t_end", "seq").alias("_last"))
     return per.join(last, "session").select(
         "session",
         "pid",
         F.coalesce("_made", "_seen", "_waited").alias("t_create"),
         F.coalesce("_waited", "_last").alias("t_end"),
-        F.coalesce("_parent", "_waiter").alias("ppid"),
+        "ppid",
         "executable",
         "command",
         F.coalesce("is_thread", F.lit(False)).alias("is_thread"),
@@ -184,8 +186,8 @@ def file_access_table(calls: DataFrame, parity: bool = False) -> DataFrame:
     """
     rows = accesses(calls, parity)
     return rows.groupBy(*FLOW, "path").agg(
-        F.min("open_at").alias("t_open"),
-        F.min("close_at").alias("t_close"),
+        F.min_by("open_at", F.when(F.col("open_at").isNotNull(), F.col("seq"))).alias("t_open"),
+        F.min_by("close_at", F.when(F.col("close_at").isNotNull(), F.col("seq"))).alias("t_close"),
         F.count("open_at").alias("n_open"),
         F.count("bytes_in").alias("n_read"),
         F.coalesce(F.sum("bytes_in"), F.lit(0)).alias("bytes_read"),

@@ -146,10 +146,10 @@ def name_shape(name: Column) -> Column:
 def cluster_names(df: DataFrame, col: str = "name", depth: int = 1) -> DataFrame:
     """(name, cluster): names grouped by shape, then split ``depth`` times.
 
-    Each round splits a group by the words at one position: the position whose
-    words are the most evenly spread (greatest entropy) while still shared by
-    names, that is, with fewer distinct words than half the names. Groups of three names
-    or fewer, or without such a position, stay whole.
+    Each round splits a group by the words at one position: the one with the
+    greatest gain, which is the entropy of its words times the share of names that
+    have a word again that another had. A position where all words are equal or
+    all are different gains nothing; a group without gain stays whole.
     """
     names = df.select(F.col(col).alias("name")).distinct()
     out = names.withColumn("cluster", name_shape(F.col("name")))
@@ -164,10 +164,12 @@ def cluster_names(df: DataFrame, col: str = "name", depth: int = 1) -> DataFrame
             F.sum(F.col("n") * F.log2("n")).alias("_nlogn"),
         )
         entropy = F.round(F.log2("total") - F.col("_nlogn") / F.col("total"), 9)
+        gain = F.round(entropy * (F.col("total") - F.col("distinct")) / F.col("total"), 9)
         best = (
-            spread.where("total > 3 and distinct > 1 and distinct * 2 <= total")
+            spread.select("cluster", "at", gain.alias("gain"))
+            .where("gain > 0")
             .groupBy("cluster")
-            .agg(F.max(F.struct(entropy.alias("h"), (-F.col("at")).alias("neg"))).alias("x"))
+            .agg(F.max(F.struct("gain", (-F.col("at")).alias("neg"))).alias("x"))
             .select("cluster", (-F.col("x.neg")).alias("_at"))
         )
         word = F.get(F.split("name", DELIMITERS), F.col("_at"))

@@ -45,18 +45,23 @@ def find_sql(df: DataFrame, col: str = "text", source: str = "source", per_line:
     return df.select(source, F.explode(find_sql_column(text)).alias("h")).select(source, "h.*")
 
 
-def clean_sql(hits: DataFrame, source: str = "source", col: str = "text") -> DataFrame:
-    """Split at runs of Z, as left by memory fill; drop pieces under ten characters."""
+def clean_sql(
+    hits: DataFrame, source: str = "source", col: str = "text", min_length: int = 1
+) -> DataFrame:
+    """Split at runs of Z, as left by memory fill; empty pieces, or those under
+    ``min_length`` characters, are no queries."""
     pieces = hits.select(source, F.explode(F.split(col, "ZZZ*")).alias("query"))
-    return pieces.where(F.length("query") >= 10).distinct()
+    return pieces.where(F.length("query") >= min_length).distinct()
 
 
 def find_urls(df: DataFrame, col: str = "text", source: str = "source") -> DataFrame:
-    """Distinct (source, url); a last label of more than four characters is broken."""
+    """Distinct (source, url, plausible); a last label of more than four characters
+    may be broken off, and such a URL is not plausible."""
     hits = df.select(
         source, F.explode(F.regexp_extract_all(col, F.lit(URL_PATTERN), F.lit(0))).alias("url")
     )
-    return hits.where(F.length(F.substring_index("url", ".", -1)) <= 4).distinct()
+    plausible = F.length(F.substring_index("url", ".", -1)) <= 4
+    return hits.distinct().withColumn("plausible", plausible)
 
 
 def find_guids(df: DataFrame, col: str = "text", source: str = "source") -> DataFrame:
@@ -80,7 +85,7 @@ def find_paths(
     raw = df.select(
         source, F.explode(F.regexp_extract_all(col, F.lit(pattern), F.lit(0))).alias("path")
     )
-    cut = F.substring_index(F.substring("path", 2, 1 << 30), "\x00", 1)
+    cut = F.substring_index(F.substr("path", F.lit(2)), "\x00", 1)
     # A list of paths is split before the characters no path has are dropped.
     parts = F.transform(F.split(cut, ";"), lambda p: F.regexp_replace(p, WINDOWS_DROP, ""))
     return raw.select(source, F.explode(parts).alias("path")).where("path <> ''").distinct()
@@ -228,12 +233,12 @@ def _tokens(pattern: re.Pattern, text: str, glue: bool) -> list[dict]:
 
 def find_words(
     df: DataFrame, col: str = "text", source: str = "source", regex: str = WORD_PATTERN,
-    max_hits: int | None = 1000,
+    max_hits: int | None = None,
 ) -> DataFrame:
     """(source, line, hit, word): matches per line, lines and hits counted from 1.
 
-    A row is the text of one source. ``max_hits`` is the size of the report per
-    source; None gives all. Numbering happens inside the row, without a shuffle.
+    A row is the text of one source. ``max_hits`` makes a report of the first
+    so many of each source. Numbering happens inside the row, without a shuffle.
     """
     lines = F.transform(
         F.split(F.col(col), r"\r?\n"),

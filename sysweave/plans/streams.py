@@ -12,7 +12,7 @@ from sysweave.plans.trace import CALLS, HALVES
 from sysweave.streaming import events as ev
 from sysweave.streaming import samples as st
 from sysweave.streaming import trace as live
-from sysweave.streaming.run import fresh_folder, run_to_table
+from sysweave.streaming.run import fresh_folder, keyed_state, run_to_table
 
 
 def event_stream(spark, sf):
@@ -66,6 +66,7 @@ def trace_stream(spark, sf):
     union all select seq, pid, null, 'resumed', k from n where lev=0""",
 )
 def match_interrupted_stream(spark, sf):
+    keyed_state(spark)
     halves = v.halves_of(event_stream(spark, sf))
     joined = run_to_table(live.match_interrupted_stream(halves, wait_ms=None))
     return joined.select("seq", "pid", "partner_seq", "status", F.array_join("args", ",").alias("args"))

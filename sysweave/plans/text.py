@@ -61,7 +61,7 @@ def find_sql_documents(spark, sf):
 @query(
     "x2_clean_sql",
     """with t as (select c_nationkey as source, 'select a from '||c_mktsegment||'ZZZZZ'||c_nationkey||'ZZselect * from n'||c_nationkey as text from customer)
-    select distinct source, query from (select source, unnest(regexp_split_to_array(text, 'ZZZ*')) query from t) where length(query) >= 10""",
+    select distinct source, query from (select source, unnest(regexp_split_to_array(text, 'ZZZ*')) query from t) where query <> ''""",
 )
 def clean_sql(spark, sf):
     cu = v.table(spark, sf, "customer")
@@ -159,8 +159,8 @@ def lineage_edges(spark, sf):
 
 @query(
     "x7_find_urls",
-    """select distinct page_id as source, url from (select page_id, unnest(regexp_extract_all(url||' '||html, 'https?://[a-z_0-9\\.]+')) url from pages)
-    where length(split_part(url, '.', -1)) <= 4""",
+    """select distinct page_id as source, url, length(split_part(url, '.', -1)) <= 4 as plausible
+    from (select page_id, unnest(regexp_extract_all(url||' '||html, 'https?://[a-z_0-9\\.]+')) url from pages)""",
 )
 def find_urls(spark, sf):
     p = spread(v.table(spark, sf, "pages"))
@@ -238,7 +238,7 @@ def find_dsn(spark, sf):
     "x11_find_words",
     """with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) n from documents),
     w as (select doc_id, n, unnest(regexp_extract_all(line, '[a-zA-Z0-9]{5,}')) word, generate_subscripts(regexp_extract_all(line, '[a-zA-Z0-9]{5,}'), 1) k from l)
-    select * from (select doc_id as source, n::int as line, (row_number() over (partition by doc_id order by n, k))::int hit, word from w) where hit <= 1000""",
+    select doc_id as source, n::int as line, (row_number() over (partition by doc_id order by n, k))::int hit, word from w""",
 )
 def find_words(spark, sf):
     docs = spread(v.table(spark, sf, "documents"))
@@ -359,7 +359,8 @@ def names(spark, sf):
     u as (select c, name, unnest(w) word, generate_subscripts(w, 1) - 1 pos from sh),
     n as (select c, pos, word, count(*) n from u group by all),
     e as (select c, pos, sum(n) total, count(*) d, round(log2(sum(n)) - sum(n*log2(n))/sum(n), 9) h from n group by c, pos),
-    b as (select c, pos from (select *, row_number() over (partition by c order by h desc, pos) r from e where total>3 and d>1 and d*2<=total) where r=1)
+    s as (select c, pos, round(h * (total - d) / total, 9) gain from e),
+    b as (select c, pos from (select *, row_number() over (partition by c order by gain desc, pos) r from s where gain > 0) where r=1)
     select sh.name, case when b.pos is null then sh.c else sh.c||'|'||b.pos||'='||w[b.pos+1] end as cluster from sh left join b using (c)""",
 )
 def cluster_names(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sysweave.functions import paths
@@ -14,6 +15,11 @@ from sysweave.plans import views as v
 from sysweave.plans.registry import query
 from sysweave.sources import trace as tr
 
+def micros(*names):
+    """Instants as whole microseconds."""
+    return [F.unix_micros(n).alias(n) for n in names]
+
+
 CALLS = "with " + v.CALLS_SQL
 FLOW = "with " + v.FLOW_SQL
 
@@ -181,8 +187,8 @@ def normalise_pids(spark, sf):
 
 
 def bare_fd_calls(spark, sf):
-    """Signups open a descriptor of five, views read it, as a tracer without paths prints."""
-    e = v.events(spark, sf).where(F.col("event_type").isin("signup", "view"))
+    """Signups open a descriptor of five, the others read it, as a tracer without paths prints."""
+    e = v.events(spark, sf)
     k = F.col("k")
     fd = (k % 5 + 3).cast("string")
     opens = F.col("event_type") == "signup"
@@ -203,7 +209,7 @@ def bare_fd_calls(spark, sf):
     "t6_open_fds",
     """with e as (select event_id seq, user_id pid, event_type, k, k%5+3 fd,
       case when event_type='signup' then '/data/f'||k end opened
-      from (select *, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) k from events) where event_type in ('signup','view'))
+      from (select *, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) k from events))
     select seq, pid, last_value(opened ignore nulls) over (partition by pid, fd order by seq
       rows between unbounded preceding and 1 preceding) fd_path from e""",
 )
@@ -215,10 +221,10 @@ def open_fds(spark, sf):
     "c10_fd_to_path",
     """with e as (select event_id seq, user_id pid, event_type, k%5+3 fd,
       case when event_type='signup' then '/data/f'||k end opened
-      from (select *, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) k from events) where event_type in ('signup','view')),
+      from (select *, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) k from events)),
     w as (select *, last_value(opened ignore nulls) over (partition by fd order by seq
       rows between unbounded preceding and 1 preceding) p from e)
-    select seq, coalesce(p, 'UnknownFileDescr:'||fd) path from w where event_type='view'""",
+    select seq, coalesce(p, 'UnknownFileDescr:'||fd) path from w where event_type<>'signup'""",
 )
 def fd_paths(spark, sf):
     known = c.open_fds(bare_fd_calls(spark, sf), scope="global").where("fn = 'read@SYS'")
@@ -316,36 +322,83 @@ def unmatched(spark, sf):
     FLOW
     + """, a as (select *, case when full_sig = lag(full_sig) over (partition by pid order by seq) then 0 else 1 end st from flow),
     b as (select *, sum(st) over (partition by pid order by seq rows unbounded preceding) i from a)
-    select pid, min(seq) seq, min(fn) fn, min(sig) sig, min_by(t_start, seq) t_start, count(*) occurrences from b group by pid, i""",
+    select pid, min(seq) seq, min(fn) fn, min(sig) sig, epoch_us(min(t_start)) t_start, epoch_us(max(t_start)) t_end,
+    count(*) occurrences from b group by pid, i""",
 )
 def squeeze_repeats(spark, sf):
     runs = f.squeeze_repeats(v.flow_calls(spark, sf))
-    return runs.select("pid", "seq", "fn", F.array_join("sig", "&").alias("sig"), "t_start", "occurrences")
+    return runs.select(
+        "pid", "seq", "fn", F.array_join("sig", "&").alias("sig"), *micros("t_start", "t_end"), "occurrences"
+    )
+
+
+def pass_sql(table: str, n: int, least: int) -> str:
+    """The views of one replacement pass over ``table``, the last named ``table`` and ``n``."""
+    x = f"{table}{n}"
+    return f""", {x}a as (select *, fn||':'||array_to_string(sig, '&') s, row_number() over w pos, lead(fn) over w nf, lead(sig) over w ng,
+      lead(t_end) over w nt, lead(fn||':'||array_to_string(sig, '&')) over w ns
+      from {table}{n - 1 if n > 1 else ""} window w as (partition by pid order by seq)),
+    {x}b as (select *, ns is not null and count(*) over (partition by pid, s, ns) > {least} often from {x}a),
+    {x}o as (select *, pos - coalesce(max(case when not often then pos end) over (partition by pid order by pos
+       rows between unbounded preceding and 1 preceding), 0) off from {x}b),
+    {x}k as (select pid, seq, pos, off, t_start, often and off%2=1 taken,
+       case when often and off%2=1 then '('||fn||'+'||nf||')' else fn end fn,
+       case when often and off%2=1 then list_concat(sig, list_filter(ng, lambda g: not list_contains(sig, g))) else sig end sig,
+       case when often and off%2=1 then nt else t_end end t_end, case when often and off%2=1 then 'Rept' else style end style,
+       case when often and off%2=1 then 1 else occurrences end occurrences from {x}o where not (off>1 and off%2=0)),
+    {x}i as (select *, case when taken and lag(taken) over w and lag(fn) over w=fn and lag(sig) over w=sig then 0 else 1 end st
+       from {x}k window w as (partition by pid order by pos)),
+    {x}j as (select *, sum(st) over (partition by pid order by pos rows unbounded preceding) g from {x}i),
+    {x} as (select pid, min(seq) seq, min_by(fn, seq) fn, min_by(sig, seq) sig, min_by(t_start, seq) t_start, max_by(t_end, seq) t_end,
+      min_by(style, seq) style, sum(occurrences)::bigint occurrences, sum(case when taken then 1 else 0 end)::bigint taken
+      from {x}j group by pid, g)"""
+
+
+#: Passes written out for the oracles; flows settle in fewer, and further passes change nothing.
+PASSES = 8
+
+
+def passes_sql(table: str, least: int) -> str:
+    return "".join(pass_sql(table, n, least) for n in range(1, PASSES + 1))
+
+
+def squeezed_sql(table: str, source: str) -> str:
+    """``table``: runs of equal calls of ``source`` (pid, seq, fn, sig, t_start, t_end) as one."""
+    return f""", {table}_a as (select *, case when fn = lag(fn) over w and sig = lag(sig) over w then 0 else 1 end st
+      from {source} window w as (partition by pid order by seq)),
+    {table}_b as (select *, sum(st) over (partition by pid order by seq rows unbounded preceding) i from {table}_a),
+    {table} as (select pid, min(seq) seq, min(fn) fn, min_by(sig, seq) sig, min_by(t_start, seq) t_start, max_by(t_end, seq) t_end,
+      'Orig' style, count(*) occurrences from {table}_b group by pid, i)"""
+
+
+FLOW_LISTS = FLOW + """, calls0 as (select pid, seq, fn, [sig] as sig, t_start, t_start as t_end, 'Orig' style, 1::bigint occurrences from flow)"""
 
 
 @query(
     "t13_bigram_pass",
-    FLOW
-    + """, a as (select *, fn||':' s, row_number() over w pos, lead(fn) over w nf from flow window w as (partition by pid order by seq)),
-    b as (select *, nf is not null and count(*) over (partition by pid, fn, nf) > 5 often from a),
-    o as (select *, pos - coalesce(max(case when not often then pos end) over (partition by pid order by pos
-       rows between unbounded preceding and 1 preceding), 0) off from b),
-    k as (select *, often and off%2=1 taken,
-       case when often and off%2=1 then '('||fn||'+'||nf||')' else fn end nfn from o where not (off>1 and off%2=0)),
-    i as (select *, case when taken and lag(taken) over w and lag(nfn) over w=nfn then 0 else 1 end st
-       from k window w as (partition by pid order by pos)),
-    j as (select *, sum(st) over (partition by pid order by pos rows unbounded preceding) g from i)
-    select pid, min(seq) seq, min(nfn) fn, count(*) occurrences, sum(case when taken then 1 else 0 end)::bigint taken from j group by pid, g""",
+    FLOW_LISTS + pass_sql("calls0", 1, 1)
+    + """ select pid, seq, fn, array_to_string(sig, '&') sig, occurrences, taken, epoch_us(t_start) t_start, epoch_us(t_end) t_end from calls01""",
 )
 def bigram_pass(spark, sf):
-    step = f.bigram_pass(f.as_flow(v.flow_calls(spark, sf, args=False)))
-    return step.select("pid", "seq", "fn", "occurrences", "taken")
+    step = f.bigram_pass(f.as_flow(v.flow_calls(spark, sf)), min_count=1)
+    return step.select(
+        "pid", "seq", "fn", F.array_join("sig", "&").alias("sig"), "occurrences", "taken", *micros("t_start", "t_end")
+    )
 
 
-@query("t13_cluster_bigrams")
+@query(
+    "t13_cluster_bigrams",
+    FLOW_LISTS
+    + squeezed_sql("sq", "calls0")
+    + passes_sql("sq", 1)
+    + f""" select pid, seq, fn, array_to_string(sig, '&') sig, style, occurrences, epoch_us(t_start) t_start, epoch_us(t_end) t_end
+    from sq{PASSES}""",
+)
 def cluster_bigrams(spark, sf):
-    out = f.cluster_bigrams(f.squeeze_repeats(v.flow_calls(spark, sf, args=False)))
-    return out.select("pid", "seq", "fn", "style", "occurrences", "t_start", "t_end")
+    out = f.cluster_bigrams(f.squeeze_repeats(v.flow_calls(spark, sf)), min_count=1)
+    return out.select(
+        "pid", "seq", "fn", F.array_join("sig", "&").alias("sig"), "style", "occurrences", *micros("t_start", "t_end")
+    )
 
 
 ARGS_RUNS = (
@@ -369,15 +422,34 @@ def cluster_by_args(spark, sf):
 @query(
     "t15_sequence_duration",
     ARGS_RUNS
-    + """select pid, min(seq) seq, round(epoch_us(('2024-01-01 '||max_by(t_start, seq))::timestamp)/1e6
-      - epoch_us(('2024-01-01 '||min_by(t_start, seq))::timestamp)/1e6, 6) duration from b group by pid, i""",
+    + """select pid, min(seq) seq, (epoch_us(max_by(t_start, seq)) - epoch_us(min_by(t_start, seq))) / 1000000 duration
+      from b group by pid, i""",
 )
 def sequence_duration(spark, sf):
     runs = f.sequence_duration(f.cluster_by_args(v.flow_calls(spark, sf)))
-    return runs.select("pid", "seq", F.round("duration", 6).alias("duration"))
-
-
-@query("t16_squeeze_periods")
+    return runs.select("pid", "seq", "duration")
+
+
+def periods_sql(longest: int) -> str:
+    """Tandem repeats length by length: where a block starts follows from where the last one ended."""
+    text = """with recursive l0 as (select user_id seq_id, event_id pos, row_number() over (partition by user_id order by event_id) n,
+      [event_type] as block, 1::bigint times, 1::bigint width from events)"""
+    for k in range(1, longest + 1):
+        text += f""", n{k} as (select *, case when times=1 and len(block)=1 then block[1] else to_json(block)::varchar||'*'||times end label from l{k - 1}),
+    e{k} as (select *, coalesce(label = lead(label, {k}) over (partition by seq_id order by n), false) same from n{k}),
+    r{k} as (select *, coalesce(min(case when not same then n end) over (partition by seq_id order by n
+       rows between current row and unbounded following), n) - n run from e{k}),
+    j{k} as (select *, case when run >= {k} then 1 + run // {k} else 1 end t from r{k}),
+    c{k} as (select seq_id, n, pos, t from j{k} where n = 1 union all
+      select j.seq_id, j.n, j.pos, j.t from c{k} c join j{k} j on j.seq_id = c.seq_id and j.n = c.n + case when c.t > 1 then c.t * {k} else 1 end),
+    l{k} as (select c.seq_id, c.pos, row_number() over (partition by c.seq_id order by c.n) n,
+      list(e.label order by e.n) filter (e.n < c.n + case when c.t > 1 then {k} else 1 end) as block, c.t::bigint times, sum(e.width)::bigint width
+      from c{k} c join n{k} e on e.seq_id = c.seq_id and e.n >= c.n and e.n < c.n + case when c.t > 1 then c.t * {k} else 1 end
+      group by c.seq_id, c.pos, c.n, c.t)"""
+    return text + f" select seq_id, pos, array_to_string(block, ' ') block, times, width from l{longest}"
+
+
+@query("t16_squeeze_periods", periods_sql(3))
 def squeeze_periods(spark, sf):
     symbols = v.events(spark, sf).select(
         F.col("user_id").alias("seq_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("symbol")
@@ -388,14 +460,15 @@ def squeeze_periods(spark, sf):
 
 @query(
     "t16_inflate",
-    "select user_id seq_id, event_type symbol, count(*) n from events group by 1, 2",
+    "select user_id seq_id, event_type symbol, row_number() over (partition by user_id order by event_id) as place from events",
 )
 def inflate_periods(spark, sf):
     symbols = v.events(spark, sf).select(
         F.col("user_id").alias("seq_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("symbol")
     )
     back = f.inflate(f.squeeze_levels(symbols, 2))
-    return back.groupBy("seq_id", "symbol").agg(F.count(F.lit(1)).alias("n"))
+    in_flow = Window.partitionBy("seq_id").orderBy("pos", "order")
+    return back.select("seq_id", "symbol", F.row_number().over(in_flow).cast("long").alias("place"))
 
 
 @query(
@@ -426,12 +499,14 @@ PROCS = (
     + """, own as (select pid, min_by(t_start, seq) seen,
       max_by('/usr/bin/python'||k, seq) filter (fn='execve@SYS') executable,
       max_by('python run'||k||'.py', seq) filter (fn='execve@SYS') command from calls group by pid),
-    made as (select other_pid pid, max_by(t_start, seq) made, max_by(pid, seq) parent from calls where fn='clone@SYS' group by 1),
-    waited as (select other_pid pid, max_by(t_start, seq) waited, min_by(pid, seq) waiter from calls where fn='wait4@SYS' group by 1),
+    made as (select other_pid pid, max_by(t_start, seq) made from calls where fn='clone@SYS' group by 1),
+    waited as (select other_pid pid, max_by(t_start, seq) waited from calls where fn='wait4@SYS' group by 1),
+    named as (select other_pid pid, max_by(pid, seq) parent from calls where fn in ('clone@SYS','wait4@SYS') group by 1),
     ids as (select pid from own union select pid from made union select pid from waited),
-    procs as (select ids.pid, coalesce(made, seen, waited) t_create, coalesce(waited, (select max(t_start) from calls)) t_end,
-      coalesce(parent, waiter) ppid, executable, command, made is not null is_thread
-      from ids left join own using (pid) left join made using (pid) left join waited using (pid))
+    procs as (select ids.pid, coalesce(made, seen, waited) t_create, coalesce(waited, (select max_by(t_start, seq) from calls)) t_end,
+      parent ppid, executable, command, made is not null is_thread
+      from ids left join own using (pid) left join made using (pid) left join waited using (pid)
+      left join named using (pid))
 """
 )
 
@@ -455,8 +530,8 @@ def process_tree(spark, sf):
 
 ACCESSES = (
     CALLS
-    + """, acc as (select pid, path, min(t_start) filter (fn in ('open@SYS','openat@SYS')) t_open,
-      min(t_start) filter (fn='close@SYS') t_close, count(*) filter (fn in ('open@SYS','openat@SYS')) n_open,
+    + """, acc as (select pid, path, min_by(t_start, seq) filter (fn in ('open@SYS','openat@SYS')) t_open,
+      min_by(t_start, seq) filter (fn='close@SYS') t_close, count(*) filter (fn in ('open@SYS','openat@SYS')) n_open,
       count(*) filter (fn='read@SYS') n_read, coalesce(sum(bytes) filter (fn='read@SYS'), 0)::bigint bytes_read,
       count(*) filter (fn='write@SYS') n_write, coalesce(sum(bytes) filter (fn='write@SYS'), 0)::bigint bytes_written,
       case when bool_or(fn in ('open@SYS','write@SYS')) then 'W' else
@@ -476,9 +551,9 @@ def file_access_table(spark, sf):
 
 
 def socket_calls(spark, sf):
-    """Views read and clicks write a socket; every third fragment is a full block."""
-    e = v.events(spark, sf).where(F.col("event_type").isin("view", "click"))
-    read = F.col("event_type") == "view"
+    """Views and signups read a socket, the others write it; two fragments of three are full blocks."""
+    e = v.events(spark, sf)
+    read = F.col("event_type").isin("view", "signup")
     full = F.col("k") % 3 > 0
     port = (F.col("user_id") % 7).cast("string")
     fd = F.concat(F.lit("5<TCP:[10.0.0.1:99->10.0.0.2:300"), port, F.lit("]>"))
@@ -499,8 +574,8 @@ def socket_calls(spark, sf):
 
 
 BUFFERS = """with e as (select event_id seq, user_id pid, 'TCP:[10.0.0.1:99->10.0.0.2:300'||(user_id%7)||']' path,
-   case event_type when 'view' then 'read' else 'write' end dir, k, k%3>0 ful, 'select a'||k||' from t'||k||';' piece
-   from (select *, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) k from events) where event_type in ('view','click')),
+   case when event_type in ('view','signup') then 'read' else 'write' end dir, k, k%3>0 ful, 'select a'||k||' from t'||k||';' piece
+   from (select *, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) k from events)),
  r as (select *, sum(case when ful then 0 else 1 end) over (partition by pid, path, dir order by seq rows unbounded preceding) ends,
    max(case when ful then 0 else 1 end * seq) over (partition by pid, path, dir) last_short from e),
  b as (select pid, path, dir, min(seq) seq, string_agg(rpad(piece, 256, '.'), '' order by seq) as text,
@@ -542,22 +617,23 @@ def build_rules(spark, sf):
 
 @query(
     "t24_dataflow",
-    """with e as (select *, '/shared/f'||regexp_extract(props, '([0-9]+)', 1) path from events where event_type in ('view','click')),
-    ends as (select distinct path, case event_type when 'click' then 'writer' else 'reader' end as role, user_id pid from e),
+    """with e as (select *, '/shared/f'||regexp_extract(props, '([0-9]+)', 1) path from events),
+    ends as (select distinct path, case when event_type in ('view','signup') then 'reader' else 'writer' end as role, user_id pid from e),
     ok as (select distinct w.path from ends w join ends r on w.path=r.path and w.role='writer' and r.role='reader' and w.pid<>r.pid)
     select ends.* from ends join ok using (path)""",
 )
 def dataflow(spark, sf):
     calls = v.events(spark, sf)
-    # Files shared by users: views read, clicks write the file of the argument.
-    acc = calls.where(F.col("event_type").isin("view", "click")).groupBy(
+    # Files shared by users: views and signups read the file of the argument, the others write it.
+    reads = F.col("event_type").isin("view", "signup")
+    acc = calls.groupBy(
         F.lit("s").alias("session"),
         F.col("user_id").alias("pid"),
         F.concat(F.lit("/shared/f"), F.col("k").cast("string")).alias("path"),
     ).agg(
-        F.count(F.when(F.col("event_type") == "view", 1)).alias("n_read"),
-        F.count(F.when(F.col("event_type") == "click", 1)).alias("n_write"),
-        F.max(F.when(F.col("event_type") == "click", "W").otherwise("R")).alias("flag"),
+        F.count(F.when(reads, 1)).alias("n_read"),
+        F.count(F.when(~reads, 1)).alias("n_write"),
+        F.max(F.when(reads, "R").otherwise("W")).alias("flag"),
     )
     return ob.dataflow(acc).select("path", "role", "pid")
 
@@ -712,8 +788,25 @@ def summary(spark, sf):
     return shapes.summary(trace_processes(spark, sf), trace_accesses(spark, sf), ["Others"])
 
 
-@query("u3_factorise")
+@query(
+    "u3_factorise",
+    HALVES
+    + """, u0 as (select seq, pid, 'read@SYS' fn, case when d=-1 then ['UnknownFileDescr:'||pk] else [k] end sig,
+        case when d=1 then ns end partner from m
+      union all select seq, pid, 'read@SYS', [k], null from n where lev=0
+      union all select event_id, user_id, event_type||'@SYS', [regexp_extract(props, '([0-9]+)', 1)], null from events
+        where event_type not in ('click','purchase')),
+    u1 as (select *, lead(seq) over (partition by pid order by seq) nx from u0),
+    u2 as (select *, 0 t_start, 0 t_end from u1 where partner is null or nx is null or partner <> nx)"""
+    + squeezed_sql("sq", "u2")
+    + passes_sql("sq", 5)
+    + f""", ra as (select *, case when sig = lag(sig) over (partition by pid order by seq) then 0 else 1 end st from sq{PASSES}),
+    rb as (select *, sum(st) over (partition by pid order by seq rows unbounded preceding) i from ra)
+    select pid, min(seq) seq, case when count(*)>1 then '('||string_agg(fn, '+' order by seq)||')' else min(fn) end fn,
+      case when count(*)>1 then 'Args' else min(style) end style, case when count(*)>1 then 1 else sum(occurrences) end::bigint occurrences,
+      count(*) calls from rb group by pid, i""",
+)
 def factorise(spark, sf):
     joined = c.significant_args(c.match_interrupted(v.interrupted_calls(spark, sf)).withColumn("ret", F.lit("0")))
     out = f.AGGREGATORS["clusters"](joined)
-    return out.select("pid", "seq", "fn", "style", "occurrences", "calls", "part")
+    return out.select("pid", "seq", "fn", "style", "occurrences", "calls")

@@ -255,17 +255,17 @@ def trace_calls(spark, sf) -> DataFrame:
 
 
 # Events as flows without going through text: the steps that only need order.
-def flow_calls(spark, sf, args: bool = True) -> DataFrame:
+def flow_calls(spark, sf) -> DataFrame:
     e = events(spark, sf)
-    sig = F.array((F.col("k") % 3).cast("string")) if args else F.array().cast("array<string>")
+    sig = F.array((F.col("k") % 3).cast("string"))
     return e.select(
         F.lit("events").alias("session"),
         F.col("user_id").alias("pid"),
         F.col("event_id").alias("seq"),
         F.concat("event_type", F.lit("@SYS")).alias("fn"),
         sig.alias("sig"),
-        stamp(F.col("ts")).alias("t_start"),
-        stamp(F.col("ts")).alias("t_end"),
+        instant().alias("t_start"),
+        instant().alias("t_end"),
     )
 
 
@@ -274,7 +274,7 @@ flow as (
  select 'events' as session, user_id pid, event_id seq, event_type||'@SYS' fn,
    cast(cast(regexp_extract(props, '([0-9]+)', 1) as bigint)%3 as varchar) sig,
    event_type||'@SYS:'||cast(cast(regexp_extract(props, '([0-9]+)', 1) as bigint)%3 as varchar) full_sig,
-   strftime(ts, '%H:%M:%S.%f') t_start
+   ts as t_start
  from events
 )
 """

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,21 +27,26 @@ def build_session(name: str = "sysweave", master: str | None = None, **conf) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder executors share, as named by ``spark.checkpoint.dir``.
+    """The folder executors share: what ``spark.checkpoint.dir`` names, or, where that
+    is unset, a folder in the warehouse, which is shared as well."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = folder or spark.sparkContext.getCheckpointDir()
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application."""
+    return f"{shared_folder(spark)}/sysweave/{spark.sparkContext.applicationId}"
+
 
-    Only a local session may fall back to a temporary folder of its own.
+def clear_run(spark: SparkSession) -> None:
+    """Delete the tables this application wrote to the shared folder.
+
+    For the end of a run: results that were not read or written yet are lost.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    sc = spark.sparkContext
-    folder = sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="sysweave-")
-        sc.setCheckpointDir(folder)
-    return folder
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(conf).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -52,15 +56,13 @@ def cut(df: DataFrame) -> DataFrame:
     the planner true sizes for the next round of a loop.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/sysweave/{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give costly per-row work at least as many tasks as there are cores.
-
-    A source with enough splits, as any large one has, is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """Deal rows out to ``spark.sql.files.minPartitionNum`` tasks where a session sets it,
+    for costly work on tables of a single small file. A cluster leaves it unset."""
+    least = df.sparkSession.conf.get("spark.sql.files.minPartitionNum", None)
+    return df.repartition(int(least)) if least else df

@@ -42,7 +42,8 @@ def parse_iostat(lines: DataFrame, prefix: str = "iostat") -> DataFrame:
     named = scan(lines, ["object"], last={"header": F.when(is_header, F.col("line"))})
     names, values = _words("header"), _words("line")
     rows = named.where(~is_header & (F.size(values) > 1) & (F.size(names) == F.size(values)))
-    pairs = F.slice(F.arrays_zip(names.alias("metric"), values.alias("value")), 2, 1 << 20)
+    zipped = F.arrays_zip(names.alias("metric"), values.alias("value"))
+    pairs = F.slice(zipped, F.lit(2), F.greatest(F.size(zipped) - 1, F.lit(0)))
     return rows.select(F.get(values, F.lit(0)).alias("object"), "ts", F.explode(pairs).alias("x")).select(
         "object",
         "ts",

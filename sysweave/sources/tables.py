@@ -134,11 +134,9 @@ def catalog_edges(constraints: DataFrame) -> DataFrame:
     )
 
 
-def captured_sql(sessions: DataFrame, statements: DataFrame, short: int = 1000) -> DataFrame:
-    """Text of running statements; a short text of exactly ``short`` characters is cut
-    off, so the long one is taken. Sessions without a statement give no row."""
+def captured_sql(sessions: DataFrame, statements: DataFrame) -> DataFrame:
+    """Text of running statements: the long text, or the short one where there is no
+    long one. Sessions without a statement give no row."""
     joined = sessions.join(statements, "sql_id", "left")
-    text = F.when(F.length("sql_text") == short, F.col("sql_fulltext")).otherwise(
-        F.col("sql_text")
-    )
-    return joined.where("sql_text is not null").withColumn("query", text)
+    text = F.coalesce("sql_fulltext", "sql_text")
+    return joined.where(text.isNotNull()).withColumn("query", text)

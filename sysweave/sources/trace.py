@@ -62,7 +62,7 @@ def function_name(raw: Column, resumed: Column, tracer: str) -> Column:
     return (
         F.when(bare == "", bare)
         .when(resumed, F.concat(bare, F.lit("@SYS")))
-        .when(bare.startswith("SYS_"), F.concat(F.substring(bare, 5, 1 << 20), F.lit("@SYS")))
+        .when(bare.startswith("SYS_"), F.concat(F.substr(bare, F.lit(5)), F.lit("@SYS")))
         .otherwise(bare)
     )
 

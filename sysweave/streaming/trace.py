@@ -1,4 +1,7 @@
-"""Live logs: the stateless steps as they are, the rest with state per process."""
+"""Live logs: the stateless steps as they are, the rest with state per process.
+
+Steps with state need a session whose state store is RocksDB (``run.keyed_state``).
+"""
 
 from __future__ import annotations
 
@@ -12,7 +15,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from sysweave.operators.calls import drop_ignored, significant_args
 from sysweave.operators.match import match, solve_one, variables
 from sysweave.sources.trace import parse_lines, split_args
-from sysweave.streaming.run import keyed_state
 
 MATCHED = (
     "session string, pid bigint, fn string, seq bigint, partner_seq bigint, "
@@ -32,7 +34,7 @@ def flow_counts_stream(calls: DataFrame) -> DataFrame:
 class PendingCalls(StatefulProcessor):
     """Unfinished calls of one (session, pid, fn), resumed last in first out.
 
-    Pending calls are a list state, so a process with very many of them does not
+    Pending calls are a map state, so a process with very many of them does not
     become one value. A call nobody resumes in time is given out as unfinished.
     """
 
@@ -84,13 +86,12 @@ class PendingCalls(StatefulProcessor):
         return frame
 
 
-def match_interrupted_stream(calls: DataFrame, wait_ms: int | None = 600_000) -> DataFrame:
+def match_interrupted_stream(calls: DataFrame, wait_ms: int | None = None) -> DataFrame:
     """Joined halves of interrupted calls of a live log; see ``PendingCalls``.
 
     With ``wait_ms`` the query keeps waking up for its timers and so never runs
     out of work; without, pending calls are kept until they are resumed.
     """
-    keyed_state(calls.sparkSession)
     halves = calls.where(F.col("status").isin("unfinished", "resumed")).select(
         "session", "pid", "fn", "seq", "args", "status"
     )
@@ -129,7 +130,6 @@ class LatestValue(StatefulProcessor):
 
 def changes_stream(facts: DataFrame) -> DataFrame:
     """(object, attribute, value, seq) rows that tell something new."""
-    keyed_state(facts.sparkSession)
     return (
         facts.select("object", "attribute", "value", "seq")
         .groupBy("object", "attribute")

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
 
-from sysweave.session import build_session  # noqa: E402
+from sysweave.session import build_session, clear_run  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -19,6 +19,7 @@ def spark(tmp_path_factory):
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
+            "spark.sql.files.minPartitionNum": "8",
             "spark.sql.streaming.stateStore.providerClass": (
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
             ),
@@ -26,6 +27,7 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_run(session)
     session.stop()
 
 

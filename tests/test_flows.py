@@ -117,14 +117,28 @@ def test_bigram_clusters(spark, small_pieces, seed):
         assert mine == items
 
 
-def test_cluster_by_args_in_parts(spark, small_pieces):
-    data = [("s", 1, i, "fg"[i % 2], ["x"], f"00:00:{i:02d}.000000", f"00:00:{i:02d}.000000") for i in range(12)]
+def test_cluster_by_args_whatever_the_pieces(spark):
+    data = [("s", 1, i, "fg"[i % 2], ["x"], f"a{i:02d}", f"b{i:02d}") for i in range(12)]
     data += [("s", 1, 20, "f", [], "t", "t"), ("s", 1, 21, "g", [], "t", "t"), ("s", 1, 22, "f", ["z"], "t", "t")]
-    got = f.cluster_by_args(spark.createDataFrame(data, SCHEMA)).orderBy("seq").collect()
-    run = [r for r in got if r.calls == 12]
-    assert [r.part for r in run] == [0, 1, 2]
-    assert "".join(r.fn for r in run) == "(" + "+".join("fg" * 6) + ")"
-    assert [(r.fn, r.style) for r in got if r.seq >= 20] == [("f", "Orig"), ("g", "Orig"), ("f", "Orig")]
+    data += [(d[0], d[1] + 7, *d[2:]) for d in random_calls(9, n=60, flows=3)]
+    df = spark.createDataFrame(data, SCHEMA)
+    whole = sorted(f.cluster_by_args(df).collect(), key=lambda r: (r.pid, r.seq))
+    for chunk in (3, 5):
+        assert sorted(f.cluster_by_args(df, chunk).collect(), key=lambda r: (r.pid, r.seq)) == whole
+    first = whole[0]
+    assert (first.fn, first.calls) == ("(" + "+".join("fg" * 6) + ")", 12)
+    assert (first.t_start, first.t_end) == ("a00", "b11")
+    assert [(r.fn, r.style) for r in whole if r.pid == 1][1:] == [("f", "Orig"), ("g", "Orig"), ("f", "Orig")]
+
+
+def test_duration_over_midnight(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("2020-05-17 23:59:59.5", "2020-05-18 00:00:01.25")]
+    df = spark.createDataFrame(rows, "a string, b string").select(
+        F.col("a").cast("timestamp").alias("t_start"), F.col("b").cast("timestamp").alias("t_end")
+    )
+    assert f.sequence_duration(df).first().duration == 1.75
 
 
 def naive_periods(symbols, longest):

@@ -11,27 +11,34 @@ from sysweave.operators import similarity as sim
 from sysweave.operators import sqltext as sq
 from sysweave.operators import textscan as x
 
+def wrapped(statement, deep):
+    """``statement`` inside ``deep`` more selects, each with a table of its own."""
+    for n in range(deep):
+        statement = f"select v{n}.l_tax from ({statement}) v{n}, shelf{n}"
+    return statement
+
+
+# Statements over the given tables, with the tables they read or write.
 SQL = [
-    ("select a from t1", "T1"),
-    ("SELECT a, b FROM t1 x, t2 y WHERE x.i = y.i", "T1 T2"),
-    ("select z.a from (select a from t1) z", "T1"),
-    ("select q from t0, (select a from t1), t2, (select b from t3) w", "T0 T1 T2 T3"),
-    ("select a from t1 union (select b from t2)", "T1 T2"),
-    ("select a from t1 union select b from t2 order by 1", "T1 T2"),
-    ("select k.a from (select g.c from (select e.e from A, B), G), H, K order by 1", "A B G H K"),
-    ("select * from dbo.Students S JOIN Advisors ON S.a = b", "ADVISORS DBO.STUDENTS"),
-    ("select * from a LEFT OUTER JOIN b ON a.i = b.i FULL JOIN c ON 1 = 1", "A B C"),
-    ("select * from a JOIN ( select d from b group by d ) s ON a.d = s.d", "A B"),
-    ("select d from a where d = (select min(d) from a)", "A"),
-    ("select d from a where exists (select 1 from b where b.i = a.i)", "A B"),
-    ("select (select max(s) from e2 where e1.i = e2.i) m from e1", "E1 E2"),
-    ("select a from t where s = 'from nowhere' -- from comment", "T"),
-    ("select a /* from hidden */ from t", "T"),
-    ("update stock set n = 1 where i = 2", "STOCK"),
-    ("update stock set n = (select max(n) from old)", "OLD STOCK"),
-    ("insert into t (a, b) values ('x', 2)", "T"),
-    ("delete from t where a = 1", "T"),
-    ("create table t (a int)", "T"),
+    ("select n_name from nation", "NATION"),
+    ("SELECT c_name, o_totalprice FROM customer cu, orders od WHERE cu.c_custkey = od.o_custkey", "CUSTOMER ORDERS"),
+    (wrapped("select l_tax from lineitem", 1), "LINEITEM SHELF0"),
+    (wrapped("select l_tax from lineitem", 3), "LINEITEM SHELF0 SHELF1 SHELF2"),
+    ("select p_name from part union select s_name from supplier order by 1", "PART SUPPLIER"),
+    ("select p_name from part union (select s_name from supplier)", "PART SUPPLIER"),
+    ("select r_name from crm.region rg JOIN nation ON rg.r_regionkey = n_regionkey", "CRM.REGION NATION"),
+    ("select 1 from orders LEFT OUTER JOIN lineitem ON o_orderkey = l_orderkey FULL JOIN part ON true", "LINEITEM ORDERS PART"),
+    ("select s_name from supplier JOIN ( select max(p_size) m from part group by p_brand ) x ON s_suppkey = m", "PART SUPPLIER"),
+    ("select p_name from part where p_size = (select max(p_size) from part)", "PART"),
+    ("select c_name from customer where exists (select 1 from orders where o_custkey = c_custkey)", "CUSTOMER ORDERS"),
+    ("select (select count(*) from orders) total from region", "ORDERS REGION"),
+    ("select ts from events where props = 'taken from pages' -- from labels", "EVENTS"),
+    ("select url /* not from labels */ from pages", "PAGES"),
+    ("update part set p_size = 1 where p_partkey = 2", "PART"),
+    ("update part set p_size = (select max(l_quantity) from lineitem)", "LINEITEM PART"),
+    ("insert into region (r_regionkey, r_name) values (9, 'new')", "REGION"),
+    ("delete from events where user_id = 1", "EVENTS"),
+    ("create table shelf (a int)", "SHELF"),
 ]
 
 
@@ -69,11 +76,13 @@ def test_connection_strings(spark):
     assert single[:2] == [";Driver={SQL Server}", ";Server=.\\SQLEXPRESS"]
 
 
-def test_words_lines_and_cap(spark):
+def test_words_and_lines(spark):
     df = spark.createDataFrame([(1, "alpha beta1 xy\n\ngamma delta")], "source int, text string")
     got = [(r.line, r.hit, r.word) for r in x.find_words(df).orderBy("hit").collect()]
     assert got == [(1, 1, "alpha"), (1, 2, "beta1"), (3, 3, "gamma"), (3, 4, "delta")]
-    assert x.find_words(df, max_hits=3).count() == 3
+    many = spark.createDataFrame([(1, "words " * 3000)], "source int, text string")
+    assert x.find_words(many).count() == 3000
+    assert x.find_words(many, max_hits=3).count() == 3
 
 
 def test_bayes_against_counts(spark):
