@@ -4,8 +4,10 @@ Lines are hashed. Every window of lines with at least ``min_words`` words gives
 the least of its line-gram hashes as a fingerprint, so any run of that many
 words that occurs twice has a fingerprint in both places. Fingerprints that
 occur once are dropped; the windows of the others are joined by their whole
-hash with the place where they came first, the match is extended line by line
-both ways, and the later copy of the run is deleted.
+hash with the place where they came first. Matched windows that follow each
+other make a run, which cannot reach further back (the window a line earlier
+would match as well) and is extended line by line forwards; the later copy of
+the run is deleted.
 
 A line ends at a line feed and also where a sentence ends, as copies often lose
 their line feeds. Lines are compared by their words, A-Z as a-z.
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,116 +96,153 @@ PRINTS = "doc_id long, line int, print long, first array<int>, last array<int>,
 
 def prints_of(docs: DataFrame, min_words: int, gram_words: int) -> DataFrame:
     """A row for each fingerprint of (doc_id, text) with the windows it stands for, and
-    one with line -1 for each document, whose ``hash`` has its lines."""
+    one with line -1 for each document, whose ``hash`` has its lines and ``print`` its words."""
+
+    def of_text(text: str | None):
+        """(line, print, number of windows, number of hashes) of each row; first, last; hashes."""
+        lines = Lines((text or "").encode())
+        first, last, whole, gram, line = lines.windows(min_words, gram_words)
+        # Windows of one fingerprint follow each other.
+        start = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else line
+        n = np.diff(np.append(start, len(line)))
+        return (
+            np.append(-1, line[start]),
+            np.append(np.int64(lines.words().sum()), gram[start].view(np.int64)),
+            np.append(0, n),
+            np.append(len(lines.hash), n),
+            first,
+            last,
+            np.concatenate((lines.hash, whole)).view(np.int64),
+        )
+
+    def lists(sizes: np.ndarray, values: np.ndarray, kind) -> pa.Array:
+        offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
     def run(batches):
         schema = arrow_schema(PRINTS)
         for batch in batches:
             for part in slices(batch):
-                rows = []
-                for doc, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    lines = Lines((text or "").encode())
-                    rows.append((doc, -1, 0, [], [], lines.hash.view(np.int64)))
-                    if doc is None:
-                        continue
-                    first, last, whole, gram, line = lines.windows(min_words, gram_words)
-                    edges = np.flatnonzero(np.append(line[1:] != line[:-1], True)) + 1 if len(line) else []
-                    start = 0
-                    for end in edges:  # windows of one fingerprint follow each other
-                        rows.append(
-                            (
-                                doc,
-                                line[start],
-                                gram[start : start + 1].view(np.int64)[0],
-                                first[start:end],
-                                last[start:end],
-                                whole[start:end].view(np.int64),
-                            )
-                        )
-                        start = end
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)],
-                        schema=schema,
-                    )
+                made = [of_text(t) for t in part.column(1).to_pylist()]
+                owner = np.repeat(np.arange(len(made)), [len(m[0]) for m in made])
+                line, gram, windows, hashes, first, last, whole = (
+                    np.concatenate(c) for c in zip(*made, strict=True)
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(pa.array(owner)),
+                        pa.array(line, pa.int32()),
+                        pa.array(gram),
+                        lists(windows, first, pa.int32()),
+                        lists(windows, last, pa.int32()),
+                        lists(hashes, whole, pa.int64()),
+                    ],
+                    schema=schema,
+                )
 
     return docs.mapInArrow(run, PRINTS)
 
 
-def extended(lines: np.ndarray, earlier: np.ndarray, shift: int, firsts) -> list[int]:
-    """first, last, first, last, .. of the runs of ``lines`` that hold one of the windows
-    beginning at ``firsts`` and equal the lines of ``earlier`` ``shift`` places before them, as long as they can be."""
-    begin, end = max(0, shift), min(len(lines), len(earlier) + shift)
-    same = np.zeros(len(lines) + 2, bool)
-    same[begin + 1 : end + 1] = lines[begin:end] == earlier[begin - shift : end - shift]
-    edges = np.flatnonzero(same[1:] != same[:-1])
-    firsts = np.array(firsts)
-    firsts = firsts[same[np.minimum(firsts, len(lines)) + 1]]
-    run = np.unique(np.searchsorted(edges, firsts, "right") - 1)
-    return np.stack((edges[run], edges[run + 1] - 1), 1).ravel().tolist()
+def run_end(lines: np.ndarray, earlier: np.ndarray, shift: int, last: int) -> int:
+    """The last line of a run of ``lines`` that has matched up to ``last`` with the lines
+    ``shift`` places before them in ``earlier``."""
+    n = max(0, min(len(lines), len(earlier) + shift) - last - 1)
+    differs = lines[last + 1 : last + 1 + n] != earlier[last + 1 - shift : last + 1 - shift + n]
+    return last + (int(np.argmax(differs)) if differs.any() else n)
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
-    """(doc_id, runs): first and last line of each run to delete, in (doc_id, text)."""
+    """(doc_id, n_lines, n_words, runs) of each document in (doc_id, text): first and last
+    line of each run to delete, null if there is none."""
     found = cut(prints_of(docs, min_words, gram_words))
-    prints = found.where("line >= 0")
-    repeated = prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+    prints = found.where("line >= 0 and doc_id is not null")
+    # Written, so that a join with a hot key on one side can be split.
+    repeated = cut(
+        prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+    )
     windows = cut(
         prints.join(repeated, "print")
         .select("doc_id", F.explode(F.arrays_zip("first", "last", "hash")).alias("w"))
         .select("doc_id", "w.first", "w.last", "w.hash")
     )
     place = F.struct("doc_id", "first")
-    leads = windows.groupBy("hash").agg(F.min(place).alias("lead"), F.max(place).alias("end"))
+    leads = cut(
+        windows.groupBy("hash")
+        .agg(F.min(place).alias("lead"), F.max(place).alias("end"))
+        .where("lead <> end")
+        .select("hash", "lead")
+    )
     matches = (
-        windows.join(leads.where("lead <> end").select("hash", "lead"), "hash")
+        windows.join(leads, "hash")
         .where(place > F.col("lead"))
-        .groupBy(
+        .select(
             "doc_id",
+            "first",
+            "last",
             F.col("lead.doc_id").alias("earlier"),
             (F.col("first") - F.col("lead.first")).alias("shift"),
         )
-        .agg(F.collect_set("first").alias("firsts"))
+    )
+    # Runs of matched windows: where one begins, carried on to where it ends.
+    along = Window.partitionBy("doc_id").orderBy("first")
+    begins = F.col("first") - F.lag("first", 1, -2).over(along) > 1
+    chains = (
+        cut(matches)
+        .select(
+            "*",
+            F.lead("first", 1, -2).over(along).alias("next"),
+            F.when(begins, F.col("first")).alias("begins"),
+        )
+        .withColumn("start", F.max("begins").over(along))
+        .where("next < 0 or next > first + 1")
+        .select("doc_id", "start", "last", "earlier", "shift")
     )
     lines = (
         found.where("line < 0 and doc_id is not null")
         .groupBy("doc_id")
-        .agg(F.min("hash").alias("lines"))
+        .agg(F.min("hash").alias("lines"), F.min("print").alias("n_words"))
     )
+    others = lines.select(F.col("doc_id").alias("earlier"), F.col("lines").alias("others"))
     both = (
-        cut(matches)
-        .join(lines, "doc_id")
-        .join(lines.select(F.col("doc_id").alias("earlier"), F.col("lines").alias("others")), "earlier")
-        .select("doc_id", "shift", "firsts", "lines", "others")
+        cut(chains)
+        .join(lines.select("doc_id", "lines"), "doc_id")
+        .join(others, "earlier")
+        .select("doc_id", "start", "last", "shift", "lines", "others")
     )
 
     def run(batches):
         schema = arrow_schema("doc_id long, run array<int>")
         for batch in batches:
             for part in slices(batch):
-                cols = part.columns
+                starts, lasts, shifts = (part.column(c).to_pylist() for c in (1, 2, 3))
                 runs = [
-                    extended(np.asarray(a.values), np.asarray(b.values), shift.as_py(), f.as_py())
-                    for shift, f, a, b in zip(*cols[1:], strict=True)
+                    [a, run_end(np.asarray(x.values), np.asarray(y.values), shift, b)]
+                    for a, b, shift, x, y in zip(
+                        starts, lasts, shifts, part.column(4), part.column(5), strict=True
+                    )
                 ]
-                yield pa.RecordBatch.from_arrays([cols[0], pa.array(runs, schema[1].type)], schema=schema)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(runs, schema[1].type)], schema=schema
+                )
 
-    return (
+    runs = (
         both.mapInArrow(run, "doc_id long, run array<int>")
         .groupBy("doc_id")
         .agg(F.flatten(F.collect_set("run")).alias("runs"))
     )
+    return lines.select("doc_id", F.size("lines").cast("long").alias("n_lines"), "n_words").join(
+        runs, "doc_id", "left"
+    )
 
 
-def without_runs(text: str, runs: list[int] | None) -> tuple[str, int, int, int, int]:
+def without_runs(text: str, runs: list[int]) -> tuple[str, int, int, int, int]:
     """(text without the runs of lines, lines, lines deleted, words, words deleted)."""
     data = text.encode()
     lines = Lines(data)
     words = lines.words()
     gone = np.zeros(len(words) + 1, np.int32)
-    if runs:
-        np.add.at(gone, np.minimum(runs[::2], len(words)), 1)
-        np.add.at(gone, np.minimum(np.array(runs[1::2]) + 1, len(words)), -1)
+    np.add.at(gone, np.minimum(runs[::2], len(words)).astype(np.int64), 1)
+    np.add.at(gone, np.minimum(np.array(runs[1::2], np.int64) + 1, len(words)), -1)
     gone = np.cumsum(gone[:-1]) > 0
     if gone.any():
         edges = np.concatenate((lines.first_byte, [len(data)]))
@@ -224,13 +263,14 @@ def line_dedup(
 ) -> DataFrame:
     """``docs`` with repeated runs of lines taken out of the texts, and four counts more.
 
-    A run of lines with at least ``min_words`` words is repeated if a window in
-    it (lines from its first until ``min_words`` words have passed) occurs at an
-    earlier place, places being ordered by doc_id and line; the run is the
-    longest around the window that equals the lines around the window's first
-    place. Rows that share a doc_id are one document; rows without one are kept
-    as they are. A null text stays null. Other columns are passed through;
-    those named like the four counts are replaced.
+    A window is a line and those after it until ``min_words`` words have passed.
+    It is repeated if it occurs at an earlier place, places being ordered by
+    doc_id and line. Deleted are repeated windows, and after the last of
+    repeated windows that begin line after line also the lines that follow as
+    they do at that window's first place. Rows that share a doc_id are one
+    document; rows without one are kept as they are. A null text stays null.
+    Other columns are passed through; those named like the four counts are
+    replaced.
     """
     if gram_words > min_words:
         raise ValueError("a line gram must fit a window")
@@ -249,16 +289,20 @@ def line_dedup(
             schema = pa.schema([batch.schema.field("others"), *arrow_schema(CLEANED)])
             for part in slices(batch):
                 made = []
-                for text, some in zip(part["text"].to_pylist(), part["runs"].to_pylist(), strict=True):
-                    clean = without_runs(text or "", some)
-                    made.append((None if text is None else clean[0], *clean[1:]))
+                rows = zip(*(part[c].to_pylist() for c in ("text", "n_lines", "n_words", "runs")), strict=True)
+                for text, n_lines, n_words, some in rows:
+                    if some or n_lines is None:
+                        clean = without_runs(text or "", some or [])
+                        made.append((None if text is None else clean[0], *clean[1:]))
+                    else:
+                        made.append((text, n_lines, 0, n_words, 0))
                 columns = zip(zip(*made, strict=True), list(schema)[1:], strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [part["others"], *[pa.array(c, f.type) for c, f in columns]], schema=schema
                 )
 
     made_of = T.StructType([wide.schema["others"], *T.StructType.fromDDL(CLEANED).fields])
-    cleaned = wide.select("others", "text", "runs").mapInArrow(run, made_of)
+    cleaned = wide.select("others", "text", "n_lines", "n_words", "runs").mapInArrow(run, made_of)
     return cleaned.select(
         *[
             F.col("text").alias(c) if c == text_col else F.col("others").getField(c).alias(c)
