@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,15 +59,32 @@ def cast_literals(triples: DataFrame) -> DataFrame:
     )
 
 
+# C escapes of one character.
+ESCAPES = {
+    b"a": b"\a", b"b": b"\b", b"f": b"\f", b"n": b"\n", b"r": b"\r", b"t": b"\t", b"v": b"\v",
+    b"\\": b"\\", b"'": b"'", b'"': b'"', b"?": b"?", b"e": b"\x1b",
+}
+ESCAPE = re.compile(rb"\\([0-7]{1,3}|x[0-9A-Fa-f]{1,2}|.)", re.S)
+
+
 @F.pandas_udf(T.StringType())
 def decode_octal(buffers: pd.Series) -> pd.Series:
-    """C escapes of a printed buffer to text; null when an escape is broken."""
+    """C escapes of a printed buffer to the text its bytes are in UTF-8.
+
+    An escape that is none, or is cut off, stays as it stands; bytes that are no
+    UTF-8 become the replacement character.
+    """
+
+    def one(found: re.Match) -> bytes:
+        code = found[1]
+        if code[:1] == b"x" and len(code) > 1:
+            return bytes([int(code[1:], 16)])
+        if code.isdigit() and code[:1] < b"8":
+            return bytes([int(code, 8) & 255])
+        return ESCAPES.get(code, found[0])
 
     def decode(text):
-        try:
-            return None if text is None else bytes(text, "utf-8").decode("unicode_escape")
-        except UnicodeDecodeError:
-            return None
+        return None if text is None else ESCAPE.sub(one, text.encode()).decode("utf-8", "replace")
 
     return buffers.map(decode)
 

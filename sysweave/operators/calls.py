@@ -152,15 +152,18 @@ def track_cwd(calls: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     own = scan(calls, FLOW, last_before={"_own": change})
     created = normalise_pids(own).where("new_pid is not null")
     start = created.groupBy("session", F.col("new_pid").alias("pid")).agg(
-        F.min_by(F.struct("_own", "pid"), "seq").alias("c")
+        F.min_by(F.struct("_own", "pid"), "seq").alias("c"), F.min("seq").alias("at")
     )
-    # base: directory known at the start; up: the process to ask when it is not.
+    # base: directory known at the start; up: the process to ask when it is not; at: when
+    # the one asked was created. Links go back in time only: a process whose number
+    # was used before it was created asks no further, so the rounds end.
     known = cut(
         start.select(
             "session",
             "pid",
             F.col("c._own").alias("base"),
             F.when(F.col("c._own").isNull(), F.col("c.pid")).alias("up"),
+            "at",
         )
     )
     while not known.where("up is not null").isEmpty():
@@ -169,14 +172,17 @@ def track_cwd(calls: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
             F.col("pid").alias("up"),
             F.col("base").alias("_base"),
             F.col("up").alias("_up"),
-            F.lit(True).alias("_found"),
+            F.col("at").alias("_at"),
         )
+        before = F.coalesce(F.col("_at") < F.col("at"), F.lit(False))
+        base = F.coalesce("base", F.when(before, F.col("_base")))
         step = known.join(above, ["session", "up"], "left").select(
             "session",
             "pid",
-            F.coalesce("base", "_base").alias("base"),
+            base.alias("base"),
             # A parent nobody created is a top process: it starts in the session's.
-            F.when(F.col("_found") & F.coalesce("base", "_base").isNull(), F.col("_up")).alias("up"),
+            F.when(before & base.isNull(), F.col("_up")).alias("up"),
+            F.when(before, F.col("_at")).otherwise(F.col("at")).alias("at"),
         )
         known = cut(step)
     out = own.join(known.select("session", "pid", "base"), ["session", "pid"], "left")

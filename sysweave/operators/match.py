@@ -1,8 +1,9 @@
 """Graph patterns over the triple table, as joins.
 
 A pattern is a tuple ``(s, p, o)``; text starting with ``?`` is a variable, any
-other text a constant, ``a`` the type predicate. The output has a column per
-variable. What else a query needs (left joins, anti joins, grouping, order) is
+other text a constant, ``a`` the type predicate. A constant object written as
+``Literal`` or ``Uri`` is of that kind, plain text of any. The output has a
+column per variable. What else a query needs (left joins, anti joins, grouping, order) is
 the DataFrame API on that output.
 """
 
@@ -19,8 +20,22 @@ from sysweave.model import LABEL, SEE_ALSO, TYPE, as_set, triples
 Pattern = tuple[str, str, str]
 
 
+class Literal(str):
+    """A constant object that is a literal, whatever its text begins with."""
+
+
+class Uri(str):
+    """A constant object that is not a literal."""
+
+
 def is_variable(term) -> bool:
-    return isinstance(term, str) and term.startswith("?")
+    return isinstance(term, str) and term.startswith("?") and not isinstance(term, Literal | Uri)
+
+
+def kind_condition(term) -> list[Column]:
+    if isinstance(term, Literal):
+        return [F.col("o_kind") == "lit"]
+    return [F.col("o_kind") != "lit"] if isinstance(term, Uri) else []
 
 
 def variables(patterns: Sequence[Pattern]) -> list[str]:
@@ -64,6 +79,8 @@ def solve_one(source: DataFrame, pattern: Pattern, nodes: set[str], typed: bool)
         if not is_variable(term):
             value = TYPE if place == "p" and term == "a" else term
             conditions.append(F.col(place) == F.lit(str(value)))
+            if place == "o":
+                conditions.extend(kind_condition(term))
         elif term[1:] in columns:
             conditions.append(F.col(place) == columns[term[1:]])
         else:
@@ -86,30 +103,32 @@ def match(
     distinct: bool = False,
     typed: bool = False,
     kinds: bool = False,
+    is_set: bool = False,
 ) -> DataFrame:
     """Solutions of a graph pattern: the natural join of its patterns.
 
-    Literals compare by their text; ``typed=True`` also compares their type, as
+    A graph is a set: a triple repeated, or in several contexts, counts once.
+    ``is_set=True`` says that ``source`` has no such rows and saves the step that
+    drops them. Terms compare by text and kind, so a literal is never equal to a
+    node of the same text; ``typed=True`` also compares the types of literals, as
     RDF terms do. ``kinds=True`` keeps ``var__kind`` beside each variable.
     """
     subjects = {p[0][1:] for p in patterns if is_variable(p[0])}
     out: DataFrame | None = None
     for pattern in connected_order([p for p in patterns if variables([p])]):
         step = solve_one(source, pattern, subjects, typed)
+        step = step if is_set else step.distinct()
         if out is None:
             out = step
             continue
         shared = [v for v in variables([pattern]) if v in out.columns]
         extra = [c for c in step.columns if "__" in c and c in out.columns]
-        if typed:
-            shared = shared + extra
-        else:
-            step = step.drop(*extra)
-        out = out.join(step, shared)
+        out = out.join(step, shared + extra)
     for s, p, o in (p for p in patterns if not variables([p])):
         # A pattern without variables only has to hold.
         p = TYPE if p == "a" else p
-        fact = source.where((F.col("s") == s) & (F.col("p") == p) & (F.col("o") == o))
+        same = [F.col("s") == s, F.col("p") == p, F.col("o") == str(o), *kind_condition(o)]
+        fact = source.where(reduce(lambda a, b: a & b, same))
         out = out.where(fact.exists())
     wanted = [v.lstrip("?") for v in (select or variables(patterns))]
     columns = [F.col(v) for v in wanted]

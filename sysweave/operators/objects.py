@@ -230,7 +230,7 @@ def rebuild_buffers(calls: DataFrame, decode: bool = True) -> DataFrame:
         block.alias("_block"),
         size.alias("_size"),
     ).where("text is not null")
-    full = F.col("_block") & (F.col("_size") == F.length("text"))
+    full = F.col("_block") & (F.col("_size") == F.octet_length("text"))
     marked = shown.withColumn("_full", full)
     keys = [*FLOW, "path", "dir"]
     ends = F.when(F.col("_full"), 0).otherwise(1)

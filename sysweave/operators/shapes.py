@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from sysweave.functions.identity import parse_nodes, property_name
 from sysweave.functions.paths import path_category
 from sysweave.model import INFORMATION, LABEL, SCRIPT, TYPE
-from sysweave.operators.traverse import closure, roots
+from sysweave.operators.traverse import roots
+from sysweave.session import cut
 
 CALL_COLUMNS = [
     "pid", "occurrences", "style", "status", "function", "arguments", "return", "start", "end",
@@ -114,41 +115,35 @@ def menu_tree(triples: DataFrame, predicate: str = SCRIPT) -> DataFrame:
         .groupBy(F.col("s").alias("node"))
         .agg(F.max("o").alias("name"))
     )
-    below = closure(edges)
-    tops = roots(edges).select(F.col("node").alias("ancestor"))
-    rooted = below.join(tops, "ancestor", "left_semi").select(
-        F.col("ancestor").alias("root"), F.col("descendant").alias("node"), "depth"
-    )
-    heads = tops.select(
-        F.col("ancestor").alias("root"), F.col("ancestor").alias("node"), F.lit(0).alias("depth")
-    )
-    # A path has one entry per level, so it is as long as the tree is deep.
-    chain = (
-        below.join(
-            names.withColumnRenamed("node", "ancestor"), "ancestor", "left"
-        )
-        .groupBy(F.col("descendant").alias("node"))
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct((-F.col("depth")).alias("d"), F.coalesce("name", "ancestor").alias("n"))
-                )
-            ).alias("_up")
-        )
+    named = edges.join(names, edges["child"] == names["node"], "left").select(
+        "parent", "child", F.coalesce("name", "child").alias("name")
     )
+    steps = cut(named.groupBy("parent", "child").agg(F.max("name").alias("name")))
+    tops = roots(edges).join(names, "node", "left")
     own = F.coalesce("name", "node")
-    return (
-        heads.unionByName(rooted)
-        .join(names, "node", "left")
-        .join(chain, "node", "left")
-        .select(
-            "root",
-            F.concat_ws("/", F.col("_up.n"), own).alias("path"),
-            "node",
-            own.alias("name"),
-            "depth",
+    level = cut(
+        tops.select(
+            F.col("node").alias("root"), own.alias("path"), "node", own.alias("name"), F.lit(0).alias("depth")
         )
     )
+    found = level
+    # A path is carried down with the root it starts from; of several paths of the
+    # least length to a node the first by text is taken.
+    while not level.isEmpty():
+        below = (
+            level.select("root", "path", F.col("node").alias("parent"), "depth")
+            .join(steps, "parent")
+            .groupBy("root", F.col("child").alias("node"))
+            .agg(
+                F.min(F.concat_ws("/", "path", "name")).alias("path"),
+                F.max("name").alias("name"),
+                (F.max("depth") + 1).alias("depth"),
+            )
+            .join(found.select("root", "node"), ["root", "node"], "left_anti")
+        )
+        level = cut(below.select("root", "path", "node", "name", "depth"))
+        found = found.unionByName(level)
+    return found
 
 
 def objects_by_class(triples: DataFrame) -> DataFrame:

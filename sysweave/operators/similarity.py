@@ -39,35 +39,55 @@ def word_grams(df: DataFrame, keys, col: str = "text", n_max: int = 3) -> DataFr
     )
 
 
+def gram_keys(df: DataFrame, keys, col: str, n_max: int) -> DataFrame:
+    """(keys, gram): a 64-bit hash of every run of 1..n_max words."""
+    words = F.transform(
+        F.regexp_extract_all(F.lower(col), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)
+    )
+
+    def grams(n: int) -> Column:
+        last = F.size(F.col("_w")) - n + 1
+        return F.when(
+            last >= 1,
+            F.transform(
+                F.sequence(F.lit(0), last - 1),
+                lambda i: F.xxhash64(F.lit(n), *[F.get(F.col("_w"), i + j) for j in range(n)]),
+            ),
+        ).otherwise(F.array().cast("array<bigint>"))
+
+    every = F.concat(*[grams(n) for n in range(1, n_max + 1)])
+    return df.select(*keys, words.alias("_w")).select(*keys, F.explode(every).alias("gram"))
+
+
 def train_bayes(
     train: DataFrame, label: str = "label", key: str = "id", col: str = "text", n_max: int = 3
 ) -> tuple[DataFrame, DataFrame]:
     """Multinomial naive Bayes with add-one smoothing, as two written tables.
 
-    (gram, labels): one row per gram with its count in each label that has it.
-    (label, prior, z): one row per label; z is the logarithm of its grams plus
-    the vocabulary.
+    (gram, n0, n1, ..): one row per gram, by the hash of its words, with its count
+    in each label. (label, i, prior, z): one row per label; its counts are in
+    column ``n{i}``, z is the logarithm of its grams plus the vocabulary. A model
+    has few labels.
     """
+    texts = cut(train.groupBy(label).agg(F.count(F.lit(1)).alias("texts")))
+    names = [r[0] for r in texts.select(label).orderBy(label).collect()]
     counts = cut(
-        exploded_grams(train, [label], col, n_max)
-        .groupBy(label, "gram")
-        .agg(F.count(F.lit(1)).alias("n"))
-        # A gram has at most as many entries as there are labels.
+        gram_keys(train, [label], col, n_max)
         .groupBy("gram")
-        .agg(F.collect_list(F.struct(F.col(label).alias("label"), "n")).alias("labels"))
-    )
-    vocabulary = counts.agg(F.count(F.lit(1)).alias("v"))
-    texts = train.groupBy(label).agg(F.count(F.lit(1)).alias("texts"))
-    all_texts = train.agg(F.count(F.lit(1)).alias("t"))
-    totals = (
-        counts.select(F.explode("labels").alias("x"))
-        .groupBy(F.col("x.label").alias(label))
-        .agg(F.sum("x.n").alias("total"))
+        .agg(*[F.count(F.when(F.col(label) == name, 1)).alias(f"n{i}") for i, name in enumerate(names)])
     )
-    priors = texts.join(totals, label).select(
+    sums = [F.sum(f"n{i}").alias(f"t{i}") for i in range(len(names))]
+    totals = counts.agg(F.count(F.lit(1)).alias("v"), *sums).first()
+    all_texts = texts.agg(F.sum("texts").alias("t"))
+    of_label = F.create_map(*[c for i, n in enumerate(names) for c in (F.lit(n), F.lit(i))]) if names else None
+    if of_label is None:
+        return counts, texts.select(label, F.lit(0).alias("i"), F.lit(0.0).alias("prior"), F.lit(0.0).alias("z"))
+    grams = F.array(*[F.lit(float((totals[f"t{i}"] or 0) + totals["v"])) for i in range(len(names))])
+    priors = texts.select(
         label,
+        of_label[F.col(label)].alias("i"),
         F.log(F.col("texts") / all_texts.scalar()).alias("prior"),
-        F.log(F.col("total") + vocabulary.scalar()).alias("z"),
+        F.log(F.get(grams, of_label[F.col(label)])).alias("z"),
     )
     return counts, cut(priors)
 
@@ -84,42 +104,35 @@ def classify_buffers(
     model never saw are left out.
 
     Grams are counted per text before the join, so a word of every text meets its
-    one row of the model once per text. What a gram adds to a label where it was
-    not seen is the same for all grams and comes from their number alone.
+    one row of the model once per text; each label's gains are added up beside
+    each other in the same pass.
     """
     counts, priors = model
-    known = word_grams(test, [key], col, n_max).join(counts, "gram")
-    # One pass gives the number of known grams (label null) and the gains by label.
-    entry = F.struct(F.lit(None).alias("label"), F.lit(0).cast("long").alias("n"))
-    entries = F.concat(F.array(entry.cast(dict(counts.dtypes)["labels"][6:-1])), F.col("labels"))
-    sums = (
-        known.select(key, F.col("n").alias("_n"), F.explode(entries).alias("x"))
-        .groupBy(key, F.col("x.label").alias(label))
+    columns = [c for c in counts.columns if c != "gram"]
+    per_text = (
+        gram_keys(test, [key], col, n_max).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("_n"))
+    )
+    gains = (
+        per_text.join(counts, "gram")
+        .groupBy(key)
         .agg(
-            F.sum("_n").alias("_grams"),
-            F.sum(F.col("_n") * F.log(F.col("x.n") + 1)).alias("_gain"),
+            F.sum("_n").alias("_size"),
+            F.array(*[F.sum(F.col("_n") * F.log(F.col(c) + 1)) for c in columns]).alias("_gains"),
         )
     )
-    sizes = sums.where(F.col(label).isNull()).select(key, F.col("_grams").alias("_size"))
-    gains = sums.where(F.col(label).isNotNull()).select(key, label, "_gain")
     # Every text is scored under every label; the labels are one small row.
-    labels = priors.agg(F.collect_list(F.struct(F.col(label).alias("label"), "prior", "z")))
-    base = (
+    labels = priors.agg(F.collect_list(F.struct(F.col(label).alias("label"), "i", "prior", "z")))
+    scored = (
         test.select(key)
-        .join(sizes, key, "left")
-        .select(
-            key, F.coalesce("_size", F.lit(0)).alias("_size"), F.explode(labels.scalar()).alias("l")
-        )
+        .join(gains, key, "left")
+        .select(key, "_size", "_gains", F.explode(labels.scalar()).alias("l"))
     )
-    scored = base.select(
-        key,
-        F.col("l.label").alias(label),
-        (F.col("l.prior") - F.col("_size") * F.col("l.z")).alias("_base"),
-    ).join(gains, [key, label], "left")
-    total = F.round(F.col("_base") + F.coalesce("_gain", F.lit(0.0)), 6)
+    size = F.coalesce("_size", F.lit(0))
+    gain = F.coalesce(F.get("_gains", F.col("l.i")), F.lit(0.0))
+    total = F.round(F.col("l.prior") - size * F.col("l.z") + gain, 6)
     return (
         scored.groupBy(key)
-        .agg(F.max(F.struct(total.alias("score"), F.col(label).alias("label"))).alias("x"))
+        .agg(F.max(F.struct(total.alias("score"), F.col("l.label").alias("label"))).alias("x"))
         .select(key, F.col("x.label").alias("predicted"), F.col("x.score").alias("score"))
     )
 

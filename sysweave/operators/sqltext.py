@@ -69,38 +69,46 @@ def nested_queries(queries: DataFrame, col: str = "query") -> DataFrame:
     """(query, parent, sub, depth): sub-selects with the select around them.
 
     ``depth`` counts the selects around; the statement itself has depth 0 and no
-    parent. Brackets are matched by their nesting level, level by level.
+    parent. Brackets are matched by their nesting level; those in strings and
+    comments are none.
     """
     text = F.col(col)
-    chars = F.transform(
-        F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(text, i, F.lit(1))
+    # Strings and comments as blanks of the same length, so that places stay.
+    hidden = F.lit(f"{COMMENTS}|{STRINGS}")
+    parts = F.arrays_zip(
+        F.split(text, f"{COMMENTS}|{STRINGS}", -1).alias("keep"),
+        F.regexp_extract_all(text, hidden, F.lit(0)).alias("hide"),
     )
-    # Positions of brackets, then the nesting level after each.
-    marks = F.filter(
-        F.transform(chars, lambda c, i: F.struct((i + 1).alias("at"), c.alias("c"))),
-        lambda m: m["c"].isin("(", ")"),
+    blank = F.transform(
+        parts,
+        lambda x: F.concat(x["keep"], F.repeat(F.lit(" "), F.length(F.coalesce(x["hide"], F.lit(""))))),
     )
-    step = queries.where(F.length(text) > 0).select(col, marks.alias("_m"))
-    levels = F.aggregate(
-        F.col("_m"),
-        F.struct(
-            F.lit(0).alias("level"),
-            F.array().cast("array<struct<at:int,c:string,level:int>>").alias("out"),
+    # Each piece ends with a bracket; where it stands is the length so far.
+    pieces = F.regexp_extract_all(F.array_join(blank, ""), F.lit(r"[^()]*[()]"), F.lit(0))
+    marks = F.transform(
+        pieces,
+        lambda piece: F.struct(
+            F.length(piece).alias("n"),
+            F.right(piece, F.lit(1)).alias("c"),
+            F.when(piece.endswith("("), 1).otherwise(-1).alias("step"),
         ),
-        lambda acc, m: F.struct(
-            (acc["level"] + F.when(m["c"] == "(", 1).otherwise(-1)).alias("level"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        m["at"].alias("at"),
-                        m["c"].alias("c"),
-                        (acc["level"] + F.when(m["c"] == "(", 1).otherwise(0)).alias("level"),
-                    )
-                ),
-            ).alias("out"),
+    )
+    step = queries.where(F.length(text) > 0).select(col, marks.alias("_m"))
+
+    def total(upto: Column, name: str) -> Column:
+        return F.aggregate(
+            F.slice(F.col("_m"), F.lit(1), upto), F.lit(0), lambda acc, m: acc + m[name]
+        )
+
+    levels = F.transform(
+        "_m",
+        lambda m, i: F.struct(
+            total(i + 1, "n").alias("at"),
+            m["c"].alias("c"),
+            # The level a bracket opens or closes.
+            (total(i + 1, "step") + F.when(m["c"] == ")", 1).otherwise(0)).alias("level"),
         ),
-    )["out"]
+    )
     step = step.select(col, levels.alias("_l"))
     opens = F.filter("_l", lambda m: m["c"] == "(")
     spans = F.transform(

@@ -16,6 +16,11 @@ from sysweave.plans.registry import query
 FACTS = ["s", "p", "o", "o_kind", "o_type"]
 
 
+def solve(source, patterns, **options):
+    """``match`` on facts of the given tables, which hold no triple twice."""
+    return m.match(source, patterns, is_set=True, **options)
+
+
 @query(
     "q1_match_region_customers",
     """select 'customer.key='||c_custkey customer, c_name as name, 'nation.key='||n_nationkey nation
@@ -23,7 +28,7 @@ FACTS = ["s", "p", "o", "o_kind", "o_type"]
     where r_name='ASIA'""",
 )
 def region_customers(spark, sf):
-    return m.match(
+    return solve(
         v.geography(spark, sf),
         [
             ("?customer", "in_nation", "?nation"),
@@ -41,7 +46,7 @@ def region_customers(spark, sf):
     where p_size=11 and p_brand='Brand#2'""",
 )
 def literals(spark, sf):
-    return m.match(
+    return solve(
         v.part_facts(spark, sf),
         [("?part", "p_size", "11"), ("?part", "p_brand", "Brand#2"), ("?part", "p_name", "?name")],
     )
@@ -49,7 +54,7 @@ def literals(spark, sf):
 
 @query("q3_match_class", "select 'supplier.key='||s_suppkey x, s_name as name from supplier")
 def by_class(spark, sf):
-    return m.match(v.everything(spark, sf), [("?x", "a", "supplier"), ("?x", "s_name", "?name")])
+    return solve(v.everything(spark, sf), [("?x", "a", "supplier"), ("?x", "s_name", "?name")])
 
 
 @query(
@@ -58,7 +63,7 @@ def by_class(spark, sf):
     from orders join customer on o_custkey=c_custkey where o_orderstatus='F'""",
 )
 def link_join(spark, sf):
-    return m.match(
+    return solve(
         union_all([v.order_facts(spark, sf), v.customer_facts(spark, sf)]),
         [
             ("?ord", "o_orderstatus", "F"),
@@ -74,7 +79,7 @@ def link_join(spark, sf):
     from nation join supplier on s_nationkey=n_nationkey where n_name='NATION_3'""",
 )
 def reverse_link(spark, sf):
-    return m.match(
+    return solve(
         union_all([v.nation_facts(spark, sf), v.supplier_facts(spark, sf)]),
         [("?nation", "n_name", "NATION_3"), ("?supplier", "in_nation", "?nation")],
     )
@@ -110,7 +115,7 @@ def down_up(spark, sf):
 )
 def siblings(spark, sf):
     facts = v.customer_facts(spark, sf)
-    asked = m.match(facts, [("?node", "c_name", "Customer#000000007")])
+    asked = solve(facts, [("?node", "c_name", "Customer#000000007")])
     return m.siblings(facts, "in_nation", asked)
 
 
@@ -128,7 +133,7 @@ def sibling_groups(spark, sf):
     f"select p, o from ({v.CUSTOMER_SQL}) where s='customer.key=12'",
 )
 def variable_predicate(spark, sf):
-    return m.match(v.customer_facts(spark, sf), [("customer.key=12", "?p", "?o")])
+    return solve(v.customer_facts(spark, sf), [("customer.key=12", "?p", "?o")])
 
 
 @query(
@@ -138,8 +143,8 @@ def variable_predicate(spark, sf):
 )
 def union_of_solutions(spark, sf):
     return m.union_solutions(
-        m.match(v.supplier_facts(spark, sf), [("?x", "s_name", "?sname")]),
-        m.match(v.customer_facts(spark, sf), [("?x", "c_name", "?cname")]),
+        solve(v.supplier_facts(spark, sf), [("?x", "s_name", "?sname")]),
+        solve(v.customer_facts(spark, sf), [("?x", "c_name", "?cname")]),
     )
 
 
@@ -156,7 +161,7 @@ def intersection(spark, sf):
     facts = as_set(
         triples(known, ident.node_of_integer("order", "key", "l_orderkey"), "flag", "l_returnflag")
     )
-    return m.match(facts, [("?x", "flag", "A"), ("?x", "flag", "R")])
+    return solve(facts, [("?x", "flag", "A"), ("?x", "flag", "R")])
 
 
 @query(
@@ -165,7 +170,7 @@ def intersection(spark, sf):
     where regexp_matches(p_name, 'r[ei][dn]')""",
 )
 def filter_regex(spark, sf):
-    found = m.match(v.part_facts(spark, sf), [("?part", "p_name", "?name")])
+    found = solve(v.part_facts(spark, sf), [("?part", "p_name", "?name")])
     return m.filter_regex(found, "?name", "r[ei][dn]")
 
 
@@ -174,7 +179,7 @@ def filter_regex(spark, sf):
     "select distinct p_brand brand from part",
 )
 def projection(spark, sf):
-    return m.match(
+    return solve(
         v.part_facts(spark, sf),
         [("?part", "p_brand", "?brand"), ("?part", "p_name", "?name")],
         select=["?brand"],
@@ -263,7 +268,7 @@ def merge_by_object(spark, sf):
     lateral (values ('name', n_name), ('rname', r_name)) u(p, o)""",
 )
 def bindings_to_triples(spark, sf):
-    found = m.match(
+    found = solve(
         v.geography(spark, sf),
         [
             ("?nation", "in_region", "?region"),
@@ -300,7 +305,7 @@ def schema_tables(spark, sf):
 )
 def class_meta(spark, sf):
     ontology = m.ontology_triples(*schema_tables(spark, sf))
-    found = m.match(
+    found = solve(
         ontology,
         [
             ("?cls", "a", "rdfs:Class"),
@@ -319,7 +324,7 @@ def class_meta(spark, sf):
 )
 def property_by_label(spark, sf):
     ontology = m.ontology_triples(*schema_tables(spark, sf))
-    return m.match(
+    return solve(
         ontology, [("?prop", LABEL, "Brand#7"), ("?prop", "rdfs:range", "?rng")]
     )
 
@@ -675,3 +680,55 @@ def typed_literals(spark, sf):
 @query("s14_tables_to_triples", f"select s, p, o, o_kind, o_type from ({v.EVERYTHING_SQL})")
 def all_facts(spark, sf):
     return v.everything(spark, sf, layout="rows").select(*FACTS)
+
+
+@query(
+    "q22_triple_in_several_contexts",
+    """select 'customer.key='||c_custkey customer, c_name as name, 'nation.key='||c_nationkey nation from customer""",
+)
+def several_contexts(spark, sf):
+    """Each triple is there twice, once in a context of its own."""
+    facts = v.customer_facts(spark, sf)
+    both = facts.unionByName(facts.withColumn("ctx", F.col("s")))
+    return m.match(both, [("?customer", "c_name", "?name"), ("?customer", "in_nation", "?nation")])
+
+
+def mixed_kinds(spark, sf):
+    """Suppliers point to their nation, every other one only by a text that reads the same."""
+    s = v.table(spark, sf, "supplier")
+    kind = F.when(F.col("s_suppkey") % 2 == 0, "uri").otherwise("lit")
+    near = s.select(
+        ident.node_of_integer("supplier", "key", "s_suppkey").alias("s"),
+        F.lit("near").alias("p"),
+        ident.node_of_integer("nation", "key", "s_nationkey").alias("o"),
+        kind.alias("o_kind"),
+        F.when(kind == "lit", "string").alias("o_type"),
+        F.lit(None).cast("string").alias("ctx"),
+    )
+    seen = near.where("o_kind = 'uri'").withColumn("p", F.lit("seen"))
+    return near, union_all([near, seen, v.nation_facts(spark, sf)])
+
+
+@query(
+    "q22_kind_of_shared_variable",
+    """select 'supplier.key='||a.s_suppkey x, 'supplier.key='||b.s_suppkey y, 'nation.key='||a.s_nationkey n
+    from supplier a join supplier b on a.s_nationkey=b.s_nationkey and a.s_suppkey%2=0 and b.s_suppkey%2=0""",
+)
+def kind_of_shared(spark, sf):
+    """A text is no node, also where both are objects."""
+    return solve(mixed_kinds(spark, sf)[1], [("?x", "near", "?n"), ("?y", "seen", "?n")], select=["x", "y", "n"])
+
+
+@query(
+    "q22_kind_of_constant",
+    """select 'supplier.key='||s_suppkey x, 'literal' kind from supplier where s_nationkey=3 and s_suppkey%2=1
+    union all select 'supplier.key='||s_suppkey, 'node' from supplier where s_nationkey=3 and s_suppkey%2=0""",
+)
+def kind_of_constant(spark, sf):
+    near, _ = mixed_kinds(spark, sf)
+    return union_all(
+        [
+            solve(near, [("?x", "near", made("nation.key=3"))]).withColumn("kind", F.lit(name))
+            for made, name in ((m.Literal, "literal"), (m.Uri, "node"))
+        ]
+    )

@@ -550,17 +550,18 @@ def universal_alias(spark, sf):
 
 @query(
     "c5_property_names",
-    """select p_partkey, 'urn:sysweave#'||replace(p_name,' ','_')||'___'||replace(p_type,' ','_')||'?size='||p_size uri,
-    replace(p_name,' ','_')||'___'||replace(p_type,' ','_') as name, p_size::varchar as "size" from part""",
+    """select p_partkey, 'urn:sysweave#'||replace(p_name,' ','_')||'___'||replace(p_type,' ','_')||'?size='||p_size||'&key='||p_partkey uri,
+    replace(p_name,' ','_')||'___'||replace(p_type,' ','_') as name, p_size::varchar as "size", p_partkey::varchar as "key" from part""",
 )
 def property_names(spark, sf):
     p = v.table(spark, sf, "part")
-    uri = ident.property_uri([F.col("p_name"), F.col("p_type")], {"size": text("p_size")})
+    uri = ident.property_uri([F.col("p_name"), F.col("p_type")], {"size": text("p_size"), "key": text("p_partkey")})
     return p.select("p_partkey", uri.alias("uri")).select(
         "p_partkey",
         "uri",
         ident.property_name(F.col("uri")).alias("name"),
         ident.property_args(F.col("uri"))["size"].alias("size"),
+        ident.property_args(F.col("uri"))["key"].alias("key"),
     )
 
 
@@ -668,11 +669,11 @@ def open_modes(spark, sf):
 
 @query(
     "c13_decode_octal",
-    """select p_partkey, 'A'||p_name||chr(10)||chr(9)||'"z' as text from part""",
+    """select p_partkey, 'A'||p_name||chr(10)||chr(9)||'"zé\q'||chr(8364) as text from part""",
 )
 def decode_octal(spark, sf):
     p = v.table(spark, sf, "part")
-    raw = F.concat(F.lit("\\101"), "p_name", F.lit('\\n\\t\\"\\x7a'))
+    raw = F.concat(F.lit("\\101"), "p_name", F.lit('\\n\\t\\"\\x7a\\303\\251\\q\\xe2\\x82\\xac'))
     return p.select("p_partkey", values.decode_octal(raw).alias("text"))
 
 
@@ -879,6 +880,30 @@ def links(spark, sf):
     return shapes.nodes_and_links(v.customer_facts(spark, sf, layout="rows"))[1]
 
 
+@query(
+    "k5_menu_tree_two_parents",
+    """with up as (select n_nationkey n, n_regionkey r from nation union select n_nationkey, (n_regionkey+1)%5 from nation),
+    rs as (select distinct r from up)
+    select 'region.key='||r root, 'region.key='||r path, 'region.key='||r node, 'region.key='||r as name, 0 as depth from rs
+    union all select 'region.key='||r, 'region.key='||r||'/nation.key='||n, 'nation.key='||n, 'nation.key='||n, 1 from up
+    union all select 'region.key='||r, 'region.key='||r||'/nation.key='||n||'/customer.key='||c_custkey, 'customer.key='||c_custkey, 'customer.key='||c_custkey, 2
+      from customer join up on c_nationkey=n""",
+)
+def menu_tree_two_parents(spark, sf):
+    """Each nation lies in two regions and has a path from either."""
+    n, c = v.table(spark, sf, "nation"), v.table(spark, sf, "customer")
+    nation = ident.node_of_integer("nation", "key", "n_nationkey")
+    regions = F.explode(F.array(F.col("n_regionkey"), (F.col("n_regionkey") + 1) % 5)).alias("r")
+    ups = n.select(nation.alias("child"), regions).select(
+        ident.node_of_integer("region", "key", "r").alias("parent"), "child"
+    )
+    downs = c.select(
+        ident.node_of_integer("nation", "key", "c_nationkey").alias("parent"),
+        ident.node_of_integer("customer", "key", "c_custkey").alias("child"),
+    )
+    return shapes.menu_tree(triples(ups.unionByName(downs), "parent", SCRIPT, "child", kind="uri"))
+
+
 @query(
     "k5_menu_tree",
     """with r as (select distinct n_regionkey k from nation)

@@ -83,7 +83,7 @@ def queries_of_parts(spark, sf):
         .when(
             size == 1,
             F.concat(
-                F.lit("SELECT s.a FROM (SELECT COUNT(*) a FROM dbo."), brand, F.lit(" GROUP BY 1) s, "), kind,
+                F.lit("SELECT s.a, ')(' FROM (SELECT COUNT(*) a FROM dbo."), brand, F.lit(" GROUP BY 1) s, "), kind,
                 F.lit(" LEFT OUTER JOIN side AS d ON s.a = d.a WHERE q IN (select z from deep where k = "), key, F.lit(")"),
             ),
         )
@@ -107,7 +107,7 @@ def table_dependencies(spark, sf):
     "x4_nested_queries",
     """with q as (select p_partkey id, lower(p_type) t, replace(p_brand,'#','_') b, 'select z from deep where k = '||p_partkey inn,
       'SELECT COUNT(*) a FROM dbo.'||replace(p_brand,'#','_')||' GROUP BY 1' mid from part where p_size%4=1),
-    f as (select *, 'SELECT s.a FROM ('||mid||') s, '||t||' LEFT OUTER JOIN side AS d ON s.a = d.a WHERE q IN ('||inn||')' whole from q)
+    f as (select *, 'SELECT s.a, '')('' FROM ('||mid||') s, '||t||' LEFT OUTER JOIN side AS d ON s.a = d.a WHERE q IN ('||inn||')' whole from q)
     select cast(null as varchar) parent, whole sub, 0 as depth from f
     union all select whole, mid, 1 from f union all select whole, inn, 1 from f
     union all select null, 'select a, b from '||replace(p_brand,'#','_')||' x, '||lower(p_type)||' where id = '||p_partkey, 0 from part where p_size%4=0""",
@@ -247,7 +247,7 @@ def find_words(spark, sf):
 
 TEMPLATE_SQL = """q as (select case p_size%4
     when 0 then 'select a, b from '||replace(p_brand,'#','_')||' x, '||lower(p_type)||' where id = '||p_partkey
-    when 1 then 'SELECT s.a FROM (SELECT COUNT(*) a FROM dbo.'||replace(p_brand,'#','_')||' GROUP BY 1) s, '||lower(p_type)||' LEFT OUTER JOIN side AS d ON s.a = d.a WHERE q IN (select z from deep where k = '||p_partkey||')'
+    when 1 then 'SELECT s.a, '')('' FROM (SELECT COUNT(*) a FROM dbo.'||replace(p_brand,'#','_')||' GROUP BY 1) s, '||lower(p_type)||' LEFT OUTER JOIN side AS d ON s.a = d.a WHERE q IN (select z from deep where k = '||p_partkey||')'
     when 2 then 'update '||replace(p_brand,'#','_')||' set a = ''from nowhere'' where b = '||p_partkey
     else 'insert into '||lower(p_type)||' (a, b) values ('''||p_partkey||''', 2)' end query from part)"""
 VALUE_RX = "''(?:[^'']|'''')*''|\\b[0-9]+(?:\\.[0-9]+)?\\b"
@@ -282,14 +282,18 @@ def labelled(spark, sf):
     return docs.join(marks, "id")
 
 
-BAYES_SQL = """d as (select l.doc_id id, quality as label, regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]{2,}') w
-   from documents join labels l using (doc_id)),
+BAYES_SQL = """d as (select documents.doc_id id, quality as label, regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]{2,}') w
+   from documents left join labels l using (doc_id)),
  g0 as (select id, label, unnest(w) gram from d union all
    select id, label, unnest(list_transform(range(1, len(w)), lambda i: w[i]||' '||w[i+1])) from d union all
    select id, label, unnest(list_transform(range(1, len(w)-1), lambda i: w[i]||' '||w[i+1]||' '||w[i+2])) from d),
- g as (select id, label, gram, count(*) n from g0 group by all),
- c as (select label, gram, sum(n) n from g group by all),
- m as (select label, ln(count(*) * 1.0 / (select count(*) from d)) prior from d group by label),
+ ga as (select id, label, gram, count(*) n from g0 group by all),
+ known as (select distinct gram from ga where label is not null),
+ g as (select ga.* from ga join known using (gram)),
+ cl as (select label, gram, sum(n) n from g where label is not null group by all),
+ lb as (select distinct label from d where label is not null),
+ c as (select lb.label, known.gram, coalesce(cl.n, 0) n from known cross join lb left join cl on cl.gram=known.gram and cl.label=lb.label),
+ m as (select label, ln(count(*) * 1.0 / (select count(*) from d where label is not null)) prior from d where label is not null group by label),
  tt as (select label, sum(n) total from c group by label),
  l as (select m.label, prior, total + (select count(distinct gram) from c) z from m join tt using (label)),
  gains as (select g.id, c.label, sum(g.n * ln(c.n + 1)) gain from g join c using (gram) group by 1, 2),
@@ -303,9 +307,9 @@ BAYES_SQL = """d as (select l.doc_id id, quality as label, regexp_extract_all(lo
     f"with {BAYES_SQL} select id, max_by(label, round(score, 6)) predicted, round(max(score), 3) score from sc group by id",
 )
 def classify_buffers(spark, sf):
-    docs = labelled(spark, sf)
-    model = sim.train_bayes(docs)
-    found = sim.classify_buffers(model, docs.select("id", "text"))
+    """Trained on the labelled documents; all documents are classified."""
+    every = spread(v.table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), "text")
+    found = sim.classify_buffers(sim.train_bayes(labelled(spark, sf)), every)
     return found.withColumn("score", F.round("score", 3))
 
 

@@ -265,6 +265,40 @@ def track_cwd(spark, sf):
     return c.track_cwd(calls, sessions).select("seq", "pid", "cwd")
 
 
+CREATOR = """s{n} as (select s.pid, case when s.base<>'' then s.base when m.since < s.since then m.base else '' end base,
+      case when s.base='' and m.since < s.since and m.base='' then m.up end up,
+      case when m.since < s.since then m.since else s.since end since from s{p} s left join s0 m on m.pid=s.up),
+"""
+
+
+@query(
+    "t7_track_cwd_reused_pids",
+    """with e as (select event_id seq, user_id pid, event_type,
+      case when event_type='signup' then '/home/d'||regexp_extract(props, '([0-9]+)', 1) end d from events),
+    o as (select *, last_value(d ignore nulls) over (partition by pid order by seq rows between unbounded preceding and 1 preceding) own from e),
+    s0 as (select pid%100+1 pid, min(seq) since, min_by(pid, seq) up, coalesce(min_by(coalesce(own, ''), seq), '') base from o
+      where event_type='error' group by 1),
+"""
+    + "".join(CREATOR.format(n=n, p=n - 1) for n in range(1, 13)).rstrip(",\n")
+    + """
+    select seq, o.pid, coalesce(own, nullif(base, ''), '/top') cwd from o left join s12 using (pid)""",
+)
+def track_cwd_reused(spark, sf):
+    """Each process creates the next of a hundred numbers, so that numbers create each other in a ring."""
+    e = v.events(spark, sf)
+    kind = F.col("event_type")
+    fd = F.concat(F.lit("3</home/d"), F.col("k").cast("string"), F.lit(">"))
+    calls = e.select(
+        F.lit("ring").alias("session"), F.col("event_id").alias("seq"), F.col("user_id").alias("pid"),
+        F.when(kind == "signup", "fchdir@SYS").when(kind == "error", "clone@SYS").otherwise("read@SYS").alias("fn"),
+        F.array(fd, F.lit("")).alias("args"),
+        F.when(kind == "error", (F.col("user_id") % 100 + 1).cast("string")).otherwise("0").alias("ret"),
+        F.lit("strace").alias("tracer"), F.lit("plain").alias("status"),
+    )
+    sessions = e.select(F.lit("ring").alias("session"), F.lit("/top").alias("cwd")).distinct()
+    return c.track_cwd(calls, sessions).select("seq", "pid", "cwd")
+
+
 @query("t8_flow_counts", "select user_id pid, count(*) calls from events group by 1")
 def flow_counts(spark, sf):
     return c.flow_counts(v.flow_calls(spark, sf)).select("pid", "calls")
