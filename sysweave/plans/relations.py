@@ -1040,24 +1040,25 @@ def activity_bursts(spark, sf):
     return out.select("object", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
+def homes(spark, sf):
+    """Users live in a nation, nations have names."""
+    users = v.events(spark, sf).select("user_id").distinct()
+    return triples(
+        users, F.concat(F.lit("u"), text("user_id")), "home",
+        ident.node_of_integer("nation", "key", F.col("user_id") % 25), kind="uri",
+    ).unionByName(v.nation_facts(spark, sf))
+
+
 @query(
     "e9_standing_match",
     """select 'u'||user_id u, k, 'nation.key='||n_nationkey nation from (select *, regexp_extract(props, '([0-9]+)', 1) k from events)
-    join nation on n_nationkey = user_id%25 where event_type='purchase'""",
+    join nation on n_nationkey = user_id%25""",
 )
 def standing_match(spark, sf):
     from sysweave.streaming.trace import standing_match as standing
 
-    e = v.events(spark, sf)
-    live = triples(
-        e.where("event_type = 'purchase'"), F.concat(F.lit("u"), text("user_id")), "did", text("k")
-    )
-    homes = e.select("user_id").distinct()
-    static = triples(
-        homes, F.concat(F.lit("u"), text("user_id")), "home",
-        ident.node_of_integer("nation", "key", F.col("user_id") % 25), kind="uri",
-    ).unionByName(v.nation_facts(spark, sf))
-    return standing(live, static, ("?u", "did", "?k"), [("?u", "home", "?nation"), ("?nation", "n_name", "?name")]).select(
+    live = triples(v.events(spark, sf), F.concat(F.lit("u"), text("user_id")), "did", text("k"))
+    return standing(live, homes(spark, sf), ("?u", "did", "?k"), [("?u", "home", "?nation"), ("?nation", "n_name", "?name")]).select(
         "u", "k", "nation"
     )
 

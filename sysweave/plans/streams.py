@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from sysweave.model import triples
 from sysweave.plans import views as v
 from sysweave.plans.registry import query
-from sysweave.plans.relations import STORE, text
+from sysweave.plans.relations import STORE, homes, text
 from sysweave.plans.trace import CALLS, HALVES
 from sysweave.streaming import events as ev
 from sysweave.streaming import samples as st
 from sysweave.streaming import trace as live
-from sysweave.streaming.run import fresh_folder, keyed_state, run_to_table
+from sysweave.streaming.run import fresh_folder, keyed_state, run_to_end, run_to_table
 
 
 def event_stream(spark, sf):
@@ -32,21 +32,73 @@ def append_events(spark, sf):
     return ev.stored(spark, store).select("s", "p", "o", "ctx")
 
 
+def cents_stream(spark, sf):
+    cents = event_stream(spark, sf).withColumn("cents", F.round(F.col("value") * 100))
+    return st.sample_stream(cents.withColumn("ts", v.instant()), "user", ["cents"], obj="user_id")
+
+
+@query(
+    "e6_sample_stream_live",
+    "select user_id as object, 'user.cents' metric, round(value*100) as value from events",
+)
+def sample_stream(spark, sf):
+    return run_to_table(cents_stream(spark, sf).select("object", "metric", "value"))
+
+
 @query(
     "e7_stream_rollup",
-    """with w as (select user_id as object, 'user.cents' metric, time_bucket(interval 6 hours, ts) b, count(*) n,
-      min(round(value*100)) least, max(round(value*100)) greatest from events group by 1, 2, 3)
-    select object, metric, epoch_us(b) start_us, n, least, greatest from w
-    where b + interval 6 hours <= (select max(ts) - interval 10 minutes from events)""",
+    """select user_id as object, 'user.cents' metric, epoch_us(time_bucket(interval 6 hours, ts)) start_us, count(*) n,
+      min(round(value*100)) least, max(round(value*100)) greatest from events group by 1, 2, 3""",
 )
 def stream_rollup(spark, sf):
-    cents = event_stream(spark, sf).withColumn("cents", F.round(F.col("value") * 100))
-    samples = st.sample_stream(cents.withColumn("ts", v.instant()), "user", ["cents"], obj="user_id")
-    # A window is given out when the watermark has passed its end.
-    rolled = run_to_table(st.sample_rollup(samples, "6 hours", late="10 minutes"))
+    rolled = run_to_end(
+        cents_stream(spark, sf), "ts", lambda samples: st.sample_rollup(samples, "6 hours", late="10 minutes")
+    )
     return rolled.select("object", "metric", F.unix_micros("start").alias("start_us"), "n", "least", "greatest")
 
 
+@query(
+    "e9_standing_stream",
+    """select 'u'||user_id u, k, 'nation.key='||n_nationkey nation from (select *, regexp_extract(props, '([0-9]+)', 1) k from events)
+    join nation on n_nationkey = user_id%25""",
+)
+def standing_stream(spark, sf):
+    facts = triples(event_stream(spark, sf), F.concat(F.lit("u"), text("user_id")), "did", text("k"))
+    patterns = [("?u", "home", "?nation"), ("?nation", "n_name", "?name")]
+    found = live.standing_match(facts, homes(spark, sf), ("?u", "did", "?k"), patterns)
+    return run_to_table(found.select("u", "k", "nation"))
+
+
+@query(
+    "t12_squeeze_stream",
+    "with " + v.FLOW_SQL
+    + """, a as (select *, case when full_sig = lag(full_sig) over (partition by pid order by seq) then 0 else 1 end st from flow),
+    b as (select *, sum(st) over (partition by pid order by seq rows unbounded preceding) i from a)
+    select pid, min(seq) seq, min(fn) fn, count(*) occurrences, max(seq) last_seq from b group by pid, i""",
+)
+def squeeze_stream(spark, sf):
+    keyed_state(spark)
+    calls = v.flow_of(event_stream(spark, sf))
+    return live.settled_runs(run_to_table(live.squeeze_stream(calls))).select(
+        "pid", "seq", "fn", "occurrences", "last_seq"
+    )
+
+
+@query(
+    "t31_changes_stream",
+    """with a as (select event_id seq, 'u'||user_id s, event_type o,
+      lag(event_type) over (partition by user_id order by event_id) was from events)
+    select s as object, o as value, seq from a where was is null or was <> o""",
+)
+def changes_stream(spark, sf):
+    keyed_state(spark)
+    facts = event_stream(spark, sf).select(
+        F.concat(F.lit("u"), text("user_id")).alias("object"), F.lit("state").alias("attribute"),
+        F.col("event_type").alias("value"), F.col("event_id").alias("seq"),
+    )
+    return run_to_table(live.changes_stream(facts)).select("object", "value", "seq")
+
+
 @query(
     "e8_trace_stream",
     CALLS
@@ -62,11 +114,13 @@ def trace_stream(spark, sf):
 @query(
     "e8_match_interrupted_stream",
     HALVES
-    + """select seq, pid, ps partner_seq, 'merged' status, pk||','||k args from m where d=-1
+    + """select seq, pid, case when d=1 then ns else ps end partner_seq,
+      case when d=-1 then 'merged' when ns is not null then 'matched' else 'unfinished' end status,
+      case when d=-1 then pk||','||k else k end args from m
     union all select seq, pid, null, 'resumed', k from n where lev=0""",
 )
 def match_interrupted_stream(spark, sf):
     keyed_state(spark)
     halves = v.halves_of(event_stream(spark, sf))
-    joined = run_to_table(live.match_interrupted_stream(halves, wait_ms=None))
+    joined = live.settled_halves(run_to_table(live.match_interrupted_stream(halves)))
     return joined.select("seq", "pid", "partner_seq", "status", F.array_join("args", ",").alias("args"))

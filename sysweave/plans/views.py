@@ -256,7 +256,10 @@ def trace_calls(spark, sf) -> DataFrame:
 
 # Events as flows without going through text: the steps that only need order.
 def flow_calls(spark, sf) -> DataFrame:
-    e = events(spark, sf)
+    return flow_of(events(spark, sf))
+
+
+def flow_of(e: DataFrame) -> DataFrame:
     sig = F.array((F.col("k") % 3).cast("string"))
     return e.select(
         F.lit("events").alias("session"),

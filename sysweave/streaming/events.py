@@ -49,13 +49,22 @@ def append_batch(triples: DataFrame, path: str, batch: int) -> None:
 
 
 def append_events(stream: DataFrame, path: str, checkpoint: str):
-    """Feed a stream of triples into the store; returns the query."""
+    """Feed a stream of triples into the store; returns the query.
+
+    What the stream has brought before is state of the query, so a batch costs
+    what it holds and the store is not read. A batch that is written again
+    replaces itself.
+    """
 
     def write(batch_df: DataFrame, batch: int) -> None:
-        append_batch(batch_df, path, batch)
+        batch_df.withColumn("arrived", F.current_timestamp()).write.mode("overwrite").parquet(
+            f"{path}/batch={batch}"
+        )
 
     return (
-        stream.writeStream.foreachBatch(write)
+        stream.select(*TRIPLE_COLUMNS)
+        .dropDuplicates(KEY)
+        .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from sysweave.operators.calls import drop_ignored, significant_args
+from sysweave.operators.calls import NEVER_EQUAL, drop_ignored, significant_args
 from sysweave.operators.match import match, solve_one, variables
 from sysweave.sources.trace import parse_lines, split_args
 
@@ -35,7 +35,8 @@ class PendingCalls(StatefulProcessor):
     """Unfinished calls of one (session, pid, fn), resumed last in first out.
 
     Pending calls are a map state, so a process with very many of them does not
-    become one value. A call nobody resumes in time is given out as unfinished.
+    become one value. The rows of a key in one batch are put in order by ``seq``;
+    batches have to come in that order.
     """
 
     def __init__(self, wait_ms: int | None):
@@ -51,16 +52,19 @@ class PendingCalls(StatefulProcessor):
         depth = self._depth.get()[0] if self._depth.exists() else 0
         batch = pd.concat(list(rows), ignore_index=True).sort_values("seq")
         for row in batch.itertuples(index=False):
+            seq, args = int(row.seq), list(row.args)
             if row.status == "unfinished":
                 depth += 1
-                self._calls.updateValue((depth,), (int(row.seq), list(row.args)))
+                self._calls.updateValue((depth,), (seq, args))
+                out.append((*key, seq, None, args, "unfinished"))
             elif depth:
-                seq, args = self._calls.getValue((depth,))
+                call, before = self._calls.getValue((depth,))
                 self._calls.removeKey((depth,))
                 depth -= 1
-                out.append((*key, int(row.seq), int(seq), list(args) + list(row.args), "merged"))
+                out.append((*key, int(call), seq, list(before), "matched"))
+                out.append((*key, seq, int(call), list(before) + args, "merged"))
             else:
-                out.append((*key, int(row.seq), None, list(row.args), "resumed"))
+                out.append((*key, seq, None, args, "resumed"))
         self._depth.update((depth,))
         if depth and self._wait is not None:
             now = timerValues.getCurrentProcessingTimeInMs()
@@ -68,12 +72,9 @@ class PendingCalls(StatefulProcessor):
         yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        out = []
-        for (level,), (seq, args) in list(self._calls.iterator()):
-            out.append((*key, int(seq), None, list(args), "unfinished"))
         self._calls.clear()
         self._depth.update((0,))
-        yield self._frame(out)
+        yield self._frame([])
 
     def close(self) -> None:
         pass
@@ -87,10 +88,12 @@ class PendingCalls(StatefulProcessor):
 
 
 def match_interrupted_stream(calls: DataFrame, wait_ms: int | None = None) -> DataFrame:
-    """Joined halves of interrupted calls of a live log; see ``PendingCalls``.
+    """Halves of interrupted calls of a live log, joined; see ``PendingCalls``.
 
-    With ``wait_ms`` the query keeps waking up for its timers and so never runs
-    out of work; without, pending calls are kept until they are resumed.
+    A call is given out as ``unfinished`` when it begins and once more as
+    ``matched`` when it is resumed, so nothing is held back at the end of a run;
+    ``settled_halves`` keeps the last row of each. With ``wait_ms`` calls not
+    resumed in that time are forgotten, and the query keeps waking up for that.
     """
     halves = calls.where(F.col("status").isin("unfinished", "resumed")).select(
         "session", "pid", "fn", "seq", "args", "status"
@@ -103,6 +106,73 @@ def match_interrupted_stream(calls: DataFrame, wait_ms: int | None = None) -> Da
     )
 
 
+def settled_halves(rows: DataFrame) -> DataFrame:
+    """One row for each half that ``match_interrupted_stream`` gave out."""
+    last = F.max_by(F.struct("partner_seq", "args", "status"), F.col("partner_seq").isNotNull())
+    return rows.groupBy("session", "pid", "fn", "seq").agg(last.alias("x")).select(
+        "session", "pid", "fn", "seq", "x.*"
+    )
+
+
+RUNS = (
+    "session string, pid bigint, seq bigint, fn string, sig array<string>, occurrences bigint, "
+    "last_seq bigint"
+)
+
+
+class OpenRun(StatefulProcessor):
+    """The run of equal calls one flow is in; a run is given out with every batch it is in."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._run = handle.getValueState(
+            "run", "seq bigint, fn string, sig array<string>, n bigint, last bigint"
+        )
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+        run = list(self._run.get()) if self._run.exists() else None
+        out = []
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("seq")
+        for row in batch.itertuples(index=False):
+            seq, sig = int(row.seq), list(row.sig)
+            if run and run[1] == row.fn and list(run[2]) == sig and row.fn not in NEVER_EQUAL:
+                run[3], run[4] = run[3] + 1, seq
+            else:
+                if run:
+                    out.append((*key, *run))
+                run = [seq, row.fn, sig, 1, seq]
+        out.append((*key, *run))
+        self._run.update(tuple(run))
+        yield pd.DataFrame(
+            out, columns=["session", "pid", "seq", "fn", "sig", "occurrences", "last_seq"]
+        )
+
+    def close(self) -> None:
+        pass
+
+
+def squeeze_stream(calls: DataFrame) -> DataFrame:
+    """Runs of equal calls of a live log; see ``OpenRun``. The row of a run with the most
+    ``occurrences`` is its last one (``settled_runs``)."""
+    return (
+        calls.select("session", "pid", "seq", "fn", "sig")
+        .groupBy("session", "pid")
+        .transformWithStateInPandas(
+            statefulProcessor=OpenRun(),
+            outputStructType=RUNS,
+            outputMode="Append",
+            timeMode="None",
+        )
+    )
+
+
+def settled_runs(rows: DataFrame) -> DataFrame:
+    """One row for each run that ``squeeze_stream`` gave out."""
+    last = F.max_by(F.struct("fn", "sig", "occurrences", "last_seq"), "occurrences")
+    return rows.groupBy("session", "pid", "seq").agg(last.alias("x")).select(
+        "session", "pid", "seq", "x.*"
+    )
+
+
 LATEST = "object string, attribute string, value string, seq bigint"
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sysweave.model import TRIPLE_SCHEMA
 from sysweave.operators import calls as c
+from sysweave.operators.flows import squeeze_repeats
 from sysweave.operators.objects import changes_only
 from sysweave.sources.trace import parse_lines, split_args
 from sysweave.streaming import events as ev
@@ -66,16 +67,28 @@ def test_interrupted_stream(spark, tmp_path):
     df = spark.createDataFrame(
         data, "session string, seq bigint, pid bigint, fn string, args array<string>, status string"
     )
-    stream = live.match_interrupted_stream(
-        as_stream(spark, df, tmp_path, "halves"), wait_ms=None
-    )
-    got = run(spark, stream, tmp_path, "t_halves").collect()
-    batch = c.match_interrupted(df).where("status in ('merged', 'resumed')").collect()
+    stream = live.match_interrupted_stream(as_stream(spark, df, tmp_path, "halves"))
+    got = live.settled_halves(run(spark, stream, tmp_path, "t_halves")).collect()
+    batch = c.match_interrupted(df).collect()
     assert sorted((r.seq, r.status, str(r.partner_seq), tuple(r.args)) for r in got) == sorted(
         (r.seq, r.status, str(r.partner_seq), tuple(r.args)) for r in batch
     )
 
 
+def test_squeeze_stream(spark, tmp_path):
+    rnd = random.Random(6)
+    data = [("s", n % 2, n, rnd.choice(["f", "g", "clone@SYS"]), [rnd.choice("xy")], "t", "t") for n in range(80)]
+    df = spark.createDataFrame(
+        data, "session string, pid bigint, seq bigint, fn string, sig array<string>, t_start string, t_end string"
+    ).select("session", "seq", "pid", "fn", "sig", "t_start", "t_end")
+    stream = live.squeeze_stream(as_stream(spark, df, tmp_path, "calls"))
+    got = live.settled_runs(run(spark, stream, tmp_path, "t_runs")).collect()
+    batch = squeeze_repeats(df).collect()
+    assert sorted((r.pid, r.seq, r.fn, r.occurrences) for r in got) == sorted(
+        (r.pid, r.seq, r.fn, r.occurrences) for r in batch
+    )
+
+
 def test_calls_nobody_resumes_are_given_out(spark, tmp_path):
     df = spark.createDataFrame(
         [("s", 1, 7, "read@SYS", ["3"], "unfinished")],
