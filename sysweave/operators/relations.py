@@ -68,8 +68,9 @@ def socket_edges(conns: DataFrame, only_established: bool = False) -> DataFrame:
 def socket_users(conns: DataFrame, targets: DataFrame) -> DataFrame:
     """Processes using an endpoint on either side.
 
-    ``targets`` has (host, addr, port). The port is the join key; the address
-    must equal the name or the address, or be a wildcard of a loopback target.
+    ``targets`` has (host, addr, port). Name, address and, for a loopback target,
+    the wildcards are written out, so that address and port are the join key and
+    a port everybody uses is not hot by itself.
     """
     sides = F.array(
         F.struct(F.col("laddr").alias("a"), F.col("lport").alias("port")),
@@ -85,11 +86,12 @@ def socket_users(conns: DataFrame, targets: DataFrame) -> DataFrame:
         .distinct()
     )
     # Addresses that stand for any, and the loopback address.
-    wildcard = F.col("a").isin("0.0.0.0", "::", "::1") & (F.col("addr") == "127.0.0.1")
-    hit = ends.join(targets, "port").where(
-        (F.col("a") == F.col("addr")) | (F.col("a") == F.col("host")) | wildcard
-    )
-    return hit.select("host", "addr", "port", "pid").distinct()
+    wildcards = F.when(
+        F.col("addr") == "127.0.0.1", F.array(*map(F.lit, ["0.0.0.0", "::", "::1"]))
+    ).otherwise(F.array().cast("array<string>"))
+    accepted = F.array_distinct(F.array_compact(F.concat(F.array("host", "addr"), wildcards)))
+    wanted = targets.select("host", "addr", "port", F.explode(accepted).alias("a")).distinct()
+    return ends.join(wanted, ["a", "port"]).select("host", "addr", "port", "pid").distinct()
 
 
 def connections_between(conns: DataFrame) -> DataFrame:

@@ -196,6 +196,27 @@ def summary(
     return procs.unionByName(rows)
 
 
+def described(triples: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, cls, label, alias, information) of the nodes of known classes.
+
+    ``classes`` has a row per class: (cls, keys, label, alias, information). Where the
+    texts name a key in braces, the value the node has for it is put in; ``keys``
+    are the keys a node of the class must have, others are left out.
+    """
+    nodes = parse_nodes(triples.select(F.col("s").alias("node")).distinct(), "node")
+    known = nodes.select("node", "cls", F.col("keys").alias("has")).join(classes, "cls")
+    whole = known.where(F.forall("keys", lambda k: F.map_contains_key(F.col("has"), k)))
+
+    def filled(name: str) -> Column:
+        return F.aggregate(
+            F.map_entries("has"),
+            F.col(name),
+            lambda text, e: F.replace(text, F.concat(F.lit("{"), e["key"], F.lit("}")), e["value"]),
+        ).alias(name)
+
+    return whole.select("node", "cls", filled("label"), filled("alias"), filled("information"))
+
+
 def labels(triples: DataFrame) -> DataFrame:
     """Display label of every node: its stated label, else its identity text."""
     stated = triples.where(F.col("p") == LABEL).groupBy(F.col("s").alias("node")).agg(

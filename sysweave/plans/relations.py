@@ -14,6 +14,7 @@ from sysweave.operators import shapes
 from sysweave.operators import traverse as t
 from sysweave.plans import views as v
 from sysweave.plans.registry import query
+from sysweave.streaming.run import fresh_folder
 from sysweave.sources import rdf, samples, tables
 from sysweave.streaming import events as ev
 from sysweave.streaming import samples as st
@@ -849,6 +850,74 @@ def ntriples(spark, sf):
     return rdf.ntriples_text(v.nation_facts(spark, sf))
 
 
+@query(
+    "k2_rdf_xml_text",
+    """select '<rdf:Description rdf:about="nation.key='||n_nationkey||'"><n_name>'||n_name||'</n_name></rdf:Description>' as value from nation union all
+    select '<rdf:Description rdf:about="nation.key='||n_nationkey||'"><rdf:type rdf:resource="nation"/></rdf:Description>' from nation union all
+    select '<rdf:Description rdf:about="nation.key='||n_nationkey||'"><in_region rdf:resource="region.key='||n_regionkey||'"/></rdf:Description>' from nation""",
+)
+def rdf_xml(spark, sf):
+    return rdf.rdf_xml_text(v.nation_facts(spark, sf))
+
+
+@query(
+    "s6_rdf_xml_round_trip",
+    """select '_:c'||c_custkey s, 'c_name' p, c_name||' & <co>' o, 'lit' o_kind, 'string' o_type from customer
+    union all select '_:c'||c_custkey, 'nation', 'nation.key='||c_nationkey, 'uri', null from customer
+    union all select '_:c'||c_custkey, 'next', '_:c'||(c_custkey+1), 'bnode', null from customer
+    union all select '_:c'||c_custkey, 'number', c_custkey::varchar, 'lit', 'integer' from customer""",
+)
+def rdf_xml_round_trip(spark, sf):
+    cu = v.table(spark, sf, "customer")
+    me = F.concat(F.lit("_:c"), text("c_custkey"))
+    facts = union_all(
+        [
+            triples(cu, me, "c_name", F.concat("c_name", F.lit(" & <co>"))),
+            triples(cu, me, "nation", ident.node_of_integer("nation", "key", "c_nationkey"), kind="uri"),
+            triples(cu, me, "next", F.concat(F.lit("_:c"), text(F.col("c_custkey") + 1)), kind="bnode"),
+            triples(cu, me, "number", text("c_custkey"), o_type="integer"),
+        ]
+    )
+    path = fresh_folder(spark, "rdf")
+    predicates = ["c_name", "nation", "next", "number"]
+    rdf.write_rdf_xml(facts, path, predicates)
+    back = rdf.read_rdf_xml(spark, path, predicates)
+    return back.select("s", "p", "o", "o_kind", "o_type")
+
+
+@query(
+    "s6_ntriples_terms",
+    r"""select 'urn:'||p_partkey s, 'urn:p' p, p_name||'é"'||chr(10)||chr(92)||'u' o, 'lit' o_kind,
+      case when p_size%2=0 then '@de-AT' else 'string' end o_type from part""",
+)
+def ntriples_terms(spark, sf):
+    """Escapes of any kind, and languages."""
+    p = v.table(spark, sf, "part")
+    tag = F.when(F.col("p_size") % 2 == 0, "@de-AT").otherwise("")
+    line = F.concat(
+        F.lit("<urn:"), text("p_partkey"), F.lit('> <urn:p> "'), "p_name", F.lit('\\u00e9\\"\\n\\\\u"'), tag, F.lit(" .")
+    )
+    back = rdf.parse_ntriples(rdf.ntriples_text(rdf.parse_ntriples(p.select(line.alias("value")))))
+    return back.select("s", "p", "o", "o_kind", "o_type")
+
+
+@query(
+    "u5_class_texts",
+    """select 'nation.key='||n_nationkey node, 'nation' cls, 'Nation no. '||n_nationkey as label, 'N'||n_nationkey as alias, 'a nation' as information from nation
+    union all select 'region.key='||r_regionkey, 'region', 'Region '||r_regionkey, 'R'||r_regionkey, 'key '||r_regionkey from region""",
+)
+def class_texts(spark, sf):
+    classes = spark.createDataFrame(
+        [
+            ("nation", ["key"], "Nation no. {key}", "N{key}", "a nation"),
+            ("region", ["key"], "Region {key}", "R{key}", "key {key}"),
+            ("customer", ["key", "Host"], "{Host}", "{key}", ""),
+        ],
+        "cls string, keys array<string>, label string, alias string, information string",
+    )
+    return shapes.described(v.geography(spark, sf), classes)
+
+
 @query(
     "k3_bindings_json",
     """select '{"nation":{"type":"url","value":"nation.key='||n_nationkey||'"},"name":{"type":"literal","value":"'||n_name||'"}}' as binding from nation""",
@@ -1065,12 +1134,12 @@ def standing_match(spark, sf):
 
 @query(
     "r15_modules_below",
-    """with recursive e as (select 'm'||c_custkey parent, 'm'||(c_custkey//10) child from customer where c_custkey>0),
+    """with recursive e as (select 'm'||c_custkey parent, 'm'||(c_custkey//10) child from customer where c_custkey <> c_custkey//10),
     c as (select child node, 1 as depth from e where parent='m1234' union all select e.child, c.depth+1 from c join e on e.parent=c.node)
     select node, min(depth) depth from c group by node""",
 )
 def modules_below(spark, sf):
-    cu = v.table(spark, sf, "customer").where("c_custkey > 0")
+    cu = v.table(spark, sf, "customer")
     line = F.concat(F.lit("m"), text("c_custkey"), F.lit(": m"), text(F.floor(F.col("c_custkey") / 10)))
     edges = r.parse_module_deps(cu.select(line.alias("line")))
     start = cu.where("c_custkey = 1234").select(F.lit("m1234").alias("start"))

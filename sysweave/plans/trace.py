@@ -136,10 +136,8 @@ def with_dates(spark, sf):
     return dated.select("seq", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("stamp"))
 
 
-@query(
-    "t1_split_args",
-    CALLS
-    + r"""select seq, case fn
+# The arguments of the calls of the log, put together.
+ARGS_TEXT = r"""case fn
       when 'openat@SYS' then 'AT_FDCWD;data/f'||k||';O_RDONLY|O_CLOEXEC'
       when 'open@SYS' then '/out/f'||k||';O_WRONLY|O_CREAT;0666'
       when 'read@SYS' then '3</srv/data/f'||k||'>;x, \"y\;4096'
@@ -148,7 +146,13 @@ def with_dates(spark, sf):
       when 'wait4@SYS' then '-1;[["WIFEXITED(s)"]];0;NULL'
       when 'clone@SYS' then 'child_stack=0;flags=CLONE_VM|SIGCHLD'
       when 'execve@SYS' then '/usr/bin/python'||k||';["python", "run'||k||'.py"];["/* 22 vars */"]'
-      when 'stat@SYS' then '/missing;0x7ffe' else 'NULL' end as args from calls""",
+      when 'stat@SYS' then '/missing;0x7ffe' else 'NULL' end"""
+
+
+@query(
+    "t1_split_args",
+    CALLS
+    + "select seq, " + ARGS_TEXT + " as args from calls",
 )
 def split_args(spark, sf):
     return v.trace_calls(spark, sf).select("seq", F.array_join("args", ";").alias("args"))
@@ -802,12 +806,13 @@ def trace_to_triples(spark, sf):
 @query(
     "k1_call_rows",
     CALLS
-    + """select pid, 1 as occurrences, 'Orig' as style, 'plain' as status, fn as function, ret as "return", t_start as start
-    from calls""",
+    + """select pid, 1 as occurrences, 'Orig' as style, 'plain' as status, fn as function, ret as "return", t_start as start, t_start as "end",
+    """ + ARGS_TEXT + """ as arguments from calls""",
 )
 def call_rows(spark, sf):
-    rows = shapes.call_rows(v.trace_calls(spark, sf))
-    return rows.select("pid", "occurrences", "style", "status", "function", "return", "start")
+    calls = v.trace_calls(spark, sf).withColumn("args", F.array(F.array_join("args", ";")))
+    rows = shapes.call_rows(calls)
+    return rows.select(*shapes.CALL_COLUMNS)
 
 
 @query(

@@ -31,7 +31,7 @@ def test_rdf_xml(spark, tmp_path):
         ("urn:p1", "e:size", "5", "lit", "integer"),
         ("urn:p1", "e:near", "urn:p2", "uri", None),
         ("urn:p1", "e:near", "urn:p3", "uri", None),
-        ("b1", "e:name", "two", "lit", "string"),
+        ("_:b1", "e:name", "two", "lit", "string"),
     }
 
 
@@ -39,6 +39,7 @@ def test_ntriples(spark, tmp_path):
     rows = [
         ("urn:a", "urn:p", 'say "hi"\\\n\tend', "lit", "string", None),
         ("urn:a", "urn:q", "5", "lit", "integer", None),
+        ("urn:a", "urn:r", "ça \u2028 va", "lit", "@fr", None),
         ("_:x", "urn:p", "urn:b", "uri", None, None),
         ("urn:a", "urn:p", "_:x", "bnode", None, None),
     ]
