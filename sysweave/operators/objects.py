@@ -16,11 +16,12 @@ from sysweave.functions.paths import (
     port,
     starts_with_any,
 )
+from sysweave.functions.identity import node_text
 from sysweave.functions.values import decode_octal
 from sysweave.model import TYPE, as_set, settled
 from sysweave.operators.calls import FLOW, kind_of, normalise_pids
 from sysweave.operators.ordered import scan
-from sysweave.operators.relations import file_node, process_node
+from sysweave.operators.relations import file_node
 from sysweave.sources.tables import tables_to_triples
 from sysweave.operators.textscan import find_sql_column
 
@@ -444,14 +445,17 @@ def changes_only(facts: DataFrame) -> DataFrame:
 
 
 def trace_to_triples(processes: DataFrame, file_accesses: DataFrame) -> DataFrame:
-    """Processes, files and accesses as a graph; each table is read once."""
+    """Processes, files and accesses as a graph; each table is read once.
+
+    A process is named by its session and number, so numbers may come again.
+    """
     procs = tables_to_triples(
         processes,
         "process",
-        {"Handle": "pid"},
+        {"Session": "session", "Handle": "pid"},
         properties={"t_create": "t_create", "t_end": "t_end", "command": "command"},
         links={
-            "ppid": ("process", {"Handle": "ppid"}),
+            "ppid": ("process", {"Session": "session", "Handle": "ppid"}),
             "executable": ("file", {"Name": "executable"}),
         },
         layout="rows",
@@ -464,7 +468,7 @@ def trace_to_triples(processes: DataFrame, file_accesses: DataFrame) -> DataFram
             o_type.alias("o_type"),
         )
 
-    file, process = file_node(), process_node()
+    file, process = file_node(), node_text("process", {"Session": "session", "Handle": "pid"})
     facts = F.array(
         fact(file, TYPE, F.lit("file"), "uri"),
         fact(file, "category", path_category(F.col("path")), "lit"),

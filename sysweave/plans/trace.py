@@ -786,16 +786,16 @@ def changes_only(spark, sf):
     "t32_trace_to_triples",
     PROCS.replace("procs as (", "procs as (", 1)
     + ACCESSES[len(CALLS):]
-    + """, t as (select 'process.Handle='||pid s, 'rdf:type' p, 'process' o from procs
-    union select 'process.Handle='||pid, 't_create', t_create from procs
-    union select 'process.Handle='||pid, 't_end', t_end from procs
-    union select 'process.Handle='||pid, 'command', command from procs where command is not null
-    union select 'process.Handle='||pid, 'ppid', 'process.Handle='||ppid from procs where ppid is not null
-    union select 'process.Handle='||pid, 'executable', 'file.Name='||executable from procs where executable is not null
+    + """, t as (select 'process.Session=events,Handle='||pid s, 'rdf:type' p, 'process' o from procs
+    union select 'process.Session=events,Handle='||pid, 't_create', t_create from procs
+    union select 'process.Session=events,Handle='||pid, 't_end', t_end from procs
+    union select 'process.Session=events,Handle='||pid, 'command', command from procs where command is not null
+    union select 'process.Session=events,Handle='||pid, 'ppid', 'process.Session=events,Handle='||ppid from procs where ppid is not null
+    union select 'process.Session=events,Handle='||pid, 'executable', 'file.Name='||executable from procs where executable is not null
     union select 'file.Name='||path, 'rdf:type', 'file' from acc
     union select 'file.Name='||path, 'category', 'Others' from acc
-    union select 'process.Handle='||pid, 'reads', 'file.Name='||path from acc where n_read>0
-    union select 'process.Handle='||pid, 'writes', 'file.Name='||path from acc where n_write>0)
+    union select 'process.Session=events,Handle='||pid, 'reads', 'file.Name='||path from acc where n_read>0
+    union select 'process.Session=events,Handle='||pid, 'writes', 'file.Name='||path from acc where n_write>0)
     select * from t""",
 )
 def trace_to_triples(spark, sf):
