@@ -22,7 +22,7 @@ ARROW = {
     "boolean": pa.bool_(),
     "array<long>": pa.list_(pa.int64()),
     "array<int>": pa.list_(pa.int32()),
-    "array<double>": pa.list_(pa.float64()),
+    "array<float>": pa.list_(pa.float32()),
     "array<string>": pa.list_(pa.string()),
 }
 

@@ -12,15 +12,15 @@ place of its posterior, and is trained on before others.
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sysweave.llm.batches import documents, filter_rows, map_rows, read
-from sysweave.llm.ngramlm import ODD, mixed, word_hashes
+from sysweave.llm.batches import arrow_schema, documents, read, slices
+from sysweave.llm.ngramlm import ODD, mixed, powers, word_hashes
 from sysweave.llm.registry import query
 from sysweave.llm.weak import reliabilities, sigmoid, train_linear
 from sysweave.session import cut
@@ -32,9 +32,7 @@ SLOTS = 1 << 18
 #: of the sample have it, and so many times the share of the others.
 NEEDED, RATIO = 5, 15
 #: Probability from which a text counts as abusive.
-ABUSIVE_FROM = 0.6
-#: Word slots a worker remembers.
-REMEMBERED = 200_000
+ABUSIVE_FROM = 0.5
 
 # Frequent small words of four languages, and groups of abusive words (fixed values).
 SMALL = frozenset(
@@ -49,19 +47,25 @@ ABUSE = [
     "loser clown disgusting jerk pig creep freak crap".split(),
     "idiot moron scum trash loser clown worthless pathetic stupid disgusting bastard bitch shit fuck".split(),
 ]
-ABUSIVE = re.compile(r"\b(" + "|".join(sorted({w for g in ABUSE for w in g})) + r")s?\b", re.I)
 #: Below and above these a labeller says good and bad.
 SYMBOLS, CAPITALS, REPEATS, TWICE = (0.03, 0.10), (0.15, 0.35), (0.15, 0.35), (0.05, 0.20)
 
 LETTERS = np.zeros(256, np.int8)
 LETTERS[65:91], LETTERS[97:123] = 1, 2
-MARKS = np.zeros(256, bool)
-MARKS[[ord(c) for c in "#*$%&|<>{}~^=\\"]] = True
-STOPS = np.zeros(256, bool)
-STOPS[[ord(c) for c in ".!?"]] = True
+
+
+def among(characters: str) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[[ord(c) for c in characters]] = True
+    return table
+
+
+MARKS, STOPS, EDGES = among("#*$%&|<>{}~^=\\"), among(".!?"), among(".,;:!?\"'()[]")
 N_QUALITY = 9
 #: A labeller seldom calls a good text bad, but may miss a bad one; and so with abuse.
 START = {"quality": (0.95, 0.5), "abuse": (0.5, 0.05)}
+#: Bytes of the beginnings of words that may speak for abuse.
+BEGINNINGS = (4, 5, 6)
 
 
 @functools.lru_cache(maxsize=1)
@@ -69,128 +73,204 @@ def small_words() -> np.ndarray:
     return np.unique(word_hashes(" ".join(SMALL).encode())[0])
 
 
-def limit(share: float, good: float, bad: float) -> int:
-    return 1 if share < good else -1 if share > bad else 0
-
-
-def quality_votes(data: bytes) -> list[int]:
-    """What each labeller says of a text: 1 good, -1 bad, 0 nothing."""
-    words, firsts, lasts = word_hashes(data.lower())
-    n = len(words)
-    if n < 5:
-        return [0] * N_QUALITY
-    coded = np.frombuffer(data, np.uint8)
-    kinds = np.bincount(LETTERS[coded], minlength=3)
-    symbols = MARKS[coded].sum() / n
-    capitals = kinds[1] / max(1, kinds[1] + kinds[2])
-    grams = mixed((words[:-2] * np.uint64(ODD) + words[1:-1]) * np.uint64(ODD) + words[2:])
-    repeats = 1 - len(np.unique(grams)) / len(grams)
-    small = np.isin(words, small_words(), kind="sort").mean()
-    twice = (words[1:] == words[:-1]).mean()
-    # Different words in each hundred, over all hundreds.
-    varied = len(np.unique(words + (np.arange(n) // 100).astype(np.uint64) * np.uint64(ODD))) / n
-    length = (lasts - firsts).mean()
-    ends = STOPS[coded[lasts - 1]].mean()
-    # Words of letters only, but for one mark at the end; bytes beyond ASCII count as letters.
-    odd = np.concatenate(([0], np.cumsum((LETTERS[coded] == 0) & (coded < 128))))
-    plain = (odd[lasts - 1] == odd[firsts]).mean() - (odd[lasts] - odd[firsts] == lasts - firsts).mean()
-    return [
-        limit(symbols, *SYMBOLS),
-        limit(capitals, *CAPITALS),
-        limit(repeats, *REPEATS),
-        1 if small > 0.08 else -1 if small < 0.02 and n >= 20 else 0,
-        1 if 2.5 <= length <= 11 else -1,
-        1 if 0.01 <= ends <= 0.5 else -1 if n >= 30 else 0,
-        1 if plain > 0.85 else -1 if plain < 0.7 and n >= 20 else 0,
-        limit(twice, *TWICE),
-        0 if n < 50 else 1 if varied > 0.4 else -1 if varied < 0.25 else 0,
-    ]
-
-
-def abuse_votes(text: str) -> list[int]:
-    """For each group of abusive words 1 if the text has one, else -1."""
-    found = {w.lower() for w in ABUSIVE.findall(text)}
-    return [1 if found.intersection(group) else -1 for group in ABUSE]
-
-
-def slot_of(name: str) -> int:
-    return zlib.crc32(name.encode("utf-8", "replace")) % SLOTS
-
-
-class Words(dict):
-    """A word to the slots of the word itself and of its shape; fills itself."""
-
-    def __missing__(self, word: str) -> tuple[int, int]:
-        shape = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() else "a", word)
-        slots = (slot_of("w " + bare(word)), slot_of("s " + re.sub(r"\d+", "9", shape)))
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = slots
-        return slots
-
-
-class Beginnings(dict):
-    """A word to the slots of the word and its first letters, of those in ``chosen``."""
-
-    def __init__(self, chosen: np.ndarray | None):
-        super().__init__()
-        self.chosen = chosen
-
-    def __missing__(self, word: str) -> list[int]:
-        plain = bare(word)
-        slots = [slot_of(f"b {n} {plain[:n]}") for n in (4, 5, 99)] if plain else []
-        if self.chosen is not None:
-            slots = [x for x in slots if self.chosen[x]]
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = slots
-        return slots
-
-
-def bare(word: str) -> str:
-    return word.lower().strip(".,;:!?\"'()")
-
-
 @functools.lru_cache(maxsize=1)
-def known_words() -> Words:
-    return Words()
+def abusive_words() -> list[np.ndarray]:
+    """Hashes of each group's words and their plurals."""
+    groups = [Batch([" ".join([*g, *(w + "s" for w in g)])]) for g in ABUSE]
+    return [np.unique(g.spans(g.first, g.last)) for g in groups]
 
 
-def vote_slots(votes: list[int]) -> list[int]:
-    return [slot_of(f"v {i} {v}") for i, v in enumerate(votes)] + [slot_of("bias")]
+def one_of(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are among the sorted ``known``."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def quality_features(text: str, votes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, values): words and shapes by their share, of length 1 together, and the votes."""
-    known = known_words()
-    pairs = [known[w] for w in text.split()]
-    counts = np.bincount(np.array(pairs, np.int64).ravel()) if pairs else np.zeros(0)
-    slots = np.flatnonzero(counts)
-    values = counts[slots] / max(1.0, np.sqrt((counts[slots] ** 2).sum()))
-    named = vote_slots(votes)
-    return np.concatenate((slots, named)).astype(np.int64), np.concatenate((values, np.ones(len(named))))
+def limits(share: np.ndarray, good: float, bad: float) -> np.ndarray:
+    return np.where(share < good, 1, np.where(share > bad, -1, 0))
 
 
-def abuse_features(text: str, votes: list[int], beginnings: Beginnings) -> np.ndarray:
-    """Slots of the words and beginnings of words a text has, and of the votes."""
-    found: set[int] = set()
-    for word in set(text.split()):
-        found.update(beginnings[word])
-    return np.array([*sorted(found), *vote_slots(votes)], np.int64)
+def slot_of(name: str) -> int:
+    return zlib.crc32(name.encode()) % SLOTS
+
+
+@functools.lru_cache(maxsize=4)
+def vote_slots(n: int) -> tuple[np.ndarray, int]:
+    """Slots by labeller and vote + 1, and that of the bias."""
+    return np.array([[slot_of(f"v {i} {v}") for v in (-1, 0, 1)] for i in range(n)]), slot_of("bias")
+
+
+class Batch:
+    """The words of some texts as arrays, for all texts at a time."""
+
+    def __init__(self, texts: list):
+        coded = [(t or "").encode() for t in texts]
+        self.size = len(coded)
+        self.begin = np.cumsum([0, *(len(c) + 1 for c in coded)])
+        data = b"\n".join(coded)
+        self.raw = np.frombuffer(data, np.uint8)
+        lower = data.lower()
+        self.hash, self.first, self.last = word_hashes(lower)
+        self.owner = np.searchsorted(self.begin, self.first, "right") - 1
+        self.n = np.bincount(self.owner, minlength=self.size)
+        self.lower = np.frombuffer(lower, np.uint8)
+
+    @functools.cached_property
+    def sums(self) -> np.ndarray:
+        up, _ = powers(max(1 << 21, 1 << len(self.lower).bit_length()))
+        out = np.zeros(len(self.lower) + 1, np.uint64)
+        np.cumsum((self.lower.astype(np.uint64) + np.uint64(1)) * up[: len(self.lower)], out=out[1:])
+        return out
+
+    def spans(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """A hash of the bytes of each span, in lower case."""
+        _, down = powers(max(1 << 21, 1 << len(self.lower).bit_length()))
+        h = (self.sums[last] - self.sums[first]) * down[first]
+        return mixed(h + (last - first).astype(np.uint64) * np.uint64(ODD))
+
+    @functools.cached_property
+    def bare(self) -> tuple[np.ndarray, np.ndarray]:
+        """First byte and byte after the last of each word without marks around it."""
+        first, last = self.first.copy(), self.last.copy()
+        for _ in range(3):
+            first += EDGES[self.raw[first]] & (last - first > 1) if len(first) else 0
+            last -= EDGES[self.raw[last - 1]] & (last - first > 1) if len(first) else 0
+        return first, last
+
+    @functools.cached_property
+    def bare_hash(self) -> np.ndarray:
+        return self.spans(*self.bare)
+
+    def per_text(self, of_bytes: np.ndarray) -> np.ndarray:
+        """How many bytes of each text are marked."""
+        sums = np.concatenate(([0], np.cumsum(of_bytes)))
+        return sums[np.minimum(self.begin[1:], len(of_bytes))] - sums[self.begin[:-1]]
+
+    def mean(self, values: np.ndarray) -> np.ndarray:
+        """By text, over its words."""
+        return np.bincount(self.owner, values, self.size) / np.maximum(1, self.n)
+
+    def distinct(self, key: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """How many different keys each text has."""
+        key = key ^ mixed(owner.astype(np.uint64))
+        order = np.argsort(key)
+        new = np.append(True, key[order][1:] != key[order][:-1])[: len(order)]
+        return np.bincount(owner[order][new], minlength=self.size)
+
+    def quality_votes(self) -> np.ndarray:
+        """What each labeller says of each text: 1 good, -1 bad, 0 nothing."""
+        n, words, owner, raw = self.n, self.hash, self.owner, self.raw
+        kinds = LETTERS[raw]
+        upper = self.per_text(kinds == 1)
+        letters = upper + self.per_text(kinds == 2)
+        symbols = self.per_text(MARKS[raw]) / np.maximum(1, n)
+        grams = mixed((words[:-2] * np.uint64(ODD) + words[1:-1]) * np.uint64(ODD) + words[2:])
+        whole = owner[:-2] == owner[2:]
+        repeats = 1 - self.distinct(grams[whole], owner[:-2][whole]) / np.maximum(1, n - 2)
+        small = self.mean(one_of(words, small_words()))
+        length = self.mean(self.last - self.first)
+        ends = self.mean(STOPS[raw[self.last - 1]]) if len(words) else np.zeros(self.size)
+        # Words of letters only, but for one mark at the end; bytes beyond ASCII count as letters.
+        odd = np.concatenate(([0], np.cumsum((kinds == 0) & (raw < 128))))
+        clean = (odd[self.last - 1] == odd[self.first]) if len(words) else words
+        no_letter = odd[self.last] - odd[self.first] == self.last - self.first
+        plain = self.mean(clean) - self.mean(no_letter)
+        same = (words[1:] == words[:-1]) & (owner[1:] == owner[:-1])
+        twice = np.bincount(owner[1:][same], minlength=self.size) / np.maximum(1, n - 1)
+        # Different words in each hundred, over all hundreds.
+        place = np.arange(len(words)) - (np.cumsum(n) - n)[owner]
+        hundred = (place // 100).astype(np.uint64) * np.uint64(ODD)
+        varied = self.distinct(mixed(words + hundred), owner) / np.maximum(1, n)
+        votes = np.stack(
+            [
+                limits(symbols, *SYMBOLS),
+                limits(upper / np.maximum(1, letters), *CAPITALS),
+                limits(repeats, *REPEATS),
+                np.where(small > 0.08, 1, np.where((small < 0.02) & (n >= 20), -1, 0)),
+                np.where((length >= 2.5) & (length <= 11), 1, -1),
+                np.where((ends >= 0.01) & (ends <= 0.5), 1, np.where(n >= 30, -1, 0)),
+                np.where(plain > 0.85, 1, np.where((plain < 0.7) & (n >= 20), -1, 0)),
+                limits(twice, *TWICE),
+                np.where(n < 50, 0, np.where(varied > 0.4, 1, np.where(varied < 0.25, -1, 0))),
+            ],
+            1,
+        )
+        votes[n < 5] = 0
+        return votes
+
+    def abuse_votes(self) -> np.ndarray:
+        """For each text and group of abusive words 1 if the text has one, else -1."""
+        has = [
+            np.bincount(self.owner[one_of(self.bare_hash, g)], minlength=self.size) > 0
+            for g in abusive_words()
+        ]
+        return np.where(np.stack(has, 1), 1, -1)
+
+    def quality_slots(self) -> list[np.ndarray]:
+        """Slots of each word itself and of its shape."""
+        first, last = self.first, self.last
+        if not len(first):
+            return [self.owner, self.owner]
+        kinds = LETTERS[self.raw]
+        upper = np.concatenate(([0], np.cumsum(kinds == 1)))
+        odd = np.concatenate(([0], np.cumsum((kinds == 0) & (self.raw < 128))))
+        n_upper, n_odd = upper[last] - upper[first], odd[last] - odd[first]
+        end = self.raw[last - 1]
+        shape = np.minimum(n_upper, 2) * 4 + np.minimum(n_odd, 3)
+        shape = shape * 4 + np.where(EDGES[end], 1, np.where(MARKS[end], 2, np.where(end < 65, 3, 0)))
+        shape = shape * 8 + np.minimum(last - first, 21) // 3
+        return [
+            (self.bare_hash % np.uint64(SLOTS)).astype(np.int64),
+            (mixed(shape.astype(np.uint64) + np.uint64(1 << 40)) % np.uint64(SLOTS)).astype(np.int64),
+        ]
+
+    def abuse_slots(self) -> list[np.ndarray]:
+        """Slots of each word and of its beginnings."""
+        first, last = self.bare
+        made = [self.bare_hash]
+        made += [
+            self.spans(first, np.minimum(last, first + n)) ^ np.uint64(n * 0x1234567) for n in BEGINNINGS
+        ]
+        return [(h % np.uint64(SLOTS)).astype(np.int64) for h in made]
+
+    def features(self, column: str) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(slots, values) of each text for the scorer of ``column``: shares of words and
+        shapes for quality, for abuse the words and beginnings it has; and the votes."""
+        quality = column == "quality"
+        votes = self.quality_votes() if quality else self.abuse_votes()
+        table, bias = vote_slots(votes.shape[1])
+        words = self.quality_slots() if quality else self.abuse_slots()
+        ends = np.cumsum(self.n)
+        out = []
+        for i, (a, b) in enumerate(zip(ends - self.n, ends, strict=True)):
+            slots, counts = np.unique(np.concatenate([w[a:b] for w in words]), return_counts=True)
+            values = counts / max(1, b - a) if quality else np.ones(len(slots))
+            named = np.append(table[np.arange(votes.shape[1]), votes[i] + 1], bias)
+            out.append((np.concatenate((slots, named)), np.concatenate((values, np.ones(len(named))))))
+        return out
+
+
+def voted(votes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """What the votes and the bias add to each text's score."""
+    table, bias = vote_slots(votes.shape[1])
+    return weights[table[np.arange(votes.shape[1])[None, :], votes + 1]].sum(1) + weights[bias]
 
 
 VOTES = "doc_id long, quality array<int>, abuse array<int>"
 
 
 def votes_of(docs: DataFrame) -> DataFrame:
-    def make():
-        def fn(ids, texts):
-            texts = [t or "" for t in texts]
-            return ids, [quality_votes(t.encode()) for t in texts], [abuse_votes(t) for t in texts]
+    """VOTES of each row of (doc_id, text)."""
 
-        return fn
+    def run(batches):
+        schema = arrow_schema(VOTES)
+        for batch in batches:
+            for part in slices(batch, rows=2048, chars=1_000_000):
+                texts = Batch(part.column(1).to_pylist())
+                votes = [texts.quality_votes(), texts.abuse_votes()]
+                columns = [pa.array(list(v), f.type) for v, f in zip(votes, list(schema)[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], schema=schema)
 
-    return map_rows(docs, make, VOTES)
+    return docs.mapInArrow(run, VOTES)
 
 
 def posteriors(votes: DataFrame, column: str) -> dict[tuple, float]:
@@ -213,17 +293,25 @@ class Model:
 
     def __init__(self, quality: np.ndarray, abuse: np.ndarray):
         self.quality, self.abuse = quality, abuse
-        self.beginnings = Beginnings(abuse != 0)
 
-    def score(self, text: str | None) -> tuple[int, float, float, bool]:
-        """(words, quality, abuse, kept) of a text; one without words is not kept."""
-        text = text or ""
-        slots, values = quality_features(text, quality_votes(text.encode()))
-        quality = float(sigmoid(self.quality[slots] @ values))
-        slots = abuse_features(text, abuse_votes(text), self.beginnings)
-        abuse = float(sigmoid(self.abuse[slots].sum()))
-        n = len(text.split())
-        return n, quality, abuse, bool(n and quality >= 0.5 and abuse < ABUSIVE_FROM)
+    def score(self, texts: list) -> list[np.ndarray]:
+        """[words, quality, abuse, kept] of some texts; one without words is not kept."""
+        some = Batch(texts)
+        logit = voted(some.quality_votes(), self.quality)
+        for slots in some.quality_slots():
+            logit = logit + some.mean(self.quality[slots])
+        quality = sigmoid(logit)
+        logit = voted(some.abuse_votes(), self.abuse)
+        # A word counts once, however often a text has it.
+        slots, owner = [], []
+        for found in some.abuse_slots():
+            at = np.flatnonzero(self.abuse[found])
+            slots.append(found[at])
+            owner.append(some.owner[at])
+        pairs = np.unique(np.concatenate(owner) * SLOTS + np.concatenate(slots))
+        logit = logit + np.bincount(pairs // SLOTS, self.abuse[pairs % SLOTS], some.size)
+        abuse = sigmoid(logit)
+        return [some.n, quality, abuse, (some.n > 0) & (quality >= 0.5) & (abuse < ABUSIVE_FROM)]
 
 
 def sample_of(votes: DataFrame, column: str, p: dict[tuple, float], trained_on: int) -> DataFrame:
@@ -271,43 +359,43 @@ def train(docs: DataFrame, labels: DataFrame | None, trained_on: int = TRAINED_O
         some = sample_of(votes, column, posteriors(votes, column), trained_on)
         # 2 * trained_on ids at most
         sample = docs.join(F.broadcast(some), "doc_id").select("label", "text")
-        rows = map_rows(
-            sample,
-            lambda of=column: functools.partial(features_for, of),
-            "label double, slots array<long>, parts array<double>",
-        ).collect()
-        weights.append(fitted(rows, column == "abuse"))
+        weights.append(fitted(features_of(sample, column).toArrow(), column == "abuse"))
     return Model(*weights)
 
 
-def features_for(column: str, labels: list, texts: list) -> list[list]:
-    """(labels, slots, values) of some texts, for the scorer of ``column``."""
-    texts = [t or "" for t in texts]
-    if column == "quality":
-        made = [quality_features(t, quality_votes(t.encode())) for t in texts]
-        return [labels, [m[0] for m in made], [m[1] for m in made]]
-    every = Beginnings(None)
-    made = [abuse_features(t, abuse_votes(t), every) for t in texts]
-    return [labels, made, [np.ones(0)] * len(made)]
+def features_of(sample: DataFrame, column: str) -> DataFrame:
+    """(label, slots, parts) of (label, text), for the scorer of ``column``."""
+    ddl = "label double, slots array<int>, parts array<float>"
 
+    def run(batches):
+        schema = arrow_schema(ddl)
+        for batch in batches:
+            for part in slices(batch, rows=2048, chars=1_000_000):
+                made = Batch(part.column(1).to_pylist()).features(column)
+                columns = [pa.array([m[c] for m in made], schema[c + 1].type) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], schema=schema)
 
-def fitted(rows: list, chosen_only: bool) -> np.ndarray:
-    """Weights for the features of labelled texts; with ``chosen_only`` just for the votes
+    return sample.mapInArrow(run, ddl)
+
+
+def fitted(rows: pa.Table, chosen_only: bool) -> np.ndarray:
+    """Weights for the features (label, slots, parts) of labelled texts; with ``chosen_only`` just for the votes
     and for features that the class 1 has far oftener than the other."""
-    if not rows:
+    if not rows.num_rows:
         return np.zeros(SLOTS)
-    labels = np.array([r["label"] for r in rows])
-    slots = np.concatenate([np.array(r["slots"], np.int64) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), [len(r["slots"]) for r in rows])
+    labels = rows["label"].to_numpy()
+    lists = rows["slots"].combine_chunks()
+    slots = lists.flatten().to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(labels)), lists.value_lengths().to_numpy())
     if not chosen_only:
-        values = np.concatenate([np.array(r["parts"]) for r in rows])
+        values = rows["parts"].combine_chunks().flatten().to_numpy().astype(float)
         return train_linear(slots, owner, values, labels, SLOTS)
     yes = np.bincount(slots, labels[owner], SLOTS)
     no = np.bincount(slots, 1 - labels[owner], SLOTS)
     share, other = yes / max(1, labels.sum()), (no + 0.3) / max(1, (1 - labels).sum())
     chosen = (yes >= NEEDED) & (share >= RATIO * other)
-    for v in (-1, 1):
-        chosen[vote_slots([v] * len(ABUSE))] = True
+    table, bias = vote_slots(len(ABUSE))
+    chosen[table.ravel()] = chosen[bias] = True
     kept = chosen[slots]
     return train_linear(slots[kept], owner[kept], np.ones(kept.sum()), labels, SLOTS)
 
@@ -334,10 +422,15 @@ def judge(
     docs = documents(docs, id_col, text_col)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, trained_on))
 
-    def make():
-        return lambda ids, texts: (ids, *map(list, zip(*map(model.value.score, texts), strict=True)))
+    def run(batches):
+        schema = arrow_schema(SCORED)
+        for batch in batches:
+            for part in slices(batch, rows=2048, chars=1_000_000):
+                made = model.value.score(part.column(1).to_pylist())
+                columns = [pa.array(c, f.type) for c, f in zip(made, list(schema)[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], schema=schema)
 
-    return map_rows(docs, make, SCORED)
+    return docs.mapInArrow(run, SCORED)
 
 
 def good_documents(
@@ -351,10 +444,13 @@ def good_documents(
     chosen = documents(docs, id_col, text_col)
     model = docs.sparkSession.sparkContext.broadcast(train(chosen, labels, trained_on))
 
-    def make():
-        return lambda texts: [model.value.score(t)[3] for t in texts]
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for part in slices(batch, rows=2048, chars=1_000_000):
+                yield part.filter(pa.array(model.value.score(part.column(at).to_pylist())[3]))
 
-    return filter_rows(docs, [text_col], make)
+    return docs.mapInArrow(run, docs.schema)
 
 
 @query("op1_quality")
