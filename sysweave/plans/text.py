@@ -47,15 +47,28 @@ def find_sql(spark, sf):
     return x.find_sql(statements(spark, sf))
 
 
+def notes(spark, sf):
+    """Documents with a statement about themselves written below their text."""
+    docs = spread(v.table(spark, sf, "documents"))
+    key = F.col("doc_id").cast("string")
+    change = F.concat(F.lit("update documents set n_chars = "), F.col("n_chars").cast("string"), F.lit(" where doc_id = "), key)
+    ask = F.concat(F.lit("SELECT lang, n_chars FROM "), "source", F.lit(" WHERE doc_id = "), key)
+    text = F.concat("text", F.lit("\n["), F.when(F.col("doc_id") % 3 == 0, change).otherwise(ask), F.lit("]"))
+    return docs.select(F.col("doc_id").alias("source"), text.alias("text"))
+
+
+NOTES = """n as (select doc_id, text||chr(10)||'['||case when doc_id%3=0 then 'update documents set n_chars = '||n_chars||' where doc_id = '||doc_id
+   else 'SELECT lang, n_chars FROM '||source||' WHERE doc_id = '||doc_id end||']' as text from documents)"""
+
+
 @query(
     "x1_find_sql_documents",
-    f"""select doc_id as source, 'SELECT' kind, unnest(regexp_extract_all(text, '(?i)select\\s+{CHARS}\\s+from\\s+{CHARS}', 0)) as text from documents
-    union all select doc_id, 'INSERT', unnest(regexp_extract_all(text, '(?i)insert\\s+{CHARS}\\s+into\\s+{CHARS}', 0)) from documents
-    union all select doc_id, 'UPDATE', unnest(regexp_extract_all(text, '(?i)update\\s+{CHARS}\\s+set\\s+{CHARS}', 0)) from documents""",
+    f"""with {NOTES} select doc_id as source, 'SELECT' kind, unnest(regexp_extract_all(text, '(?i)select\s+{CHARS}\s+from\s+{CHARS}', 0)) as text from n
+    union all select doc_id, 'INSERT', unnest(regexp_extract_all(text, '(?i)insert\s+{CHARS}\s+into\s+{CHARS}', 0)) from n
+    union all select doc_id, 'UPDATE', unnest(regexp_extract_all(text, '(?i)update\s+{CHARS}\s+set\s+{CHARS}', 0)) from n""",
 )
 def find_sql_documents(spark, sf):
-    docs = spread(v.table(spark, sf, "documents"))
-    return x.find_sql(docs.select(F.col("doc_id").alias("source"), "text"))
+    return x.find_sql(notes(spark, sf))
 
 
 @query(
