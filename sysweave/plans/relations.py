@@ -670,7 +670,7 @@ def open_modes(spark, sf):
 
 @query(
     "c13_decode_octal",
-    """select p_partkey, 'A'||p_name||chr(10)||chr(9)||'"zé\q'||chr(8364) as text from part""",
+    """select p_partkey, 'A'||p_name||chr(10)||chr(9)||'"zé\\q'||chr(8364) as text from part""",
 )
 def decode_octal(spark, sf):
     p = v.table(spark, sf, "part")

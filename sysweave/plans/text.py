@@ -63,9 +63,9 @@ NOTES = """n as (select doc_id, text||chr(10)||'['||case when doc_id%3=0 then 'u
 
 @query(
     "x1_find_sql_documents",
-    f"""with {NOTES} select doc_id as source, 'SELECT' kind, unnest(regexp_extract_all(text, '(?i)select\s+{CHARS}\s+from\s+{CHARS}', 0)) as text from n
-    union all select doc_id, 'INSERT', unnest(regexp_extract_all(text, '(?i)insert\s+{CHARS}\s+into\s+{CHARS}', 0)) from n
-    union all select doc_id, 'UPDATE', unnest(regexp_extract_all(text, '(?i)update\s+{CHARS}\s+set\s+{CHARS}', 0)) from n""",
+    f"""with {NOTES} select doc_id as source, 'SELECT' kind, unnest(regexp_extract_all(text, '(?i)select\\s+{CHARS}\\s+from\\s+{CHARS}', 0)) as text from n
+    union all select doc_id, 'INSERT', unnest(regexp_extract_all(text, '(?i)insert\\s+{CHARS}\\s+into\\s+{CHARS}', 0)) from n
+    union all select doc_id, 'UPDATE', unnest(regexp_extract_all(text, '(?i)update\\s+{CHARS}\\s+set\\s+{CHARS}', 0)) from n""",
 )
 def find_sql_documents(spark, sf):
     return x.find_sql(notes(spark, sf))
@@ -317,13 +317,13 @@ BAYES_SQL = """d as (select documents.doc_id id, quality as label, regexp_extrac
 
 @query(
     "x13_classify_buffers",
-    f"with {BAYES_SQL} select id, max_by(label, round(score, 6)) predicted, round(max(score), 3) score from sc group by id",
+    f"with {BAYES_SQL} select id, max_by(label, round(score, 6)) predicted, round(max(score), 2) score from sc group by id",
 )
 def classify_buffers(spark, sf):
     """Trained on the labelled documents; all documents are classified."""
     every = spread(v.table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), "text")
     found = sim.classify_buffers(sim.train_bayes(labelled(spark, sf)), every)
-    return found.withColumn("score", F.round("score", 3))
+    return found.withColumn("score", F.round("score", 2))
 
 
 @query(
