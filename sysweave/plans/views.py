@@ -80,17 +80,30 @@ def part_facts(spark, sf, **kw):
     )
 
 
+def line_facts(spark, sf, **kw):
+    return tables_to_triples(
+        table(spark, sf, "lineitem"),
+        "line",
+        {"order": "l_orderkey", "number": "l_linenumber"},
+        {"l_returnflag": "l_returnflag", "l_linestatus": "l_linestatus"},
+        {"of_order": ("order", {"key": "l_orderkey"}), "of_part": ("part", {"key": "l_partkey"})},
+        **kw,
+    )
+
+
 def geography(spark, sf, **kw) -> DataFrame:
     return union_all([f(spark, sf, **kw) for f in (region_facts, nation_facts, customer_facts)])
 
 
 def everything(spark, sf, **kw) -> DataFrame:
-    parts = (region_facts, nation_facts, customer_facts, supplier_facts, order_facts, part_facts)
+    parts = (
+        region_facts, nation_facts, customer_facts, supplier_facts, order_facts, part_facts, line_facts,
+    )
     return union_all([f(spark, sf, **kw) for f in parts])
 
 
-def _facts_sql(tab: str, cls: str, key: str, props: dict[str, str], links: dict) -> str:
-    s = f"'{cls}.key=' || {key}"
+def _facts_sql(tab: str, cls: str, key: str, props: dict[str, str], links: dict, name: str = "key") -> str:
+    s = f"'{cls}.{name}=' || {key}"
     rows = [f"select {s} s, 'rdf:type' p, '{cls}' o, 'uri' o_kind, cast(null as varchar) o_type from {tab}"]
     for prop, kind in props.items():
         rows.append(f"select {s}, '{prop}', cast({prop} as varchar), 'lit', '{kind}' from {tab}")
@@ -118,7 +131,12 @@ PART_SQL = _facts_sql(
     "part", "part", "p_partkey", {"p_name": "string", "p_brand": "string", "p_size": "integer"}, {}
 )
 GEOGRAPHY_SQL = " union all ".join([REGION_SQL, NATION_SQL, CUSTOMER_SQL])
-EVERYTHING_SQL = " union all ".join([GEOGRAPHY_SQL, SUPPLIER_SQL, ORDER_SQL, PART_SQL])
+LINE_SQL = _facts_sql(
+    "lineitem", "line", "l_orderkey || ',number=' || l_linenumber",
+    {"l_returnflag": "string", "l_linestatus": "string"},
+    {"of_order": ("order", "l_orderkey"), "of_part": ("part", "l_partkey")}, "order",
+)
+EVERYTHING_SQL = " union all ".join([GEOGRAPHY_SQL, SUPPLIER_SQL, ORDER_SQL, PART_SQL, LINE_SQL])
 
 # Directories of the given tables: region / nation / customer, and orders below.
 TREE_SQL = """
