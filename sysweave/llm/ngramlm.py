@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sysweave.llm.batches import arrow_schema, documents, read, slices
 from sysweave.llm.registry import query
-from sysweave.session import shared_folder
+from sysweave.session import run_folder
 
 #: Bytes of training text for each range of pairs.
 RANGE_BYTES = 16_000_000
@@ -351,7 +351,7 @@ def train(texts: DataFrame) -> Model:
     as much at every size. The arrays stay in the shared folder.
     """
     spark = texts.sparkSession
-    folder = f"{local_path(shared_folder(spark))}/sysweave/lm-{uuid.uuid4().hex}"
+    folder = f"{local_path(run_folder(spark))}/lm-{uuid.uuid4().hex}"
     os.makedirs(folder, exist_ok=True)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(24, -(-size // RANGE_BYTES))
