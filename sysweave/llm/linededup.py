@@ -197,8 +197,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int =
         .where("next < 0 or next > first + 1")
         .select("doc_id", "start", "last", "earlier", "shift")
     )
-    # Written as well: a third of all runs may have come first in one document.
-    lines = cut(
+    lines = (
         found.where("line < 0 and doc_id is not null")
         .groupBy("doc_id")
         .agg(F.min("hash").alias("lines"), F.min("print").alias("n_words"))
