@@ -1,7 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds and local alignment.
 
 The n-grams of the test items are counted over all documents, and each item
-keeps those as seeds that are not far more common than its usual ones. Where a document has a seed, the
+keeps those as seeds that are not far more common than its usual ones, or than
+the rarest of some stretch around them that is long enough to count as a copy.
+So each such stretch has seeds, however often it is quoted. Where a document has a seed, the
 passage around it is aligned with the item (Smith and Waterman), so that copies
 with words changed, dropped or put in are found too. Test items are taken in
 blocks of bounded size; each block goes through all documents.
@@ -9,6 +11,8 @@ blocks of bounded size; each block goes through all documents.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,8 +24,8 @@ from sysweave.llm.registry import query
 
 #: Words in a seed.
 GRAM = 3
-#: An n-gram is a seed if it occurs in at most so many times as many documents as the
-#: item's middle n-gram, and so many more. Copies raise all counts of an item alike.
+#: An n-gram is a seed if it occurs in at most so many times as many documents, and so
+#: many more, as the item's middle n-gram or the rarest of a stretch that counts as a copy.
 TIMES, MORE = 4, 16
 #: Least share of an item's best possible alignment score that counts as a copy.
 LEAST = 0.3
@@ -50,6 +54,29 @@ def grams_of(words: np.ndarray) -> np.ndarray:
     return mixed(rolled)
 
 
+def over_windows(best, values: np.ndarray, width: int) -> np.ndarray:
+    """``best``, np.minimum or np.maximum, of each ``width`` values in a row."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        values = best(values[:-step], values[step:])
+        done += step
+    return values
+
+
+def seed_limits(counts: np.ndarray) -> np.ndarray:
+    """The greatest count that makes a seed of each n-gram of an item, from their counts in order.
+
+    The least words in a row whose score is LEAST make a window; each window's
+    rarest n-gram is a seed.
+    """
+    words = len(counts) + GRAM - 1
+    width = max(1, math.ceil(LEAST * words - 1e-9) - GRAM + 1)
+    least = np.pad(over_windows(np.minimum, counts, width), width - 1)
+    usual = np.sort(counts)[(len(counts) - 1) // 2]
+    return TIMES * np.maximum(over_windows(np.maximum, least, width), usual) + MORE
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """(score, first, last) of the best local alignment: the words of the passage it spans.
 
@@ -99,16 +126,16 @@ class Items:
         return found, at[found]
 
     def keep_rare(self, counts: np.ndarray) -> None:
-        """Keep of each item the n-grams that are rare for it."""
+        """Keep of each item the n-grams that are rare for it or for a stretch of it."""
         if not len(self.item):
             return
         owner = np.repeat(np.arange(len(self.gram)), self.stop - self.first)
         n = counts[owner]
         rare = np.zeros(len(self.item), bool)
-        order = np.lexsort((n, self.item))
+        order = np.lexsort((self.place, self.item))
         starts = np.flatnonzero(np.append(True, self.item[order][1:] != self.item[order][:-1]))
         for group in np.split(order, starts[1:]):
-            rare[group] = n[group] <= TIMES * n[group[(len(group) - 1) // 2]] + MORE
+            rare[group] = n[group] <= seed_limits(n[group])
         self.item, self.place, owner = self.item[rare], self.place[rare], owner[rare]
         kept, self.first = np.unique(owner, return_index=True)
         self.gram, self.stop = self.gram[kept], np.append(self.first[1:], len(owner))

@@ -59,6 +59,29 @@ def test_blocks_change_nothing(planted):
     assert key(d.copies_of(docs, items).collect()) == key(d.copies_of(docs, items, block_words=100).collect())
 
 
+def test_part_quoted_often(spark, rng):
+    """A part of an item that far more documents have than the rest of it."""
+    words = prose(rng, 40, 5000).split()
+    part = " ".join(words[20:36])
+    rows = [(0, f"{prose(rng, 50, 5000)} {' '.join(words)}")]
+    rows += [(i, f"{prose(rng, 50, 5000)} {part} {prose(rng, 50, 5000)}") for i in range(1, 101)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in d.copies_of(docs, items).collect()}
+    assert set(got) == set(range(101)) and min(got.values()) >= 0.4
+    assert d.without_copies(docs, items).count() == 0
+
+
+def test_each_window_has_a_seed(rng):
+    for _ in range(300):
+        counts = np.array([rng.choice([1, 3, 50, 1000, 10**6]) for _ in range(rng.randint(1, 60))])
+        kept = counts <= d.seed_limits(counts)
+        words = len(counts) + d.GRAM - 1
+        need = next(w for w in range(1, words + 1) if w / words >= d.LEAST)
+        width = max(1, need - d.GRAM + 1)
+        assert all(kept[i : i + width].any() for i in range(len(counts) - width + 1))
+
+
 def test_odd_documents(spark, odd_documents):
     rows = [(1, None), (None, "said twice by a row"), (3, ""), (4, "said twice"), (5, "naïve café, 漢字 🙂"), (5, "x")]
     items = spark.createDataFrame(rows, "item_id long, text string").selectExpr("*", "1 as doc_id")
