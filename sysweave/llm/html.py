@@ -1,15 +1,17 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block of the page. The text lengths of
-a few lines in a row are summed; where the sums surge the main text begins, and
-where they dive it ends. Lines of menus, headers, footers, side columns, notices,
-adverts, forms and reader comments weigh nothing, nor do lines made of links or
-lines outside the heaviest article element, if the page has one.
+Markup is stripped to lines, one for each block of the page. The weights of a few
+lines in a row are summed; where the sums surge main text begins, and where they
+dive it ends. A line weighs as much as it has text outside links. Text in an
+article element weighs more, and text around article elements less. Lines of menus,
+headers, footers, side columns, notices, adverts, forms and reader comments weigh
+nothing.
 """
 
 from __future__ import annotations
 
 import html as references
+import itertools
 import re
 
 from pyspark.sql import DataFrame
@@ -20,8 +22,12 @@ from sysweave.llm.registry import query
 
 #: Lines in a block of lines.
 WINDOW = 3
-#: A page without an article element needs this much text in a block of lines.
-SURGE = 80
+#: Main text begins with this much weight in a block of lines, or half of the page's greatest
+#: block if that is less; it ends under a share of that.
+SURGE, DIVE = 80, 0.25
+#: Weight of a character in an article element, in a page without one, and elsewhere; and of
+#: a character of a link in an article element.
+INSIDE, PLAIN, OUTSIDE, LINKED = 6, 1, 0.25, 1
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -154,48 +160,51 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
     return out
 
 
-def surges(weights: list[int], least: int) -> list[tuple[int, int]]:
-    """[start, end) of the runs of lines whose blocks of WINDOW lines hold ``least`` characters."""
+def surges(weights: list[float], least: float) -> list[tuple[int, int]]:
+    """[start, end) of the runs of lines that begin with a block of WINDOW lines of weight
+    ``least`` and end with the last line of the last block of DIVE times that."""
     n, runs, start = len(weights), [], None
-    sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
-    for i, total in enumerate(sums):
-        if total >= least and start is None:
-            start = i
-        elif total < least and start is not None:
-            runs.append((start, i))
+    for i in range(n + 1):
+        total = sum(weights[i : i + WINDOW])
+        if start is None:
+            if total >= least:
+                start = i
+        elif total < DIVE * least:
+            runs.append((start, min(n, i + WINDOW - 1)))
             start = None
-    if start is not None:
-        runs.append((start, n))
     return runs
 
 
+def weight(text: str, linked: int, article: int, aside: bool, has_articles: bool) -> float:
+    """What a line adds to its blocks."""
+    if aside:
+        return 0
+    if article:
+        return INSIDE * (len(text) - linked) + LINKED * linked
+    return (OUTSIDE if has_articles else PLAIN) * max(0, len(text) - 2 * linked)
+
+
 def main_text(page: str | None) -> str:
     """The main text, its blocks joined by line ends in page order; empty if there is none."""
     lines = lines_of(page or "")
-    mass: dict[int, int] = {}
-    for text, _, article, aside in lines:
-        if not aside and article:
-            mass[article] = mass.get(article, 0) + len(text)
-    if mass:
-        best = max(mass, key=lambda a: (mass[a], -a))
-        weights = [
-            len(text) if article == best and not aside else 0 for text, _, article, aside in lines
-        ]
-        least = 1
-    else:
-        weights = [
-            0 if aside or 2 * linked > len(text) else len(text) for text, linked, _, aside in lines
-        ]
-        least = SURGE if max(weights, default=0) >= SURGE else 1
-    runs = surges(weights, least)
-    if not runs:
+    # An aside inside an article does not end its text.
+    lines = [x for x in lines if not (x[2] and x[3])]
+    has_articles = any(x[2] for x in lines)
+    parts = [
+        [(x[0], weight(*x, has_articles)) for x in part]
+        for _, part in itertools.groupby(lines, key=lambda x: x[2])
+    ]
+    sums = (sum(w for _, w in part[i : i + WINDOW]) for part in parts for i in range(len(part)))
+    least = min(SURGE, max(sums, default=0) / 2)
+    if not least:
         return ""
-    first, last = runs[0][0], runs[-1][1]
-    if least > 1:  # a block may begin before its first line and end after its last
-        last = min(len(lines), last + WINDOW - 1)
-    return "\n".join(
-        line[0] for line, w in zip(lines[first:last], weights[first:last], strict=True) if w
-    )
+    out = []
+    for part in parts:
+        after = 0  # runs may share lines
+        for first, last in surges([w for _, w in part], least):
+            out += [text for text, w in part[max(first, after) : last] if w]
+            after = last
+    return "\n".join(out)
 
 
 def extract(

@@ -25,6 +25,36 @@ def test_page_without_article():
     assert html.main_text(page) == f"{text}\nShort.\n{text}"
 
 
+STORY = "A sentence of a story that goes on and on, with many words in it, as they do."
+
+
+def test_every_article_of_main_text():
+    page = f"<div>Our pages</div><article><p>{STORY}</p></article><article><h2>Two</h2><p>{STORY[::-1]}</p></article>"
+    assert html.main_text(page) == f"{STORY}\nTwo\n{STORY[::-1]}"
+
+
+def test_markup_only_weighs():
+    """Much text beside an article is main text, a little is not."""
+    long = " ".join([STORY] * 6)
+    page = f"<article><p>{STORY}</p></article><div><p>Read this too</p></div>"
+    assert html.main_text(page) == STORY
+    assert html.main_text(f"{page}<div><p>{long}</p></div>").endswith(f"\n{long}")
+
+
+def test_short_lines_without_article():
+    menu = "".join(f"<div>{w}</div>" for w in ("Home", "Log", "Us", "Shop", "Map"))
+    tale = "".join(f"<p>This is line {i} of a short tale.</p>" for i in range(4))
+    got = html.main_text(menu + tale).split("\n")
+    assert got[-4:] == [f"This is line {i} of a short tale." for i in range(4)]
+    assert not {"Home", "Log", "Us"} & set(got)
+
+
+def test_dive_inside_an_article():
+    """Lines of next to nothing after the text of an article are not part of it."""
+    got = html.main_text(f"<article><p>{STORY}</p>{'<p>.</p>' * 9}</article>").split("\n")
+    assert got[0] == STORY and len(got) < 5
+
+
 def test_odd_pages():
     assert html.main_text(None) == "" == html.main_text("") == html.main_text("<nav>a</nav>")
     assert html.main_text("only text & more") == "only text & more"
