@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
 kept; all but the last return the columns of documents. Null and empty texts go
-in the first stage, as do rejected documents; rows without doc_id go in the
-third.
+in the first stage, as do rejected documents. Rows without doc_id, and unlike
+texts that share one, stay.
 """
 
 from __future__ import annotations
@@ -38,9 +38,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the least doc_id."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    """One row of each group of near-duplicates, the one with the least doc_id; none counts as the greatest.
+
+    Rows are told apart by a key of their own, which is written with them.
+    """
+    key = "row_key"
+    while key in map(str.lower, docs.columns):
+        key += "_"
+    rows = cut(docs.withColumn(key, F.monotonically_increasing_id()), "zstd")
+    groups = neardup.near_duplicates(rows, id_col=key).select(F.col("doc_id").alias(key), "component_id")
+    kept = (
+        rows.select(key, "doc_id")
+        .join(groups, key)
+        .groupBy("component_id")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", key)).alias("first"))
+        .select(F.col(f"first.{key}").alias(key))
+    )
+    return rows.join(kept, key, "left_semi").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ def clear_run(spark: SparkSession) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The written table replaces the lineage, outlives lost executors, and gives
@@ -57,7 +57,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

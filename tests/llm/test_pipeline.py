@@ -2,6 +2,7 @@ import hashlib
 
 import corpus_pipeline
 import pytest
+from llm_texts import prose
 from pyspark.sql import functions as F
 from test_linededup import plain as plain_lines
 from test_neardup import plain as plain_groups
@@ -60,6 +61,18 @@ def holds(text, item):
     return any(words[i : i + len(item)] == item for i in range(len(words) - len(item) + 1))
 
 
+def test_near_duplicates_by_row(spark, rng):
+    """Unlike texts stay without a doc_id and with one they share; of like ones the least doc_id does."""
+    a, b, c, e, f = (prose(rng, 60, 5000) for _ in range(5))
+    rows = [(None, a), (None, b), (4, c), (4, e), (4, c), (9, f), (2, f), (None, f), (7, a), (8, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as row_key").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    want = [(7, a), (None, b), (4, c), (4, e), (2, f), (8, ""), (None, "")]
+    key = lambda r: (r[0] or 0, r[1])
+    assert sorted(((r[0], r[1]) for r in kept.collect()), key=key) == sorted(want, key=key)
+
+
 def test_odd_documents(spark, odd_documents):
     for docs in (odd_documents.withColumn("n_chars", F.length("text").cast("long")), odd_documents.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
