@@ -7,7 +7,10 @@ import importlib
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-MODULES = ["quality", "linededup", "bpe", "decontaminate", "neardup", "rules", "html", "urls", "pii", "ngramlm"]
+MODULES = [
+    "quality", "linededup", "bpe", "decontaminate", "neardup", "rules", "html", "urls", "pii", "ngramlm",
+    "periodic",
+]
 
 
 def query(name: str, sql: str | None = None):
@@ -21,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> tuple[dict, dict[str, str]]:
-    """(queries, sql) of the ten operators."""
+    """(queries, sql) of the operators."""
     for name in MODULES:
         importlib.import_module(f"sysweave.llm.{name}")
     return dict(QUERIES), dict(SQL)
