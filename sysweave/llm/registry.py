@@ -9,7 +9,7 @@ SQL: dict[str, str] = {}
 
 MODULES = [
     "quality", "linededup", "bpe", "decontaminate", "neardup", "rules", "html", "urls", "pii", "ngramlm",
-    "periodic", "negatives",
+    "packing", "periodic", "negatives",
 ]
 
 
