@@ -35,6 +35,8 @@ from sysweave.llm.registry import query
 BLOCK = 1 << 20
 #: Sentences of more tokens may be cut every so many tokens.
 LONG = 64
+#: Texts with so much white space in one place are encoded another way.
+BLANKS = 2000
 #: The least power of two that a sequence may have without padding; a task's last tokens may go below.
 LEAST = 32
 #: Sequences of a task are numbered from its partition's number times this on.
@@ -58,13 +60,18 @@ class Tokens:
         }
         merges = [m if isinstance(m, str) else " ".join(m) for m in made["model"]["merges"]]
         ranks = [vocab[m.replace(" ", "")] for m in merges]
+        own = functools.partial(bpe.encoder, path)  # made where it is needed
         if ranks == sorted(ranks) and min(ranks, default=256) >= max(words[bytes([b])] for b in range(256)):
-            self.plain = tiktoken.Encoding(
-                path, pat_str=bpe.PIECES, mergeable_ranks=words, special_tokens={}
-            ).encode_ordinary
+            fast = tiktoken.Encoding(path, pat_str=bpe.PIECES, mergeable_ranks=words, special_tokens={})
+            blanks = re.compile(rf"\s{{{BLANKS}}}").search
+
+            def plain(text: str):
+                # That library's stack does not hold very long white space.
+                return np.frombuffer(own().encode(text), "<u4") if blanks(text) else fast.encode_ordinary(text)
+
+            self.plain = plain
         else:  # ids that do not follow the merges
-            encode = bpe.encoder(path).encode
-            self.plain = lambda text: np.frombuffer(encode(text), "<u4")
+            self.plain = lambda text: np.frombuffer(own().encode(text), "<u4")
         self.special = special
         self.cut_special = regex.compile(
             "(" + "|".join(regex.escape(k) for k in sorted(special, key=len, reverse=True)) + ")"
