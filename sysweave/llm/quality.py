@@ -5,8 +5,8 @@ how often each combination of votes occurs, expectation-maximisation estimates
 how reliable each labeller is and how probably a document is good. Those
 posteriors label a sample on which a linear scorer over hashed words, word
 shapes and votes is trained; it decides on all documents. Abusive language has
-labellers and a scorer of its own. A document with a known label takes that in
-place of its posterior, and is trained on before others.
+labellers and a scorer of its own. Known labels are fixed evidence in the estimates;
+a fixed part of the sample has none, however many there are.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sysweave.llm.batches import arrow_schema, documents, read, slices
@@ -25,12 +25,16 @@ from sysweave.llm.registry import query
 from sysweave.llm.weak import reliabilities, sigmoid, train_linear
 from sysweave.session import cut
 
-#: Documents of each label the scorers are trained on: those with the least hash.
-TRAINED_ON = 2_000
+#: Documents of each class the scorers are trained on, and one in how many of them has no known label.
+TRAINED_ON, GUESSED = 2_000, 4
 SLOTS = 1 << 18
 #: A word or beginning of a word speaks for abuse if at least so many abusive documents
 #: of the sample have it, and so many times the share of the others.
 NEEDED, RATIO = 5, 15
+#: Others are those whose probability of abuse is at most this.
+SURE = 0.01
+#: The probability that a known label is right.
+KNOWN = 0.999
 #: Probability from which a text counts as abusive.
 ABUSIVE_FROM = 0.5
 
@@ -273,19 +277,37 @@ def votes_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, VOTES)
 
 
-def posteriors(votes: DataFrame, column: str) -> dict[tuple, float]:
-    """The probability of the class 1 by combination of votes: 3 to the power of nine of them at most."""
-    rows = votes.groupBy(column).count().orderBy(column).collect()
+def pattern(column: str) -> Column:
+    """A text for each combination of votes and the known label."""
+    known = F.coalesce(F.col(f"known_{column}").cast("int").cast("string"), F.lit("-"))
+    return F.concat_ws(",", F.col(column).cast("array<string>"), known)
+
+
+def posteriors(votes: DataFrame, column: str) -> list[tuple[str, float]]:
+    """(pattern, probability of the class 1): 3 to the power of ten of them at most, nine
+    labellers and a label."""
+    known = f"known_{column}"
+    rows = (
+        votes.groupBy(pattern(column).alias("pattern"))
+        .agg(F.first(column).alias("votes"), F.first(known).alias("known"), F.count("*").alias("n"))
+        .orderBy("pattern")
+        .collect()
+    )
     if not rows:
-        return {}
-    table = np.array([r[column] for r in rows], np.int64)
-    counts = np.array([r["count"] for r in rows], float)
-    # Texts no labeller says anything of would only blur the estimates.
-    silent = (table == 0).all(1)
+        return []
+    table = np.array([r["votes"] for r in rows], np.int64)
+    counts = np.array([r["n"] for r in rows], float)
+    label = np.array([0 if r["known"] is None else 1 if r["known"] >= 0.5 else -1 for r in rows])
+    # Texts nothing says anything of would only blur the estimates.
+    silent = (table == 0).all(1) & (label == 0)
     p, prior, _ = reliabilities(
-        table, np.where(silent, 0, counts), np.zeros(len(rows), np.int64), START[column]
+        table,
+        np.where(silent, 0, counts),
+        np.zeros(len(rows), np.int64),
+        START[column],
+        known=np.where(label == 0, np.nan, np.where(label > 0, KNOWN, 1 - KNOWN)),
     )
-    return {tuple(r[column]): float(x) for r, x in zip(rows, np.where(silent, prior[0], p), strict=True)}
+    return [(r["pattern"], float(x)) for r, x in zip(rows, np.where(silent, prior[0], p), strict=True)]
 
 
 class Model:
@@ -314,22 +336,28 @@ class Model:
         return [some.n, quality, abuse, (some.n > 0) & (quality >= 0.5) & (abuse < ABUSIVE_FROM)]
 
 
-def sample_of(votes: DataFrame, column: str, p: dict[tuple, float], trained_on: int) -> DataFrame:
-    """(doc_id, label) of ``trained_on`` documents of each class: those with a known
-    label first, then by the least hash."""
-    label = F.lit(None).cast("double")
-    for pattern, x in p.items():
-        label = F.when(F.col(column) == F.array(*[F.lit(v) for v in pattern]), x).otherwise(label)
-    known = F.col(f"known_{column}")
-    named = votes.where("doc_id is not null").select(
-        "doc_id", F.coalesce(known, label).alias("label"), known.isNull().alias("guessed")
+def sample_of(votes: DataFrame, column: str, p: list[tuple[str, float]], trained_on: int) -> DataFrame:
+    """(doc_id, label) of ``trained_on`` documents of each class, labelled with their posteriors:
+    of which one in GUESSED has no known label and the others have; each by the least hash."""
+    # A row for each pattern, 3 to the power of ten at most
+    table = F.broadcast(votes.sparkSession.createDataFrame(p, "pattern string, label double"))
+    known = F.col(f"known_{column}").isNotNull().alias("known")
+    named = (
+        votes.where("doc_id is not null")
+        .select("doc_id", known, pattern(column).alias("pattern"))
+        .join(table, "pattern")
+        .select("doc_id", "known", "label")
     )
-    rank = ["guessed", F.xxhash64("doc_id"), "doc_id", "label"]
-    of = [
-        named.where(c).orderBy(*rank).limit(trained_on).select("doc_id", "label")
+    rank = [F.xxhash64("doc_id"), "doc_id", "label"]
+    some = [
+        named.where(c).where(F.col("known") == k).orderBy(*rank).limit(n)
         for c in ("label >= 0.5", "label < 0.5")
+        for k, n in ((True, trained_on - trained_on // GUESSED), (False, trained_on // GUESSED))
     ]
-    return of[0].unionByName(of[1]).groupBy("doc_id").agg(F.max("label").alias("label"))
+    out = some[0]
+    for more in some[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
 def train(docs: DataFrame, labels: DataFrame | None, trained_on: int = TRAINED_ON) -> Model:
@@ -390,9 +418,10 @@ def fitted(rows: pa.Table, chosen_only: bool) -> np.ndarray:
     if not chosen_only:
         values = rows["parts"].combine_chunks().flatten().to_numpy().astype(float)
         return train_linear(slots, owner, values, labels, SLOTS)
-    yes = np.bincount(slots, labels[owner], SLOTS)
-    no = np.bincount(slots, 1 - labels[owner], SLOTS)
-    share, other = yes / max(1, labels.sum()), (no + 0.3) / max(1, (1 - labels).sum())
+    # Words are chosen by documents of little doubt; all of the sample weighs them.
+    abusive, others = labels >= 0.5, labels <= SURE
+    yes, no = np.bincount(slots, abusive[owner], SLOTS), np.bincount(slots, others[owner], SLOTS)
+    share, other = yes / max(1, abusive.sum()), (no + 0.3) / max(1, others.sum())
     chosen = (yes >= NEEDED) & (share >= RATIO * other)
     table, bias = vote_slots(len(ABUSE))
     chosen[table.ravel()] = chosen[bias] = True
@@ -412,12 +441,14 @@ def judge(
 ) -> DataFrame:
     """(doc_id, n_words, quality, abuse, kept) of each row.
 
+    All documents vote; known ``labels`` (doc_id, quality, toxic) fix what is estimated.
     ``quality`` and ``abuse`` are probabilities; a document is kept if it has
     words, its quality is a half or more and its abuse under ABUSIVE_FROM. A
     null text is an empty one; repeated rows give repeated rows and vote as
     often; rows without doc_id are scored but not trained on. Of several labels
     of a document the least quality and the greatest toxicity count, and labels
-    of no document are not used. Other columns are not looked at.
+    of no document are not used. Ties at the sample's bound go by doc_id; a very long text is scored
+    whole. Other columns are not looked at.
     """
     docs = documents(docs, id_col, text_col)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, trained_on))

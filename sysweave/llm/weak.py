@@ -15,6 +15,7 @@ def reliabilities(
     group: np.ndarray,
     start: tuple[float, float] = (0.8, 0.2),
     rounds: int = 100,
+    known: np.ndarray | float = np.nan,
 ):
     """Expectation-maximisation over vote patterns.
 
@@ -22,7 +23,8 @@ def reliabilities(
     for no vote; ``counts`` says how often a pattern occurs and ``group`` which
     prior it shares. A voter that votes is right with a probability of its own,
     for each of the two classes; no vote says nothing. ``start`` has a first guess of how
-    often a voter that votes says 1 in the class 1 and in the other. Returns (posterior of the
+    often a voter that votes says 1 in the class 1 and in the other; ``known`` is the
+    probability of the class 1 for each pattern where that is known, else not a number. Returns (posterior of the
     class 1 for each pattern, prior by group, probabilities of a vote for 1 by
     voter and class).
     """
@@ -34,7 +36,7 @@ def reliabilities(
         logit = np.log(prior[group]) - np.log(1 - prior[group])
         logit = logit + (votes == 1) @ np.log(right[:, 0] / right[:, 1])
         logit = logit + (votes == -1) @ np.log((1 - right[:, 0]) / (1 - right[:, 1]))
-        posterior = sigmoid(logit)
+        posterior = np.where(np.isnan(known), sigmoid(logit), known)
         good, bad = counts * posterior, counts * (1 - posterior)
         # A few imagined cases keep the probabilities inside (0, 1).
         prior = (np.bincount(group, good, n_groups) + 1) / (
