@@ -25,14 +25,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document of which nothing is left goes.
     """
-    clean = linededup.line_dedup(docs)
+    # Other columns under names that none of the operator's own has.
+    own = {c: c if c in ("doc_id", "text") else f"column_{i}" for i, c in enumerate(docs.columns)}
+    clean = linededup.line_dedup(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items())))
     columns = [
-        F.when(F.col("n_removed") > 0, F.length("text").cast("long"))
-        .otherwise(F.col("n_chars"))
-        .alias("n_chars")
+        F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col(n)).alias(c)
         if c == "n_chars"
-        else F.col(c)
-        for c in docs.columns
+        else F.col(n).alias(c)
+        for c, n in own.items()
     ]
     return clean.where("n_removed = 0 or n_removed_words < n_words").select(*columns)
 
@@ -47,14 +47,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         key += "_"
     rows = cut(docs.withColumn(key, F.monotonically_increasing_id()), "zstd")
     groups = neardup.near_duplicates(rows, id_col=key).select(F.col("doc_id").alias(key), "component_id")
-    kept = (
-        rows.select(key, "doc_id")
-        .join(groups, key)
-        .groupBy("component_id")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", key)).alias("first"))
-        .select(F.col(f"first.{key}").alias(key))
+    named = cut(rows.select(key, "doc_id").join(groups, key))
+    first = named.groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", key)).alias("first")
     )
-    return rows.join(kept, key, "left_semi").select(docs.columns)
+    others = named.join(first.select(F.col(f"first.{key}").alias(key)), key, "left_anti")
+    others = cut(others.select(F.col(key).alias("id")))
+    # Only rows that the filter of the others lets through are shuffled with their texts.
+    clear = neardup.passing(rows, key, others, want=False)
+    rest = neardup.passing(rows, key, others).join(others, F.col(key) == F.col("id"), "left_anti")
+    return clear.unionByName(rest).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
