@@ -79,4 +79,6 @@ def test_odd_documents(spark, odd_documents):
             columns, docs = docs.columns, cut(stage(spark, docs, SF))
             if stage is not corpus_pipeline.tokens:
                 assert docs.columns == columns
+                clashing = docs.select("ids", "kept", "node", "runs", "others", "part", "score", "n_words")
+                assert {tuple(r) for r in clashing.collect()} <= {(7,) * 8}
         docs.collect()
