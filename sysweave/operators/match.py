@@ -70,8 +70,11 @@ def connected_order(patterns: Sequence[Pattern]) -> list[Pattern]:
     return out
 
 
-def solve_one(source: DataFrame, pattern: Pattern, nodes: set[str], typed: bool) -> DataFrame:
-    """Solutions of one pattern. ``nodes`` are variables that stand for objects."""
+def solve_one(
+    source: DataFrame, pattern: Pattern, nodes: set[str], typed: bool, carried: dict[str, str] | None = None
+) -> DataFrame:
+    """Solutions of one pattern. ``nodes`` are variables that stand for objects; ``carried``
+    names further columns of the source and what they are called among the solutions."""
     s, p, o = pattern
     conditions: list[Column] = []
     columns: dict[str, Column] = {}
@@ -92,6 +95,7 @@ def solve_one(source: DataFrame, pattern: Pattern, nodes: set[str], typed: bool)
             columns[f"{o[1:]}__kind"] = F.col("o_kind")
             if typed:
                 columns[f"{o[1:]}__type"] = F.coalesce(F.col("o_type"), F.lit(""))
+    columns |= {name: F.col(c) for c, name in (carried or {}).items()}
     found = source.where(reduce(lambda a, b: a & b, conditions)) if conditions else source
     return found.select(*[column.alias(name) for name, column in columns.items()])
 

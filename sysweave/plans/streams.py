@@ -69,6 +69,36 @@ def standing_stream(spark, sf):
     return run_to_table(found.select("u", "k", "nation"))
 
 
+def timed_facts(spark, sf, kind):
+    """What users did, with the time it was done at."""
+    did = event_stream(spark, sf).where(F.col("event_type") == kind)
+    return did.select(
+        F.concat(F.lit("u"), text("user_id")).alias("s"), F.col("event_type").alias("p"), text("k").alias("o"),
+        F.lit("lit").alias("o_kind"), F.lit("string").alias("o_type"), v.instant().alias("ts"),
+    )
+
+
+@query(
+    "e9_two_live_patterns",
+    """with e as (select user_id, event_type, regexp_extract(props, '([0-9]+)', 1) k, ts from events)
+    select 'u'||a.user_id u, a.k seen, b.k bought, 'nation.key='||n_nationkey nation, n_name as name, epoch_us(a.ts) first_us, epoch_us(b.ts) second_us
+    from e a join e b on a.user_id = b.user_id and a.event_type = 'view' and b.event_type = 'purchase'
+      and b.ts >= a.ts and b.ts <= a.ts + interval 12 hours join nation on n_nationkey = a.user_id%25""",
+)
+def two_live_patterns(spark, sf):
+    """What a user bought within twelve hours of a view, and where that user lives."""
+    found = live.standing_pair(
+        timed_facts(spark, sf, "view"), ("?u", "view", "?seen"),
+        timed_facts(spark, sf, "purchase"), ("?u", "purchase", "?bought"),
+        "12 hours", "1 hour", homes(spark, sf), [("?u", "home", "?nation"), ("?nation", "n_name", "?name")],
+    )
+    found = run_to_table(found)
+    return found.select(
+        "u", "seen", "bought", "nation", "name",
+        F.unix_micros("first_ts").alias("first_us"), F.unix_micros("second_ts").alias("second_us"),
+    )
+
+
 @query(
     "t12_squeeze_stream",
     "with " + v.FLOW_SQL
@@ -78,10 +108,12 @@ def standing_stream(spark, sf):
 )
 def squeeze_stream(spark, sf):
     keyed_state(spark)
-    calls = v.flow_of(event_stream(spark, sf))
-    return live.settled_runs(run_to_table(live.squeeze_stream(calls))).select(
-        "pid", "seq", "fn", "occurrences", "last_seq"
+    runs = run_to_end(
+        event_stream(spark, sf),
+        "ts",
+        lambda e: live.squeeze_stream(v.flow_of(e, v.instant().alias("at")), "at", "1 hour", "1 day"),
     )
+    return live.settled_runs(runs).select("pid", "seq", "fn", "occurrences", "last_seq")
 
 
 @query(
@@ -92,11 +124,15 @@ def squeeze_stream(spark, sf):
 )
 def changes_stream(spark, sf):
     keyed_state(spark)
-    facts = event_stream(spark, sf).select(
-        F.concat(F.lit("u"), text("user_id")).alias("object"), F.lit("state").alias("attribute"),
-        F.col("event_type").alias("value"), F.col("event_id").alias("seq"),
-    )
-    return run_to_table(live.changes_stream(facts)).select("object", "value", "seq")
+
+    def changes(e):
+        facts = e.select(
+            F.concat(F.lit("u"), text("user_id")).alias("object"), F.lit("state").alias("attribute"),
+            F.col("event_type").alias("value"), F.col("event_id").alias("seq"), v.instant().alias("at"),
+        )
+        return live.changes_stream(facts, "at", "1 hour", "1 day")
+
+    return run_to_end(event_stream(spark, sf), "ts", changes).select("object", "value", "seq")
 
 
 @query(
@@ -121,6 +157,12 @@ def trace_stream(spark, sf):
 )
 def match_interrupted_stream(spark, sf):
     keyed_state(spark)
-    halves = v.halves_of(event_stream(spark, sf))
-    joined = live.settled_halves(run_to_table(live.match_interrupted_stream(halves)))
+    halves = run_to_end(
+        event_stream(spark, sf),
+        "ts",
+        lambda e: live.match_interrupted_stream(
+            v.halves_of(e, v.instant().alias("at")), time="at", late="1 hour", slot="1 day"
+        ),
+    )
+    joined = live.settled_halves(halves)
     return joined.select("seq", "pid", "partner_seq", "status", F.array_join("args", ",").alias("args"))

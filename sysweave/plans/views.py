@@ -277,7 +277,7 @@ def flow_calls(spark, sf) -> DataFrame:
     return flow_of(events(spark, sf))
 
 
-def flow_of(e: DataFrame) -> DataFrame:
+def flow_of(e: DataFrame, *more: Column) -> DataFrame:
     sig = F.array((F.col("k") % 3).cast("string"))
     return e.select(
         F.lit("events").alias("session"),
@@ -287,6 +287,7 @@ def flow_of(e: DataFrame) -> DataFrame:
         sig.alias("sig"),
         instant().alias("t_start"),
         instant().alias("t_end"),
+        *more,
     )
 
 
@@ -306,7 +307,7 @@ def interrupted_calls(spark, sf) -> DataFrame:
     return halves_of(events(spark, sf))
 
 
-def halves_of(e: DataFrame) -> DataFrame:
+def halves_of(e: DataFrame, *more: Column) -> DataFrame:
     return e.select(
         F.lit("events").alias("session"),
         F.col("event_id").alias("seq"),
@@ -322,4 +323,5 @@ def halves_of(e: DataFrame) -> DataFrame:
         stamp(F.col("ts")).alias("t_start"),
         stamp(F.col("ts")).alias("t_end"),
         F.lit("strace").alias("tracer"),
+        *more,
     )

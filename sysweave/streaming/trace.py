@@ -1,6 +1,8 @@
 """Live logs: the stateless steps as they are, the rest with state per process.
 
-Steps with state need a session whose state store is RocksDB (``run.keyed_state``).
+Steps with state need a session whose state store is RocksDB (``run.keyed_state``). They take
+rows as these come, or, where ``time`` names a column of event times, in the order of the log
+(``InTimeOrder``).
 """
 
 from __future__ import annotations
@@ -27,33 +29,112 @@ def trace_stream(lines: DataFrame, tracer: str = "strace", top_pid=0) -> DataFra
     return significant_args(drop_ignored(split_args(parse_lines(lines, tracer, top_pid))))
 
 
+class InTimeOrder(StatefulProcessor):
+    """Gives the rows of a key to ``settle`` in the order of ``seq``.
+
+    With ``slot_ms``, rows wait in state by slots of event time. When the watermark has passed
+    a slot's end, a timer takes out that slot's rows and no others, so memory holds a
+    slot of one key, however many rows a key or a batch has; files may come in any order
+    within the watermark's delay. ``seq`` and time have to rise together between slots. A row
+    without ``seq`` only moves the time on. Without ``slot_ms`` a batch's rows are
+    put in order as they are, and batches have to come in order.
+    """
+
+    #: Columns of a row besides its key, ``seq`` first, and columns given out.
+    takes: str
+    gives: list[str]
+
+    def __init__(self, slot_ms: int | None = None):
+        self._slot_ms = slot_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._names = [c.split()[0] for c in self.takes.split(", ")]
+        if self._slot_ms is not None:
+            waiting = f"rows array<struct<{', '.join(c.replace(' ', ':', 1) for c in self.takes.split(', '))}>>"
+            self._slots = handle.getMapState("slots", "slot bigint", waiting)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+        if self._slot_ms is None:
+            batch = pd.concat(list(rows), ignore_index=True).sort_values("seq")
+            yield self._frame(self.settle(key, batch[self._names].itertuples(index=False), timerValues))
+            return
+        for frame in rows:
+            frame = frame[frame["seq"].notna()]
+            slots = frame["event_time"].astype("datetime64[ms]").astype("int64") // self._slot_ms
+            for slot, part in frame.groupby(slots):
+                slot = int(slot)
+                held = list(self._slots.getValue((slot,))[0]) if self._slots.containsKey((slot,)) else []
+                new = [self._plain(r) for r in part[self._names].itertuples(index=False)]
+                self._slots.updateValue((slot,), ([tuple(r) for r in held] + new,))
+                self._handle.registerTimer((slot + 1) * self._slot_ms)
+        yield self._frame([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        slot = (int(expiredTimerInfo.getExpiryTimeInMs()) // self._slot_ms) - 1
+        rows = sorted((tuple(r) for r in self._slots.getValue((slot,))[0]), key=lambda r: r[0])
+        self._slots.removeKey((slot,))
+        yield self._frame(self.settle(key, rows, timerValues))
+
+    def settle(self, key, rows, timerValues) -> list[tuple]:
+        """The rows to give out for rows that come in order."""
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _plain(row) -> tuple:
+        return tuple(v.tolist() if hasattr(v, "tolist") else v for v in row)
+
+    def _frame(self, rows) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=self.gives)
+        if "partner_seq" in self.gives:
+            frame["partner_seq"] = frame["partner_seq"].astype("Int64")
+        return frame
+
+
+def slot_of(time: str | None, slot: str) -> int | None:
+    """Milliseconds of a slot like ``1 hour``."""
+    return None if time is None else max(1, int(pd.Timedelta(slot).total_seconds() * 1000))
+
+
+def in_time(calls: DataFrame, time: str | None, late: str, *columns: str) -> DataFrame:
+    """The columns, and the event time with its watermark if there is one."""
+    if time is None:
+        return calls.select(*columns)
+    return calls.withWatermark(time, late).select(*columns, F.col(time).alias("event_time"))
+
+
 def flow_counts_stream(calls: DataFrame) -> DataFrame:
     return calls.groupBy("session", "pid").agg(F.count(F.lit(1)).alias("calls"))
 
 
-class PendingCalls(StatefulProcessor):
+class PendingCalls(InTimeOrder):
     """Unfinished calls of one (session, pid, fn), resumed last in first out.
 
     Pending calls are a map state, so a process with very many of them does not
-    become one value. The rows of a key in one batch are put in order by ``seq``;
-    batches have to come in that order.
+    become one value.
     """
 
-    def __init__(self, wait_ms: int | None):
+    takes = "seq bigint, args array<string>, status string"
+    gives = ["session", "pid", "fn", "seq", "partner_seq", "args", "status"]
+
+    def __init__(self, slot_ms: int | None, wait_ms: int | None):
+        super().__init__(slot_ms)
         self._wait = wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
+        super().init(handle)
         self._depth = handle.getValueState("depth", "n int")
         self._calls = handle.getMapState("calls", "level int", "seq bigint, args array<string>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+    def settle(self, key, rows, timerValues):
         out = []
         depth = self._depth.get()[0] if self._depth.exists() else 0
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("seq")
-        for row in batch.itertuples(index=False):
-            seq, args = int(row.seq), list(row.args)
-            if row.status == "unfinished":
+        for seq, args, status in rows:
+            seq, args = int(seq), list(args)
+            if status == "unfinished":
                 depth += 1
                 self._calls.updateValue((depth,), (seq, args))
                 out.append((*key, seq, None, args, "unfinished"))
@@ -69,40 +150,41 @@ class PendingCalls(StatefulProcessor):
         if depth and self._wait is not None:
             now = timerValues.getCurrentProcessingTimeInMs()
             self._handle.registerTimer(now + self._wait)
-        yield self._frame(out)
+        return out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self._wait is None:
+            yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+            return
         self._calls.clear()
         self._depth.update((0,))
         yield self._frame([])
 
-    def close(self) -> None:
-        pass
 
-    @staticmethod
-    def _frame(rows) -> pd.DataFrame:
-        columns = ["session", "pid", "fn", "seq", "partner_seq", "args", "status"]
-        frame = pd.DataFrame(rows, columns=columns)
-        frame["partner_seq"] = frame["partner_seq"].astype("Int64")
-        return frame
-
-
-def match_interrupted_stream(calls: DataFrame, wait_ms: int | None = None) -> DataFrame:
+def match_interrupted_stream(
+    calls: DataFrame,
+    wait_ms: int | None = None,
+    time: str | None = None,
+    late: str = "10 minutes",
+    slot: str = "1 hour",
+) -> DataFrame:
     """Halves of interrupted calls of a live log, joined; see ``PendingCalls``.
 
     A call is given out as ``unfinished`` when it begins and once more as
     ``matched`` when it is resumed, so nothing is held back at the end of a run;
     ``settled_halves`` keeps the last row of each. With ``wait_ms`` calls not
-    resumed in that time are forgotten, and the query keeps waking up for that.
+    resumed in that time are forgotten, and the query keeps waking up for that. With ``time``
+    calls are taken in the order of the log (``InTimeOrder``), instead of that.
     """
-    halves = calls.where(F.col("status").isin("unfinished", "resumed")).select(
-        "session", "pid", "fn", "seq", "args", "status"
-    )
+    if time is not None and wait_ms is not None:
+        raise ValueError("calls are taken by event time or forgotten by processing time, not both")
+    halves = in_time(calls, time, late, "session", "pid", "fn", "seq", "args", "status")
+    halves = halves.where(F.col("status").isin("unfinished", "resumed") | F.col("seq").isNull())
     return halves.groupBy("session", "pid", "fn").transformWithStateInPandas(
-        statefulProcessor=PendingCalls(wait_ms),
+        statefulProcessor=PendingCalls(slot_of(time, slot), wait_ms),
         outputStructType=MATCHED,
         outputMode="Append",
-        timeMode="None" if wait_ms is None else "ProcessingTime",
+        timeMode="EventTime" if time else "None" if wait_ms is None else "ProcessingTime",
     )
 
 
@@ -120,47 +202,49 @@ RUNS = (
 )
 
 
-class OpenRun(StatefulProcessor):
-    """The run of equal calls one flow is in; a run is given out with every batch it is in."""
+class OpenRun(InTimeOrder):
+    """The run of equal calls one flow is in; a run is given out with every batch or slot it is in."""
+
+    takes = "seq bigint, fn string, sig array<string>"
+    gives = ["session", "pid", "seq", "fn", "sig", "occurrences", "last_seq"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self._run = handle.getValueState(
             "run", "seq bigint, fn string, sig array<string>, n bigint, last bigint"
         )
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+    def settle(self, key, rows, timerValues):
         run = list(self._run.get()) if self._run.exists() else None
         out = []
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("seq")
-        for row in batch.itertuples(index=False):
-            seq, sig = int(row.seq), list(row.sig)
-            if run and run[1] == row.fn and list(run[2]) == sig and row.fn not in NEVER_EQUAL:
+        for seq, fn, sig in rows:
+            seq, sig = int(seq), list(sig)
+            if run and run[1] == fn and list(run[2]) == sig and fn not in NEVER_EQUAL:
                 run[3], run[4] = run[3] + 1, seq
             else:
                 if run:
                     out.append((*key, *run))
-                run = [seq, row.fn, sig, 1, seq]
-        out.append((*key, *run))
-        self._run.update(tuple(run))
-        yield pd.DataFrame(
-            out, columns=["session", "pid", "seq", "fn", "sig", "occurrences", "last_seq"]
-        )
+                run = [seq, fn, sig, 1, seq]
+        if run:
+            out.append((*key, *run))
+            self._run.update(tuple(run))
+        return out
 
-    def close(self) -> None:
-        pass
 
-
-def squeeze_stream(calls: DataFrame) -> DataFrame:
+def squeeze_stream(
+    calls: DataFrame, time: str | None = None, late: str = "10 minutes", slot: str = "1 hour"
+) -> DataFrame:
     """Runs of equal calls of a live log; see ``OpenRun``. The row of a run with the most
-    ``occurrences`` is its last one (``settled_runs``)."""
+    ``occurrences`` is its last one (``settled_runs``). With ``time`` calls are taken in the
+    order of the log (``InTimeOrder``)."""
     return (
-        calls.select("session", "pid", "seq", "fn", "sig")
+        in_time(calls, time, late, "session", "pid", "seq", "fn", "sig")
         .groupBy("session", "pid")
         .transformWithStateInPandas(
-            statefulProcessor=OpenRun(),
+            statefulProcessor=OpenRun(slot_of(time, slot)),
             outputStructType=RUNS,
             outputMode="Append",
-            timeMode="None",
+            timeMode="EventTime" if time else "None",
         )
     )
 
@@ -176,38 +260,42 @@ def settled_runs(rows: DataFrame) -> DataFrame:
 LATEST = "object string, attribute string, value string, seq bigint"
 
 
-class LatestValue(StatefulProcessor):
+class LatestValue(InTimeOrder):
     """The last value of one attribute of an object; changes are given out."""
 
+    takes = "seq bigint, value string"
+    gives = ["object", "attribute", "value", "seq"]
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self._last = handle.getValueState("last", "value string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+    def settle(self, key, rows, timerValues):
         known = self._last.exists()
         last = self._last.get()[0] if known else None
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("seq")
         out = []
-        for row in batch.itertuples(index=False):
-            if not known or row.value != last:
-                out.append((*key, row.value, int(row.seq)))
-                known, last = True, row.value
-        self._last.update((last,))
-        yield pd.DataFrame(out, columns=["object", "attribute", "value", "seq"])
-
-    def close(self) -> None:
-        pass
-
-
-def changes_stream(facts: DataFrame) -> DataFrame:
-    """(object, attribute, value, seq) rows that tell something new."""
+        for seq, value in rows:
+            if not known or value != last:
+                out.append((*key, value, int(seq)))
+                known, last = True, value
+        if known:
+            self._last.update((last,))
+        return out
+
+
+def changes_stream(
+    facts: DataFrame, time: str | None = None, late: str = "10 minutes", slot: str = "1 hour"
+) -> DataFrame:
+    """(object, attribute, value, seq) rows that tell something new. With ``time`` rows
+    are taken in order (``InTimeOrder``)."""
     return (
-        facts.select("object", "attribute", "value", "seq")
+        in_time(facts, time, late, "object", "attribute", "value", "seq")
         .groupBy("object", "attribute")
         .transformWithStateInPandas(
-            statefulProcessor=LatestValue(),
+            statefulProcessor=LatestValue(slot_of(time, slot)),
             outputStructType=LATEST,
             outputMode="Append",
-            timeMode="None",
+            timeMode="EventTime" if time else "None",
         )
     )
 
@@ -222,3 +310,43 @@ def standing_match(stream: DataFrame, static: DataFrame, live, patterns) -> Data
         raise ValueError("the live pattern shares no variable with the others")
     names = variables([live, *patterns])
     return moving.join(known, shared).select(*names)
+
+
+def standing_pair(
+    one: DataFrame,
+    first,
+    two: DataFrame,
+    second,
+    within: str,
+    late: str = "10 minutes",
+    static: DataFrame | None = None,
+    patterns=(),
+) -> DataFrame:
+    """Solutions of two patterns that both stream, and of ``patterns`` over a table.
+
+    ``one`` and ``two`` are streams of triples with their time ``ts``. The triple of
+    ``second`` has to come at the time of ``first``'s or up to ``within`` later; the
+    times are the columns ``first_ts`` and ``second_ts``. Both sides have a watermark, so
+    triples whose time to meet has passed leave the state. A null never equals anything;
+    repeated triples repeat their solutions.
+    """
+    subjects = {p[0][1:] for p in [first, second, *patterns] if str(p[0]).startswith("?")}
+    left = solve_one(one.withWatermark("ts", late), first, subjects, False, {"ts": "first_ts"})
+    right = solve_one(two.withWatermark("ts", late), second, subjects, False, {"ts": "second_ts"})
+    shared = [c for c in left.columns if c in right.columns]
+    if not [c for c in shared if not c.endswith("__kind")]:
+        raise ValueError("the two live patterns share no variable")
+    right = right.select(*(F.col(c).alias(f"{c}__right" if c in shared else c) for c in right.columns))
+    met = F.expr(f"second_ts >= first_ts and second_ts <= first_ts + interval {within}")
+    for c in shared:
+        met = met & (F.col(c) == F.col(f"{c}__right"))
+    found = left.join(right, met)
+    names = variables([first, second])
+    if static is not None:
+        known = match(static, patterns)
+        both = [v for v in names if v in known.columns]
+        if not both:
+            raise ValueError("the live patterns share no variable with the others")
+        found = found.join(known, both)
+        names = variables([first, second, *patterns])
+    return found.select(*names, "first_ts", "second_ts")

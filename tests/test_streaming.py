@@ -4,6 +4,8 @@ import glob
 import os
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from sysweave.model import TRIPLE_SCHEMA
@@ -14,6 +16,7 @@ from sysweave.sources.trace import parse_lines, split_args
 from sysweave.streaming import events as ev
 from sysweave.streaming import samples as st
 from sysweave.streaming import trace as live
+from sysweave.streaming.run import run_to_end
 
 
 def as_stream(spark, df, tmp_path, name, files=3):
@@ -182,3 +185,114 @@ def test_standing_match(spark, tmp_path):
 
 def test_tick(spark):
     assert st.tick(spark).isStreaming
+
+
+def in_files(df, tmp_path, name, order, n=6):
+    """``df`` as a stream of one file a batch; ``order`` sorts the slices of time."""
+    import os
+
+    folder = tmp_path / name
+    rows = df.orderBy("seq").collect()
+    size = -(-len(rows) // n)
+    parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+    for place, i in enumerate(order(range(len(parts)))):
+        path = folder / f"part-{i}"
+        df.sparkSession.createDataFrame(parts[i], df.schema).coalesce(1).write.parquet(str(path))
+        for f in path.iterdir():
+            os.utime(f, (1_700_000_000 + 60 * place, 1_700_000_000 + 60 * place))
+    files = df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+    return files.option("recursiveFileLookup", "true").parquet(str(folder))
+
+
+def shuffled(numbers):
+    numbers = list(numbers)
+    random.Random(8).shuffle(numbers)
+    assert numbers != sorted(numbers)
+    return numbers
+
+
+def with_time(df):
+    return df.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq") * 60))
+
+
+def test_streams_in_event_time_order(spark, tmp_path):
+    """Files out of order, one a batch, give what the batch operators give on all rows."""
+    rnd = random.Random(5)
+    data = [("s", n % 3 and 1, n, rnd.choice(["f", "g", "clone@SYS"]), [rnd.choice("xy")], "t", "t") for n in range(150)]
+    calls = spark.createDataFrame(
+        data, "session string, pid bigint, seq bigint, fn string, sig array<string>, t_start string, t_end string"
+    )
+    stream = in_files(with_time(calls), tmp_path, "calls", shuffled)
+    rows = run_to_end(stream, "ts", lambda e: live.squeeze_stream(e, "ts", "3 hours", "7 minutes"))
+    got = live.settled_runs(rows).collect()
+    assert sorted((r.pid, r.seq, r.fn, r.occurrences) for r in got) == sorted(
+        (r.pid, r.seq, r.fn, r.occurrences) for r in squeeze_repeats(calls).collect()
+    )
+
+    data = [("s", n, n % 2, "read@SYS", [str(n)], rnd.choice(["unfinished", "resumed"])) for n in range(120)]
+    halves = spark.createDataFrame(
+        data, "session string, seq bigint, pid bigint, fn string, args array<string>, status string"
+    )
+    stream = in_files(with_time(halves), tmp_path, "halves", shuffled)
+    rows = run_to_end(
+        stream, "ts", lambda e: live.match_interrupted_stream(e, time="ts", late="3 hours", slot="11 minutes")
+    )
+    got = live.settled_halves(rows).collect()
+    assert sorted((r.seq, r.status, str(r.partner_seq), tuple(r.args)) for r in got) == sorted(
+        (r.seq, r.status, str(r.partner_seq), tuple(r.args)) for r in c.match_interrupted(halves).collect()
+    )
+
+    data = [("x" if n % 3 else "y", n, "c", "a", rnd.choice("pq")) for n in range(90)]
+    facts = spark.createDataFrame(data, "object string, seq bigint, cls string, attribute string, value string")
+    stream = in_files(with_time(facts), tmp_path, "facts", shuffled)
+    got = run_to_end(stream, "ts", lambda e: live.changes_stream(e, "ts", "3 hours", "5 minutes")).collect()
+    batch = changes_only(facts).where("o_kind = 'lit'").collect()
+    assert sorted((r.object, r.value, r.seq) for r in got) == sorted((r.s, r.o, r.seq) for r in batch)
+
+
+def test_a_slot_at_a_time(spark, tmp_path, monkeypatch):
+    """Rows leave state by slots: what one call of ``settle`` gets is a slot of a key at most."""
+
+    class Watched(live.InTimeOrder):
+        takes = "seq bigint, value string"
+        gives = ["object", "attribute", "value", "seq"]
+
+        def settle(self, key, rows, timerValues):
+            rows = list(rows)
+            return [(*key, str(len(rows)), int(rows[0][0]))]
+
+    monkeypatch.setattr(live, "LatestValue", Watched)
+    data = [("one", n, "a", "v") for n in range(200)]
+    facts = spark.createDataFrame(data, "object string, seq bigint, attribute string, value string")
+    stream = in_files(with_time(facts), tmp_path, "slots", sorted, n=2)
+    rows = run_to_end(stream, "ts", lambda e: live.changes_stream(e, "ts", "1 minute", "10 minutes")).collect()
+    seen = [int(r.value) for r in rows]
+    assert sum(seen) == 200 and max(seen) <= 10
+
+
+def test_two_live_patterns(spark, tmp_path):
+    """Both sides stream, a file a batch; what can meet no more leaves the state."""
+    rnd = random.Random(9)
+    data = [(f"u{rnd.randrange(5)}", rnd.choice(["sees", "buys"]), str(n), "lit", "string", n) for n in range(240)]
+    data += [(None, "sees", "1", "lit", "string", 3), ("u1", "sees", None, "lit", "string", 4)]
+    facts = with_time(spark.createDataFrame(data, "s string, p string, o string, o_kind string, o_type string, seq bigint"))
+    static = spark.createDataFrame([(f"u{i}", "in", f"g{i}", "uri", None, None) for i in range(4)], TRIPLE_SCHEMA)
+    stream = in_files(facts, tmp_path, "facts", sorted, n=8)
+    pair = live.standing_pair(
+        stream, ("?u", "sees", "?x"), stream, ("?u", "buys", "?y"), "5 minutes", "2 minutes", static, [("?u", "in", "?g")]
+    )
+    query = (
+        pair.writeStream.format("memory").queryName("t_pair").outputMode("append")
+        .option("checkpointLocation", str(tmp_path / "pair-ckpt")).trigger(availableNow=True).start()
+    )
+    assert query.awaitTermination(120)
+    want = sorted(
+        (a[0], a[2], b[2], "g" + a[0][1:])
+        for a in data for b in data
+        if a[0] and a[0] == b[0] != "u4" and a[1] == "sees" and b[1] == "buys" and a[2] and 0 <= b[5] - a[5] <= 5
+    )
+    assert sorted((r.u, r.x, r.y, r.g) for r in spark.table("t_pair").collect()) == want and want
+    held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert max(held) < 120 and held[-1] < 40
+    with pytest.raises(ValueError):
+        live.standing_pair(stream, ("?u", "sees", "?x"), stream, ("?w", "buys", "?y"), "5 minutes")
