@@ -99,11 +99,12 @@ def three_hops(spark, sf):
     "q7_down_then_up",
     """select 'region.key='||n_regionkey n0, 'nation.key='||n_nationkey n1,
     'customer.key='||c_custkey n2, 'nation.key='||n_nationkey b1, 'region.key='||n_regionkey b0
-    from customer join nation on c_nationkey=n_nationkey""",
+    from customer join nation on c_nationkey=n_nationkey
+    union all select 'nation.key='||c_nationkey, 'customer.key='||c_custkey, 'order.key='||o_orderkey,
+      'customer.key='||c_custkey, 'nation.key='||c_nationkey from orders join customer on o_custkey=c_custkey""",
 )
 def down_up(spark, sf):
-    edges = v.tree_edges(spark, sf).where(~F.col("child").startswith("order."))
-    return m.down_then_up(edges, 2, "parent", "child")
+    return m.down_then_up(v.tree_edges(spark, sf), 2, "parent", "child")
 
 
 @query(
@@ -601,13 +602,25 @@ def derive_ontology(spark, sf):
     return g.derive_ontology(v.geography(spark, sf, layout="rows")).select("s", "p", "o")
 
 
+@query(
+    "g9_closure_from",
+    """select 'event.key='||a.event_id ancestor, 'event.key='||b.event_id descendant, b.event_id-a.event_id as depth
+    from events a join events b on b.event_id > a.event_id where a.event_id % 2000 = 0""",
+)
+def closure_from(spark, sf):
+    """Every event is followed by the next; all that come after some of them."""
+    e = v.events(spark, sf)
+    node = ident.node_of_integer("event", "key", "event_id")
+    links = e.select(node.alias("child"), ident.node_of_integer("event", "key", F.col("event_id") - 1).alias("parent"))
+    return t.closure_from(links.where("parent <> 'event.key=-1'"), e.where("event_id % 2000 = 0").select(node.alias("start")))
+
+
 @query(
     "g18_rename_predicate",
-    "select 'customer.key='||c_custkey s, 'home' p, 'nation.key='||c_nationkey o from customer",
+    f"select s, case p when 'in_nation' then 'home' else p end p, o from ({v.CUSTOMER_SQL})",
 )
 def rename_predicate(spark, sf):
-    facts = v.customer_facts(spark, sf).where(F.col("p") == "in_nation")
-    return g.rename_predicate(facts, "in_nation", "home").select("s", "p", "o")
+    return g.rename_predicate(v.customer_facts(spark, sf), "in_nation", "home").select("s", "p", "o")
 
 
 @query(

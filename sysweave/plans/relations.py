@@ -979,10 +979,12 @@ def menu_tree_two_parents(spark, sf):
     select 'region.key='||k root, 'Region '||k path, 'region.key='||k node, 'Region '||k as name, 0 as depth from r
     union all select 'region.key='||n_regionkey, 'Region '||n_regionkey||'/nation.key='||n_nationkey, 'nation.key='||n_nationkey, 'nation.key='||n_nationkey, 1 from nation
     union all select 'region.key='||n_regionkey, 'Region '||n_regionkey||'/nation.key='||n_nationkey||'/customer.key='||c_custkey, 'customer.key='||c_custkey, 'customer.key='||c_custkey, 2
-      from customer join nation on c_nationkey=n_nationkey""",
+      from customer join nation on c_nationkey=n_nationkey
+    union all select 'region.key='||n_regionkey, 'Region '||n_regionkey||'/nation.key='||n_nationkey||'/customer.key='||c_custkey||'/order.key='||o_orderkey, 'order.key='||o_orderkey, 'order.key='||o_orderkey, 3
+      from orders join customer on o_custkey=c_custkey join nation on c_nationkey=n_nationkey""",
 )
 def menu_tree(spark, sf):
-    edges = v.tree_edges(spark, sf).where(~F.col("child").startswith("order."))
+    edges = v.tree_edges(spark, sf)
     regions = v.table(spark, sf, "region")
     facts = union_all(
         [
@@ -1040,6 +1042,20 @@ def event_store(spark, sf):
 STORE = """st as (select 'u'||user_id s, regexp_extract(props, '([0-9]+)', 1) o, event_type ctx, event_id//1000 batch from events)"""
 
 
+@query(
+    "e5_clear_events",
+    f"with {STORE} select distinct s, 'did' p, o, ctx from st where ctx <> 'click'",
+)
+def clear_events(spark, sf):
+    """Clicks are stored and cleared; what comes after that is all there is."""
+    facts = event_store(spark, sf).drop("batch")
+    store = fresh_folder(spark, "store")
+    ev.append_batch(facts.where("ctx = 'click'"), store, 0)
+    ev.clear_events(spark, store)
+    ev.append_batch(facts.where("ctx <> 'click'"), store, 1)
+    return ev.stored(spark, store).select(*SPO, "ctx")
+
+
 @query("e2_drain", f"with {STORE} select distinct s, 'did' p, o from st where ctx='click' and batch > 2")
 def drain(spark, sf):
     return ev.drain(event_store(spark, sf), seen=2, ctx="click").select(*SPO)

@@ -180,6 +180,19 @@ def significant_args(spark, sf):
     return named.select("seq", "fn", F.array_join("sig", ";").alias("sig"))
 
 
+@query(
+    "u2_added_call_model",
+    CALLS
+    + """select seq, fn, case when fn in ('clone@SYS','wait4@SYS') then cast(other_pid as varchar)
+      when fn='execve@SYS' then '/usr/bin/python'||k||';["python", "run'||k||'.py"]'
+      when fn='brk@SYS' then '' else path end sig from calls""",
+)
+def added_call_model(spark, sf):
+    """A rule of one's own: ``brk`` touches nothing."""
+    named = c.significant_args(v.trace_calls(spark, sf), {"brk@SYS": "nothing"})
+    return named.select("seq", "fn", F.array_join("sig", ";").alias("sig"))
+
+
 @query(
     "t5_normalise_pids",
     CALLS

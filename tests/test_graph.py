@@ -152,3 +152,33 @@ def test_node_text_round_trip(spark):
 def test_check_minimal_and_subclasses(spark):
     df = spark.createDataFrame([("a/b/c",)], "path string")
     assert {(r.cls, r.base) for r in g.subclass_edges(df).collect()} == {("a", ""), ("a.b", "a"), ("a.b.c", "a.b")}
+
+
+def test_closure_from_against_walking(spark):
+    rnd = random.Random(12)
+    edges = [(f"n{rnd.randrange(60)}", f"n{rnd.randrange(60)}") for _ in range(90)]
+    edges += [(f"c{i}", f"c{(i + 1) % 9}") for i in range(9)] + [("n1", "n1"), (None, "n2"), ("n3", None)]
+    starts = ["n1", "n5", "c2", "alone"]
+    want = {}
+    for s in starts:
+        depth, level = {s: 0}, [s]
+        while level:
+            level = [b for a in level for x, b in edges if x == a and b is not None and b not in depth and not depth.update({b: depth[a] + 1})]
+        want |= {(s, b): d for b, d in depth.items() if d}
+    df = spark.createDataFrame(edges, "parent string, child string")
+    begin = spark.createDataFrame([(s,) for s in [*starts, "n1", None]], "start string")
+    got = t.closure_from(df, begin).collect()
+    assert {(r.ancestor, r.descendant): r.depth for r in got} == want and len(got) == len(want)
+    near = t.closure_from(df, begin, max_depth=3).collect()
+    assert {(r.ancestor, r.descendant): r.depth for r in near} == {p: d for p, d in want.items() if d <= 3}
+    assert t.closure_from(df.limit(0), begin).isEmpty() and t.closure_from(df, begin.limit(0)).isEmpty()
+
+
+def test_a_long_chain_closes_in_few_rounds(spark):
+    """Twenty thousand events of the given tables, each followed by the next."""
+    e = spark.read.parquet("/root/testdata/sf0.1/events.parquet").where("event_id < 20000")
+    links = e.selectExpr("event_id as child", "event_id - 1 as parent").where("parent >= 0")
+    rounds = []
+    got = t.closure_from(links, spark.createDataFrame([(0,)], "start long"), rounds=rounds)
+    assert got.count() == 19_999 and got.where("descendant <> depth").isEmpty()
+    assert len(rounds) <= 16
