@@ -381,3 +381,46 @@ def principal_period(text: Column) -> Column:
     twice = F.substr(F.concat(text, text), F.lit(2), F.greatest(F.length(text) * 2 - 2, F.lit(0)))
     at = F.position(text, twice)
     return F.when(at > 0, at).otherwise(-1)
+
+
+def principal_periods(rows: DataFrame, keys: list[str], seq: str, symbol: str) -> DataFrame:
+    """(keys, n, period): the least rotation that maps each sequence of rows to itself, -1 when there is none.
+
+    A rotation divides the length n, and rotations that map a sequence to itself have
+    their greatest common divisor among them. So from the rotation n, one prime factor at a time
+    is taken away as long as what is left still maps: at most log2 n rounds for all
+    sequences together, each one aggregation by place modulo the rotation tried. A long
+    sequence is spread over as many groups as that rotation has places; nulls are equal to
+    each other. Places are numbered piecewise (``scan``).
+    """
+    numbered = scan(rows.select(*keys, seq, symbol), keys, seq, sums={"_place": F.lit(1)})
+    value = F.xxhash64(F.col(symbol).isNull(), symbol), F.coalesce(F.col(symbol).cast("string"), F.lit(""))
+    placed = cut(
+        numbered.select(*keys, (F.col("_place") - 1).alias("_place"), F.struct(*value).alias("_symbol"))
+    )
+    state = cut(
+        placed.groupBy(*keys).agg(F.count("*").alias("n")).withColumns({"period": F.col("n"), "_rest": F.col("n")})
+    )
+    while not (open_ := state.where("_rest > 1")).isEmpty():
+        prime = F.expr("coalesce(get(filter(sequence(2L, cast(sqrt(_rest) as bigint) + 1), x -> x < _rest and _rest % x = 0), 0), _rest)")
+        tried = cut(open_.withColumn("_prime", prime).withColumn("_turn", F.expr("period div _prime")))
+        same = (
+            placed.join(tried.select(*keys, "_turn"), keys)
+            .groupBy(*keys, (F.col("_place") % F.col("_turn")).alias("_at"))
+            .agg(F.min("_symbol").alias("_x"), F.max("_symbol").alias("_y"))
+            .groupBy(*keys)
+            .agg(F.min((F.col("_x") == F.col("_y")).cast("int")).alias("_maps"))
+        )
+        # Where a prime does not go, none of its powers does.
+        stripped = F.expr(
+            "aggregate(sequence(1, 63), _rest, (r, i) -> case when r % _prime = 0 then r div _prime else r end)"
+        )
+        maps = F.col("_maps") == 1
+        moved = tried.join(same, keys).select(
+            *keys,
+            "n",
+            F.when(maps, F.col("_turn")).otherwise(F.col("period")).alias("period"),
+            F.when(maps, F.expr("_rest div _prime")).otherwise(stripped).alias("_rest"),
+        )
+        state = cut(state.where("_rest <= 1").unionByName(moved))
+    return state.select(*keys, "n", F.when(F.col("period") < F.col("n"), F.col("period")).otherwise(-1).alias("period"))

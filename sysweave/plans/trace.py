@@ -9,6 +9,7 @@ from sysweave.functions import paths
 from sysweave.operators import calls as c
 from sysweave.operators import flows as f
 from sysweave.operators import objects as ob
+from sysweave.operators import ordered
 from sysweave.operators import shapes
 from sysweave.operators import traverse as t
 from sysweave.plans import views as v
@@ -545,6 +546,29 @@ def principal_period(spark, sf):
     )
 
 
+@query(
+    "t18_principal_period_rows",
+    """with e as (select user_id, event_type, row_number() over (partition by user_id order by event_id) - 1 i,
+      count(*) over (partition by user_id) n, event_id from events),
+    q as (select 'kinds' as kind, user_id, event_id, event_type as symbol from e
+      union all select 'turns', user_id, event_id, cast(i % (n // (user_id % 4 + 1)) as varchar) from e),
+    w as (select kind, user_id, count(*) n, string_agg(symbol||';', '' order by event_id) s from q group by all),
+    t as (select *, left(s, strpos(substr(s||s, 2, 2*length(s)-2), s)) head from w)
+    select kind, user_id, n, case when head <> '' then length(head) - length(replace(head, ';', '')) else -1 end period from t""",
+)
+def principal_period_rows(spark, sf):
+    """The kinds of each user's events, and their numbers modulo a part of how many there are."""
+    e = v.events(spark, sf)
+    counts = e.groupBy("user_id").agg(F.count("*").alias("n"))
+    placed = ordered.scan(e.select("user_id", "event_id"), ["user_id"], "event_id", sums={"i": F.lit(1)})
+    turns = placed.join(counts, "user_id").select(
+        F.lit("turns").alias("kind"), "user_id", "event_id",
+        F.expr("cast((i - 1) % (n div (user_id % 4 + 1)) as string)").alias("symbol"),
+    )
+    kinds = e.select(F.lit("kinds").alias("kind"), "user_id", "event_id", F.col("event_type").alias("symbol"))
+    return f.principal_periods(kinds.unionByName(turns), ["kind", "user_id"], "event_id", "symbol")
+
+
 PROCS = (
     CALLS
     + """, own as (select pid, min_by(t_start, seq) seen,

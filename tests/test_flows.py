@@ -190,3 +190,19 @@ def test_principal_period(spark):
     df = spark.createDataFrame([("abab",), ("aaa",), ("abc",), ("a",)], "s string")
     got = [r.p for r in df.select(f.principal_period(F.col("s")).alias("p")).collect()]
     assert got == [2, 1, -1, -1]
+
+
+def test_principal_periods_of_rows(spark, small_pieces):
+    rnd = random.Random(17)
+    flows = {}
+    for i in range(60):
+        root = [rnd.choice(["a", "b", None]) for _ in range(rnd.randint(1, 12))]
+        flows[i] = (root * rnd.randint(1, 12))[: rnd.choice([10_000, 10_000, 17])]
+    rows = [(k, 3 * j, x) for k, symbols in flows.items() for j, x in enumerate(symbols)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "flow bigint, seq bigint, symbol string")
+    got = {r.flow: (r.n, r.period) for r in f.principal_periods(df, ["flow"], "seq", "symbol").collect()}
+    for k, w in flows.items():
+        turns = [d for d in range(1, len(w)) if w[d:] + w[:d] == w]
+        assert got[k] == (len(w), turns[0] if turns else -1)
+    assert f.principal_periods(df.limit(0), ["flow"], "seq", "symbol").isEmpty()
