@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sysweave.functions.identity import node_text
 from sysweave.model import triples
+from sysweave.session import cut
 
 # Stands for a bracketed part that has been dealt with; no text holds it.
 HOLE = "\ue000"
@@ -70,90 +71,76 @@ def nested_queries(queries: DataFrame, col: str = "query") -> DataFrame:
 
     ``depth`` counts the selects around; the statement itself has depth 0 and no
     parent. Brackets are matched by their nesting level; those in strings and
-    comments are none.
+    comments are none. Brackets become rows: where one stands and its level are running
+    sums over its statement, its partner is the next one of its level, and the
+    select around it the last one that is a level of selects further out.
     """
     text = F.col(col)
-    # Strings and comments as blanks of the same length, so that places stay.
+    stated = cut(
+        queries.where(F.length(text) > 0).select(col).withColumn("_id", F.monotonically_increasing_id())
+    )
+    # Strings and comments as a sign of the same length, so that places stay.
     hidden = F.lit(f"{COMMENTS}|{STRINGS}")
     parts = F.arrays_zip(
         F.split(text, f"{COMMENTS}|{STRINGS}", -1).alias("keep"),
         F.regexp_extract_all(text, hidden, F.lit(0)).alias("hide"),
     )
-    blank = F.transform(
+    masked = F.transform(
         parts,
-        lambda x: F.concat(x["keep"], F.repeat(F.lit(" "), F.length(F.coalesce(x["hide"], F.lit(""))))),
+        lambda x: F.concat(x["keep"], F.repeat(F.lit(HOLE), F.length(F.coalesce(x["hide"], F.lit(""))))),
     )
-    # Each piece ends with a bracket; where it stands is the length so far.
-    pieces = F.regexp_extract_all(F.array_join(blank, ""), F.lit(r"[^()]*[()]"), F.lit(0))
+    # Each piece ends with a bracket, but for what follows the last one.
+    pieces = F.regexp_extract_all(F.array_join(masked, ""), F.lit(r"[^()]*[()]|[^()]+$"), F.lit(0))
     marks = F.transform(
         pieces,
         lambda piece: F.struct(
             F.length(piece).alias("n"),
             F.right(piece, F.lit(1)).alias("c"),
-            F.when(piece.endswith("("), 1).otherwise(-1).alias("step"),
-        ),
-    )
-    step = queries.where(F.length(text) > 0).select(col, marks.alias("_m"))
-
-    def total(upto: Column, name: str) -> Column:
-        return F.aggregate(
-            F.slice(F.col("_m"), F.lit(1), upto), F.lit(0), lambda acc, m: acc + m[name]
-        )
-
-    levels = F.transform(
-        "_m",
-        lambda m, i: F.struct(
-            total(i + 1, "n").alias("at"),
-            m["c"].alias("c"),
-            # The level a bracket opens or closes.
-            (total(i + 1, "step") + F.when(m["c"] == ")", 1).otherwise(0)).alias("level"),
-        ),
-    )
-    step = step.select(col, levels.alias("_l"))
-    opens = F.filter("_l", lambda m: m["c"] == "(")
-    spans = F.transform(
-        opens,
-        lambda o: F.struct(
-            o["at"].alias("from"),
-            F.coalesce(
-                F.get(
-                    F.filter(
-                        "_l",
-                        lambda m: (m["c"] == ")") & (m["level"] == o["level"]) & (m["at"] > o["at"]),
-                    ),
-                    F.lit(0),
-                )["at"],
-                F.length(text) + 1,
-            ).alias("to"),
-        ),
-    )
-    selects = F.filter(
-        spans,
-        lambda s: F.regexp_like(
-            F.substr(text, s["from"] + 1, s["to"] - s["from"] - 1), F.lit(r"(?i)^\s*select\b")
+            piece.rlike(r"(?i)^\s*select\b").alias("selects"),
         ),
     )
-    top = F.struct(F.lit(0).alias("from"), (F.length(text) + 1).alias("to"))
-    every = F.when(text.rlike(r"(?i)^\s*\(*\s*select\b"), F.concat(F.array(top), selects)).otherwise(
-        selects
-    )
-    step = step.select(col, every.alias("_s"))
-    rows = step.select(col, "_s", F.explode("_s").alias("x"))
-    around = F.filter(
-        "_s", lambda s: (s["from"] < F.col("x.from")) & (s["to"] >= F.col("x.to"))
+    in_text = Window.partitionBy("_id").orderBy("i")
+    so_far = in_text.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    step = F.when(F.col("c") == "(", 1).when(F.col("c") == ")", -1).otherwise(0)
+    rows = stated.select("_id", F.posexplode(marks).alias("i", "m")).select("_id", "i", "m.*")
+    rows = rows.select(
+        "_id",
+        "c",
+        F.sum("n").over(so_far).alias("at"),
+        # The level a bracket opens or closes.
+        (F.sum(step).over(so_far) + F.when(F.col("c") == ")", 1).otherwise(0)).alias("level"),
+        F.lead("selects", 1, False).over(in_text).alias("selects"),
+    ).where(F.col("c").isin("(", ")"))
+    of_level = Window.partitionBy("_id", "level").orderBy("at")
+    closed = F.when(F.lead("c").over(of_level) == ")", F.lead("at").over(of_level))
+    spans = rows.withColumn("to", closed).where((F.col("c") == "(") & F.col("selects"))
+    top = stated.where(text.rlike(r"(?i)^\s*\(*\s*select\b")).select(
+        "_id", F.lit(0).cast("bigint").alias("from"), F.lit(None).cast("bigint").alias("to")
     )
-    parent = F.element_at(
-        F.when(F.size(around) > 0, F.array_sort(around)), -1
-    )
-
-    def body(s: Column) -> Column:
-        return F.substr(text, s["from"] + 1, s["to"] - s["from"] - 1)
-
-    return rows.select(
+    spans = cut(spans.select("_id", F.col("at").alias("from"), "to").unionByName(top))
+    # Selects around: those begun before and not ended.
+    ends = spans.where("to is not null").select("_id", F.col("to").alias("x"), F.lit(-1).alias("d"), F.lit(None).cast("bigint").alias("to"))
+    begins = spans.select("_id", F.col("from").alias("x"), F.lit(1).alias("d"), "to")
+    earlier = Window.partitionBy("_id").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    depth = F.coalesce(F.sum("d").over(earlier), F.lit(0))
+    deep = begins.unionByName(ends).withColumn("depth", depth).where("d = 1")
+    own = F.struct(F.col("x").alias("from"), "to")
+    nothing = F.lit(None).cast("struct<from:bigint,to:bigint>")
+    inner = deep.select("_id", "x", "depth", F.col("depth").alias("key"), own.alias("span"), nothing.alias("outer"))
+    outer = deep.select("_id", "x", "depth", (F.col("depth") + 1).alias("key"), nothing.alias("span"), own.alias("outer"))
+    of_key = Window.partitionBy("_id", "key").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    found = inner.unionByName(outer).withColumn("outer", F.last("outer", ignorenulls=True).over(of_key))
+    found = found.where("span is not null").join(stated, "_id")
+
+    def body(span: Column) -> Column:
+        end = F.coalesce(span["to"], F.length(text) + 1)
+        return F.substr(text, (span["from"] + 1).cast("int"), (end - span["from"] - 1).cast("int"))
+
+    return found.select(
         col,
-        F.when(parent.isNotNull(), body(parent)).alias("parent"),
-        body(F.col("x")).alias("sub"),
-        F.size(around).alias("depth"),
+        F.when(F.col("outer").isNotNull(), body(F.col("outer"))).alias("parent"),
+        body(F.col("span")).alias("sub"),
+        F.col("depth").cast("int").alias("depth"),
     )
 
 

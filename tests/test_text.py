@@ -1,6 +1,7 @@
 """Scans and SQL dependencies on texts written for these tests."""
 
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -59,6 +60,48 @@ def test_nested_queries(spark):
     assert [r.parent for r in rows] == [None, rows[0].sub, rows[1].sub]
 
 
+def plain_selects(text):
+    """(parent, sub, depth) by a stack of brackets; texts without strings and comments."""
+    import re
+
+    spans, stack = [], []
+    for i, ch in enumerate(text):
+        if ch == "(":
+            stack.append(i + 1)
+        elif ch == ")" and stack:
+            spans.append((stack.pop(), i + 1))
+    spans += [(at, len(text) + 1) for at in stack]
+    spans = [s for s in spans if re.match(r"(?i)\s*select\b", text[s[0] :])]
+    if re.match(r"(?i)\s*\(*\s*select\b", text):
+        spans.append((0, len(text) + 1))
+    out = []
+    for a, b in spans:
+        around = sorted(s for s in spans if s[0] < a and s[1] >= b)
+        parent = text[around[-1][0] : around[-1][1] - 1] if around else None
+        out.append((parent, text[a : b - 1], len(around)))
+    return sorted(out, key=repr)
+
+
+def test_nested_queries_against_a_stack(spark):
+    rnd = random.Random(21)
+    texts = [
+        "".join(rnd.choice(["(", ")", "(select a ", "select b ", "x, ", "( SELECT c", ") "]) for _ in range(rnd.randint(1, 30)))
+        for _ in range(150)
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, query string")
+    got = {}
+    for r in sq.nested_queries(df.select("query")).collect():
+        got.setdefault(r.query, []).append((r.parent, r.sub, r.depth))
+    for text in set(texts):
+        assert sorted(got.get(text, []), key=repr) == sorted(plain_selects(text) * texts.count(text), key=repr), text
+
+
+def test_a_statement_of_very_many_brackets(spark):
+    text = "select " + "(" * 25_000 + "1" + ")" * 25_000 + " + (select 2)" + "(3)" * 25_000
+    rows = sq.nested_queries(spark.createDataFrame([(text,)], "query string")).collect()
+    assert sorted((r.depth, r.sub) for r in rows) == [(0, text), (1, "select 2")]
+
+
 def test_find_sql_per_line(spark):
     df = spark.createDataFrame([(1, "x = 'select a from b';\ny\nUPDATE t SET a=1\n")], "source int, text string")
     assert {(r.kind, r.text) for r in x.find_sql(df, per_line=True).collect()} == {
