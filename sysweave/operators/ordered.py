@@ -6,6 +6,10 @@ sequence numbers. ``seq`` is an integer, unique within the keys, so a piece
 has at most ``chunk`` rows. Values are computed per piece, what one piece
 hands to the next is computed from one summary row per piece, and both are
 joined on (keys, piece). No task ever sees more than ``chunk`` rows of a flow.
+
+Where numbers have wide gaps, pieces of consecutive numbers hold few rows and the
+summary is as long as the flow. ``with_pieces`` cuts such flows by rows instead, and
+``numbered`` gives them numbers without gaps, for steps that make their own pieces.
 """
 
 from __future__ import annotations
@@ -15,6 +19,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sysweave.session import cut
+
 CHUNK = 1 << 20
 PIECE = "_piece"
 
@@ -24,6 +30,56 @@ def piece_of(seq: str, chunk: int | None = None) -> Column:
     return F.expr(f"cast(`{seq}` as bigint) div {chunk or CHUNK}")
 
 
+def with_pieces(
+    df: DataFrame, keys: Sequence[str], seq: str = "seq", chunk: int | None = None
+) -> DataFrame:
+    """Add the piece of each row, cut by rows: a piece has at most twice ``chunk`` rows,
+    however the numbers are spread.
+
+    A flow of at most twice ``chunk`` rows is one piece. A longer one is cut into as many
+    equal ranges of numbers as it has chunks; a range that still holds too many rows is
+    cut again between its own least and greatest number, until none is left. Evenly
+    spread numbers take one round, whatever the gaps; each round adds no more pieces than
+    the ranges it cuts hold chunks. The table of ranges to cut has one
+    row for two chunks of rows at most. Numbers lie between -2^62 and 2^62; rows that share a
+    number or have none are not parted. The input is read again in each round.
+    """
+    chunk = chunk or CHUNK
+    on = [*keys, PIECE]
+    number = F.col(seq).cast("bigint")
+    placed = df.drop(PIECE).withColumn(PIECE, F.lit(0).cast("bigint"))
+    inside = placed
+    while True:
+        ranges = inside.groupBy(*on).agg(
+            F.min(number).alias("_lo"), F.max(number).alias("_hi"), F.count(number).alias("_n")
+        )
+        parts = f"((_n + {chunk - 1}) div {chunk})"
+        wide = cut(
+            ranges.where((F.col("_n") > 2 * chunk) & (F.col("_hi") > F.col("_lo"))).select(
+                *on, "_lo", F.expr(f"(_hi - _lo + {parts}) div {parts}").alias("_step")
+            )
+        )
+        if wide.isEmpty():
+            return placed
+        start = F.expr(f"_lo + ((cast(`{seq}` as bigint) - _lo) div _step) * _step")
+        found = placed.join(wide, on, "left").withColumn(PIECE, F.coalesce(start, F.col(PIECE)))
+        inside = found.where("_lo is not null").select(*on, seq)
+        placed = found.drop("_lo", "_step")
+
+
+def numbered(
+    df: DataFrame, keys: Sequence[str], seq: str = "seq", was: str | None = None,
+    chunk: int | None = None,
+) -> DataFrame:
+    """``df`` with ``seq`` counted from 0 within the keys, in its order; ``was`` names a column
+    that keeps the number given before. Rows without a number are left out."""
+    placed = with_pieces(df.where(F.col(seq).isNotNull()), keys, seq, chunk)
+    counted = scan(placed, keys, seq, sums={"_rank": F.lit(1)}, chunk=chunk)
+    rank = (F.col("_rank") - 1).alias(seq)
+    columns = [rank if c == seq else F.col(f"`{c}`") for c in df.columns if c != PIECE]
+    return counted.select(*columns, *([F.col(seq).alias(was)] if was else []))
+
+
 def scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -38,7 +94,7 @@ def scan(
     chunk: int | None = None,
     keep_piece: bool = False,
 ) -> DataFrame:
-    """Add order-dependent columns to ``df``.
+    """Add order-dependent columns to ``df``; pieces ``with_pieces`` made are used.
 
     ``keep_piece`` leaves the piece number in place, so that a next scan with
     the same keys finds its rows already shuffled as it needs them.
@@ -142,7 +198,7 @@ def count_steps(
     ``probe`` names the values compared; ``changed`` takes them, as structs, of
     the row before and of this row. ``first`` is what the first row of a flow
     counts. What a piece hands on is its first and last values and its count, so
-    this takes one scan and not two.
+    this takes one scan and not two. Pieces ``with_pieces`` made are used.
     """
     chunk = chunk or CHUNK
     keys = list(keys)
@@ -152,7 +208,7 @@ def count_steps(
     by_piece = Window.partitionBy(*keys).orderBy(PIECE)
     earlier = by_piece.rowsBetween(Window.unboundedPreceding, -1)
     now = F.struct(*[v.alias(k) for k, v in probe.items()])
-    piece = piece_of(seq, chunk)
+    piece = F.col(PIECE) if PIECE in df.columns else piece_of(seq, chunk)
 
     def step(before: Column, here: Column) -> Column:
         return F.coalesce(changed(before, here), F.lit(True)).cast("int")

@@ -349,6 +349,41 @@ def match_interrupted(spark, sf):
     return joined.select("seq", "pid", "partner_seq", "status", F.array_join("args", ",").alias("args"))
 
 
+GAPS = "seq * 1000000000 + seq * seq % 999999937"
+
+
+@query(
+    "t9_match_interrupted_gaps",
+    HALVES
+    + f""", r as (select event_id, row_number() over (order by event_id) - 1 i from events),
+    t as (select seq, pid, case when d=1 then ns else ps end partner,
+      case when d=-1 then 'merged' when ns is not null then 'matched' else 'unfinished' end status from m
+     union all select seq, pid, null, 'resumed' from n where lev=0
+     union all select event_id, user_id, null, 'plain' from events where event_type not in ('click','purchase'))
+    select r.i seq, {GAPS} given, pid, p.i partner_seq, status
+    from t join r on r.event_id = seq left join r p on p.event_id = partner""",
+)
+def match_interrupted_gaps(spark, sf):
+    """Numbers with wide, uneven gaps, counted anew before halves are joined."""
+    calls = v.interrupted_calls(spark, sf).withColumn("seq", F.expr(GAPS))
+    joined = c.match_interrupted(ordered.numbered(calls, ["session"], was="given"))
+    return joined.select("seq", "given", "pid", "partner_seq", "status")
+
+
+@query(
+    "t12_squeeze_repeats_gaps",
+    FLOW
+    + f""", g as (select *, row_number() over (order by seq) - 1 rank from flow),
+    a as (select *, case when full_sig = lag(full_sig) over (partition by pid order by seq) then 0 else 1 end st from g),
+    b as (select *, sum(st) over (partition by pid order by seq rows unbounded preceding) i from a)
+    select pid, min(rank) seq, min(fn) fn, min(sig) sig, count(*) occurrences from b group by pid, i""",
+)
+def squeeze_repeats_gaps(spark, sf):
+    calls = v.flow_calls(spark, sf).withColumn("seq", F.expr(GAPS))
+    runs = f.squeeze_repeats(ordered.numbered(calls, ["session"]))
+    return runs.select("pid", "seq", "fn", F.array_join("sig", "&").alias("sig"), "occurrences")
+
+
 @query(
     "t10_drop_adjacent_matched",
     HALVES
