@@ -1,10 +1,14 @@
 """URL filters: host and path rules, and a ratio of character language models.
 
 Two variable-order Markov models of characters, one of accepted and one of
-rejected URLs, are counted in Spark. The longest context a model has seen
-decides, smoothed by the shorter ones (Witten and Bell). A URL's score is the
-difference of its log-likelihoods over its length; the threshold is calibrated
-on labelled URLs the models have not seen.
+rejected URLs, are counted in Spark, exactly, over a bounded number of labelled URLs.
+The longest context a model has seen decides, smoothed by the shorter ones (Witten and
+Bell). A URL's score is the difference of its log-likelihoods over its length; the
+threshold is calibrated on labelled URLs of hosts the models have not seen.
+
+Where no labels are given, several voters on the form of the host vote, expectation-
+maximisation over their vote patterns tells how far each can be trusted, and the
+more probable class is the label.
 """
 
 from __future__ import annotations
@@ -18,14 +22,16 @@ from pyspark.sql import functions as F
 
 from sysweave.llm.batches import arrow_schema, map_rows, read
 from sysweave.llm.registry import query
+from sysweave.llm.weak import reliabilities
 
 #: Characters of context.
 ORDER = 5
-#: Slots of a model's tables: a fixed size, whatever the number of URLs.
-SLOTS = 1 << 18
+#: Labelled URLs of each class the models are fitted on, those with the least hashes,
+#: and the characters a URL among them may have.
+TRAINED_ON, LONGEST = 1 << 14, 2048
 #: Characters of the alphabet that the shortest context spreads over.
 ALPHABET = 128
-#: One labelled URL in so many is kept from training, for calibration.
+#: The labelled URLs of one host in so many are kept from training, for calibration.
 HELD_OUT = 5
 #: Histogram of scores for calibration.
 BINS, REACH = 400, 8.0
@@ -39,7 +45,7 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-#: Words in a host that mark it as rejected when no labelled URLs are given.
+#: Words in a host that speak against it when no labelled URLs are given.
 UNWANTED = ["adult", "bet", "bets", "casino", "cheap", "farm", "pills", "porn", "spam", "ads", "track"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,17 +79,55 @@ def verdict_of(rule: Column, rules=tuple(RULES)) -> Column:
     return out
 
 
+def voters(host: Column) -> list[Column]:
+    """What speaks for (1) and against (-1) a host, as votes; 0 is no vote."""
+    said = lambda bad, good: F.when(bad, -1).otherwise(good)
+    return [
+        said(host.rlike(r"(^|[.-])(" + "|".join(UNWANTED) + r")([.-]|$)"), 1),
+        said(host.rlike(r"[^.-]-[^.-]"), 1),
+        said(host.rlike(r"[0-9][^.]*[a-z]|[a-z][^.]*[0-9]"), 0),
+        said(host.rlike(r"[^.]{25}") | host.rlike(r"(\.[^.]*){5}"), 0),
+    ]
+
+
+def weak_labels(urls: DataFrame) -> DataFrame:
+    """(url, accepted) of the rows of (url) with a host, by the voters and their reliabilities.
+
+    Rows are counted by their votes; at most 81 patterns come to the driver.
+    """
+    host = host_of(F.col("url"))
+    votes = F.array(*voters(host))
+    voted = urls.where(host != "").select("url", F.array_join(votes, ",").alias("votes"))
+    patterns = voted.groupBy("votes").count().orderBy("votes").collect()
+    table = np.array([[int(x) for x in r["votes"].split(",")] for r in patterns]).reshape(-1, 4)
+    counts = np.array([r["count"] for r in patterns], float)
+    posterior, _, _ = reliabilities(table, counts, np.zeros(len(table), np.int64))
+    labels = [(r["votes"], bool(x >= 0.5)) for r, x in zip(patterns, posterior, strict=True)]
+    by_votes = urls.sparkSession.createDataFrame(labels, "votes string, accepted boolean")
+    return voted.join(F.broadcast(by_votes), "votes").select("url", "accepted")
+
+
 @dataclasses.dataclass
 class Model:
-    """For accepted and rejected URLs: counts of n-grams, totals of contexts and
-    their different next characters, by slot; and the least accepted score."""
+    """Exact counts of n-grams and contexts, by sorted hash: a row for each hash, with a
+    column for rejected and one for accepted URLs; and the least accepted score."""
 
     grams: np.ndarray
+    counts: np.ndarray
+    contexts: np.ndarray
     totals: np.ndarray
     kinds: np.ndarray
     threshold: float = 0.0
 
 
+def looked_up(keys: np.ndarray, wanted: np.ndarray):
+    """Rows of ``wanted`` in the sorted ``keys``; one past the end where there is none."""
+    at = np.searchsorted(keys, wanted)
+    found = at < len(keys)
+    found[found] = keys[at[found]] == wanted[found]
+    return np.where(found, at, len(keys))
+
+
 def grams_of(texts: list[str]):
     """(owner, [(hash of context, hash of context and character) by order]) of the
     characters of some texts; a hash is 0 where the text has too few characters before."""
@@ -149,32 +193,36 @@ def count_grams(labelled: DataFrame) -> DataFrame:
     return counted.groupBy("accepted", "gram").agg(F.min("context").alias("context"), F.sum("n").alias("n"))
 
 
-def train(labelled: DataFrame, slots: int = SLOTS) -> Model:
+def by_hash(hashes: np.ndarray, label: np.ndarray, *values: np.ndarray):
+    """The distinct hashes, sorted, and for each of ``values`` its sums by hash and label
+    with a last row of zeros, for hashes that are not among them."""
+    keys, row = np.unique(hashes, return_inverse=True)
+    size = 2 * (len(keys) + 1)
+    return keys, *(np.bincount(2 * row + label, v, size).reshape(-1, 2) for v in values)
+
+
+def train(labelled: DataFrame, trained_on: int = TRAINED_ON) -> Model:
     """A model of the accepted and rejected URLs in (url, accepted).
 
-    Every labelled URL is counted or held out for calibration. What comes to
-    the driver are the tables' slots, at most six times ``slots`` numbers, and
-    a histogram. Without labelled URLs all scores are 0 and all pass.
+    Of the distinct URLs of at most LONGEST characters, whose host is not held out for
+    calibration, each class's ``trained_on`` with the least hashes are counted. Their
+    n-grams come to the driver, and a histogram of all held-out URLs. Where one of
+    the classes is empty all scores are 0 and all URLs pass.
     """
-    labelled = labelled.where("url is not null and accepted is not null")
-    held = F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0
-    grams = count_grams(labelled.where(~held))
-    contexts = grams.groupBy("accepted", "context").agg(
-        F.sum("n").alias("total"), F.count("*").alias("kinds")
-    )
-    slot = lambda c: F.pmod(F.col(c), F.lit(slots)).cast("int").alias("slot")
-    tables = {}
-    for name, df, key, value in (
-        ("grams", grams, "gram", "n"),
-        ("totals", contexts, "context", "total"),
-        ("kinds", contexts, "context", "kinds"),
-    ):
-        table = np.zeros((2, slots), np.float64)
-        got = df.groupBy("accepted", slot(key)).agg(F.sum(value).alias("v")).toArrow()
-        which = np.asarray(got["accepted"].to_numpy(zero_copy_only=False), np.int64)
-        table[which, got["slot"].to_numpy()] = got["v"].to_numpy()
-        tables[name] = table
-    model = Model(**tables)
+    labelled = labelled.where("url is not null and accepted is not null").select("url", "accepted")
+    held = F.pmod(F.xxhash64(host_of(F.col("url"))), F.lit(HELD_OUT)) == 0
+    known = labelled.where(~held & (F.length("url") <= LONGEST)).distinct()
+    least = [known.where(F.col("accepted") == x).orderBy(F.xxhash64("url"), "url").limit(trained_on) for x in (True, False)]
+    got = count_grams(least[0].unionByName(least[1])).toArrow()
+    label = np.asarray(got["accepted"].to_numpy(zero_copy_only=False), np.int64)
+    gram, context = (got[c].to_numpy().view(np.uint64) for c in ("gram", "context"))
+    n = got["n"].to_numpy().astype(np.float64)
+    if len(np.unique(label)) < 2:
+        label, gram, context, n = label[:0], gram[:0], context[:0], n[:0]
+    grams, counts = by_hash(gram, label, n)
+    model = Model(grams, counts, *by_hash(context, label, n, np.ones(len(n))))
+    if not len(gram):
+        return model
     histogram = (
         scored(labelled.where(held), model, "url", ["accepted"])
         .groupBy("accepted", F.floor((F.col("score") + REACH) / (2 * REACH) * BINS).alias("bin"))
@@ -203,18 +251,15 @@ def calibrated(counts: np.ndarray) -> float:
 def score_texts(texts: list[str], model: Model) -> np.ndarray:
     """Log-likelihood as an accepted URL less that as a rejected one, by character; 0 if empty."""
     owner, orders = grams_of(texts)
-    slots = np.uint64(model.grams.shape[1])
-    logs = []
-    for label in (1, 0):
-        p = np.full(len(owner), 1 / ALPHABET)
-        for context, gram, here in orders:
-            total = np.where(here, model.totals[label, (context % slots).astype(np.int64)], 0)
-            kinds = np.where(here, model.kinds[label, (context % slots).astype(np.int64)], 0)
-            n = np.where(here, model.grams[label, (gram % slots).astype(np.int64)], 0)
-            n = np.minimum(n, total)  # slots may be shared
-            p = np.where(total > 0, (n + kinds * p) / np.maximum(total + kinds, 1), p)
-        logs.append(np.log(p))
-    sums = np.bincount(owner, logs[0] - logs[1], len(texts))
+    p = np.full((len(owner), 2), 1 / ALPHABET)
+    for context, gram, here in orders:
+        at = looked_up(model.contexts, context[here])
+        n = model.counts[looked_up(model.grams, gram[here])]
+        total, kinds = model.totals[at], model.kinds[at]
+        mixed = (n + kinds * p[here]) / np.maximum(total + kinds, 1)
+        p[here] = np.where(total > 0, mixed, p[here])
+    logs = np.log(p)
+    sums = np.bincount(owner, logs[:, 1] - logs[:, 0], len(texts))
     return sums / np.maximum(1, [len(t) for t in texts])
 
 
@@ -243,25 +288,19 @@ def judge(
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for each row.
 
-    A rule decides where one fits, else the score against the threshold. Without
-    ``labelled`` (url, accepted), URLs whose host has one of UNWANTED as a word
-    are rejected and the others that no rule blocks are accepted. A null URL, or
-    one without ``://``, has an empty host and path; an empty URL scores 0.
-    Repeated rows give repeated rows, other columns are not looked at.
+    A rule decides where one fits, the longest, and of two as long the later one; else
+    the score, which passes if it is not under the threshold. Without ``labelled``
+    (url, accepted) the labels are ``weak_labels`` of the URLs themselves; with labels
+    of one class only, or none, all URLs no rule decides pass. A null URL, or one without
+    ``://``, has an empty host and path; a null or empty URL scores 0. URLs of any
+    length are scored whole. Repeated rows give repeated rows, other columns are
+    not looked at.
     """
     rows = pages.select(
         F.col(f"`{id_col}`").cast("long").alias("page_id"),
         F.col(f"`{url_col}`").cast("string").alias("url"),
     )
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
-    rule = rule_of(host, path, rules)
-    if labelled is None:
-        unwanted = host.rlike(r"(^|[.-])(" + "|".join(UNWANTED) + r")([.-]|$)")
-        blocked = F.coalesce(verdict_of(rule, rules) == "block", F.lit(False))
-        labelled = rows.where((host != "") & (unwanted | ~blocked)).select(
-            "url", (~unwanted).alias("accepted")
-        )
-    model = train(labelled)
+    model = train(weak_labels(rows) if labelled is None else labelled)
     by_model = F.when(F.col("score") >= model.threshold, "allow").otherwise("block")
     judged = scored(rows.withColumn("again", F.col("url")), model, "url", ["page_id", "again"])
     host, path = host_of(F.col("again")), path_of(F.col("again"))

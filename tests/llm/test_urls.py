@@ -69,8 +69,8 @@ def brute(texts, labels, url):
 def test_model_against_dictionaries(spark, rng, monkeypatch):
     monkeypatch.setattr(urls, "HELD_OUT", 10**9)  # train on nearly all
     words = [["cat", "dog", "house", "news"], ["win", "casino", "pills", "bets"]]
-    rows = [(f"http://{rng.choice(words[i % 2])}.{rng.choice(words[i % 2])}.org/{i % 7}", i % 2 == 0) for i in range(200)]
-    model = urls.train(spark.createDataFrame(rows, "url string, accepted boolean"), slots=1 << 20)
+    rows = sorted({(f"http://{rng.choice(words[i % 2])}.{rng.choice(words[i % 2])}.org/{i % 7}", i % 2 == 0) for i in range(200)})
+    model = urls.train(spark.createDataFrame(rows, "url string, accepted boolean"))
     unseen = ["http://dog.house.org/3", "http://casino.org", "", "zzz"]
     want = [brute([r[0] for r in rows], [r[1] for r in rows], u) for u in unseen]
     assert np.allclose(urls.score_texts(unseen, model), want)
@@ -81,3 +81,48 @@ def test_held_out_accuracy(spark):
     got = urls.judge(rows).where("rule is null").collect()
     bad = re.compile("pills|casino|bets|spam|ads-|adult")
     assert np.mean([(r["verdict"] == "block") == bool(bad.search(r["host"])) for r in got]) > 0.95
+
+
+def test_hosts_without_labels(spark):
+    """A kind of rejected host that no label and no listed word names is told from the others."""
+    rows = urls.read(spark, "/root/testdata/sf0.1", "pages")
+    kinds = ["casino-win", "cheap-pills", "free-bets"]
+    labelled = urls.weak_labels(rows.select("url"))
+    for kind in kinds:
+        unseen = urls.F.col("url").contains(kind)
+        model = urls.train(labelled.where(~unseen))
+        got = urls.scored(rows.where(unseen), model, "url", ["page_id"])
+        good = urls.scored(rows.where(~urls.F.col("url").rlike("://[^/]*-")), model, "url", ["page_id"])
+        block = urls.F.avg((urls.F.col("score") < model.threshold).cast("int"))
+        assert got.agg(block).first()[0] > 0.9
+        assert good.agg(block).first()[0] < 0.05
+
+
+def test_labels_of_one_class_or_none(spark):
+    df = spark.createDataFrame([(1, "http://a-b.org/x"), (2, "http://c.org"), (3, None), (4, "")], "page_id long, url string")
+    one = spark.createDataFrame([("http://a-b.org/x", False), (None, True), ("http://q.org", None)], "url string, accepted boolean")
+    for labelled in (one, one.limit(0), one.withColumn("accepted", ~urls.F.col("accepted"))):
+        assert {(r["verdict"], r["score"]) for r in urls.judge(df, labelled).collect()} == {("allow", 0.0)}
+
+
+def test_ties(spark):
+    """Of rules as long as each other the later one, and a score equal to the threshold passes."""
+    df = spark.createDataFrame([(1, "http://x.org/a"), (2, "http://y.net/b")], "page_id long, url string")
+    rules = [("x.org", "", "allow"), ("org", "/a", "block")]
+    for order in (rules, rules[::-1]):
+        got = {r["page_id"]: r for r in urls.judge(df, None, tuple(order)).collect()}
+        assert (got[1]["rule"], got[1]["verdict"]) == (order[1][0] + order[1][1], order[1][2])
+        assert got[2]["rule"] is None
+    empty = urls.judge(df, spark.createDataFrame([], "url string, accepted boolean")).collect()
+    assert {(r["score"], r["verdict"]) for r in empty} == {(0.0, "allow")}  # the threshold is 0
+
+
+def test_bound_of_the_sample(spark):
+    """Counts are exact, and fitting is bounded by a number of URLs and not by a table's size."""
+    rows = [(f"http://{'a-' if i % 2 else ''}h{i}.org/{i}", i % 2 == 0) for i in range(2000)]
+    df = spark.createDataFrame(rows, "url string, accepted boolean")
+    small, whole = urls.train(df, trained_on=50), urls.train(df)
+    assert len(small.grams) < len(whole.grams)
+    assert small.totals[small.contexts.searchsorted(urls.grams_of(["x"])[1][0][0][0])].sum() < 100 * 25
+    far = spark.createDataFrame([("http://z.org/" + "z" * 5000, True), *rows], df.schema)
+    assert np.array_equal(urls.train(far).grams, whole.grams)
