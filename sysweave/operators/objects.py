@@ -23,7 +23,8 @@ from sysweave.operators.calls import FLOW, kind_of, normalise_pids
 from sysweave.operators.ordered import scan
 from sysweave.operators.relations import file_node
 from sysweave.sources.tables import tables_to_triples
-from sysweave.operators.textscan import find_sql_column
+from sysweave.operators.textscan import SQL_CHARS, find_sql_column
+from sysweave.session import cut
 
 OPENS = ["open@SYS", "openat@SYS"]
 READS = ["read@SYS", "pread@SYS", "pread64@SYS"]
@@ -200,13 +201,13 @@ def file_access_table(calls: DataFrame, parity: bool = False) -> DataFrame:
     )
 
 
-def rebuild_buffers(calls: DataFrame, decode: bool = True) -> DataFrame:
-    """(session, pid, path, dir, seq, text, closed): messages of reads and writes.
+MESSAGE = [*FLOW, "path", "dir"]
 
-    Fragments of a round block size that are shown whole belong to one message;
-    the first fragment that is not ends it and is a message of its own. A
-    message nothing ended has ``closed`` false. Plain files are skipped.
-    """
+
+def fragments(calls: DataFrame, decode: bool = True) -> DataFrame:
+    """(session, pid, path, dir, seq, text, _full): what reads and writes show of their
+    data; ``_full`` marks fragments of a round block size that are shown whole. Plain
+    files are skipped."""
     rows = accesses(calls).where(
         F.col("buffer").isNotNull()
         & (F.col("buffer") != "")
@@ -232,10 +233,19 @@ def rebuild_buffers(calls: DataFrame, decode: bool = True) -> DataFrame:
         size.alias("_size"),
     ).where("text is not null")
     full = F.col("_block") & (F.col("_size") == F.octet_length("text"))
-    marked = shown.withColumn("_full", full)
-    keys = [*FLOW, "path", "dir"]
+    return shown.select(*MESSAGE, "seq", "text", full.alias("_full"))
+
+
+def rebuild_buffers(calls: DataFrame, decode: bool = True) -> DataFrame:
+    """(session, pid, path, dir, seq, text, closed): messages of reads and writes.
+
+    Fragments of a round block size that are shown whole belong to one message;
+    the first fragment that is not ends it and is a message of its own. A
+    message nothing ended has ``closed`` false. Plain files are skipped. A message is
+    one text here; ``message_parts`` leaves long ones in parts.
+    """
     ends = F.when(F.col("_full"), 0).otherwise(1)
-    runs = scan(marked, keys, sums={"_ends": ends})
+    runs = scan(fragments(calls, decode), MESSAGE, sums={"_ends": ends})
     # A group is the full fragments since the last short one, and the one that ends them.
     parts = F.array_sort(
         F.collect_list(F.when(F.col("_full"), F.struct("seq", "text")))
@@ -243,7 +253,7 @@ def rebuild_buffers(calls: DataFrame, decode: bool = True) -> DataFrame:
     last = F.max(F.when(~F.col("_full"), F.struct("seq", "text")))
     groups = (
         runs.withColumn("_group", F.col("_ends") - ends)
-        .groupBy(*keys, "_group")
+        .groupBy(*MESSAGE, "_group")
         .agg(parts.alias("_parts"), last.alias("_last"))
     )
     glued = F.when(
@@ -263,11 +273,42 @@ def rebuild_buffers(calls: DataFrame, decode: bool = True) -> DataFrame:
         ),
     )
     messages = F.explode(F.array_compact(F.array(glued, short)))
-    return groups.select(*keys, messages.alias("m")).select(*keys, "m.*")
+    return groups.select(*MESSAGE, messages.alias("m")).select(*MESSAGE, "m.*")
+
+
+def message_parts(calls: DataFrame, decode: bool = True) -> DataFrame:
+    """(session, pid, path, dir, seq, part, text, closed): the messages of ``rebuild_buffers``,
+    a row for each fragment, numbered from 0 in each message.
+
+    ``seq`` is that of the first fragment and names the message. No task holds a message:
+    its rows meet one row of facts about it.
+    """
+    ends = F.when(F.col("_full"), 0).otherwise(1)
+    runs = cut(
+        scan(
+            fragments(calls, decode), MESSAGE,
+            sums={"_ends": ends, "_fulls": F.col("_full").cast("int")},
+        ).withColumn("_group", F.col("_ends") - ends)
+    )
+    heads = runs.groupBy(*MESSAGE, "_group").agg(
+        F.min(F.when(F.col("_full"), F.col("seq"))).alias("_first"),
+        F.min(F.when(F.col("_full"), F.col("_fulls"))).alias("_base"),
+        F.max(~F.col("_full")).alias("closed"),
+    ).where("_first is not null")
+    long = runs.where("_full").join(heads, [*MESSAGE, "_group"]).select(
+        *MESSAGE, F.col("_first").alias("seq"), (F.col("_fulls") - F.col("_base")).alias("part"),
+        "text", "closed",
+    )
+    short = runs.where("not _full").select(
+        *MESSAGE, "seq", F.lit(0).cast("long").alias("part"), "text", F.lit(True).alias("closed")
+    )
+    return long.unionByName(short)
 
 
 # Named scanners of buffers: text column -> array of (kind, text).
 SCANNERS: dict[str, Callable[[Column], Column]] = {"SqlQuery": find_sql_column}
+# The characters a find of a scanner may hold, as a class of a pattern.
+SCANNED = {"SqlQuery": SQL_CHARS}
 
 
 def _hits(name: str, scanner: Callable[[Column], Column]) -> Column:
@@ -288,6 +329,44 @@ def buffer_hits(buffers: DataFrame, scanners=None) -> DataFrame:
     )
 
 
+def part_hits(parts: DataFrame, scanners=None, scanned=None) -> DataFrame:
+    """(session, pid, path, dir, seq, scanner, kind, hit): the finds of ``buffer_hits`` in
+    messages that are left in parts, those over borders of parts included.
+
+    ``scanned`` names for each scanner the class of characters its finds are made of. So
+    no find goes over another character, and what a scanner sees is a part from its first
+    such character to its last, and the stretches between one part's last and the next
+    one's first, with parts that have none in between. Only a stretch without such a
+    character is put together, never a message.
+    """
+    chosen, of = scanners or SCANNERS, scanned or SCANNED
+    keys = [*MESSAGE, "seq"]
+    out = None
+    for name, scanner in chosen.items():
+        begin = F.regexp_extract("text", f"^{of[name]}*+", 0)
+        end = F.reverse(F.regexp_extract(F.reverse("text"), f"^{of[name]}*+", 0))
+        split = parts.select(*keys, "part", "text", begin.alias("_begin"), end.alias("_end"))
+        broken = F.length("_begin") < F.length("text")
+        counted = scan(split, keys, "part", sums={"_breaks": broken.cast("int")})
+        inner = F.expr("substring(text, length(_begin) + 1, length(text) - length(_begin) - length(_end))")
+        before = F.col("_breaks") - broken.cast("int")
+        piece = lambda at, text: F.struct(at.alias("at"), text.alias("text"))
+        pieces = F.when(
+            broken, F.array(piece(before, F.col("_begin")), piece(F.col("_breaks"), F.col("_end")))
+        ).otherwise(F.array(piece(before, F.col("text"))))
+        borders = (
+            counted.select(*keys, "part", F.explode(pieces).alias("p"))
+            .where("p.text <> ''")
+            .groupBy(*keys, "p.at")
+            .agg(F.array_sort(F.collect_list(F.struct("part", F.col("p.text").alias("text")))).alias("_p"))
+            .select(*keys, F.array_join("_p.text", "").alias("text"))
+        )
+        seen = borders.unionByName(counted.where(broken).select(*keys, inner.alias("text")))
+        found = buffer_hits(seen, {name: scanner})
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def build_rules(file_accesses: DataFrame, processes: DataFrame) -> DataFrame:
     """(session, pid, role, path, cwd, command): make-like rules, a rule per process.
 

@@ -17,6 +17,8 @@ SQL_PATTERNS = {
     "INSERT": rf"insert\s+{QUERY_CHARS}\s+into\s+{QUERY_CHARS}",
     "UPDATE": rf"update\s+{QUERY_CHARS}\s+set\s+{QUERY_CHARS}",
 }
+#: Every character one of these statements can hold.
+SQL_CHARS = r"[ ,a-zA-Z_0-9\.='\"\+\-\*\$\(\)%\s]"
 URL_PATTERN = r"https?://[a-z_0-9\.]+"
 GUID_PATTERN = r"\{[0-9A-F]{8}-[0-9A-F]{4}-[0-9A-F]{4}-[0-9A-F]{4}-[0-9A-F]{12}\}"
 WORD_PATTERN = r"[a-zA-Z0-9]{5,}"

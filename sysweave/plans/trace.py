@@ -709,6 +709,49 @@ def buffer_hits(spark, sf):
     return ob.buffer_hits(ob.rebuild_buffers(socket_calls(spark, sf))).drop("session")
 
 
+@query(
+    "t21_message_parts",
+    BUFFERS
+    + """, m as (select *, min(seq) over g first, row_number() over (partition by pid, path, dir, ends order by seq) - 1 part,
+       min(seq) over g < last_short closed from r where ful window g as (partition by pid, path, dir, ends))
+    select pid, path, dir, first seq, part, rpad(piece, 256, '.') as text, closed from m
+    union all select pid, path, dir, seq, 0, piece, true from r where not ful""",
+)
+def message_parts(spark, sf):
+    return ob.message_parts(socket_calls(spark, sf)).drop("session")
+
+
+def broken_calls(spark, sf):
+    """Statements that begin in one fragment and end in a later one; some fragments between are
+    made of nothing else, the last of a message is short."""
+    calls = socket_calls(spark, sf)
+    k = F.regexp_extract(F.col("args")[1], "select a([0-9]+)", 1)
+    number = k.cast("long")
+    begin = F.concat(F.lit(" and c"), k, F.lit(" from t"), k)
+    end = F.concat(F.lit("; select a"), k, F.lit(", b "))
+    between = F.rpad(F.concat(F.lit(", d"), k, F.lit(" ")), 256, "e, ")
+    broken = F.concat(F.rpad(begin, 236, "#"), F.lpad(end, 20, "#"))
+    text = F.when(number % 3 == 0, begin).when(number % 3 == 1, broken).otherwise(between)
+    return calls.withColumns({"args": F.array(F.col("args")[0], text, F.lit("256")), "ret": F.length(text).cast("string")})
+
+
+@query(
+    "t22_part_hits",
+    """with e as (select event_id seq, user_id pid, 'TCP:[10.0.0.1:99->10.0.0.2:300'||(user_id%7)||']' path,
+   case when event_type in ('view','signup') then 'read' else 'write' end dir, k, ' and c'||k||' from t'||k head, k%3>0 ful
+   from (select *, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) k from events)),
+ x as (select *, case when k%3=0 then head when k%3=1 then rpad(head, 236, '#')||lpad('; select a'||k||', b ', 20, '#')
+   else substr(', d'||k||' '||repeat('e, ', 90), 1, 256) end piece from e),
+ r as (select *, sum(case when ful then 0 else 1 end) over (partition by pid, path, dir order by seq rows unbounded preceding) ends from x),
+ b as (select pid, path, dir, min(seq) seq, string_agg(piece, '' order by seq) as text from r where ful group by pid, path, dir, ends
+   union all select pid, path, dir, seq, piece from r where not ful)
+ select pid, path, dir, seq, 'SqlQuery' scanner, 'SELECT' kind, unnest(regexp_extract_all(text,
+    '(?i)select\\s+[ ,a-z_0-9\\.=''"+\\-*$()%]*\\s+from\\s+[ ,a-z_0-9\\.=''"+\\-*$()%]*', 0)) hit from b""",
+)
+def part_hits(spark, sf):
+    return ob.part_hits(ob.message_parts(broken_calls(spark, sf))).drop("session")
+
+
 RULES = """, rl as (select pid, case when flag='R' then 'input' else 'target' end as role, path from acc),
  ok as (select pid from rl group by pid having bool_or(role='input') and bool_or(role='target'))"""
 

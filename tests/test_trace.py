@@ -104,6 +104,46 @@ def test_buffers(spark, log):
     assert [p.port for p in ports] == ["3306"]
 
 
+def block(rnd, tokens):
+    """A text of 256 bytes of UTF-8 out of tokens."""
+    text = ""
+    while len((text + (token := rnd.choice(tokens))).encode()) <= 256:
+        text += token
+    return text + " " * (256 - len(text.encode()))
+
+
+def test_hits_over_borders_of_parts(spark, small_pieces):
+    """Messages in parts give the finds of whole messages, wherever a statement is cut."""
+    rnd = random.Random(5)
+    words = ["select ", "SELECT", " from ", "t1", ", ", "a=b", "\n", "insert x into", " update a set "]
+    rows = []
+    for n in range(160):
+        # One flow has most fragments, and long stretches without a character that ends a find.
+        pid = 1 if n % 4 else n % 3
+        tokens = words * (6 if n % 5 else 1) + ["#", "; é", "€"]
+        short = "c from d;" if n % 40 == 39 else None
+        text = short or block(rnd, words if 40 < n < 55 else tokens)
+        rows.append((n, pid, text, str(len(text.encode()))))
+    calls = spark.createDataFrame(rows, "seq long, pid long, text string, ret string").selectExpr(
+        "'s' session", "seq", "pid", "'read@SYS' fn", "ret", "'strace' tracer", "'plain' status",
+        "array('5<TCP:[10.0.0.1:99->10.0.0.2:3001]>', text, '256') args",
+        "'10:00:00.000001' t_start", "'10:00:00.000002' t_end",
+    )
+    whole = ob.rebuild_buffers(calls, decode=False)
+    parts = ob.message_parts(calls, decode=False).collect()
+    glued = {}
+    for r in sorted(parts, key=lambda r: r.part):
+        glued.setdefault((r.pid, r.path, r.dir, r.seq, r.closed), []).append(r.text)
+    assert {(*k, "".join(v)) for k, v in glued.items()} == {
+        (r.pid, r.path, r.dir, r.seq, r.closed, r.text) for r in whole.collect()
+    }
+    want = sorted(tuple(r) for r in ob.buffer_hits(whole).collect())
+    got = sorted(tuple(r) for r in ob.part_hits(ob.message_parts(calls, decode=False)).collect())
+    assert got == want and len(want) > 50
+    assert max(len(r[-1]) for r in want) > 256
+    assert ob.part_hits(ob.message_parts(calls.limit(0))).collect() == []
+
+
 def test_stitched_records(spark):
     lines = [
         (1, "[pid 7] 10:00:00.000001 wait4(8,"),
