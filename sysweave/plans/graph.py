@@ -229,6 +229,30 @@ def dispatch(spark, sf):
     return providers.triples(spark, ["geo:region", "supplier"]).select("s", "p", "o")
 
 
+@query(
+    "u1_providers_about_objects",
+    f"""select s, p, o from ({v.SUPPLIER_SQL}) where cast(split_part(s, '=', 2) as integer) % 3 = 1
+    union all select s, p, o from ({v.CUSTOMER_SQL}) where s in (select 'customer.key=' || o_custkey from orders)""",
+)
+def providers_about(spark, sf):
+    """Customers with orders and all suppliers are asked for: one provider of suppliers applies to a
+    third of them, another is not usable, and no region is among the objects."""
+    from sysweave.sources.tables import Providers
+
+    def unread(s):
+        raise AssertionError("a provider that is not to be read")
+
+    providers = Providers()
+    third = lambda keys: keys["key"].cast("long") % 3 == 1
+    providers.register("trade", "supplier", lambda s: v.supplier_facts(s, sf), applies=third)
+    providers.register("copy", "supplier", unread, usable=lambda s: False)
+    providers.register("trade", "customer", lambda s: v.customer_facts(s, sf))
+    providers.register("geo", "region", unread)
+    buyers = v.table(spark, sf, "orders").select(F.concat(F.lit("customer.key="), "o_custkey").alias("node"))
+    sellers = v.supplier_facts(spark, sf).select(F.col("s").alias("node"))
+    return providers.about(buyers.unionByName(sellers)).select("s", "p", "o")
+
+
 @query(
     "q18_merge_by_object",
     """select object, key, max_by(value, source_rank) as value from (

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sysweave.functions.identity import node_of_integer, node_text
-from sysweave.model import TRIPLE_COLUMNS, TYPE, triples, union_all
+from sysweave.functions.identity import node_of_integer, node_text, parse_nodes
+from sysweave.model import TRIPLE_COLUMNS, TRIPLE_SCHEMA, TYPE, triples, union_all
 
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
@@ -93,29 +94,77 @@ def tables_to_triples(
     )
 
 
+@dataclass(frozen=True)
+class Provider:
+    """What gives facts about the objects of a class.
+
+    ``usable`` says whether it can be read at all in a session, ``applies`` for which objects,
+    by a column of the keys of the object's name (a map of texts); without them always
+    and for all.
+    """
+
+    read: Callable[[SparkSession], DataFrame]
+    usable: Callable[[SparkSession], bool] | None = None
+    applies: Callable[[Column], Column] | None = None
+
+
 class Providers:
     """Classes and the tables that feed them, by the prefix of their source."""
 
     def __init__(self) -> None:
-        self._by_source: dict[str, dict[str, Callable[[SparkSession], DataFrame]]] = {}
-
-    def register(self, source: str, cls: str, provider: Callable[[SparkSession], DataFrame]):
-        self._by_source.setdefault(source, {})[cls] = provider
+        self._by_source: dict[str, dict[str, Provider]] = {}
+
+    def register(
+        self,
+        source: str,
+        cls: str,
+        provider: Callable[[SparkSession], DataFrame],
+        usable: Callable[[SparkSession], bool] | None = None,
+        applies: Callable[[Column], Column] | None = None,
+    ):
+        self._by_source.setdefault(source, {})[cls] = Provider(provider, usable, applies)
 
     def classes(self, source: str) -> list[str]:
         return sorted(self._by_source.get(source, {}))
 
-    def triples(self, spark: SparkSession, names: list[str]) -> DataFrame:
-        """Union of the providers named ``source:class`` or ``class`` (any source)."""
-        chosen = []
+    def found(self, spark: SparkSession, names: list[str]) -> list[tuple[str, Provider]]:
+        """(class, provider) of those named ``source:class`` or ``class`` (any source) that are
+        usable; each once. A name nothing was registered under is an error."""
+        chosen = {}
         for name in names:
             source, _, cls = name.rpartition(":")
             sources = [source] if source else sorted(self._by_source)
-            found = [self._by_source[s][cls] for s in sources if cls in self._by_source.get(s, {})]
-            if not found:
+            there = [s for s in sources if cls in self._by_source.get(s, {})]
+            if not there:
                 raise KeyError(f"no provider for {name}")
-            chosen += [provider(spark) for provider in found]
-        return union_all(chosen)
+            chosen.update({(s, cls): self._by_source[s][cls] for s in there})
+        return [(c, p) for (_, c), p in chosen.items() if p.usable is None or p.usable(spark)]
+
+    def triples(self, spark: SparkSession, names: list[str]) -> DataFrame:
+        """Union of the usable providers of some names; no other is read or planned."""
+        chosen = [provider.read(spark) for _, provider in self.found(spark, names)]
+        return union_all(chosen) if chosen else spark.createDataFrame([], TRIPLE_SCHEMA)
+
+    def about(self, objects: DataFrame, col: str = "node") -> DataFrame:
+        """The facts about the objects a column names, by the providers that apply to each.
+
+        Only providers of classes that occur among the objects are read; which
+        occur is asked once, of the registered classes. Objects of other classes, and
+        null or broken names, have no facts; a name that is repeated counts once.
+        """
+        spark = objects.sparkSession
+        known = sorted({cls for classes in self._by_source.values() for cls in classes})
+        named = parse_nodes(objects.select(F.col(f"`{col}`").alias("s")).distinct(), "s")
+        asked = named.where(F.col("cls").isin(known)).select("s", "cls", "keys")
+        present = sorted(r["cls"] for r in asked.select("cls").distinct().collect())
+        parts = []
+        for cls, provider in self.found(spark, present):
+            mine = asked.where(F.col("cls") == cls)
+            if provider.applies is not None:
+                mine = mine.where(provider.applies(F.col("keys")))
+            parts.append(provider.read(spark).join(mine.select("s"), "s", "left_semi"))
+        found = [p.select(*TRIPLE_COLUMNS) for p in parts]
+        return union_all(found) if found else spark.createDataFrame([], TRIPLE_SCHEMA)
 
 
 def read_table(spark: SparkSession, url: str, query: str, **options) -> DataFrame:

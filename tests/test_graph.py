@@ -182,3 +182,29 @@ def test_a_long_chain_closes_in_few_rounds(spark):
     got = t.closure_from(links, spark.createDataFrame([(0,)], "start long"), rounds=rounds)
     assert got.count() == 19_999 and got.where("descendant <> depth").isEmpty()
     assert len(rounds) <= 16
+
+
+def test_providers_about_objects(spark):
+    """Only usable providers of classes that occur are read, each for the objects it applies to."""
+    from sysweave.model import TRIPLE_SCHEMA
+    from sysweave.sources.tables import Providers
+
+    def facts(*names):
+        rows = [(n, "p", "o", "lit", "string", None) for n in names]
+        return lambda s: read.append(names) or s.createDataFrame(rows, TRIPLE_SCHEMA)
+
+    read = []
+    providers = Providers()
+    providers.register("a", "file", facts("file.id=1", "file.id=2", "file.id=3"))
+    providers.register("b", "file", facts("file.id=1"), usable=lambda s: False)
+    providers.register("c", "file", facts("file.id=2", "file.id=3"), applies=lambda k: k["id"] == "3")
+    providers.register("a", "disk", facts("disk.id=1"))
+    names = ["file.id=1", "file.id=3", "file.id=3", "file.id=9", "other.id=1", "broken", "", None]
+    objects = spark.createDataFrame([(n,) for n in names], "node string")
+    assert sorted(r.s for r in providers.about(objects).collect()) == ["file.id=1", "file.id=3", "file.id=3"]
+    assert len(read) == 2
+    assert providers.about(objects.limit(0)).collect() == []
+    assert providers.triples(spark, ["b:file"]).collect() == []
+    assert providers.triples(spark, ["a:disk", "disk"]).count() == 1
+    with pytest.raises(KeyError):
+        providers.triples(spark, ["a:none"])
