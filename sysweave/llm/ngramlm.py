@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import urllib.parse
 import uuid
 
@@ -233,7 +234,7 @@ def add_words(table: pa.Table, folder: str):
             words, known = unpacked(data, np.uint64, np.int64)
             parts.append((np.cumsum(words, dtype=np.uint64), known.reshape(WORD_COLUMNS, -1)))
     if not parts:
-        return [*pairs, *[0] * 7]
+        return [*pairs, *[0] * 7, len(table), 0]
     words = np.concatenate([w for w, _ in parts])
     known = np.concatenate([k for _, k in parts], 1)
     words, _, known = summed(words, *known)
@@ -245,6 +246,8 @@ def add_words(table: pa.Table, folder: str):
         pairs_in.sum(),
         all_in.sum(),
         (all_in > 0).sum(),
+        len(table) - len(parts),
+        1,
     ]
 
 
@@ -257,6 +260,19 @@ def save(folder: str, name: str, *arrays: np.ndarray) -> None:
         os.replace(own, f"{folder}/{name}.{i}.npy")
 
 
+def written(folder: str, name: str, ranges: int, n: int) -> np.ndarray:
+    """For each range whether it has arrays; an error unless there are ``n``, as the tasks said."""
+    out = np.zeros(ranges, bool)
+    whole = re.compile(re.escape(name) + r"-(\d+)\.0\.npy")
+    with os.scandir(folder) as files:
+        for part in (whole.fullmatch(f.name) for f in files):
+            if part:
+                out[int(part[1])] = True
+    if out.sum() != n:
+        raise OSError(f"{n} ranges of {name} were written, {out.sum()} are in {folder}; is it shared?")
+    return out
+
+
 def local_path(folder: str) -> str:
     """The path all workers reach ``folder`` by; memory-mapping needs one."""
     url = urllib.parse.urlparse(folder)
@@ -276,10 +292,12 @@ def discounts(counts) -> np.ndarray:
 
 
 class Model:
-    """Where the arrays are and the numbers that hold for all of them."""
+    """Where the arrays are, which ranges have any, and the numbers that hold for all of them."""
 
     def __init__(self, folder: str, ranges: int, word_ranges: int, totals: np.ndarray):
-        self.folder, self.ranges, self.word_ranges = folder, ranges, word_ranges
+        self.folder = folder
+        self.pair_parts = written(folder, "pairs", ranges, totals[11])
+        self.word_parts = written(folder, "words", word_ranges, totals[12])
         self.pair_discount = discounts(totals[:4])
         self.word_discount = discounts(totals[4:8])
         self.pairs, self.tokens, self.distinct = (int(x) for x in totals[8:11])
@@ -292,12 +310,12 @@ class Model:
     def of_words(self, words: np.ndarray) -> np.ndarray:
         """The WORD_COLUMNS numbers of each of the sorted ``words``, zeros if unknown."""
         out = np.zeros((len(words), WORD_COLUMNS), np.int64)
-        look_up(self.folder, "words", self.word_ranges, words, out)
+        look_up(self.folder, "words", self.word_parts, words, out)
         return out
 
     def of_pairs(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
-        look_up(self.folder, "pairs", self.ranges, keys, out)
+        look_up(self.folder, "pairs", self.pair_parts, keys, out)
         return out
 
     def score(self, texts: list) -> list:
@@ -329,15 +347,16 @@ class Model:
 
 @functools.lru_cache(maxsize=4096)
 def mapped(path: str):
-    return np.load(path, mmap_mode="r") if os.path.exists(path) else None
+    return np.load(path, mmap_mode="r")
 
 
-def look_up(folder: str, name: str, ranges: int, keys: np.ndarray, out: np.ndarray) -> None:
-    """Fill ``out`` with the rows of the sorted ``keys`` that the arrays have."""
-    for part, first, last in pieces(keys, ranges):
-        there = mapped(f"{folder}/{name}-{part}.0.npy")
-        if there is None:
+def look_up(folder: str, name: str, parts: np.ndarray, keys: np.ndarray, out: np.ndarray) -> None:
+    """Fill ``out`` with the rows of the sorted ``keys`` that the arrays have. A range that has
+    arrays and whose files a worker does not see is an error, not unknown words."""
+    for part, first, last in pieces(keys, len(parts)):
+        if not parts[part]:
             continue
+        there = mapped(f"{folder}/{name}-{part}.0.npy")
         values = mapped(f"{folder}/{name}-{part}.1.npy")
         at = np.minimum(np.searchsorted(there, keys[first:last]), len(there) - 1)
         hit = there[at] == keys[first:last]
@@ -355,7 +374,7 @@ def train(texts: DataFrame) -> Model:
     os.makedirs(folder, exist_ok=True)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(24, -(-size // RANGE_BYTES))
-    word_ranges = max(12, min(512, ranges // 2))
+    word_ranges = max(12, ranges // 2)
     found_schema = "part long, data binary, counts array<long>"
     done_schema = "totals array<long>"
 
@@ -374,8 +393,8 @@ def train(texts: DataFrame) -> Model:
         .applyInArrow(pairs, found_schema)
         .groupBy("part")
         .applyInArrow(words, done_schema)
-        .select([F.col("totals")[i].alias(f"t{i}") for i in range(11)])
-        .agg(*[F.sum(f"t{i}") for i in range(11)])
+        .select([F.col("totals")[i].alias(f"t{i}") for i in range(13)])
+        .agg(*[F.sum(f"t{i}") for i in range(13)])
         .first()
     )
     return Model(folder, ranges, word_ranges, np.array([x or 0 for x in rows], np.int64))

@@ -1,3 +1,4 @@
+import pytest
 import collections
 import math
 import zlib
@@ -103,3 +104,18 @@ def test_odd_documents(odd_documents):
     empty = ngramlm.train(odd_documents.limit(0))
     assert {r["score"] for r in ngramlm.scores(odd_documents.limit(3), empty).collect()} == {0.0}
     assert ngramlm.scores(odd_documents.limit(0), model).collect() == []
+
+
+def test_absent_arrays_are_an_error(spark, tmp_path):
+    """A worker or driver that does not see the arrays fails; words do not become unknown."""
+    texts = spark.createDataFrame([("a b a c",), ("b b",)], "text string")
+    model = ngramlm.train(texts)
+    assert model.word_parts.sum() > 0 and model.pair_parts.sum() > 0
+    assert model.score(["a b"])[1].tolist() == [3]
+    model.folder = str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        model.score(["a b"])
+    with pytest.raises(OSError, match="is it shared"):
+        ngramlm.written(str(tmp_path), "words", 12, 1)
+    nothing = ngramlm.train(texts.limit(0))
+    assert not nothing.word_parts.any() and nothing.score(["a b"])[1].tolist() == [0]
