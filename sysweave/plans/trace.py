@@ -181,6 +181,121 @@ def significant_args(spark, sf):
     return named.select("seq", "fn", F.array_join("sig", ";").alias("sig"))
 
 
+#: (tracer, function, status, return, fourth and fifth argument) of calls that did or did not fail.
+OUTCOMES = [
+    ("strace", "open@SYS", "plain", "-1 ENOENT (No such file or directory)", "", ""),
+    ("strace", "open@SYS", "plain", "3", "", ""),
+    ("ltrace", "open@SYS", "plain", "-2", "", ""),
+    ("ltrace", "open@SYS", "plain", "ENOENT", "", ""),
+    ("strace", "stat@SYS", "plain", "-1 ENOENT (No such file or directory)", "", ""),
+    ("strace", "stat@SYS", "plain", "-1 EACCES (Permission denied)", "", ""),
+    ("ltrace", "stat@SYS", "plain", "-2", "", ""),
+    ("strace", "execve@SYS", "plain", "-1 ENOENT (No such file or directory)", "", ""),
+    ("ltrace", "execve@SYS", "plain", "-2", "", ""),
+    ("strace", "ioctl@SYS", "plain", "-1 EBADF (Bad file descriptor)", "", ""),
+    ("strace", "ioctl@SYS", "plain", "-1 ENOTTY", "", ""),
+    ("strace", "fstat@SYS", "plain", "-1 EBADF (Bad file descriptor)", "", ""),
+    ("strace", "read@SYS", "plain", "-1 EAGAIN", "", ""),
+    ("strace", "read@SYS", "plain", "12", "", ""),
+    ("strace", "mmap@SYS", "plain", "0x7f", "MAP_PRIVATE|MAP_ANONYMOUS", "3</lib/c.so>"),
+    ("strace", "mmap@SYS", "plain", "0x7f", "MAP_PRIVATE", "-1"),
+    ("strace", "mmap@SYS", "plain", "0x7f", "MAP_PRIVATE", "3</lib/c.so>"),
+    ("strace", "mmap2@SYS", "plain", "0x7f", "MAP_PRIVATE|MAP_ANONYMOUS", "3</lib/c.so>"),
+    ("strace", "mmap2@SYS", "plain", "0x7f", "MAP_PRIVATE", "-1"),
+    ("strace", "read@SYS", "unfinished", None, "", ""),
+    ("strace", "open@SYS", "resumed", "-1 ENOENT (No such file or directory)", "", ""),
+    ("strace", "open@SYS", "merged", "-1 ENOENT (No such file or directory)", "", ""),
+    ("strace", "openat@SYS", "plain", "-1 ENOENT (No such file or directory)", "", ""),
+    ("strace", "read@SYS", "plain", None, "", ""),
+    ("strace", "read@SYS", "matched", "-1 EAGAIN", "", ""),
+]
+
+
+@query(
+    "t3_drop_failed_rules",
+    """select event_id seq, event_id % 25 kind from events where event_id % 25 in (1, 3, 5, 8, 10, 13, 16, 18, 19, 20, 22, 24)""",
+)
+def drop_failed_rules(spark, sf):
+    """Every rule of failed calls, met and just not met, of both tracers and of halves."""
+    names = ["tracer", "fn", "status", "ret", "a", "b"]
+    cases = F.array(*[F.struct(*[F.lit(x).cast("string").alias(n) for n, x in zip(names, case)]) for case in OUTCOMES])
+    kind = (F.col("event_id") % len(OUTCOMES)).alias("kind")
+    calls = v.events(spark, sf).select(F.col("event_id").alias("seq"), kind).withColumn("c", F.get(cases, F.col("kind")))
+    none = F.lit("")
+    calls = calls.select("seq", "kind", "c.*").withColumn("args", F.array(none, none, none, F.col("a"), F.col("b")))
+    return c.drop_failed(calls).select("seq", "kind")
+
+
+#: (tracer, function, status, arguments, return) of calls on the objects numbered K.
+TOUCHING = [
+    ("strace", "read@SYS", "plain", ["3</d/fK>", "x", "1"], "1"),
+    ("strace", "mmap@SYS", "plain", ["NULL", "4096", "PROT_READ", "MAP_PRIVATE", "3</lib/lK.so>"], "0x7f"),
+    ("strace", "stat@SYS", "plain", ["/d/fK"], "0"),
+    ("strace", "open@SYS", "plain", ["fK"], "3</o/fK>"),
+    ("ltrace", "open@SYS", "plain", ["/l/fK"], "3"),
+    ("strace", "openat@SYS", "plain", ["AT_FDCWD", "fK"], "4</o/fK>"),
+    ("ltrace", "openat@SYS", "plain", ["3</d>", "fK"], "4"),
+    ("strace", "newfstatat@SYS", "plain", ["5</d>", "e/../fK"], "0"),
+    ("strace", "socket@SYS", "plain", ["AF_INET"], "5<TCP:[K]>"),
+    ("strace", "dup@SYS", "plain", ["3</d/fK>"], "4</d/gK>"),
+    ("strace", "pipe@SYS", "plain", ['["3<pipe:[K]>", "4<pipe:[K]>"]'], "0"),
+    ("strace", "clone@SYS", "plain", ["child_stack=NULL"], "1K"),
+    ("ltrace", "clone@SYS", "plain", ["0"], "0x1f"),
+    ("strace", "wait4@SYS", "plain", ["-1"], "1K"),
+    ("strace", "wait4@SYS", "plain", ["-1"], "? ERESTARTSYS"),
+    ("strace", "execve@SYS", "plain", ["/bin/pK", '["p", "K"]', "env"], "0"),
+    ("ltrace", "execve@SYS", "plain", ["/bin/pK", "0x5", "0x6"], "0"),
+    ("ltrace", "__libc_start_main", "plain", ['["pK", "a"]', "2"], None),
+    ("strace", "poll@SYS", "plain", ['[["fd=3<TCP:[K]>", "events=POLLIN"], ["fd=4</d/fK>", "events=POLLOUT"]]'], "1"),
+    ("ltrace", "poll@SYS", "plain", ["0x5", "1"], "1"),
+    ("strace", "select@SYS", "plain", ["6", '["3</d/fK> 5</d/gK>"]', "[]", '["5</d/hK>"]'], "1"),
+    ("strace", "setsockopt@SYS", "plain", ["5<TCP:[K]>"], "0"),
+    ("ltrace", "getenv", "plain", ["VAR_K"], "x"),
+    ("strace", "munmap@SYS", "plain", ["0x7f", "4096"], "0"),
+    ("strace", "read@SYS", "unfinished", ["3</d/fK>"], None),
+    ("strace", "read@SYS", "resumed", ["yK", "2"], "2"),
+    ("strace", "vfork@SYS", "resumed", ["z"], "1K"),
+    ("strace", "unknown", "plain", ["aK", "b"], "0"),
+]
+
+
+@query(
+    "t4_significant_args_kinds",
+    """select event_id seq, n, case n when 0 then '/d/f'||k when 1 then '/lib/l'||k||'.so' when 2 then '/d/f'||k
+      when 3 then '/o/f'||k when 4 then '/l/f'||k when 5 then '/o/f'||k when 6 then '/d/f'||k when 7 then '/d/f'||k
+      when 8 then 'TCP:['||k||']' when 9 then '/d/f'||k||';/d/g'||k when 10 then 'pipe:['||k||'];pipe:['||k||']'
+      when 11 then '1'||k when 12 then '31' when 13 then '1'||k when 14 then ''
+      when 15 then '/bin/p'||k||';["p", "'||k||'"]' when 16 then '/bin/p'||k when 17 then 'p'||k||';["p'||k||'", "a"]'
+      when 18 then 'TCP:['||k||'];/d/f'||k when 19 then '' when 20 then '/d/f'||k||';/d/g'||k||';/d/h'||k
+      when 21 then '0' when 22 then 'VAR_'||k when 23 then '' when 24 then '3</d/f'||k||'>' when 25 then 'y'||k||';2'
+      when 26 then '1'||k else 'a'||k||';b' end sig
+    from (select event_id, event_id % 28 n, cast(cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as varchar) k from events)""",
+)
+def significant_args_kinds(spark, sf):
+    """Every kind of extraction, of both tracers where they differ, and of halves."""
+    names = ["tracer", "fn", "status"]
+    cases = F.array(
+        *[
+            F.struct(
+                *[F.lit(x).alias(n) for n, x in zip(names, case)],
+                F.array(*[F.lit(a) for a in case[3]]).alias("args"),
+                F.lit(case[4]).cast("string").alias("ret"),
+            )
+            for case in TOUCHING
+        ]
+    )
+    e = v.events(spark, sf).select(F.col("event_id").alias("seq"), (F.col("event_id") % len(TOUCHING)).alias("n"), "k")
+    calls = e.withColumn("c", F.get(cases, F.col("n"))).select("seq", "n", "k", "c.*")
+    number = F.col("k").cast("string")
+    calls = calls.withColumns(
+        {
+            "args": F.transform("args", lambda a: F.regexp_replace(a, F.lit("K"), number)),
+            "ret": F.regexp_replace("ret", F.lit("K"), number),
+        }
+    )
+    return c.significant_args(calls).select("seq", "n", F.array_join("sig", ";").alias("sig"))
+
+
 @query(
     "u2_added_call_model",
     CALLS
