@@ -8,6 +8,7 @@ rows as these come, or, where ``time`` names a column of event times, in the ord
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,12 +30,18 @@ def trace_stream(lines: DataFrame, tracer: str = "strace", top_pid=0) -> DataFra
     return significant_args(drop_ignored(split_args(parse_lines(lines, tracer, top_pid))))
 
 
+#: Rows of a key that wait together; of a key with more, the rows of a slot do.
+FEW = 512
+
+
 class InTimeOrder(StatefulProcessor):
     """Gives the rows of a key to ``settle`` in the order of ``seq``.
 
-    With ``slot_ms``, rows wait in state by slots of event time. When the watermark has passed
-    a slot's end, a timer takes out that slot's rows and no others, so memory holds a
-    slot of one key, however many rows a key or a batch has; files may come in any order
+    With ``slot_ms``, rows wait in state until the watermark has passed the end of their slot of
+    event time. Up to ``FEW`` rows of a key wait together, under one timer, so a key costs as much as
+    its rows do, however many slots they are in. Of a key with more, each slot has its own entry and
+    timer, which takes out that slot's rows and no others. So memory holds a slot of one key, or ``FEW``
+    rows, however many rows a key or a batch has; files may come in any order
     within the watermark's delay. ``seq`` and time have to rise together between slots. A row
     without ``seq`` only moves the time on. Without ``slot_ms`` a batch's rows are
     put in order as they are, and batches have to come in order.
@@ -51,35 +58,87 @@ class InTimeOrder(StatefulProcessor):
         self._handle = handle
         self._names = [c.split()[0] for c in self.takes.split(", ")]
         if self._slot_ms is not None:
-            waiting = f"rows array<struct<{', '.join(c.replace(' ', ':', 1) for c in self.takes.split(', '))}>>"
-            self._slots = handle.getMapState("slots", "slot bigint", waiting)
+            row = f"slot:bigint, {', '.join(c.replace(' ', ':', 1) for c in self.takes.split(', '))}"
+            # No rows here, but a null: the key's rows are in ``slots``.
+            self._few = handle.getValueState("few", f"rows array<struct<{row}>>")
+            self._slots = handle.getMapState("slots", "slot bigint", f"rows array<struct<{row}>>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         if self._slot_ms is None:
             batch = pd.concat(list(rows), ignore_index=True).sort_values("seq")
-            yield self._frame(self.settle(key, batch[self._names].itertuples(index=False), timerValues))
+            self.begin()
+            out = self.settle(key, batch[self._names].itertuples(index=False), timerValues)
+            yield self._frame(out + self.finish(key, timerValues))
             return
         for frame in rows:
-            frame = frame[frame["seq"].notna()]
-            slots = frame["event_time"].astype("datetime64[ms]").astype("int64") // self._slot_ms
-            for slot, part in frame.groupby(slots):
-                slot = int(slot)
-                held = list(self._slots.getValue((slot,))[0]) if self._slots.containsKey((slot,)) else []
-                new = [self._plain(r) for r in part[self._names].itertuples(index=False)]
-                self._slots.updateValue((slot,), ([tuple(r) for r in held] + new,))
-                self._handle.registerTimer((slot + 1) * self._slot_ms)
-        yield self._frame([])
+            columns = [frame[c].tolist() for c in ["slot", *self._names]]
+            new = [self._plain(r) for r in zip(*columns, strict=True) if not pd.isna(r[1])]
+            if new:
+                self._wait(new)
+
+    def _wait(self, new: list[tuple]) -> None:
+        few = self._few.get()
+        waiting = [] if few is None else few[0]
+        if waiting is not None:
+            new = [tuple(r) for r in waiting] + new
+            if len(new) <= FEW:
+                self._few.update((new,))
+                self._handle.registerTimer((min(r[0] for r in new) + 1) * self._slot_ms)
+                return
+            self._few.update((None,))
+        for slot, part in groupby(sorted(new, key=lambda r: r[0]), key=lambda r: r[0]):
+            held = self._slots.getValue((slot,))
+            held = [] if held is None else [tuple(r) for r in held[0]]
+            self._slots.updateValue((slot,), (held + list(part),))
+            self._handle.registerTimer((slot + 1) * self._slot_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        slot = (int(expiredTimerInfo.getExpiryTimeInMs()) // self._slot_ms) - 1
-        rows = sorted((tuple(r) for r in self._slots.getValue((slot,))[0]), key=lambda r: r[0])
-        self._slots.removeKey((slot,))
-        yield self._frame(self.settle(key, rows, timerValues))
+        ready = self._ready(int(expiredTimerInfo.getExpiryTimeInMs()), timerValues)
+        if not ready:
+            return
+        ready.sort(key=lambda r: r[:2])
+        self.begin()
+        out = []
+        for _, rows in groupby(ready, key=lambda r: r[0]):
+            out += self.settle(key, [r[1:] for r in rows], timerValues)
+        yield self._frame(out + self.finish(key, timerValues))
+
+    def _ready(self, end: int, timerValues) -> list[tuple]:
+        """The rows whose time has come, taken out of state."""
+        few = self._few.get()
+        if few is None:
+            return []
+        if few[0] is None:
+            slot = end // self._slot_ms - 1
+            held = self._slots.getValue((slot,))
+            if held is None:
+                return []
+            self._slots.removeKey((slot,))
+            if not self._slots.exists():
+                self._few.clear()
+            return [tuple(r) for r in held[0]]
+        end = max(end, int(timerValues.getCurrentWatermarkInMs()) - 1)
+        ready, rest = [], []
+        for r in few[0]:
+            (ready if (r[0] + 1) * self._slot_ms <= end else rest).append(tuple(r))
+        if rest:
+            self._few.update((rest,))
+            self._handle.registerTimer((min(r[0] for r in rest) + 1) * self._slot_ms)
+        else:
+            self._few.clear()
+        return ready
+
+    def begin(self) -> None:
+        """Takes what ``settle`` goes on with from state."""
 
     def settle(self, key, rows, timerValues) -> list[tuple]:
         """The rows to give out for rows that come in order."""
         raise NotImplementedError
 
+    def finish(self, key, timerValues) -> list[tuple]:
+        """Puts into state what is open after the last ``settle``; the rows to give out then."""
+        return []
+
     def close(self) -> None:
         pass
 
@@ -99,11 +158,13 @@ def slot_of(time: str | None, slot: str) -> int | None:
     return None if time is None else max(1, int(pd.Timedelta(slot).total_seconds() * 1000))
 
 
-def in_time(calls: DataFrame, time: str | None, late: str, *columns: str) -> DataFrame:
-    """The columns, and the event time with its watermark if there is one."""
+def in_time(calls: DataFrame, time: str | None, late: str, slot: str, *columns: str) -> DataFrame:
+    """The columns, and the event time with its watermark, and its slot, if there is one."""
     if time is None:
         return calls.select(*columns)
-    return calls.withWatermark(time, late).select(*columns, F.col(time).alias("event_time"))
+    number = F.floor(F.unix_millis(time) / slot_of(time, slot)).cast("bigint")
+    calls = calls.withWatermark(time, late)
+    return calls.select(*columns, F.col(time).alias("event_time"), number.alias("slot"))
 
 
 def flow_counts_stream(calls: DataFrame) -> DataFrame:
@@ -122,38 +183,51 @@ class PendingCalls(InTimeOrder):
 
     def __init__(self, slot_ms: int | None, wait_ms: int | None):
         super().__init__(slot_ms)
-        self._wait = wait_ms
+        self._wait_ms = wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self._depth = handle.getValueState("depth", "n int")
         self._calls = handle.getMapState("calls", "level int", "seq bigint, args array<string>")
 
+    def begin(self) -> None:
+        held = self._depth.get()
+        # Calls that were pending before stay in state, those that begin now are a list.
+        self._before, self._begun = 0 if held is None else held[0], []
+
     def settle(self, key, rows, timerValues):
         out = []
-        depth = self._depth.get()[0] if self._depth.exists() else 0
         for seq, args, status in rows:
             seq, args = int(seq), list(args)
             if status == "unfinished":
-                depth += 1
-                self._calls.updateValue((depth,), (seq, args))
+                self._begun.append((seq, args))
                 out.append((*key, seq, None, args, "unfinished"))
-            elif depth:
-                call, before = self._calls.getValue((depth,))
-                self._calls.removeKey((depth,))
-                depth -= 1
-                out.append((*key, int(call), seq, list(before), "matched"))
-                out.append((*key, seq, int(call), list(before) + args, "merged"))
+                continue
+            if self._begun:
+                call, before = self._begun.pop()
+            elif self._before:
+                call, before = self._calls.getValue((self._before,))
+                self._calls.removeKey((self._before,))
+                self._before -= 1
             else:
                 out.append((*key, seq, None, args, "resumed"))
+                continue
+            out.append((*key, int(call), seq, list(before), "matched"))
+            out.append((*key, seq, int(call), list(before) + args, "merged"))
+        return out
+
+    def finish(self, key, timerValues):
+        for level, call in enumerate(self._begun, self._before + 1):
+            self._calls.updateValue((level,), call)
+        depth = self._before + len(self._begun)
         self._depth.update((depth,))
-        if depth and self._wait is not None:
+        if depth and self._wait_ms is not None:
             now = timerValues.getCurrentProcessingTimeInMs()
-            self._handle.registerTimer(now + self._wait)
-        return out
+            self._handle.registerTimer(now + self._wait_ms)
+        return []
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self._wait is None:
+        if self._wait_ms is None:
             yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
             return
         self._calls.clear()
@@ -178,7 +252,7 @@ def match_interrupted_stream(
     """
     if time is not None and wait_ms is not None:
         raise ValueError("calls are taken by event time or forgotten by processing time, not both")
-    halves = in_time(calls, time, late, "session", "pid", "fn", "seq", "args", "status")
+    halves = in_time(calls, time, late, slot, "session", "pid", "fn", "seq", "args", "status")
     halves = halves.where(F.col("status").isin("unfinished", "resumed") | F.col("seq").isNull())
     return halves.groupBy("session", "pid", "fn").transformWithStateInPandas(
         statefulProcessor=PendingCalls(slot_of(time, slot), wait_ms),
@@ -203,7 +277,7 @@ RUNS = (
 
 
 class OpenRun(InTimeOrder):
-    """The run of equal calls one flow is in; a run is given out with every batch or slot it is in."""
+    """The run of equal calls one flow is in; a run is given out when it ends and with every batch, or timer, that leaves it open."""
 
     takes = "seq bigint, fn string, sig array<string>"
     gives = ["session", "pid", "seq", "fn", "sig", "occurrences", "last_seq"]
@@ -214,9 +288,12 @@ class OpenRun(InTimeOrder):
             "run", "seq bigint, fn string, sig array<string>, n bigint, last bigint"
         )
 
+    def begin(self) -> None:
+        held = self._run.get()
+        self._open = None if held is None else list(held)
+
     def settle(self, key, rows, timerValues):
-        run = list(self._run.get()) if self._run.exists() else None
-        out = []
+        run, out = self._open, []
         for seq, fn, sig in rows:
             seq, sig = int(seq), list(sig)
             if run and run[1] == fn and list(run[2]) == sig and fn not in NEVER_EQUAL:
@@ -225,11 +302,15 @@ class OpenRun(InTimeOrder):
                 if run:
                     out.append((*key, *run))
                 run = [seq, fn, sig, 1, seq]
-        if run:
-            out.append((*key, *run))
-            self._run.update(tuple(run))
+        self._open = run
         return out
 
+    def finish(self, key, timerValues):
+        if not self._open:
+            return []
+        self._run.update(tuple(self._open))
+        return [(*key, *self._open)]
+
 
 def squeeze_stream(
     calls: DataFrame, time: str | None = None, late: str = "10 minutes", slot: str = "1 hour"
@@ -238,7 +319,7 @@ def squeeze_stream(
     ``occurrences`` is its last one (``settled_runs``). With ``time`` calls are taken in the
     order of the log (``InTimeOrder``)."""
     return (
-        in_time(calls, time, late, "session", "pid", "seq", "fn", "sig")
+        in_time(calls, time, late, slot, "session", "pid", "seq", "fn", "sig")
         .groupBy("session", "pid")
         .transformWithStateInPandas(
             statefulProcessor=OpenRun(slot_of(time, slot)),
@@ -270,18 +351,22 @@ class LatestValue(InTimeOrder):
         super().init(handle)
         self._last = handle.getValueState("last", "value string")
 
+    def begin(self) -> None:
+        self._known = self._last.get()
+
     def settle(self, key, rows, timerValues):
-        known = self._last.exists()
-        last = self._last.get()[0] if known else None
         out = []
         for seq, value in rows:
-            if not known or value != last:
+            if self._known is None or value != self._known[0]:
                 out.append((*key, value, int(seq)))
-                known, last = True, value
-        if known:
-            self._last.update((last,))
+                self._known = (value,)
         return out
 
+    def finish(self, key, timerValues):
+        if self._known is not None:
+            self._last.update(tuple(self._known))
+        return []
+
 
 def changes_stream(
     facts: DataFrame, time: str | None = None, late: str = "10 minutes", slot: str = "1 hour"
@@ -289,7 +374,7 @@ def changes_stream(
     """(object, attribute, value, seq) rows that tell something new. With ``time`` rows
     are taken in order (``InTimeOrder``)."""
     return (
-        in_time(facts, time, late, "object", "attribute", "value", "seq")
+        in_time(facts, time, late, slot, "object", "attribute", "value", "seq")
         .groupBy("object", "attribute")
         .transformWithStateInPandas(
             statefulProcessor=LatestValue(slot_of(time, slot)),

@@ -296,3 +296,29 @@ def test_two_live_patterns(spark, tmp_path):
     assert max(held) < 120 and held[-1] < 40
     with pytest.raises(ValueError):
         live.standing_pair(stream, ("?u", "sees", "?x"), stream, ("?w", "buys", "?y"), "5 minutes")
+
+
+def test_a_key_of_few_rows_is_one_entry(spark, tmp_path):
+    """State grows with the keys, not with the slots their rows are in."""
+    data = [(f"o{n % 10}", n, "a", str(n // 70)) for n in range(400)]
+    facts = spark.createDataFrame(data, "object string, seq bigint, attribute string, value string")
+    stream = in_files(with_time(facts), tmp_path, "few", sorted, n=2)
+    query = (
+        live.changes_stream(stream, "ts", "1 day", "10 minutes").writeStream.format("memory").queryName("t_few")
+        .option("checkpointLocation", str(tmp_path / "few-ckpt")).trigger(availableNow=True).start()
+    )
+    assert query.awaitTermination(120)
+    held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert 10 <= max(held) <= 60
+
+
+def test_keys_of_few_and_of_many_rows(spark, tmp_path):
+    """A key with more rows than wait together gives what the others give."""
+    rnd = random.Random(11)
+    few = live.FEW
+    data = [("x" if n % 9 else "y", n, "c", "a", rnd.choice("pq")) for n in range(2 * few)]
+    facts = spark.createDataFrame(data, "object string, seq bigint, cls string, attribute string, value string")
+    stream = in_files(with_time(facts), tmp_path, "facts", shuffled, n=4)
+    got = run_to_end(stream, "ts", lambda e: live.changes_stream(e, "ts", "5 days", "2 hours")).collect()
+    batch = changes_only(facts).where("o_kind = 'lit'").collect()
+    assert sorted((r.object, r.value, r.seq) for r in got) == sorted((r.s, r.o, r.seq) for r in batch)
