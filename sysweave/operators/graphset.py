@@ -261,9 +261,11 @@ def subclass_edges(df: DataFrame, col: str = "path") -> DataFrame:
 def check_minimal(ontology: DataFrame, required: DataFrame) -> DataFrame:
     """(s, p, o) rows of ``required`` that the ontology lacks; a null matches anything.
 
-    Each required row is matched on the columns it fills.
+    Each required row is matched on the columns it fills. ``required`` is written first, so that a
+    small one is sent to the facts; only facts of its subjects are then grouped or shuffled.
     """
-    facts = ontology.select("s", "p", "o")
+    required = cut(required.select("s", "p", "o"))
+    facts = ontology.select("s", "p", "o").join(required.select("s"), "s", "left_semi")
     full = required.where("p is not null and o is not null")
     by_subject = required.where("p is null or o is null")
     missing = full.join(facts, ["s", "p", "o"], "left_anti")
