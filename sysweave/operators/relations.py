@@ -429,8 +429,11 @@ def parse_accounts(lines: DataFrame, kind: str) -> DataFrame:
 
 
 def account_triples(lines: DataFrame, kind: str) -> DataFrame:
+    """Accounts as triples, each once. A line becomes many triples, so lines are dealt out first: no
+    task makes and combines the triples of a whole file."""
     _, names = ACCOUNT_FILES[kind]
-    rows = parse_accounts(lines, kind)
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = parse_accounts(lines.select("line").repartition(tasks), kind)
     key = names[0]
     kept = [n for n in names[1:] if n != "x"]
     return as_set(
