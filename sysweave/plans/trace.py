@@ -14,6 +14,7 @@ from sysweave.operators import shapes
 from sysweave.operators import traverse as t
 from sysweave.plans import views as v
 from sysweave.plans.registry import query
+from sysweave.session import cut
 from sysweave.sources import trace as tr
 
 def micros(*names):
@@ -987,7 +988,7 @@ def env_read(spark, sf):
     union all select 'Executed', count(distinct executable) from (select '/usr/bin/python'||k executable from calls where fn='execve@SYS')""",
 )
 def files_by_category(spark, sf):
-    calls = v.trace_calls(spark, sf)
+    calls = cut(v.trace_calls(spark, sf), "zstd")  # parsed once, read twice
     ran = calls.where("fn = 'execve@SYS'").select(F.get("args", F.lit(0)).alias("path"))
     files = ob.file_access_table(calls).select("path").unionByName(ran)
     executed = ran.select(F.col("path").alias("executable"))
@@ -1029,7 +1030,8 @@ def changes_only(spark, sf):
     select * from t""",
 )
 def trace_to_triples(spark, sf):
-    facts = ob.trace_to_triples(trace_processes(spark, sf), trace_accesses(spark, sf))
+    calls = cut(v.trace_calls(spark, sf), "zstd")  # parsed once, read by both tables
+    facts = ob.trace_to_triples(ob.process_table(calls), ob.file_access_table(calls))
     return facts.select("s", "p", "o")
 
 
