@@ -6,10 +6,10 @@ Texts with the same set are one node from the start, so copies cost nothing
 further. In each band's bucket a node is first compared with the bucket's least
 node, so a bucket of n nodes makes n - 1 pairs. Nodes of buckets that then still
 join different components are bucketed anew by longer bands over the same
-signatures; a bucket of more than a block is split by further minima again
-and again. In a block each node outside its largest component names the nodes of other
-components that its signature is likeliest to be linked to, a few at a time. Every link
-is confirmed on the full sets, and components come from alternating large-star
+signatures; a bucket of more than a block is cut into cells in which all its nodes of
+different components meet. In a block each node outside its largest component names the nodes of other
+components that its signature is likeliest to be linked to, a few at a time, and in the last round
+all of them. Every link is confirmed on the full sets, and components come from alternating large-star
 and small-star steps.
 """
 
@@ -34,15 +34,12 @@ ROWS, BANDS = 6, 48
 DEVIATIONS = 6
 #: Nodes of a block at most.
 BLOCK = 512
-#: Minima in a longer band, and how many such bands nodes that are still open get, and
-#: nodes of buckets of more than a block. Of two nodes that agree in 3 of 4 minima, the first
-#: bands miss one pair in forty, all rounds together one in 1,600.
-LONGER, WIDE, AGAIN = 10, 64, 16
-#: A bucket that is over a block after so many splits is compared with its least node only:
-#: its nodes agree in 60 minima that were not chosen for them.
-SPLITS = 5
-#: Candidates a node names in a block, round by round.
-ROUNDS = (2, 8)
+#: Minima in a longer band, and how many such bands nodes that are still open get. Of two nodes that
+#: agree in 3 of 4 minima, the first bands miss one pair in forty, all rounds together one in 1,600.
+LONGER, WIDE = 10, 64
+#: Candidates a node names in a block, round by round; the last round names all that may be linked,
+#: so what the first ones leave out is caught there.
+ROUNDS = (2, 8, None)
 #: Bits of the filter of documents whose texts are fetched (8 MB).
 FILTER_BITS = 1 << 26
 SEED = 20_240_229
@@ -198,9 +195,9 @@ def keyed(nodes: DataFrame, bands: int, seed: int) -> DataFrame:
     return found.select(F.explode("keys").alias("key"), "node")
 
 
-def named_in(rows: list, percent: int, top: int) -> list[tuple[int, int]]:
+def named_in(rows: list, percent: int, top: int | None) -> list[tuple[int, int]]:
     """For the rows (node, component, minima) of a block: of each node outside the largest component
-    the ``top`` nodes of other components that are the likeliest to be linked to it."""
+    the ``top`` nodes of other components that are the likeliest to be linked to it, or all that may be."""
     node, component, minima = zip(*rows, strict=True)
     component = np.unique(component, return_inverse=True)[1]
     bits = np.frombuffer(b"".join(minima), np.uint8).reshape(len(node), -1)
@@ -216,59 +213,44 @@ def named_in(rows: list, percent: int, top: int) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
-def candidates(nodes: DataFrame, percent: int, top: int, seed: int) -> DataFrame:
+def candidates(nodes: DataFrame, percent: int, top: int | None, seed: int) -> DataFrame:
     """Pairs (a, b) to confirm among ``nodes`` (node, component, minima) of different components.
 
-    A bucket of more than a block is cut into parts of its largest component, and all
-    its other nodes go to each part, if they are half a block at most: so each of
-    them meets every node of another component, over at most twice the bucket's rows. A bucket
-    with more of the others is split by longer bands.
+    A bucket of more than a block is cut into cells, strips of the nodes outside its largest component by
+    parts of all its nodes, half a block each. So each of those nodes meets every node of another
+    component, and no task holds more than a cell. With up to half a block of such nodes there is one strip,
+    over at most twice the bucket's rows.
     """
-    pairs, work, bands = [], nodes.withColumn("key", F.lit(0).cast("long")), WIDE
-    for split in range(SPLITS + 1):
-        found = keyed(work, bands, seed * (SPLITS + 1) + split).join(nodes.select("node", "component"), "node")
-        found = cut(found.select("key", "node", "component"))
-        wanted = cut(
-            found.groupBy("key", "component")
-            .agg(F.count("*").alias("n"), F.min("node").alias("lead"))
-            .groupBy("key")
-            .agg(
-                F.sum("n").alias("n"),
-                F.max(F.struct("n", "component")).alias("most"),
-                F.min("lead").alias("lead"),
-                F.count("*").alias("components"),
-            )
-            .where("components > 1")
-            .select("key", "n", "lead", F.col("most.component").alias("largest"), (F.col("n") - F.col("most.n")).alias("others"))
-            .withColumn(
-                "parts",
-                F.when(F.col("n") <= BLOCK, 1)
-                .when(F.col("others") <= BLOCK // 2, F.ceil((F.col("n") - F.col("others")) / (BLOCK - F.col("others"))))
-                .cast("int"),
-            )
+    found = keyed(nodes.withColumn("key", F.lit(0).cast("long")), WIDE, seed).join(nodes.select("node", "component"), "node")
+    found = cut(found.select("key", "node", "component"))
+    half = BLOCK // 2
+    wanted = cut(
+        found.groupBy("key", "component")
+        .agg(F.count("*").alias("n"))
+        .groupBy("key")
+        .agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("components"))
+        .where("components > 1")
+        .select("key", "n", F.col("most.component").alias("largest"), (F.col("n") - F.col("most.n")).alias("others"))
+        .withColumn("strips", F.when(F.col("n") <= BLOCK, 1).otherwise(F.ceil(F.col("others") / half)).cast("int"))
+        .withColumn(
+            "parts",
+            F.when(F.col("n") <= BLOCK, 1)
+            .when(F.col("others") <= half, F.ceil((F.col("n") - F.col("others")) / (BLOCK - F.col("others"))))
+            .otherwise(F.ceil(F.col("n") / half))
+            .cast("int"),
         )
-        members = found.join(wanted, "key")
-        pairs.append(in_blocks(members.where("parts is not null"), nodes, percent, top))
-        over = members.where("parts is null")
-        if split == SPLITS:
-            pairs.append(over.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")))
-        elif wanted.where("parts is null").isEmpty():
-            break
-        else:
-            work, bands = cut(over.select("key", "node").join(nodes, "node").select("key", "node", "minima")), AGAIN
-    out = pairs[0]
-    for more in pairs[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
-
-
-def in_blocks(members: DataFrame, nodes: DataFrame, percent: int, top: int) -> DataFrame:
-    """The pairs (a, b) that ``named_in`` gives for the rows (key, node, component, largest, parts) of
-    each key and part."""
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    part = F.when(F.col("component") == F.col("largest"), F.array(own)).otherwise(
-        F.sequence(F.lit(0), F.col("parts") - 1)
     )
+    return in_blocks(found.join(wanted, "key"), nodes, percent, top).distinct()
+
+
+def in_blocks(members: DataFrame, nodes: DataFrame, percent: int, top: int | None) -> DataFrame:
+    """The pairs (a, b) that ``named_in`` gives for the rows (key, node, component, largest, strips, parts) of
+    each key's cells."""
+    own = F.pmod(F.xxhash64("node"), F.col("parts"))
+    strip = F.pmod(F.xxhash64("node", F.lit(1)), F.col("strips"))
+    across = F.transform(F.sequence(F.lit(0).cast("long"), F.col("strips").cast("long") - 1), lambda i: i * F.col("parts") + own)
+    along = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1), lambda j: strip * F.col("parts") + j)
+    part = F.when(F.col("component") == F.col("largest"), across).otherwise(F.array_union(along, across))
     rows = members.select("key", F.explode(part).alias("part"), "node").join(nodes, "node")
     rows = rows.select("key", "part", "node", "component", "minima")
     rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", "node")
@@ -405,6 +387,7 @@ def near_duplicates(
     texts = cut(texts.join(involved, F.col("doc_id") == F.col("id"), "left_semi"))
     links = cut(confirmed(cut(likely(first, nodes, percent)), texts, k, percent))
     found = cut(components(links))
+    tried = None
     for seed, top in enumerate(ROUNDS):
         # Nodes of buckets that still join different components.
         placed = buckets.join(found, "node", "left").select(
@@ -418,7 +401,10 @@ def near_duplicates(
         )
         members = placed.join(open_keys, "key").select("node", "component").distinct()
         members = cut(members.join(nodes, "node").select("node", "component", "minima"))
-        more = cut(confirmed(cut(candidates(members, percent, top, seed)), texts, k, percent))
+        pairs = candidates(members, percent, top, seed)
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        more = cut(confirmed(pairs, texts, k, percent))
         if not more.isEmpty():
             before = found.where("node <> component").select(
                 F.col("component").alias("a"), F.col("node").alias("b")

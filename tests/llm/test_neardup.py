@@ -90,3 +90,15 @@ def test_given_documents(spark):
     rows = [tuple(r) for r in neardup.read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()]
     got = neardup.op5_neardup(spark, "/root/testdata/sf0.01").collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain(rows, 2)
+
+
+def test_the_last_round_names_every_pair_of_a_large_bucket(spark, monkeypatch):
+    """Nodes that agree in all minima but are linked with nothing yet: no cap leaves a pair out."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    same = bytes(neardup.ROWS * neardup.BANDS)
+    for component in (lambda n: n, lambda n: n % 3, lambda n: 0 if n < 35 else n):
+        rows = [(n, component(n), same) for n in range(40)]
+        nodes = spark.createDataFrame(rows, "node long, component long, minima binary")
+        got = neardup.candidates(nodes, 80, neardup.ROUNDS[-1], 0).collect()
+        want = {(a, b) for a in range(40) for b in range(a + 1, 40) if component(a) != component(b)}
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
