@@ -159,10 +159,13 @@ def slot_of(time: str | None, slot: str) -> int | None:
 
 
 def in_time(calls: DataFrame, time: str | None, late: str, slot: str, *columns: str) -> DataFrame:
-    """The columns, and the event time with its watermark, and its slot, if there is one."""
+    """The columns, and the event time with its watermark, and its slot, if there is one. Rows
+    without a time are in a slot before all others."""
     if time is None:
         return calls.select(*columns)
-    number = F.floor(F.unix_millis(time) / slot_of(time, slot)).cast("bigint")
+    length = slot_of(time, slot)
+    number = F.floor(F.unix_millis(time) / length).cast("bigint")
+    number = F.coalesce(number, F.lit(-(2**63) // length).cast("bigint"))
     calls = calls.withWatermark(time, late)
     return calls.select(*columns, F.col(time).alias("event_time"), number.alias("slot"))
 
