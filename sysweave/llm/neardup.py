@@ -7,10 +7,10 @@ further. In each band's bucket a node is first compared with the bucket's least
 node, so a bucket of n nodes makes n - 1 pairs. Nodes of buckets that then still
 join different components are bucketed anew by longer bands over the same
 signatures; a bucket of more than a block is cut into cells in which all its nodes of
-different components meet. In a block each node outside its largest component names the nodes of other
-components that its signature is likeliest to be linked to, a few at a time, and in the last round
-all of them. Every link is confirmed on the full sets, and components come from alternating large-star
-and small-star steps.
+different components meet. A cell's nodes whose signatures may be linked to one of another component meet
+again with their full sets, and each cell gives links that join what is linked in it, fewer than it has
+nodes: pairs that are not linked are told apart there and never become rows. Every link is confirmed on
+the full sets, and components come from alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
@@ -37,9 +37,10 @@ BLOCK = 512
 #: Minima in a longer band, and how many such bands nodes that are still open get. Of two nodes that
 #: agree in 3 of 4 minima, the first bands miss one pair in forty, all rounds together one in 1,600.
 LONGER, WIDE = 10, 64
-#: Candidates a node names in a block, round by round; the last round names all that may be linked,
-#: so what the first ones leave out is caught there.
-ROUNDS = (2, 8, None)
+#: Shingles of a half of a tile: the sets that are held at once.
+HELD = 1_000_000
+#: Candidates a node meets in a cell, round by round: all that may be linked.
+ROUNDS = (None, None)
 #: Bits of the filter of documents whose texts are fetched (8 MB).
 FILTER_BITS = 1 << 26
 SEED = 20_240_229
@@ -170,59 +171,135 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return joined.mapInArrow(run, "a long, b long")
 
 
+def longer(bands: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The minima of each of ``bands`` longer bands, and their weights in its key."""
+    made = np.random.Generator(np.random.PCG64([SEED, seed]))
+    chosen = np.stack([made.permutation(ROWS * BANDS)[:LONGER] for _ in range(bands)])
+    return chosen, made.integers(0, 2**64, chosen.shape, np.uint64, endpoint=False) | np.uint64(1)
+
+
 def keyed(nodes: DataFrame, bands: int, seed: int) -> DataFrame:
-    """(key, node) for the rows (key, node, minima): a new key for each of ``bands`` longer bands."""
+    """(key, node, component) for the rows (node, component, minima): a key for each of ``bands`` longer bands.
+    A key modulo ``bands``, a power of two, is the band's number."""
 
     def run(batches):
-        made = np.random.Generator(np.random.PCG64([SEED, seed]))
-        chosen = np.stack([made.permutation(ROWS * BANDS)[:LONGER] for _ in range(bands)])
-        weights = made.integers(0, 2**64, chosen.shape, np.uint64, endpoint=False) | np.uint64(1)
+        chosen, weights = longer(bands, seed)
         for batch in batches:
             for part in slices(batch, rows=1024):
                 minima = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(part), -1)
-                key = part.column(0).to_numpy().view(np.uint64)
                 columns = [
-                    mixed(key * np.uint64(ODD) + (minima[:, c].astype(np.uint64) * w).sum(1, dtype=np.uint64) + w[0])
+                    mixed((minima[:, c].astype(np.uint64) * w).sum(1, dtype=np.uint64) + w[0])
                     for c, w in zip(chosen, weights, strict=True)
                 ]
-                keys = np.stack(columns, 1).view(np.int64).ravel()
+                keys = np.stack(columns, 1) & ~np.uint64(bands - 1) | np.arange(bands, dtype=np.uint64)
+                keys = keys.view(np.int64).ravel()
                 offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * bands)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(1), pa.ListArray.from_arrays(offsets, pa.array(keys))], names=["node", "keys"]
+                    [part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, pa.array(keys))],
+                    names=["node", "component", "keys"],
                 )
 
-    found = nodes.select("key", "node", "minima").mapInArrow(run, "node long, keys array<long>")
-    return found.select(F.explode("keys").alias("key"), "node")
+    found = nodes.select("node", "component", "minima").mapInArrow(run, "node long, component long, keys array<long>")
+    return found.select(F.explode("keys").alias("key"), "node", "component")
 
 
 def named_in(rows: list, percent: int, top: int | None) -> list[tuple[int, int]]:
     """For the rows (node, component, minima) of a block: of each node outside the largest component
     the ``top`` nodes of other components that are the likeliest to be linked to it, or all that may be."""
     node, component, minima = zip(*rows, strict=True)
-    component = np.unique(component, return_inverse=True)[1]
-    bits = np.frombuffer(b"".join(minima), np.uint8).reshape(len(node), -1)
-    least = least_share(percent) * bits.shape[1]
     pairs = set()
+    for x, others, equal in likely_in(component, minima, percent):
+        for y in others[np.argsort(-equal, kind="stable")[:top]]:
+            pairs.add((min(node[x], node[y]), max(node[x], node[y])))
+    return sorted(pairs)
+
+
+def likely_in(component, minima, percent: int):
+    """(x, others, equal): for each row outside the largest component the rows of other components that may be
+    linked to it, and how many minima are equal."""
+    bits = np.frombuffer(b"".join(minima), np.uint8).reshape(len(component), -1)
+    least = least_share(percent) * bits.shape[1]
+    component = np.unique(component, return_inverse=True)[1]
     for x in np.flatnonzero(component != np.bincount(component).argmax()):
         others = np.flatnonzero(component != component[x])
         equal = (bits[others] == bits[x]).sum(1)
         good = equal >= least
-        others, equal = others[good], equal[good]
-        for y in others[np.argsort(-equal, kind="stable")[:top]]:
-            pairs.add((min(node[x], node[y]), max(node[x], node[y])))
-    return sorted(pairs)
+        if good.any():
+            yield x, others[good], equal[good]
 
 
-def candidates(nodes: DataFrame, percent: int, top: int | None, seed: int) -> DataFrame:
-    """Pairs (a, b) to confirm among ``nodes`` (node, component, minima) of different components.
+def tiles_in(rows: list, percent: int, earlier: np.ndarray) -> list[tuple[int, int, int]]:
+    """(tile, node, component) for the rows (node, component, minima, n_shingles) of a cell: the nodes that may be
+    linked to one of another component and have not met it yet in one of the ``earlier`` bands. A cell
+    whose sets are too large to be held at once is cut into halves of tiles, and every two halves with
+    such a pair are a tile."""
+    node, component, minima, sizes = zip(*rows, strict=True)
+    bits = np.frombuffer(b"".join(minima), np.uint8).reshape(len(node), -1)
+    half = np.cumsum(sizes) // HELD
+    half = np.unique(half, return_inverse=True)[1]
+    count, tiles = int(half.max()) + 1, {}
+    for x, others, _ in likely_in(component, minima, percent):
+        equal = bits[others] == bits[x]
+        others = others[~equal[:, earlier].all(2).any(1)]
+        for h in np.unique(half[others]):
+            tile = int(min(h, half[x]) * count + max(h, half[x]))
+            members = tiles.setdefault(tile, np.zeros(len(node), bool))
+            members[x] = True
+            members[others[half[others] == h]] = True
+    return sorted({(tile, node[i], component[i]) for tile, members in tiles.items() for i in np.flatnonzero(members)})
+
+
+def links_in(rows: list, percent: int) -> list[tuple[int, int]]:
+    """For the rows (node, component, shingles) of a tile: links between nodes of different components that join
+    all that is linked in it, by their full sets."""
+    node, component, sets = zip(*rows, strict=True)
+    component = np.unique(component, return_inverse=True)[1]
+    sets = [np.frombuffer(s, np.uint64) for s in sets]
+    sizes = np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    held, out = np.zeros(len(values), bool), []
+    for x in np.flatnonzero(component != np.bincount(component).argmax()):
+        own = place[starts[x] : starts[x] + sizes[x]]
+        held[own] = True
+        both = np.add.reduceat(held[place], starts, dtype=np.int64)
+        held[own] = False
+        for y in np.flatnonzero(100 * both >= percent * (sizes[x] + sizes - both)):
+            if component[y] != component[x]:
+                out.append((min(node[x], node[y]), max(node[x], node[y])))
+                component[component == component[y]] = component[x]
+    return out
+
+
+def grouped(batches, width: int, rows: int = 1024):
+    """(key, rows): the rows of each value of the first ``width`` columns, which come together."""
+    key, block = None, []
+    for batch in batches:
+        for part in slices(batch, rows=rows):
+            for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if row[:width] != key:
+                    if block:
+                        yield key, block
+                    key, block = row[:width], []
+                block.append(row[width:])
+    if block:
+        yield key, block
+
+
+def table_of(rows: list, names: list[str]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array([int(v) for v in c], pa.int64()) for c in columns], names=names)
+
+
+def cells(nodes: DataFrame, seed: int) -> DataFrame:
+    """(key, part, node): the cells in which ``nodes`` (node, component, minima) of different components meet.
 
     A bucket of more than a block is cut into cells, strips of the nodes outside its largest component by
     parts of all its nodes, half a block each. So each of those nodes meets every node of another
     component, and no task holds more than a cell. With up to half a block of such nodes there is one strip,
     over at most twice the bucket's rows.
     """
-    found = keyed(nodes.withColumn("key", F.lit(0).cast("long")), WIDE, seed).join(nodes.select("node", "component"), "node")
-    found = cut(found.select("key", "node", "component"))
+    found = cut(keyed(nodes, WIDE, seed))
     half = BLOCK // 2
     wanted = cut(
         found.groupBy("key", "component")
@@ -240,39 +317,60 @@ def candidates(nodes: DataFrame, percent: int, top: int | None, seed: int) -> Da
             .cast("int"),
         )
     )
-    return in_blocks(found.join(wanted, "key"), nodes, percent, top).distinct()
-
-
-def in_blocks(members: DataFrame, nodes: DataFrame, percent: int, top: int | None) -> DataFrame:
-    """The pairs (a, b) that ``named_in`` gives for the rows (key, node, component, largest, strips, parts) of
-    each key's cells."""
     own = F.pmod(F.xxhash64("node"), F.col("parts"))
     strip = F.pmod(F.xxhash64("node", F.lit(1)), F.col("strips"))
     across = F.transform(F.sequence(F.lit(0).cast("long"), F.col("strips").cast("long") - 1), lambda i: i * F.col("parts") + own)
     along = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1), lambda j: strip * F.col("parts") + j)
     part = F.when(F.col("component") == F.col("largest"), across).otherwise(F.array_union(along, across))
-    rows = members.select("key", F.explode(part).alias("part"), "node").join(nodes, "node")
-    rows = rows.select("key", "part", "node", "component", "minima")
-    rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", "node")
+    return found.join(wanted, "key").select("key", F.explode(part).alias("part"), "node")
 
-    def found(rows: list) -> pa.RecordBatch:
-        pairs = named_in(rows, percent, top) if len(rows) > 1 else []
-        return pa.RecordBatch.from_arrays(
-            [pa.array([int(p[c]) for p in pairs], pa.int64()) for c in range(2)], names=["a", "b"]
-        )
+
+def candidates(nodes: DataFrame, percent: int, top: int | None, seed: int) -> DataFrame:
+    """Pairs (a, b) among ``nodes`` (node, component, minima) of different components that meet in a cell and
+    may be linked, the ``top`` likeliest ones of a node there or all. All are as many as the square of
+    a group of near copies; ``links`` gives what is linked without them."""
+    rows = cells(nodes, seed).join(nodes, "node").select("key", "part", "node", "component", "minima")
+    rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", "node")
 
     def run(batches):
-        key, block = None, []
+        for _, block in grouped(batches, 2):
+            yield table_of(named_in(block, percent, top), ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def links(nodes: DataFrame, texts: DataFrame, k: int, percent: int, seed: int) -> DataFrame:
+    """Links (a, b) that join all ``nodes`` (node, component, minima, n_shingles) of different components that are
+    linked by their full sets and meet in a cell, but in none of the rounds before ``seed``, which must have seen
+    all these nodes; ``texts`` are (doc_id, text)."""
+    rows = cells(nodes, seed).join(nodes, "node").select("key", "part", "node", "component", "minima", "n_shingles")
+    rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", "node")
+
+    def near(batches):
+        before = [longer(WIDE, s)[0] for s in range(seed)]
+        bands = longer(WIDE, seed)[0]
+        for key, block in grouped(batches, 2):
+            earlier = np.concatenate([*before, bands[: key[0] % WIDE]])
+            found = [(*key, *row) for row in tiles_in(block, percent, earlier)]
+            yield table_of(found, ["key", "part", "tile", "node", "component"])
+
+    def full(batches):
         for batch in batches:
-            for part in slices(batch, rows=1024):
-                for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    if row[:2] != key:
-                        yield found(block)
-                        key, block = row[:2], []
-                    block.append(row[2:])
-        yield found(block)
+            for part in slices(batch, chars=1_000_000):
+                sets = [s.tobytes() for s in shingle_sets(part.column(1).to_pylist(), k)]
+                got = pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+                yield got.filter(pa.array([bool(s) for s in sets], pa.bool_()))
 
-    return rows.mapInArrow(run, "a long, b long")
+    def run(batches):
+        for _, tile in grouped(batches, 3, rows=64):
+            yield table_of(links_in(tile, percent), ["a", "b"])
+
+    met = cut(rows.mapInArrow(near, "key long, part long, tile long, node long, component long"))
+    wanted = met.select(F.col("node").alias("doc_id")).distinct()
+    sets = cut(texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(full, "node long, shingles binary"))
+    held = met.join(sets, "node").select("key", "part", "tile", "node", "component", "shingles")
+    held = held.repartition("key", "part", "tile").sortWithinPartitions("key", "part", "tile", "node")
+    return held.mapInArrow(run, "a long, b long").distinct()
 
 
 def filter_of(ids: DataFrame) -> DataFrame:
@@ -363,7 +461,7 @@ def near_duplicates(
         .join(classes, "digest")
         .where("doc_id = node")
         .dropDuplicates(["digest"])
-        .select("node", "minima", "bands")
+        .select("node", "minima", "n_shingles", "bands")
     )
     banded = nodes.select("node", F.explode("bands").alias("key"))
     # Written, so that a join with a hot key on one side can be split.
@@ -374,37 +472,32 @@ def near_duplicates(
         .select("key", "lead")
     )
     buckets = cut(banded.join(leads, "key").select("key", "node", "lead"))
+    led = cut(buckets.where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("n")))
     first = (
-        buckets.where("node <> lead")
-        .groupBy("node", "lead")
-        .agg(F.count("*").alias("n"))
-        .groupBy(F.col("node").alias("b"))
+        led.groupBy(F.col("node").alias("b"))
         .agg(F.max(F.struct("n", (-F.col("lead")).alias("less"))).alias("best"))
         .select((-F.col("best.less")).alias("a"), "b")
     )
     involved = cut(buckets.select(F.col("node").alias("id")).distinct())
     texts = passing(docs.where("doc_id is not null"), "doc_id", involved)
     texts = cut(texts.join(involved, F.col("doc_id") == F.col("id"), "left_semi"))
-    links = cut(confirmed(cut(likely(first, nodes, percent)), texts, k, percent))
-    found = cut(components(links))
-    tried = None
-    for seed, top in enumerate(ROUNDS):
-        # Nodes of buckets that still join different components.
-        placed = buckets.join(found, "node", "left").select(
-            "key", "node", F.coalesce("component", "node").alias("component")
+    joined = cut(confirmed(cut(likely(first, nodes, percent)), texts, k, percent))
+    found = cut(components(joined))
+    pairs = led.select("node", "lead").unionByName(led.select(F.col("lead").alias("node"), "lead").distinct())
+    for seed in range(len(ROUNDS)):
+        # Nodes of buckets that still join different components, the buckets of a lead taken together.
+        placed = pairs.join(found, "node", "left").select(
+            "lead", "node", F.coalesce("component", "node").alias("component")
         )
-        open_keys = cut(
-            placed.groupBy("key")
+        open_leads = cut(
+            placed.groupBy("lead")
             .agg(F.min("component").alias("x"), F.max("component").alias("y"))
             .where("x <> y")
-            .select("key")
+            .select("lead")
         )
-        members = placed.join(open_keys, "key").select("node", "component").distinct()
-        members = cut(members.join(nodes, "node").select("node", "component", "minima"))
-        pairs = candidates(members, percent, top, seed)
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        more = cut(confirmed(pairs, texts, k, percent))
+        members = placed.join(open_leads, "lead").select("node", "component").distinct()
+        members = cut(members.join(nodes, "node").select("node", "component", "minima", "n_shingles"))
+        more = cut(links(members, texts, k, percent, seed))
         if not more.isEmpty():
             before = found.where("node <> component").select(
                 F.col("component").alias("a"), F.col("node").alias("b")

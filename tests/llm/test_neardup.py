@@ -102,3 +102,31 @@ def test_the_last_round_names_every_pair_of_a_large_bucket(spark, monkeypatch):
         got = neardup.candidates(nodes, 80, neardup.ROUNDS[-1], 0).collect()
         want = {(a, b) for a in range(40) for b in range(a + 1, 40) if component(a) != component(b)}
         assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_near_copies_that_are_not_linked_make_no_rows(spark, rng):
+    """A cell gives fewer links than it has nodes, however many pairs of it may be linked or are."""
+    words = [f"w{i}" for i in range(100)]
+    rows = [(n, " ".join(edited(rng, words, rng.choice([1, 2, 8, 9])))) for n in range(120)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sets = neardup.sets_of(texts, 2).selectExpr("doc_id node", "doc_id component", "minima", "n_shingles")
+    pairs = neardup.candidates(sets, 80, None, 0).count()
+    found = [tuple(r) for r in neardup.links(sets, texts, 2, 80, 0).collect()]
+    want = plain(rows, 2)
+    assert pairs > 20 * len(rows) and len(found) < 10 * len(rows)
+    got = {r["node"]: r["component"] for r in neardup.components(spark.createDataFrame(found, "a long, b long")).collect()}
+    assert {n: got.get(n, n) for n, _ in rows} == {n: c for n, (_, c) in want.items()}
+
+
+def test_sets_too_large_for_a_tile_are_compared_in_halves(spark, rng, monkeypatch):
+    monkeypatch.setattr(neardup, "HELD", 300)
+    rows = made(rng)[:250]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = neardup.near_duplicates(df, 2).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain(rows, 2)
+    block = [(n, n, bytes(neardup.ROWS * neardup.BANDS), 200) for n in range(6)]
+    earlier = neardup.longer(neardup.WIDE, 0)[0][:0]
+    tiles = neardup.tiles_in(block, 80, earlier)
+    held = {t: {n for u, n, _ in tiles if u == t} for t, _, _ in tiles}
+    assert all(200 * len(h) <= 2 * (neardup.HELD + 200) for h in held.values())
+    assert all(any({a, b} <= h for h in held.values()) for a in range(6) for b in range(a))
