@@ -61,29 +61,36 @@ def bigram_pass(flow: DataFrame, min_count: int = 5, chunk: int | None = None) -
     every second one is taken. Neighbouring equal sequences become one.
     ``taken`` tells how many pairs a row stands for in this pass.
     """
-    named = flow.withColumn("_sig", signature(F.col("fn"), F.col("sig")))
     after = scan(
-        named,
+        flow,
         FLOW,
-        following={"_next": F.struct("fn", "sig", "t_end", "_sig")},
+        following={"_next": F.struct(signature(F.col("fn"), F.col("sig")).alias("text"))},
         sums={"_pos": F.lit(1)},
         chunk=chunk,
     )
+    # A pair is told by 128 bits of its text: names get longer with each pass, and rows are dealt out by pair.
+    text = F.concat_ws("+", signature(F.col("fn"), F.col("sig")), "_next.text")
+    pair = {"_pair": F.xxhash64(text), "_pair2": F.xxhash64(F.lit(1), text)}
+    more = F.col("_next").isNotNull().alias("_more")
     # Written, since the counts and the replacement both read it.
-    after = cut(after.withColumn("_pair", F.concat_ws("+", "_sig", "_next._sig")))
+    after = cut(after.withColumns(pair).select(*flow.columns, "_pos", more, *pair), compression="zstd")
     frequent = (
-        after.where("_next is not null")
-        .groupBy(*FLOW, "_pair")
+        after.where("_more")
+        .groupBy(*FLOW, *pair)
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > min_count)
-        .select(*FLOW, "_pair", F.lit(True).alias("_often"))
-    )
-    marked = after.join(frequent, [*FLOW, "_pair"], "left").withColumn(
-        "_often", F.col("_often").isNotNull() & F.col("_next").isNotNull()
+        .select(*FLOW, *pair, F.lit(True).alias("_often"))
     )
+    often = F.col("_often").isNotNull() & F.col("_more")
+    marked = after.join(frequent, [*FLOW, *pair], "left").select(*flow.columns, "_pos", often.alias("_often"))
+    # Written, so that the rows are dealt out by pair once and not for both reads of the scan. The next call is
+    # looked up again, by the same order, so that it does not travel with the pair.
+    marked = cut(marked, compression="zstd")
     run = scan(
         marked,
         FLOW,
+        "_pos",
+        following={"_next": F.struct("fn", "sig", "t_end")},
         last_before={"_break": F.when(~F.col("_often"), F.col("_pos"))},
         chunk=chunk,
     ).withColumn("_off", F.col("_pos") - F.coalesce(F.col("_break"), F.lit(0)))
@@ -104,7 +111,7 @@ def bigram_pass(flow: DataFrame, min_count: int = 5, chunk: int | None = None) -
         F.when(taken, F.lit("Rept")).otherwise(F.col("style")).alias("style"),
         F.when(taken, F.lit(1).cast("long")).otherwise(F.col("occurrences")).alias("occurrences"),
         taken.cast("int").alias("_taken"),
-    ))
+    ), compression="zstd")
     merged = islands(
         kept,
         FLOW,
@@ -143,13 +150,14 @@ def cluster_bigrams(calls: DataFrame, min_count: int = 5, chunk: int | None = No
     """Replace frequent pairs until none is left.
 
     Counts are per pass and per flow. A flow without replacement is finished and
-    is not read again; each pass is written to the shared folder.
+    is not read again; each pass is written to the shared folder, and so are the flows
+    it changed, so that their size is known and few of them do not move the rows.
     """
-    active = cut(as_flow(calls))
+    active = cut(as_flow(calls), compression="zstd")
     done: DataFrame | None = None
     while True:
-        step = cut(bigram_pass(active, min_count, chunk))
-        busy = step.where("taken > 0").select(*FLOW).distinct()
+        step = cut(bigram_pass(active, min_count, chunk), compression="zstd")
+        busy = cut(step.where("taken > 0").select(*FLOW).distinct())
         finished = step.join(busy, FLOW, "left_anti").drop("taken")
         done = finished if done is None else done.unionByName(finished)
         active = step.join(busy, FLOW, "left_semi").drop("taken")

@@ -4,6 +4,7 @@ import datetime
 
 from __spark_entry__ import queries
 from sysweave.model import TRIPLE_SCHEMA
+from sysweave.operators import flows as f
 from sysweave.operators import graphset as g
 from sysweave.operators import relations as r
 
@@ -43,3 +44,22 @@ def test_a_log_is_parsed_once(spark, tmp_path):
     for name in ("t30_files_by_category", "t32_trace_to_triples"):
         found = queries()[name](spark, str(tmp_path))
         assert found.count() and not [f for f in found.inputFiles() if "events.parquet" in f]
+
+
+def test_pairs_of_calls_are_told_by_numbers_and_dealt_out_once(spark, monkeypatch):
+    written, cut = [], f.cut
+    monkeypatch.setattr(f, "cut", lambda df, *a, **kw: written.append(df) or cut(df, *a, **kw))
+    start = datetime.datetime(2024, 1, 1)
+    calls = [("s", 1, n, "abcabd"[n % 6], ["x"], start, start + datetime.timedelta(seconds=n)) for n in range(18)]
+    calls = spark.createDataFrame(
+        calls, "session string, pid long, seq long, fn string, sig array<string>, t_start timestamp, t_end timestamp"
+    )
+    got = f.bigram_pass(f.as_flow(calls), min_count=3).orderBy("seq").collect()
+    # Only a+b comes more than three times; its end is that of its second call.
+    assert [r.fn for r in got] == ["(a+b)", "c", "(a+b)", "d"] * 3
+    assert [r.taken for r in got] == [1, 0] * 6
+    assert [(r.t_end - start).seconds for r in got] == [1, 2, 4, 5, 7, 8, 10, 11, 13, 14, 16, 17]
+    names = [c for df in written for c, kind in df.dtypes if kind == "string"]
+    assert set(names) == {"session", "fn", "style"}
+    assert not [df for df in written if "_next" in df.columns]
+    assert [sum("_often" in df.columns for df in written)] == [1]
