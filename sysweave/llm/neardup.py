@@ -4,10 +4,11 @@ A text is its set of word shingles. Many universal hash functions give a
 signature of minima; documents that agree in a band of minima are candidates.
 Texts with the same set are one node from the start, so copies cost nothing
 further. In each band's bucket a node is first compared with the bucket's least
-node, so a bucket of n nodes makes n - 1 pairs. Nodes of buckets that then still
-join different components are bucketed anew by longer bands over the same
-signatures; a bucket of more than a block is cut into cells in which all its nodes of
-different components meet. A cell's nodes whose signatures may be linked to one of another component meet
+node, so a bucket of n nodes makes n - 1 pairs. The buckets of one least node are a
+group. Groups that then still join different components are cut into cells in which all
+their nodes of different components meet, so a group that fills the buckets of many bands
+is gone through once. The nodes of groups too large for that are bucketed anew by longer bands over the same
+signatures, and those buckets are cut into cells. A cell's nodes whose signatures may be linked to one of another component meet
 again with their full sets, and each cell gives links that join what is linked in it, fewer than it has
 nodes: pairs that are not linked are told apart there and never become rows. Every link is confirmed on
 the full sets, and components come from alternating large-star and small-star steps.
@@ -34,7 +35,9 @@ ROWS, BANDS = 6, 48
 DEVIATIONS = 6
 #: Nodes of a block at most.
 BLOCK = 512
-#: Minima in a longer band, and how many such bands nodes that are still open get. Of two nodes that
+#: Cells that a node of a group taken whole is put into at most, in the mean. Larger groups get longer bands.
+CELLS = 64
+#: Minima in a longer band, and how many such bands the nodes of larger groups get. Of two nodes that
 #: agree in 3 of 4 minima, the first bands miss one pair in forty, all rounds together one in 1,600.
 LONGER, WIDE = 10, 64
 #: Shingles of a half of a tile: the sets that are held at once.
@@ -228,10 +231,10 @@ def likely_in(component, minima, percent: int):
             yield x, others[good], equal[good]
 
 
-def tiles_in(rows: list, percent: int, earlier: np.ndarray) -> list[tuple[int, int, int]]:
+def tiles_in(rows: list, percent: int, earlier: np.ndarray, less: list | None = None) -> list[tuple[int, int, int]]:
     """(tile, node, component) for the rows (node, component, minima, n_shingles) of a cell: the nodes that may be
-    linked to one of another component and have not met it yet in one of the ``earlier`` bands. A cell
-    whose sets are too large to be held at once is cut into halves of tiles, and every two halves with
+    linked to one of another component and do not meet it in one of the ``earlier`` bands, nor in a group
+    that is in the set ``less`` of both. A cell whose sets are too large to be held at once is cut into halves of tiles, and every two halves with
     such a pair are a tile."""
     node, component, minima, sizes = zip(*rows, strict=True)
     bits = np.frombuffer(b"".join(minima), np.uint8).reshape(len(node), -1)
@@ -241,6 +244,8 @@ def tiles_in(rows: list, percent: int, earlier: np.ndarray) -> list[tuple[int, i
     for x, others, _ in likely_in(component, minima, percent):
         equal = bits[others] == bits[x]
         others = others[~equal[:, earlier].all(2).any(1)]
+        if less and less[x]:
+            others = others[[less[x].isdisjoint(less[y]) for y in others]]
         for h in np.unique(half[others]):
             tile = int(min(h, half[x]) * count + max(h, half[x]))
             members = tiles.setdefault(tile, np.zeros(len(node), bool))
@@ -291,17 +296,17 @@ def table_of(rows: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([int(v) for v in c], pa.int64()) for c in columns], names=names)
 
 
-def cells(nodes: DataFrame, seed: int) -> DataFrame:
-    """(key, part, node): the cells in which ``nodes`` (node, component, minima) of different components meet.
+def layout(found: DataFrame) -> DataFrame:
+    """(key, n, largest, strips, parts, placed) of the buckets of the rows (key, node, component) that join different
+    components: how each is cut into cells, and the rows that makes.
 
     A bucket of more than a block is cut into cells, strips of the nodes outside its largest component by
     parts of all its nodes, half a block each. So each of those nodes meets every node of another
     component, and no task holds more than a cell. With up to half a block of such nodes there is one strip,
     over at most twice the bucket's rows.
     """
-    found = cut(keyed(nodes, WIDE, seed))
     half = BLOCK // 2
-    wanted = cut(
+    return (
         found.groupBy("key", "component")
         .agg(F.count("*").alias("n"))
         .groupBy("key")
@@ -316,20 +321,34 @@ def cells(nodes: DataFrame, seed: int) -> DataFrame:
             .otherwise(F.ceil(F.col("n") / half))
             .cast("int"),
         )
+        .withColumn("placed", F.col("n") * F.col("strips") + F.col("others") * (F.col("parts") - 1))
+        .drop("others")
     )
+
+
+def cells(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, part, node, component): the cells in which the nodes of different components of the buckets of the rows
+    (key, node, component) meet, cut as ``wanted`` (a ``layout``) says."""
     own = F.pmod(F.xxhash64("node"), F.col("parts"))
     strip = F.pmod(F.xxhash64("node", F.lit(1)), F.col("strips"))
     across = F.transform(F.sequence(F.lit(0).cast("long"), F.col("strips").cast("long") - 1), lambda i: i * F.col("parts") + own)
     along = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1), lambda j: strip * F.col("parts") + j)
     part = F.when(F.col("component") == F.col("largest"), across).otherwise(F.array_union(along, across))
-    return found.join(wanted, "key").select("key", F.explode(part).alias("part"), "node")
+    return found.join(wanted, "key").select("key", F.explode(part).alias("part"), "node", "component")
+
+
+def banded_cells(nodes: DataFrame, seed: int) -> DataFrame:
+    """The cells of the longer bands' buckets of ``nodes`` (node, component, minima)."""
+    found = cut(keyed(nodes, WIDE, seed))
+    return cells(found, cut(layout(found)))
 
 
 def candidates(nodes: DataFrame, percent: int, top: int | None, seed: int) -> DataFrame:
     """Pairs (a, b) among ``nodes`` (node, component, minima) of different components that meet in a cell and
     may be linked, the ``top`` likeliest ones of a node there or all. All are as many as the square of
     a group of near copies; ``links`` gives what is linked without them."""
-    rows = cells(nodes, seed).join(nodes, "node").select("key", "part", "node", "component", "minima")
+    rows = banded_cells(nodes, seed).join(nodes.drop("component"), "node")
+    rows = rows.select("key", "part", "node", "component", "minima")
     rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", "node")
 
     def run(batches):
@@ -343,8 +362,8 @@ def links(nodes: DataFrame, texts: DataFrame, k: int, percent: int, seed: int) -
     """Links (a, b) that join all ``nodes`` (node, component, minima, n_shingles) of different components that are
     linked by their full sets and meet in a cell, but in none of the rounds before ``seed``, which must have seen
     all these nodes; ``texts`` are (doc_id, text)."""
-    rows = cells(nodes, seed).join(nodes, "node").select("key", "part", "node", "component", "minima", "n_shingles")
-    rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", "node")
+    rows = banded_cells(nodes, seed).join(nodes.drop("component"), "node")
+    rows = rows.select("key", "part", "node", "component", "minima", "n_shingles")
 
     def near(batches):
         before = [longer(WIDE, s)[0] for s in range(seed)]
@@ -354,6 +373,34 @@ def links(nodes: DataFrame, texts: DataFrame, k: int, percent: int, seed: int) -
             found = [(*key, *row) for row in tiles_in(block, percent, earlier)]
             yield table_of(found, ["key", "part", "tile", "node", "component"])
 
+    return joining(rows, near, texts, k, percent)
+
+
+def group_links(groups: DataFrame, wanted: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that join all nodes of different components that are linked by their full sets and share one of
+    the ``groups`` (key, node, component) that ``wanted`` (a ``layout``) lists; ``nodes`` are (node,
+    minima, n_shingles). Two nodes are compared in the least of the groups they share."""
+    own = groups.join(wanted.select("key"), "key").groupBy("node").agg(F.collect_set("key").alias("keys"))
+    rows = cells(groups, wanted).join(cut(own.join(nodes, "node")), "node")
+    rows = rows.select(
+        "key", "part", "node", "component", "minima", "n_shingles", F.filter("keys", lambda x: x < F.col("key")).alias("less")
+    )
+
+    def near(batches):
+        none = np.zeros((0, LONGER), np.int64)
+        for key, block in grouped(batches, 2):
+            less = [frozenset(row[-1]) for row in block]
+            found = [(*key, *row) for row in tiles_in([row[:-1] for row in block], percent, none, less)]
+            yield table_of(found, ["key", "part", "tile", "node", "component"])
+
+    return joining(rows, near, texts, k, percent)
+
+
+def joining(rows: DataFrame, near, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that join what is linked in the tiles that ``near`` gives for the ``rows`` of each cell
+    (key, part); ``texts`` are (doc_id, text)."""
+    rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", "node")
+
     def full(batches):
         for batch in batches:
             for part in slices(batch, chars=1_000_000):
@@ -433,6 +480,29 @@ def components(edges: DataFrame) -> DataFrame:
         edges = cut(small)
 
 
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` (node, component) after the ``links`` (a, b) between its nodes and others."""
+    links = cut(links)
+    if links.isEmpty():
+        return found
+    before = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    return cut(components(links.unionByName(before)))
+
+
+def open_groups(led: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, node, component): the rows (node, lead) of the leads whose nodes are in different components."""
+    placed = led.join(found, "node", "left").select(
+        F.col("lead").alias("key"), "node", F.coalesce("component", "node").alias("component")
+    )
+    several = cut(
+        placed.groupBy("key")
+        .agg(F.min("component").alias("x"), F.max("component").alias("y"))
+        .where("x <> y")
+        .select("key")
+    )
+    return placed.join(several, "key")
+
+
 def near_duplicates(
     docs: DataFrame,
     k: int = 5,
@@ -483,26 +553,17 @@ def near_duplicates(
     texts = cut(texts.join(involved, F.col("doc_id") == F.col("id"), "left_semi"))
     joined = cut(confirmed(cut(likely(first, nodes, percent)), texts, k, percent))
     found = cut(components(joined))
-    pairs = led.select("node", "lead").unionByName(led.select(F.col("lead").alias("node"), "lead").distinct())
-    for seed in range(len(ROUNDS)):
-        # Nodes of buckets that still join different components, the buckets of a lead taken together.
-        placed = pairs.join(found, "node", "left").select(
-            "lead", "node", F.coalesce("component", "node").alias("component")
-        )
-        open_leads = cut(
-            placed.groupBy("lead")
-            .agg(F.min("component").alias("x"), F.max("component").alias("y"))
-            .where("x <> y")
-            .select("lead")
-        )
-        members = placed.join(open_leads, "lead").select("node", "component").distinct()
+    # Groups that still join different components, the buckets of a lead taken together.
+    led = led.select("node", "lead").unionByName(led.select(F.col("lead").alias("node"), "lead").distinct())
+    groups = cut(open_groups(led, found))
+    wanted = cut(layout(groups))
+    whole = F.col("placed") <= CELLS * F.col("n")
+    found = merged(found, group_links(groups, wanted.where(whole), nodes, texts, k, percent))
+    large = cut(led.join(wanted.where(~whole).select(F.col("key").alias("lead")), "lead"))
+    for seed in range(len(ROUNDS) if not large.isEmpty() else 0):
+        members = open_groups(large, found).select("node", "component").distinct()
         members = cut(members.join(nodes, "node").select("node", "component", "minima", "n_shingles"))
-        more = cut(links(members, texts, k, percent, seed))
-        if not more.isEmpty():
-            before = found.where("node <> component").select(
-                F.col("component").alias("a"), F.col("node").alias("b")
-            )
-            found = cut(components(more.unionByName(before)))
+        found = merged(found, links(members, texts, k, percent, seed))
     named = classes.join(found, "node", "left").select(
         "digest", F.coalesce("component", "node").alias("component_id")
     )

@@ -130,3 +130,32 @@ def test_sets_too_large_for_a_tile_are_compared_in_halves(spark, rng, monkeypatc
     held = {t: {n for u, n, _ in tiles if u == t} for t, _, _ in tiles}
     assert all(200 * len(h) <= 2 * (neardup.HELD + 200) for h in held.values())
     assert all(any({a, b} <= h for h in held.values()) for a in range(6) for b in range(a))
+
+
+def test_a_group_in_many_bands_is_gone_through_once(spark, rng, monkeypatch):
+    """Near copies that are not linked agree in most bands: no table has a row for each of them."""
+    words = [f"w{i}" for i in range(200)]
+    rows = [(n, " ".join(edited(rng, words, rng.choice([3, 20, 22])))) for n in range(120)]
+    counts, written = [], neardup.cut
+
+    def cut(df, *a):
+        df = written(df, *a)
+        if df.columns[:1] == ["key"] and "node" in df.columns and "lead" not in df.columns:
+            counts.append(df.count())
+        return df
+
+    monkeypatch.setattr(neardup, "cut", cut)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = neardup.near_duplicates(df, 2).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain(rows, 2)
+    assert counts and sum(counts) < 12 * len(rows)
+
+
+def test_groups_too_large_to_be_taken_whole_get_longer_bands(spark, rng, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rows = made(rng)[:250]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for most in (0, 2):
+        monkeypatch.setattr(neardup, "CELLS", most)
+        got = neardup.near_duplicates(df, 2).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain(rows, 2)
