@@ -184,6 +184,22 @@ def test_a_long_chain_closes_in_few_rounds(spark):
     assert len(rounds) <= 16
 
 
+def test_pairs_of_a_chain_are_not_written(spark, monkeypatch):
+    """Three hundred starts on a chain, a cycle behind it and a side branch: rounds hold links and paths only."""
+    monkeypatch.setattr(t, "FEW_LINKS", 800)
+    monkeypatch.setattr(t, "PIECE", 64)
+    edges = [(i, i + 1) for i in range(2000)] + [(2000, 1990), (700, 3000), (3000, 3001)]
+    links = spark.createDataFrame(edges * 2, "parent long, child long")
+    rounds = []
+    got = t.closure_from(links, spark.range(0, 2000, 7).withColumnRenamed("id", "start"), rounds=rounds)
+    want = {(a, b): b - a for a in range(0, 2000, 7) for b in range(a + 1, 2001)}
+    want |= {(a, b): 2001 - a + b - 1990 for a in range(0, 2000, 7) for b in range(1990, a)}
+    want |= {(a, b): b - 3000 + 701 - a for a in range(0, 701, 7) for b in (3000, 3001)}
+    rows = got.collect()
+    assert {(r.ancestor, r.descendant): r.depth for r in rows} == want and len(rows) == len(want)
+    assert 800 < max(rounds) <= 2003
+
+
 def test_providers_about_objects(spark):
     """Only usable providers of classes that occur are read, each for the objects it applies to."""
     from sysweave.model import TRIPLE_SCHEMA
