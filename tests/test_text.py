@@ -128,6 +128,46 @@ def test_words_and_lines(spark):
     assert x.find_words(many, max_hits=3).count() == 3
 
 
+def test_bayes_sends_grams_once_and_together(spark, monkeypatch):
+    """Grams of several blobs, ranges and rows of a key add up, texts without known grams and keys that are null stay,
+    and a text's grams are not rows of a shuffle."""
+    monkeypatch.setattr(sim, "RANGE_GRAMS", 256)
+    monkeypatch.setattr(sim, "TOGETHER", 300)
+    words = [f"w{i}" for i in range(40)]
+    rnd = random.Random(5)
+
+    def text(n):
+        return " ".join(rnd.choice(words) for _ in range(n))
+
+    train = [(i, i % 3, text(rnd.randrange(30))) for i in range(60)]
+    test = [(f"k{i % 50}", text(rnd.randrange(60)) + " unknown") for i in range(70)] + [(None, text(9)), ("empty", ""), ("null", None)]
+    model = sim.train_bayes(spark.createDataFrame(train, "id int, label int, text string"))
+    found = sim.classify_buffers(model, spark.createDataFrame(test, "id string, text string"))
+    got = {r.id: (r.predicted, r.score) for r in found.collect()}
+
+    def grams(text):
+        w = (text or "").split()
+        return [" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+
+    labels = {0, 1, 2}
+    counts = {label: Counter(g for _, x, t in train if x == label for g in grams(t)) for label in labels}
+    known = {g for _, _, t in train for g in grams(t)}
+    sizes = Counter(label for _, label, _ in train)
+    of_key = {}
+    for k, t in test:
+        of_key.setdefault(k, []).extend([] if k is None else [g for g in grams(t) if g in known])
+    assert got.keys() == of_key.keys()
+    for k, own in of_key.items():
+        scores = {
+            label: math.log(sizes[label] / len(train))
+            + sum(math.log((counts[label][g] + 1) / (sum(counts[label].values()) + len(known))) for g in own)
+            for label in labels
+        }
+        assert abs(got[k][1] - max(scores.values())) < 1e-5 and scores[got[k][0]] > max(scores.values()) - 1e-5
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [step for step in plan if "Aggregate [" in step and "gram#" in step]
+
+
 def test_bayes_against_counts(spark):
     train = [(1, "m", "open file read file"), (2, "m", "read file close"), (3, "n", "send socket packet file")]
     test = [(7, "read the file"), (8, "socket packet"), (9, "nothing known")]
